@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import company_key
-from lodestrata.llm import splitting, tokenize, topn
+from lodestrata.llm import names, neighbours, splitting, tokenize, topn
 from lodestrata.session import table
 
 
@@ -18,11 +18,24 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "chunks"), "id", "text")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.entity_pairs(names.entity_groups(table(spark, d, "entities")))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     windows = table(spark, d, "retrieved_chunks").select("question_id", company_key("company").alias("company"), "id", "score")
     return topn.top_n_per_group(windows, ["question_id", "company"], "score", "id", 5).select("question_id", "company", "id")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    found = None
+    for name, key in (("chunks", "id"), ("entity_embeddings", "entity_id")):
+        near = neighbours.nearest(table(spark, d, name), key, "embedding", 64, 5, 0.9)
+        pairs = near.select(F.lit(name).alias("vec_table"), F.least("id", "neighbour").alias("key_a"), F.greatest("id", "neighbour").alias("key_b")).distinct()
+        found = pairs if found is None else found.unionByName(pairs)
+    return found
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_texts(table(spark, d, "documents"), "doc_id", "text")
 
@@ -43,4 +56,4 @@ WITH w AS (SELECT question_id, lower(regexp_replace(company, '^[ \t\r\n]+|[ \t\r
 SELECT question_id, company, id FROM (SELECT *, row_number() OVER (PARTITION BY question_id, company ORDER BY score DESC, id) AS r FROM w) WHERE r <= 5""",
 }
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p8_ids": p8_ids}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids}
