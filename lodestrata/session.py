@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +28,26 @@ def local_session(cpus: int | None = None, app: str = "lodestrata") -> SparkSess
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per context.
+
+    They may not have the driver's import path; Spark's own file server hands
+    the archive to every executor, also to one that joins later.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_lodestrata_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="lodestrata-ship-")) / "lodestrata_package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._lodestrata_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
