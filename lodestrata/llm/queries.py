@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import company_key
-from lodestrata.llm import names, neighbours, pairs, splitting, tokenize, topn
+from lodestrata.llm import names, neighbours, pairs, scans, splitting, tokenize, topn
 from lodestrata.session import table
 
 
@@ -40,6 +40,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defective_pairs(table(spark, d, "qa_log"), table(spark, d, "subject_samples"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repair_pages(table(spark, d, "chunks")).select("id", F.explode("noise").alias("noise")).distinct()
+
+
+def p7_pages(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repair_pages(table(spark, d, "chunks"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_texts(table(spark, d, "documents"), "doc_id", "text")
 
@@ -60,4 +68,4 @@ WITH w AS (SELECT question_id, lower(regexp_replace(company, '^[ \t\r\n]+|[ \t\r
 SELECT question_id, company, id FROM (SELECT *, row_number() OVER (PARTITION BY question_id, company ORDER BY score DESC, id) AS r FROM w) WHERE r <= 5""",
 }
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_pages": p7_pages, "p8_ids": p8_ids}
