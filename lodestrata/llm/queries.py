@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import company_key
-from lodestrata.llm import names, neighbours, pairs, scans, splitting, tokenize, topn
+from lodestrata.llm import names, neighbours, packing, pairs, scans, splitting, subjects, tokenize, topn
 from lodestrata.session import table
 
 
@@ -52,6 +52,15 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_texts(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_texts(table(spark, d, "documents"), "doc_id", "text", 2048)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    mixture = subjects.document_subjects(table(spark, d, "documents"), table(spark, d, "subject_samples"))
+    return mixture.where(F.col("share") >= 0.2).select("doc_id", "subject").distinct()
+
+
 _BLANK = r"(\r?\n)[ \t]*(\r?\n)[ \t\r\n]*"
 
 SQL = {
@@ -68,4 +77,4 @@ WITH w AS (SELECT question_id, lower(regexp_replace(company, '^[ \t\r\n]+|[ \t\r
 SELECT question_id, company, id FROM (SELECT *, row_number() OVER (PARTITION BY question_id, company ORDER BY score DESC, id) AS r FROM w) WHERE r <= 5""",
 }
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_pages": p7_pages, "p8_ids": p8_ids}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_pages": p7_pages, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
