@@ -28,3 +28,47 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if stepped.where("component <> old").isEmpty():
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def communities(edges: DataFrame, src: str = "src", dst: str = "dst", weight: str | None = None, rounds: int = 8) -> DataFrame:
+    """(id, community) by weighted label propagation: in each round every node takes the label with
+    most weight around it, its own counting half an edge; equal weights go by the smaller label.
+
+    The result is deterministic; ``rounds`` bounds it, as labels may swing between two states.
+    """
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    ends = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"), F.coalesce(w, F.lit(1.0)).alias("w")).where("a is not null and b is not null and a <> b")
+    both = cut(ends.select(F.explode(F.array(F.struct("a", "b", "w"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("w")))).alias("e")).select("e.*").groupBy("a", "b").agg(F.sum("w").alias("w")))
+    labels = cut(both.select(F.col("a").alias("id")).distinct().withColumn("community", F.col("id")))
+    for _ in range(rounds):
+        votes = both.join(labels.select(F.col("id").alias("b"), "community"), "b").select(F.col("a").alias("id"), "community", "w").unionByName(labels.withColumn("w", F.lit(0.5)))
+        sums = votes.groupBy("id", "community").agg(F.sum("w").alias("w"))
+        stepped = cut(sums.groupBy("id").agg(F.min_by("community", F.struct(-F.round("w", 6), F.col("community"))).alias("community")))
+        changed = stepped.join(labels.withColumnRenamed("community", "old"), "id").where("community <> old")
+        done = changed.isEmpty()
+        labels = stepped
+        if done:
+            break
+    return labels
+
+
+def bounded_communities(edges: DataFrame, most: int = 10, levels: int = 4) -> DataFrame:
+    """(id, level, community): communities, and within those beyond ``most`` nodes again communities.
+
+    Each level propagates labels on the edges inside the communities that are still
+    too large; the id of a community is that of its parent and its own label.
+    """
+    kept = cut(edges.select("src", "dst").distinct())
+    current = communities(kept).withColumn("community", F.col("community").cast("string"))
+    out = current.withColumn("level", F.lit(0))
+    for level in range(1, levels):
+        large = current.groupBy("community").agg(F.count("*").alias("n")).where(F.col("n") > most).select("community")
+        inside = current.join(large, "community", "left_semi")
+        a, b = inside.select(F.col("id").alias("src"), F.col("community").alias("ca")), inside.select(F.col("id").alias("dst"), F.col("community").alias("cb"))
+        within = cut(kept.join(a, "src").join(b, "dst").where("ca = cb").select("src", "dst", "ca"))
+        if within.isEmpty():
+            break
+        near = communities(within.select("src", "dst"), rounds=1 + level)
+        current = cut(near.withColumn("community", F.col("community").cast("string")).join(inside.withColumnRenamed("community", "parent"), "id").select("id", F.concat_ws("/", "parent", "community").alias("community")))
+        out = out.unionByName(current.withColumn("level", F.lit(level)))
+    return out
