@@ -22,7 +22,7 @@ def is_comparison(companies: Column, kind: Column) -> Column:
 
 def missing_fields(df: DataFrame, id_col: str, required: list[str]) -> DataFrame:
     """(id, error) of rows in which required fields are null or blank."""
-    absent = F.array_compact(F.array(*[F.when(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "", F.lit(c)) for c in required]))
+    absent = F.array_compact(F.array(*[F.when(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"(?U)\s+", "") == "", F.lit(c)) for c in required]))
     return df.select(F.col(id_col).alias("id"), absent.alias("a")).where(F.size("a") > 0).select("id", F.concat(F.lit("missing: "), F.array_join("a", ", ")).alias("error"))
 
 
