@@ -1,7 +1,9 @@
 """Vector expressions over ``array<float>``."""
 
-from __future__ import annotations
+import zlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,11 +23,19 @@ def norm(a: Column) -> Column:
 
 
 def hashed_embedding(tokens: Column, dim: int = 64) -> Column:
-    """A deterministic unit vector of a token list by feature hashing: the embedder where no model is at hand."""
-    slots = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(2 * dim)))
-    raw = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: (F.size(F.filter(slots, lambda s: s == i)) - F.size(F.filter(slots, lambda s: s == i + dim))).cast("double"),
-    )
-    size = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, v: s + v * v))
-    return F.transform(raw, lambda v: F.when(size > 0, v / size).otherwise(F.lit(0.0)).cast("float"))
+    """A deterministic unit vector of a token list by feature hashing: the embedder where no model is at hand.
+
+    Like a model it is an Arrow-batched function; an empty list is the zero vector.
+    """
+
+    @F.pandas_udf("array<float>")
+    def embed(lists: pd.Series) -> pd.Series:
+        out = np.zeros((len(lists), dim))
+        for row, items in enumerate(lists):
+            for t in items if items is not None else ():
+                h = zlib.crc32(t.encode("utf-8", "replace"))
+                out[row, h % dim] += 1.0 if h & 0x80000000 else -1.0
+        size = np.linalg.norm(out, axis=1, keepdims=True)
+        return pd.Series(list((out / np.where(size > 0, size, 1.0)).astype(np.float32)))
+
+    return embed(tokens)

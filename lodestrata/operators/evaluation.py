@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.operators.ranking import nearest_rank
+from lodestrata.operators.ranking import meet, nearest_rank, positions
 
 REQUIRED = ("id", "type", "question", "gold_answer")
 
@@ -75,11 +75,9 @@ def percentile_by(rows: DataFrame, keys: list[str], value: str, share: float = 0
 
 def median_by(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Median as the mean of the middle values, rounded to 4, by exact positions."""
-    from lodestrata.operators.ranking import positions
-
     some = rows.select(*keys, F.col(value).alias("_v")).where("_v is not null")
     sizes = some.groupBy(*keys).agg(F.count("*").alias("_n"))
-    ranked = positions(some, keys, [F.col("_v").asc()], "_pos").join(sizes, keys)
+    ranked = meet(positions(some, keys, [F.col("_v").asc()], "_pos"), sizes, keys)
     middle = (F.col("_pos") == F.floor((F.col("_n") + 1) / 2)) | (F.col("_pos") == F.floor(F.col("_n") / 2) + 1)
     return ranked.where(middle).groupBy(*keys).agg(F.round(F.avg("_v"), 4).alias("median"))
 

@@ -28,9 +28,20 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name:
     return numbered.join(starts, on).withColumn(name, F.col("_at") - F.col("_first") + F.col("_before") + 1).select(*df.columns, name)
 
 
+def meet(rows: DataFrame, sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with the columns of ``sums``, which has one row per group; null keys meet, no key is one group."""
+    if not keys:
+        return rows.crossJoin(F.broadcast(sums))
+    named = sums.select(*[F.col(k).alias(f"_m{i}") for i, k in enumerate(keys)], *[c for c in sums.columns if c not in keys])
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_m{i}"))
+    return rows.join(named, on).drop(*[f"_m{i}" for i in range(len(keys))])
+
+
 def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, share: float, name: str) -> DataFrame:
     """Per group the value at index round((n - 1) * share), halves to even; nulls don't count."""
     some = df.select(*keys, F.col(value).alias("_v")).where("_v is not null")
     sizes = some.groupBy(*keys).agg(F.bround((F.count("*") - 1).cast("double") * F.lit(share), 0).cast("long").alias("_i"))
     ranked = positions(some, keys, [F.col("_v").asc()], "_pos")
-    return ranked.join(sizes, list(keys)).where(F.col("_pos") == F.col("_i") + 1).select(*keys, F.col("_v").alias(name))
+    return meet(ranked, sizes, keys).where(F.col("_pos") == F.col("_i") + 1).select(*keys, F.col("_v").alias(name))

@@ -105,7 +105,7 @@ class Engine:
         elif method in ("local", "graph"):
             ranked = self.graph_rag(questions, chunks=k)["chunks"].select("question_id", "company", "id", F.col("importance").alias("score"), "rank")
         elif method == "drift":
-            ranked = self.rag(questions, k).select("question_id", "company", "id", "score", "rank").unionByName(self.graph_rag(questions, chunks=k)["chunks"].select("question_id", "company", "id", F.col("importance").alias("score"), F.col("rank") + k))
+            ranked = self.rag(questions, k).select("question_id", "company", "id", "score", "rank").unionByName(self.graph_rag(questions, chunks=k)["chunks"].select("question_id", "company", "id", F.col("importance").alias("score"), (F.col("rank") + k).alias("rank")))
         elif method == "global":
             return self._global(questions, budget)
         else:

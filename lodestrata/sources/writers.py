@@ -49,16 +49,15 @@ def json_document(df: DataFrame, path: str, mode: str = "errorifexists") -> None
 
 
 def page_files(pages: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One folder per page file; a text ends in a line feed if it isn't empty."""
-    ended = F.when(F.col("text") == "", F.col("text")).otherwise(F.concat("text", F.lit("\n")))
-    pages.select("page_file", ended.alias("value")).write.mode(mode).option("lineSep", "").partitionBy("page_file").text(path)
+    """One folder per page file; each text ends in a line feed, and an empty page has no file."""
+    pages.where("text <> ''").select("page_file", F.col("text").alias("value")).write.mode(mode).partitionBy("page_file").text(path)
 
 
 def marked_text(pages: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Pages of each file between their markers, in order: (file, page, text)."""
     block = F.concat(F.lit("--- PAGE "), F.col("page").cast("string"), F.lit(" START ---\n"), "text", F.lit("\n--- PAGE "), F.col("page").cast("string"), F.lit(" END ---\n"))
     whole = pages.select("file", "page", block.alias("b")).groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "b"))), lambda x: x["b"]), "\n").alias("value"))
-    whole.write.mode(mode).option("lineSep", "").partitionBy("file").text(path)
+    whole.write.mode(mode).partitionBy("file").text(path)
 
 
 def vectors(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
