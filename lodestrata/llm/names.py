@@ -161,7 +161,7 @@ def parse(name: str, vocabulary: Vocabulary) -> tuple[str, list[str], str] | Non
         return None
     words = [(t, vocabulary.canonical(t)) for t in kept]
     rare = [t for t, c in words if c is None and len(t) > 1]
-    key = max(rare, key=lambda t: (len(t), t)) if rare else max((t for t, _ in words), key=lambda t: (vocabulary.weight(t), t))
+    key = max(rare, key=lambda t: (len(t), t)) if rare else max((t for t, _ in words), key=lambda t: (len(t) > 1, vocabulary.weight(t), t))
     rest, dropped = [], False
     for t, c in words:
         if t == key and not dropped:

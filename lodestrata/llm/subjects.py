@@ -11,6 +11,7 @@ and the sentences each document its mixture.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -26,8 +27,8 @@ from lodestrata.session import cut
 TERMS_ONE_IN = 300_000
 #: Alternating updates of all documents and, in each, of a document's mixture.
 ROUNDS, STEPS = 3, 6
-#: Share of a term's mass that its subject must hold, and weight of the labelled samples in each update.
-OWNED, ANCHOR = 0.5, 0.3
+#: How far from an even share to all of a term's mass its subject must hold, and weight of the labelled samples in each update.
+OWNED, ANCHOR = 0.45, 0.3
 #: Terms of evidence that a sentence needs for a subject, and its share of all evidence.
 EVIDENCE, CLEAR = 0.6, 0.5
 
@@ -52,6 +53,11 @@ def terms(sentence: str) -> list[str]:
     return w + [f"{a} {b}" for a, b in zip(w, w[1:])]
 
 
+def damped(n: int) -> float:
+    """Weight of a term that a document has ``n`` times: one very long document can't outweigh the others."""
+    return math.log2(1 + n)
+
+
 def _plain(text: str, name: str | None) -> str:
     """The text without the name of its own publisher, which may spell a subject."""
     if not name or len(name.strip()) < 3:
@@ -60,15 +66,15 @@ def _plain(text: str, name: str | None) -> str:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    c: Counter = Counter()
+    c: dict[str, float] = {}
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.string()), pa.array(list(c.values()), pa.int64())], names=["term", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.string()), pa.array(list(c.values()), pa.float64())], names=["term", "n"])
 
     for batch in batches:
         for text, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for s in sentences(_plain(text, name)):
-                c.update(terms(s))
+            for t, n in Counter(t for s in sentences(_plain(text, name)) for t in terms(s)).items():
+                c[t] = c.get(t, 0.0) + damped(n)
             if len(c) > 300_000:
                 yield out()
                 c.clear()
@@ -82,7 +88,7 @@ def _vectors(index: dict[str, int]):
             for text, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 c = Counter(k for s in sentences(_plain(text, name)) for t in terms(s) if (k := index.get(t)) is not None)
                 ids.append(list(c.keys()))
-                counts.append([float(v) for v in c.values()])
+                counts.append([damped(v) for v in c.values()])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))], names=["terms", "counts"])
 
     return run
@@ -128,7 +134,11 @@ def _owned(mass: np.ndarray, prior: np.ndarray) -> np.ndarray:
     """``mass`` where one subject holds a term clearly beyond its size, else 0."""
     lifted = mass / np.maximum(prior[:, None], 1e-9)
     share = lifted / np.maximum(lifted.sum(0), 1e-12)
-    return np.where((share >= OWNED) & (mass >= 1.0), mass * share, 0.0)
+    return np.where((share >= _least_share(len(mass))) & (mass >= 1.0), mass * share, 0.0)
+
+
+def _least_share(subjects: int) -> float:
+    return 1 / max(1, subjects) + OWNED * (1 - 1 / max(1, subjects))
 
 
 def _components(subject: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -163,9 +173,9 @@ def fit(df: DataFrame, text_col: str, name_col: str | None, labelled: Iterable[t
     labelled = [(s, t) for s, t in labelled if s and t]
     subjects = sorted({s for s, _ in labelled})
     src = df.select(F.col(text_col).alias("text"), (F.col(name_col).cast("string") if name_col else F.lit(None).cast("string")).alias("name")).where("text is not null")
-    counted = cut(src.mapInArrow(_counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")))
+    counted = cut(src.mapInArrow(_counted, "term string, n double").groupBy("term").agg(F.sum("n").alias("n")))
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    floor = max(3, total // TERMS_ONE_IN)
+    floor = max(3.0, total / TERMS_ONE_IN)
     kept = {r.term: r.n for r in counted.where(F.col("n") >= floor).collect()}
     seeds = Counter((s, t) for s, text in labelled for sentence in sentences(text) for t in set(terms(sentence)))
     names = sorted({*kept, *(t for _, t in seeds)})
@@ -196,7 +206,7 @@ def fit(df: DataFrame, text_col: str, name_col: str | None, labelled: Iterable[t
         subject = np.minimum(subject, counts[None, :])
     lifted = mass / (size / size.sum())[:, None]
     share = lifted / np.maximum(lifted.sum(0), 1e-12)
-    evidence = np.where((share >= OWNED) & ((mass >= 3) | (anchor > 0)), share, 0.0)
+    evidence = np.where((share >= _least_share(len(subjects))) & ((mass >= 3) | (anchor > 0)), share, 0.0)
     evidence = np.where((mass.sum(0) < 3)[None, :] & (anchor > 0), 0.8, evidence)
     return SubjectModel(subjects, index, evidence.T)
 
