@@ -66,13 +66,6 @@ def rag_topk_batch(spark: SparkSession, d: str) -> DataFrame:
     return top.select("question_id", "company", "id", F.round("score", 4).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-def rag_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The first question of the set."""
-    first = question_vectors(spark, d).orderBy("question_id").limit(1)
-    items = table(spark, d, "chunks").select("id", company_key("company").alias("company"), "embedding").distinct()
-    return retrieval.topk_by_company(first, items, 5).select("company", "id", F.round("score", 4).alias("score"), F.col("rank").cast("bigint").alias("rank"))
-
-
 _RAG = f"""WITH {_QV}, c AS (SELECT DISTINCT id, {ck('company')} AS company, embedding AS e FROM chunks WHERE len(embedding) > 0),
 s AS (SELECT question_id, company, id, {_DOT} AS score FROM qv, c),
 r AS (SELECT *, row_number() OVER (PARTITION BY question_id, company ORDER BY score DESC, id) AS rank FROM s)
@@ -244,7 +237,6 @@ QUERIES = {
     "company_resolve": company_resolve,
     "valid_embeddings": valid_embeddings,
     "vector_norms": vector_norms,
-    "rag_topk": rag_topk,
     "rag_topk_batch": rag_topk_batch,
     "seed_entities": seed_entities,
     "relationship_rank": relationship_rank,
@@ -274,7 +266,6 @@ g AS (SELECT qa_id, companies, string_agg(c, ',' ORDER BY i) AS hit FROM f GROUP
 SELECT DISTINCT a.qa_id, coalesce(hit, (SELECT array_to_string(known, ',') FROM k)) AS resolved FROM a LEFT JOIN g ON g.qa_id = a.qa_id AND g.companies IS NOT DISTINCT FROM a.companies""",
     "valid_embeddings": f"SELECT {ck('company')} AS company, count(CASE WHEN len(embedding) > 0 THEN 1 END) AS n_valid, count(*) AS n FROM chunks GROUP BY 1",
     "vector_norms": "SELECT entity_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) AS size, round(list_dot_product(list_slice(embedding, 1, 32)::DOUBLE[], list_slice(embedding, 1, 32)::DOUBLE[]), 4) AS half FROM entity_embeddings WHERE len(embedding) > 0",
-    "rag_topk": _RAG + "SELECT company, id, round(score, 4) AS score, rank FROM r WHERE rank <= 5 AND question_id = (SELECT min(question_id) FROM qv)",
     "rag_topk_batch": _RAG + "SELECT question_id, company, id, round(score, 4) AS score, rank FROM r WHERE rank <= 5",
     "seed_entities": _SEEDS + " SELECT question_id, company, name, id, score, rank FROM seeds",
     "relationship_rank": f"{_SEEDS}, {_EDGES} SELECT question_id, company, rel_id, CAST(hits AS BIGINT) AS hits, score, rank FROM ranked",
