@@ -26,9 +26,9 @@ from lodestrata.operators.graph import connected_components
 from lodestrata.session import cut
 
 # Legal forms, titles, words without weight, words that name sites.
-LEGAL = frozenset("ag bv co company corp corporation gmbh mbh inc incorporated kg limited llc ltd nv oy plc sa sarl se spa srl".split())
+LEGAL = frozenset("ag aktiengesellschaft anonyme bv co company corp corporation gesellschaft gmbh haftung inc incorporated kg limited llc ltd mbh nv oy plc sa sarl se societe spa srl".split())
 TITLES = frozenset("dr frau herr ing jr lady lord md mr mrs ms phd prof professor sir sr".split())
-IDLE = frozenset("and de der die et of the und y".split())
+IDLE = frozenset("and beschrankter de der die et mit of the und y".split())
 SITES = frozenset("building campus center centre depot facility factory farm hub mill mine office plant port site station warehouse".split())
 # Given names and their short forms.
 NICKNAMES = {
@@ -62,7 +62,6 @@ NICKNAMES = {
     "william": "bill billy liam will willy",
     "zofia": "zosia",
 }
-_SHORT = {s: full for full, shorts in NICKNAMES.items() for s in shorts.split()}
 
 #: A token is common if names of this many companies have it, and at least one in ``COMMON_ONE_IN`` names.
 COMMON_COMPANIES, COMMON_ONE_IN = 3, 4000
@@ -72,9 +71,12 @@ ORG_SHARE = 0.15
 LEAST = 0.6
 
 
+_SPELLED = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "ø": "oe", "å": "aa"})
+
+
 def fold_tokens(name: str) -> list[str]:
-    """Lower-case tokens without marks; hyphens join, dotted letters join or part by what they spell."""
-    s = html.unescape(html.unescape(name)).lower().replace("ß", "ss")
+    """Lower-case tokens, umlauts spelled out, other marks dropped; hyphens join, dotted letters join or part by what they spell."""
+    s = html.unescape(html.unescape(name)).lower().translate(_SPELLED)
     s = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
     s = re.sub(r"(?<=\w)[-‐‑'’](?=\w)", "", s)
     out: list[str] = []
@@ -85,10 +87,13 @@ def fold_tokens(name: str) -> list[str]:
         if re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]?\.?", raw) and len(bare) > 1 and bare not in LEGAL | TITLES:
             out += list(bare)
         else:
-            out.append(re.sub(r"(?<=[aou])e", "", bare) if len(bare) > 5 else bare)
+            out.append(bare)
     return out
 
 
+_SHORT = {s: full for full, shorts in NICKNAMES.items() for s in shorts.split()}
+
+
 def near(a: str, b: str) -> bool:
     """Equal, or one insertion, deletion, substitution or swap of neighbours apart."""
     if a == b:
