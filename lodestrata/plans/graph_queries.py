@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions.text import company_key, name_key, normalize_companies
 from lodestrata.functions.vectors import dot, norm, valid_embedding
 from lodestrata.operators import graph, graph_build, retrieval
-from lodestrata.session import table
+from lodestrata.session import cut, table
 
 SEP = "\u0002"
 
@@ -94,7 +94,7 @@ def _seeds(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "entity_embeddings").select("entity_id", "embedding")
     items = vectors.join(nodes, "entity_id").select(F.col("entity_id").alias("id"), "company", "embedding")
     top = retrieval.topk_by_company(question_vectors(spark, d), items, 8).drop("rank")
-    return retrieval.seed_entities(top.join(nodes.select(F.col("entity_id").alias("id"), "name", "source_refs"), "id"), 8)
+    return cut(retrieval.seed_entities(top.join(nodes.select(F.col("entity_id").alias("id"), "name", "source_refs"), "id"), 8))
 
 
 def seed_entities(spark: SparkSession, d: str) -> DataFrame:
