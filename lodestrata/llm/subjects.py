@@ -34,6 +34,7 @@ EVIDENCE, CLEAR = 0.6, 0.5
 
 _SENTENCE = re.compile(r"(?<=[.!?。！？])[\"'”»)\]]*\s+|[\r\n]+")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_TWO = re.compile(r"[^\W\d_](?:.*?[\W\d_])[^\W\d_]", re.S)
 _FOLD = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "’": "'"})
 
 
@@ -42,15 +43,23 @@ def sentences(text: str) -> list[str]:
     out = []
     for s in _SENTENCE.split(text):
         s = s.strip(" \t*•>|-")
-        if s and s[0] != "#" and not s.startswith(("http://", "https://")) and len(_TOKEN.findall(s)) >= 2:
+        if s and s[0] != "#" and _TWO.search(s) and not s.startswith(("http://", "https://")):
             out.append(s)
     return out
 
 
 def terms(sentence: str) -> list[str]:
     """Words and pairs of neighbouring words, without numbers."""
-    w = [t for t in _TOKEN.findall(sentence.lower().translate(_FOLD)) if len(t) > 1]
-    return w + [f"{a} {b}" for a, b in zip(w, w[1:])]
+    low = sentence.lower()
+    w = [t for t in _TOKEN.findall(low if low.isascii() else low.translate(_FOLD)) if len(t) > 1]
+    return w + list(map(" ".join, zip(w, w[1:])))
+
+
+def term_counts(text: str, name: str | None) -> Counter:
+    c: Counter = Counter()
+    for s in sentences(_plain(text, name)):
+        c.update(terms(s))
+    return c
 
 
 def damped(n: int) -> float:
@@ -66,15 +75,18 @@ def _plain(text: str, name: str | None) -> str:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    c: dict[str, float] = {}
+    c: Counter = Counter()
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.string()), pa.array(list(c.values()), pa.float64())], names=["term", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.string()), pa.array(list(map(float, c.values())), pa.float64())], names=["term", "n"])
 
     for batch in batches:
         for text, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for t, n in Counter(t for s in sentences(_plain(text, name)) for t in terms(s)).items():
-                c[t] = c.get(t, 0.0) + damped(n)
+            own = term_counts(text, name)
+            c.update(own.keys())
+            for t, n in own.items():
+                if n > 1:
+                    c[t] += damped(n) - 1
             if len(c) > 300_000:
                 yield out()
                 c.clear()
@@ -86,23 +98,23 @@ def _vectors(index: dict[str, int]):
         for batch in batches:
             ids, counts = [], []
             for text, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                c = Counter(k for s in sentences(_plain(text, name)) for t in terms(s) if (k := index.get(t)) is not None)
-                ids.append(list(c.keys()))
-                counts.append([damped(v) for v in c.values()])
+                held = [(k, n) for t, n in term_counts(text, name).items() if (k := index.get(t)) is not None]
+                ids.append([k for k, _ in held])
+                counts.append([damped(n) for _, n in held])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))], names=["terms", "counts"])
 
     return run
 
 
-def mixtures(rows: np.ndarray, cols: np.ndarray, x: np.ndarray, n: int, h: np.ndarray, steps: int = STEPS) -> np.ndarray:
-    """Non-negative mixtures (n, components) of the rows of a sparse matrix, by multiplicative updates."""
-    w = np.full((n, h.shape[0]), 1.0 / h.shape[0])
-    mass = np.maximum(np.bincount(rows, x, n), 1e-9)
-    at = h.T[cols]
+def mixtures(starts: np.ndarray, sizes: np.ndarray, cols: np.ndarray, x: np.ndarray, h: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """Non-negative mixtures (rows, components) of the rows of a sparse matrix, none of them empty, by multiplicative updates."""
+    w = np.full((len(starts), h.shape[0]), 1.0 / h.shape[0], dtype=np.float32)
+    mass = np.add.reduceat(x, starts)[:, None]
+    at = np.ascontiguousarray(h.T[cols], dtype=np.float32)
     for _ in range(steps):
-        part = at * w[rows]
+        part = at * np.repeat(w, sizes, axis=0)
         part *= (x / np.maximum(part.sum(1), 1e-12))[:, None]
-        w = np.stack([np.bincount(rows, part[:, k], n) for k in range(h.shape[0])], 1) / mass[:, None]
+        w = np.add.reduceat(part, starts, axis=0) / mass
     return w
 
 
@@ -112,18 +124,22 @@ def _subject_sums(h: np.ndarray, n_subjects: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((n_subjects, h.shape[1]))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                sizes = np.diff(part.column(0).offsets.to_numpy())
-                cols = part.column(0).flatten().to_numpy(zero_copy_only=False)
-                x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                rows = np.repeat(np.arange(part.num_rows), sizes)
-                if not len(rows):
-                    continue
-                w = mixtures(rows, cols, x, part.num_rows, h)[:, :n_subjects]
-                share = w / np.maximum(w.sum(1, keepdims=True), 1e-9) * np.minimum(1.0, 10 * w.sum(1, keepdims=True))
+            sizes = np.diff(batch.column(0).offsets.to_numpy())
+            full = np.flatnonzero(sizes)
+            if not len(full):
+                continue
+            cols = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+            ends = np.cumsum(sizes[full])
+            cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(100_000, ends[-1], 100_000)), len(full)])
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                own = sizes[full[lo:hi]]
+                a, b = ends[lo] - own[0], ends[hi - 1]
+                w = mixtures(ends[lo:hi] - own - a, own, cols[a:b], x[a:b], h)[:, :n_subjects]
+                mass = w.sum(1, keepdims=True)
+                share = np.repeat(w / np.maximum(mass, 1e-9) * np.minimum(1.0, 10 * mass), own, axis=0) * x[a:b, None]
                 for k in range(n_subjects):
-                    total[k] += np.bincount(cols, x * share[rows, k], h.shape[1])
+                    total[k] += np.bincount(cols[a:b], share[:, k], h.shape[1])
         k, t = np.nonzero(total > 1e-3)
         yield pa.RecordBatch.from_arrays([pa.array(k * h.shape[1] + t, pa.int64()), pa.array(total[k, t], pa.float64())], names=["cell", "mass"])
 
