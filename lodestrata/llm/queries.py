@@ -71,6 +71,12 @@ sen AS (SELECT id, text, p, unnest(string_split_regex(regexp_replace(p, '([.!?])
 wrd AS (SELECT id, text, p, s, unnest(string_split_regex(s, '[ \t\r\n]+')) AS w FROM sen),
 m AS (SELECT id, text, max(length(trim(p, chr(32) || chr(9) || chr(10) || chr(13)))) AS mp, max(length(trim(s, chr(32) || chr(9) || chr(10) || chr(13)))) AS ms, max(length(w)) AS mw FROM wrd GROUP BY id, text)
 SELECT DISTINCT id, CASE WHEN mp <= 2000 THEN 'paragraph' WHEN ms <= 2000 THEN 'sentence' WHEN mw <= 2000 THEN 'word' ELSE 'forced' END AS cut_level FROM m""",
+    "p5_found": """
+WITH v AS (SELECT 'chunks' AS t, id AS k, any_value(embedding) AS e FROM chunks WHERE len(embedding) = 64 AND list_count(embedding) = 64 AND (list_max(embedding) > 0 OR list_min(embedding) < 0) GROUP BY id
+    UNION ALL SELECT 'entity_embeddings', entity_id, any_value(embedding) FROM entity_embeddings WHERE len(embedding) = 64 AND list_count(embedding) = 64 AND (list_max(embedding) > 0 OR list_min(embedding) < 0) GROUP BY entity_id),
+p AS (SELECT a.t, a.k AS ka, b.k AS kb, list_cosine_similarity(a.e::DOUBLE[], b.e::DOUBLE[]) AS c FROM v a JOIN v b ON a.t = b.t AND a.k <> b.k),
+r AS (SELECT *, row_number() OVER (PARTITION BY t, ka ORDER BY c DESC, kb) AS r FROM p WHERE c >= 0.9)
+SELECT DISTINCT t AS vec_table, least(ka, kb) AS key_a, greatest(ka, kb) AS key_b FROM r WHERE r <= 5""",
     "p4_found": r"""
 WITH w AS (SELECT question_id, lower(regexp_replace(company, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')) AS company, id, max(score) AS score
     FROM retrieved_chunks WHERE score IS NOT NULL AND NOT isnan(score) AND id IS NOT NULL GROUP BY 1, 2, 3)
