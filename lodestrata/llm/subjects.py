@@ -32,33 +32,42 @@ OWNED, ANCHOR = 0.45, 0.3
 #: Terms of evidence that a sentence needs for a subject, and its share of all evidence.
 EVIDENCE, CLEAR = 0.6, 0.5
 
-_SENTENCE = re.compile(r"(?<=[.!?。！？])[\"'”»)\]]*\s+|[\r\n]+")
+_SENTENCE = re.compile(r"[.!?。！？][\"'”»)\]]*(?=\s)|[\r\n]+")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_TWO = re.compile(r"[^\W\d_](?:.*?[\W\d_])[^\W\d_]", re.S)
 _FOLD = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "’": "'"})
 
 
+def parsed(text: str) -> Iterator[tuple[str, list[str]]]:
+    """Sentences and list items with their words; headings, addresses, table rules and pieces without two words are none."""
+    at = 0
+    for m in [*_SENTENCE.finditer(text), None]:
+        end = m.end() if m else len(text)
+        s = text[at:end].strip(" \t\r\n*•>|-")
+        at = end
+        if s and s[0] != "#" and not s.startswith(("http://", "https://")):
+            low = s.lower()
+            words = _TOKEN.findall(low if low.isascii() else low.translate(_FOLD))
+            if len(words) >= 2:
+                yield s, [w for w in words if len(w) > 1]
+
+
 def sentences(text: str) -> list[str]:
-    """Sentences and list items; headings, table rules and pieces without two words are none."""
-    out = []
-    for s in _SENTENCE.split(text):
-        s = s.strip(" \t*•>|-")
-        if s and s[0] != "#" and _TWO.search(s) and not s.startswith(("http://", "https://")):
-            out.append(s)
-    return out
+    return [s for s, _ in parsed(text)]
+
+
+def _pairs(words: list[str]) -> list[str]:
+    return words + list(map(" ".join, zip(words, words[1:])))
 
 
 def terms(sentence: str) -> list[str]:
     """Words and pairs of neighbouring words, without numbers."""
-    low = sentence.lower()
-    w = [t for t in _TOKEN.findall(low if low.isascii() else low.translate(_FOLD)) if len(t) > 1]
-    return w + list(map(" ".join, zip(w, w[1:])))
+    return _pairs([t for t in _TOKEN.findall(sentence.lower().translate(_FOLD)) if len(t) > 1])
 
 
 def term_counts(text: str, name: str | None) -> Counter:
     c: Counter = Counter()
-    for s in sentences(_plain(text, name)):
-        c.update(terms(s))
+    for _, w in parsed(_plain(text, name)):
+        c.update(_pairs(w))
     return c
 
 
@@ -174,8 +183,11 @@ class SubjectModel:
         self.evidence = {t: [(s, float(v)) for s, v in enumerate(evidence[k]) if v > 0] for t, k in self.index.items()}
 
     def subject(self, sentence: str) -> int | None:
+        return self.of_terms(terms(sentence))
+
+    def of_terms(self, found: list[str]) -> int | None:
         score: dict[int, float] = {}
-        for t in terms(sentence):
+        for t in found:
             for s, v in self.evidence.get(t, ()):
                 score[s] = score.get(s, 0.0) + v
         if not score:
@@ -247,8 +259,8 @@ def document_subjects(df: DataFrame, samples: DataFrame, id_col: str = "doc_id",
         for batch in batches:
             at, names, ns, shares = [], [], [], []
             for k, (text, name) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                parts = sentences(_plain(text, name))
-                c = Counter(s for p in parts if (s := model.subject(p)) is not None)
+                parts = [w for _, w in parsed(_plain(text, name))]
+                c = Counter(s for w in parts if (s := model.of_terms(_pairs(w))) is not None)
                 for s, n in sorted(c.items()):
                     at.append(k)
                     names.append(model.subjects[s])
