@@ -22,7 +22,9 @@ from lodestrata.session import cut
 
 #: Vectors that the forest is fitted on at most; all vectors are indexed.
 FIT_SAMPLE = 40_000
-TREES, PROBES, LEAF, BLOCK = 3, 2, 512, 4096
+TREES, LEAF, BLOCK = 3, 512, 4096
+#: Leaves beyond a vector's own: for close neighbours (cosine from ``CLOSE``) only, and for any.
+PROBES_CLOSE, PROBES_ANY, CLOSE = 2, 40, 0.8
 
 
 class Forest:
@@ -171,17 +173,20 @@ def _compare(dim: int, k: int, least: float):
     return run
 
 
-def nearest(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, min_cosine: float | None = None, trees: int = TREES, probes: int = PROBES) -> DataFrame:
+def nearest(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, min_cosine: float | None = None, trees: int = TREES, probes: int | None = None) -> DataFrame:
     """(id, neighbour, cosine, rank): the ``k`` most similar other vectors of each vector.
 
     * Vectors that are null, not of ``dim`` values, all zero or not finite take no part;
       null ids don't either. Rows of an id with one vector are one vector; should its
       vectors differ, each counts and the best cosine holds.
     * ``min_cosine`` leaves out less similar neighbours, which never changes the rest.
+    * ``probes`` is by default few where ``min_cosine`` asks for close neighbours only, which
+      share leaves, and many otherwise; more probes find more of distant neighbours.
     * Equal cosines go by the smaller neighbour id. Exact copies are neighbours at 1.
     * An empty table gives no rows; columns other than the two are not read.
     """
     least = -1.0 if min_cosine is None else min_cosine
+    probes = (PROBES_CLOSE if least >= CLOSE else PROBES_ANY) if probes is None else probes
     usable = df.select(F.col(id_col).cast("string").alias("id"), F.col(vec_col).cast("array<float>").alias("vec")).where(F.col("id").isNotNull() & (F.size("vec") == dim) & ~F.exists("vec", lambda v: v.isNull()))
     unit = usable.mapInArrow(_unit(dim), "id string, vec binary, key long")
     units = cut(unit)
