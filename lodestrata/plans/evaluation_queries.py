@@ -99,12 +99,9 @@ def eval_sets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def eval_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """Mean elapsed seconds per company, methods side by side."""
-    rows = evaluation_rows(spark, d).where("company <> ''")
-    return ev.matrix(rows, "type", METHODS, "company", F.round(F.avg("elapsed"), 4))
-
-
-METHODS = ["rag", "graphrag"]
+    """Mean elapsed seconds per company, plain retrieval beside all other methods."""
+    rows = evaluation_rows(spark, d).where("company <> ''").withColumn("method", F.when(F.col("type") == "rag", F.lit("rag")).otherwise(F.lit("other")))
+    return ev.matrix(rows, "method", ["rag", "other"], "company", F.round(F.avg("elapsed"), 4))
 
 
 def p95_nearest_rank(spark: SparkSession, d: str) -> DataFrame:
@@ -223,7 +220,7 @@ SELECT label, count(*) AS n, CASE label WHEN 'correct' THEN 1.0::DOUBLE WHEN 'pa
     "eval_by_type": f"WITH {_ROWS} SELECT type, {_SUMMARY} FROM e WHERE coalesce(type, '') <> '' GROUP BY 1",
     "eval_by_company": f"WITH {_ROWS} SELECT company, {_SUMMARY} FROM e WHERE company <> '' GROUP BY 1",
     "eval_grouping_sets": f"WITH {_ROWS} SELECT 'all' AS level, '' AS key, {_SUMMARY} FROM e UNION ALL SELECT 'type', type, {_SUMMARY} FROM e WHERE coalesce(type, '') <> '' GROUP BY 2 UNION ALL SELECT 'company', company, {_SUMMARY} FROM e WHERE company <> '' GROUP BY 2",
-    "eval_matrix": f"WITH {_ROWS} SELECT company, round(avg(CASE WHEN type = 'rag' THEN elapsed END), 4) AS rag, round(avg(CASE WHEN type = 'graphrag' THEN elapsed END), 4) AS graphrag FROM e WHERE company <> '' GROUP BY 1",
+    "eval_matrix": f"WITH {_ROWS} SELECT company, round(avg(CASE WHEN type = 'rag' THEN elapsed END), 4) AS rag, round(avg(CASE WHEN type = 'rag' THEN NULL ELSE elapsed END), 4) AS other FROM e WHERE company <> '' GROUP BY 1",
     "p95_nearest_rank": "SELECT event_type, round(list_sort(list(value))[CAST(round_even((count(value) - 1) * 0.95::DOUBLE, 0) AS BIGINT) + 1], 4) AS p FROM events WHERE value IS NOT NULL GROUP BY 1",
     "median": "SELECT event_type, round(median(value), 4) AS median FROM events WHERE value IS NOT NULL GROUP BY 1",
     "label_histogram": f"WITH {_ROWS} SELECT type, label, count(*) AS n FROM e GROUP BY 1, 2",
