@@ -5,8 +5,9 @@ both sides (shingle containment and longest common subsequence), refusals by
 aligning the first sentence with refusal templates, empty answers by what is
 left without markup and labels. The language of a text comes from a naive Bayes
 model over character trigrams and words that is fitted on labelled passages.
-Whether an answer without a final mark breaks off is read from the corpus: how
-often its last words end a sentence there, against how often they go on.
+An answer closed with an ellipsis breaks off; whether one without a final mark
+does is read from the corpus: how often its last words end a sentence there,
+against how often they go on.
 """
 
 from __future__ import annotations
@@ -71,6 +72,8 @@ _CITE = re.compile(r"\s*(?:\[[^\[\]\n]*\]|\([^()\n]*\d\s*\))\s*$")
 _MARKUP = re.compile(r"</?\w[^<>]*>|```\w*|[​‌‍﻿­]")
 _NUMBER = re.compile(r"\d[\d.,]*\d|\d")
 _SENTENCE = re.compile(r"(?<=[.!?])[\s]+|\n+")
+#: An answer or sentence that is left open, be it before a last citation.
+_ELLIPSIS = re.compile(r"(?:\.{3,}|…|\.(?: \.){2,})[*_]*$")
 
 
 def words(text: str) -> list[str]:
@@ -200,7 +203,7 @@ def breaks_off(answer: str) -> bool | None:
     """True or False where the form tells; None where the last words must."""
     t = re.sub(r"[\s​]+$", "", answer)
     t = re.sub(r"(?<=\w)(?:\*\*|__)$", "", t)
-    if t.count("```") % 2:
+    if t.count("```") % 2 or _ELLIPSIS.search(_CITE.sub("", t)):
         return True
     last = t.rsplit("\n", 1)[-1]
     if last.lstrip().startswith("|"):
@@ -224,7 +227,7 @@ def _sentence_ends(batch_answers: Iterable[str | None]) -> Counter:
     for answer in batch_answers:
         for s in _SENTENCE.split(answer or ""):
             s = s.strip()
-            if not s or s[-1] not in ".!?":
+            if not s or s[-1] not in ".!?" or _ELLIPSIS.search(_CITE.sub("", s)):
                 continue
             marks = _CITE.sub("", s[:-1]).split()
             tokens = [_NUMBER.sub("#", w).strip(",;:.!?*_“”\"'").casefold() for w in marks]

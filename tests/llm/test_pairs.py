@@ -1,4 +1,4 @@
-from lodestrata.llm.pairs import breaks_off, defective_pairs, is_copy, is_empty, is_refusal, lcs, requested_languages
+from lodestrata.llm.pairs import _sentence_ends, breaks_off, defective_pairs, is_copy, is_empty, is_refusal, lcs, requested_languages
 
 
 def test_parts():
@@ -23,6 +23,21 @@ def test_breaking_off():
     assert breaks_off("The wells of the town were closed by the reg") is None
 
 
+def test_ellipsis_breaks_off():
+    for a in ("A new target for species ...", "Reviewers looked at encryption at…", "It rose from 3 to . . .", "**Wells pumped...**", "Vendors that failed ... [acme 3]", "It rose. ..."):
+        assert breaks_off(a) is True, a
+    for a in ("It rose ... to 4.", "Wells … were closed!"):
+        assert breaks_off(a) is False, a
+    assert not any(ended for _, ended in _sentence_ends(["Reviewers looked at encryption at ...", "The picture for the..."]))
+
+
+def test_ellipsis_in_frame(spark):
+    samples = spark.createDataFrame([("en", "The wells were closed and the water was pumped out of the town by the council")], "lang string, sample_text string")
+    rows = [(1, "What did the council do?", "The wells were closed. A new target for ..."), (2, "What did the council do?", "The wells were closed."), (3, "What did the council do?", "..."), (4, "What did the council do?", "What did the council do? ...")]
+    got = {tuple(r) for r in defective_pairs(spark.createDataFrame(rows, "qa_id long, question string, answer string"), samples).collect()}
+    assert got == {(1, "truncated"), (3, "empty"), (4, "copy")}
+
+
 def test_frame(spark):
     samples = spark.createDataFrame([("en", "The wells were closed and the water was pumped out of the town by the council"), ("de", "Die Brunnen wurden geschlossen und das Wasser wurde aus der Stadt gepumpt"), (None, "x")], "lang string, sample_text string")
     q = "What did the council do with the water of the town?"
