@@ -28,7 +28,9 @@ from lodestrata.session import cut
 # Legal forms, titles, words without weight, words that name sites.
 LEGAL = frozenset("ag aktiengesellschaft anonyme bv co company corp corporation gesellschaft gmbh haftung inc incorporated kg limited llc ltd mbh nv oy plc sa sarl se societe spa srl".split())
 TITLES = frozenset("dr frau herr ing jr lady lord md mr mrs ms phd prof professor sir sr".split())
-IDLE = frozenset("and beschrankter de der die et mit of the und y".split())
+IDLE = frozenset("and beschrankter de der die et mit of the und".split())
+#: Idle between two words of an organisation, else an initial.
+JOINING = "y"
 SITES = frozenset("building campus center centre depot facility factory farm hub mill mine office plant port site station warehouse".split())
 # Given names and their short forms.
 NICKNAMES = {
@@ -76,18 +78,24 @@ _SPELLED = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "ø":
 
 def fold_tokens(name: str) -> list[str]:
     """Lower-case tokens, umlauts spelled out, other marks dropped; hyphens join, dotted letters join or part by what they spell."""
+    return [t for t, _ in _folded(name)]
+
+
+def _folded(name: str) -> list[tuple[str, bool]]:
+    """Tokens, and whether each is ``JOINING`` written as a word: without a dot and not after a comma."""
     s = html.unescape(html.unescape(name)).lower().translate(_SPELLED)
     s = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
     s = re.sub(r"(?<=\w)[-‐‑'’](?=\w)", "", s)
-    out: list[str] = []
-    for raw in re.findall(r"[^\s,;:&/()\"]+", s):
+    out: list[tuple[str, bool]] = []
+    for m in re.finditer(r"[^\s,;:&/()\"]+", s):
+        raw = m.group()
         bare = re.sub(r"[\W_]+", "", raw)
         if not bare:
             continue
         if re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]?\.?", raw) and len(bare) > 1 and bare not in LEGAL | TITLES:
-            out += list(bare)
+            out += [(c, False) for c in bare]
         else:
-            out.append(bare)
+            out.append((bare, raw == JOINING and not s[: m.start()].rstrip().endswith(",")))
     return out
 
 
@@ -159,12 +167,14 @@ def parse(name: str, vocabulary: Vocabulary) -> tuple[str, list[str], str] | Non
 
     kind is ``org``, ``person`` or ``site``.
     """
-    tokens = fold_tokens(name)
-    legal = any(t in LEGAL for t in tokens)
-    kept = [t for t in tokens if t not in LEGAL and t not in TITLES and t not in IDLE] or [t for t in tokens if t not in IDLE]
+    folded = _folded(name)
+    legal = any(t in LEGAL for t, _ in folded)
+    kept = [x for x in folded if x[0] not in LEGAL and x[0] not in TITLES and x[0] not in IDLE] or [x for x in folded if x[0] not in IDLE]
     if not kept:
         return None
-    words = [(t, vocabulary.canonical(t)) for t in kept]
+    words = [(t, vocabulary.canonical(t)) for t, _ in kept]
+    if legal or any(vocabulary.org_share.get(c, 0) >= ORG_SHARE for _, c in words):
+        words = [w for k, w in enumerate(words) if not (kept[k][1] and 0 < k < len(words) - 1 and len(words[k - 1][0]) > 1 and len(words[k + 1][0]) > 1)]
     rare = [t for t, c in words if c is None and len(t) > 1]
     key = max(rare, key=lambda t: (len(t), t)) if rare else max((t for t, _ in words), key=lambda t: (len(t) > 1, vocabulary.weight(t), t))
     rest, dropped = [], False

@@ -23,6 +23,20 @@ def test_people():
     assert same("Guadalupe Migetojam", "Lupe Migetojam") and not same("Guadalupe Migetojam", "Katherine Migetojam")
 
 
+def test_initial_y():
+    for v in ("TEDIDESIR, Y.", "Y.P. TEDIDESIR", "Y. Tedidesir", "Y Tedidesir", "Tedidesir, Y", "Tedidesir Y.", "Dr. Y. Tedidesir"):
+        assert same("Yusuf Tedidesir", v), v
+        assert not same("William Tedidesir", v), v
+    assert same("William Yusuf Tedidesir", "William Y Tedidesir") and same("William Yusuf Tedidesir", "William Y. Tedidesir")
+    assert same("Kesanisek Energy y Logistics Company", "Kesanisek Energy Logistics") and same("Solar y Kesanisek SA", "Kesanisek Solar SA")
+
+
+def test_initial_y_groups(spark):
+    rows = [("a", "co1", "Yusuf Tedidesir"), ("b", "co1", "TEDIDESIR, Y."), ("c", "co1", "William Tedidesir")]
+    df = spark.createDataFrame(rows, "entity_id string, company string, entity_name string")
+    assert {tuple(r) for r in entity_pairs(entity_groups(df)).collect()} == {("a", "b")}
+
+
 def test_organisations():
     for v in ("KESANISEK ENERGY LOGISTICS", "The Kesanisek Energy Logistics", "Logistics Energy of Kesanisek", "Kesa-nisek Energy & Logistics S.A.", "Kesanisek Enrgy Logistics", "KESANISEK EL", "Kesanisek Energy L. Company"):
         assert same("Kesanisek Energy Logistics Company", v), v
