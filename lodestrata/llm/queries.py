@@ -15,7 +15,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.split_oversized(table(spark, d, "chunks"), "id", "text")
+    return splitting.split_oversized(table(spark, d, "chunks"), "id", "text", file_col="source_file", ordinal_col="page_ordinal")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -88,6 +88,9 @@ def _near_middle(cuts: list[list[int]], lo: int, hi: int) -> int:
 PIECES = T.StructType(
     [
         T.StructField("id", T.StringType()),
+        T.StructField("source_file", T.StringType()),
+        T.StructField("page_ordinal", T.LongType()),
+        T.StructField("text_key", T.StringType()),
         T.StructField("cut_level", T.StringType()),
         T.StructField("piece_no", T.IntegerType()),
         T.StructField("n_pieces", T.IntegerType()),
@@ -103,10 +106,10 @@ def _pieces(limit: int, overlap: int):
         for batch in batches:
             rows: list[tuple] = []
             size = 0
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for *place, text in zip(*(c.to_pylist() for c in batch.columns)):
                 level, spans = cut_level(text, limit), split_spans(text, limit, overlap)
                 for k, (start, core, end) in enumerate(spans):
-                    rows.append((key, level, k + 1, len(spans), start, core - start, text[start:end]))
+                    rows.append((*place, level, k + 1, len(spans), start, core - start, text[start:end]))
                     size += end - start
                 if size > 4_000_000:
                     yield _batch(rows)
@@ -115,22 +118,31 @@ def _pieces(limit: int, overlap: int):
                 yield _batch(rows)
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=PIECES.fieldNames())
 
     return run
 
 
-def split_oversized(df: DataFrame, id_col: str, text_col: str, limit: int = 2000, overlap: int = 200) -> DataFrame:
+def split_oversized(df: DataFrame, id_col: str, text_col: str, limit: int = 2000, overlap: int = 200, file_col: str | None = None, ordinal_col: str | None = None) -> DataFrame:
     """Pieces of every text of more than ``limit`` code points: ``PIECES``.
 
     * Pieces have at most ``limit`` code points, come in reading order and share up to
       ``overlap`` of them with the piece before; they never cross rows.
     * Null, empty and shorter texts give no rows, nor does an empty table; exact
-      repeats of (id, text) give one set of pieces. Null ids are kept.
-    * Only the two columns are read, whatever else ``df`` has.
+      repeats of id, text, file and ordinal give one set of pieces. Null ids are kept.
+    * With ``file_col`` or ``ordinal_col`` the rows come in reading order: by file, ordinal,
+      id, ``text_key`` and ``piece_no``, nulls last in each; without both in no order.
+    * ``text_key`` is a hash of the whole text: it tells the texts of one id apart.
+    * Only the columns named are read, whatever else ``df`` has; fields not named are null.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and below the limit")
-    long = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where(F.length("text") > limit).distinct()
+    named = lambda c, kind: (F.col(c) if c else F.lit(None)).cast(kind)
+    long = df.select(
+        F.col(id_col).cast("string").alias("id"), named(file_col, "string").alias("source_file"), named(ordinal_col, "bigint").alias("page_ordinal"), F.sha2(F.col(text_col), 256).alias("text_key"), F.col(text_col).alias("text")
+    )
+    long = long.where(F.length("text") > limit).distinct()
+    if file_col or ordinal_col:
+        long = long.orderBy(*[F.col(c).asc_nulls_last() for c in ("source_file", "page_ordinal", "id", "text_key")])
     return long.mapInArrow(_pieces(limit, overlap), PIECES)

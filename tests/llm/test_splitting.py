@@ -41,3 +41,17 @@ def test_frame_cases(spark):
     assert "".join(r.piece[r.overlap :] for r in long) == "y" * 200_000
     assert split_oversized(df.where("false"), "id", "text").schema == PIECES
     assert split_oversized(df.where("false"), "id", "text").count() == 0
+
+
+def test_pieces_in_reading_order(spark):
+    rows = [("p", "g", 2, "a " * 1500), ("q", "f", 10, "b " * 1500), ("r", "f", 9, "c " * 1500), ("r", "f", 9, "d " * 1500), ("r", "f", 9, "d " * 1500), ("s", "f", None, "e " * 1500), (None, None, 1, "f " * 1500)]
+    df = spark.createDataFrame(rows, "id string, source_file string, page_ordinal int, text string").repartition(4)
+    out = split_oversized(df, "id", "text", file_col="source_file", ordinal_col="page_ordinal").collect()
+    places = list(dict.fromkeys((r.source_file, r.page_ordinal, r.id) for r in out))
+    assert places == [("f", 9, "r"), ("f", 10, "q"), ("f", None, "s"), ("g", 2, "p"), (None, 1, None)]
+    texts = {}
+    for r in out:
+        texts.setdefault((r.id, r.text_key), []).append(r)
+    assert len(texts) == 6
+    assert all([r.piece_no for r in rs] == list(range(1, rs[0].n_pieces + 1)) for rs in texts.values())
+    assert {"".join(r.piece[r.overlap :] for r in rs) for rs in texts.values()} == {r[3] for r in rows}
