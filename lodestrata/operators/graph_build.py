@@ -57,8 +57,17 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.groupBy("company", F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.max_by("weight", F.struct("source", "target")).alias("weight"))
 
 
-def summarise_descriptions(df: DataFrame, limit: int = 500, most: int = 20) -> DataFrame:
-    """Distinct descriptions of an entity in order, joined and cut at ``limit``: the summary where no model is at hand."""
+def summarise_descriptions(df: DataFrame, limit: int = 500) -> DataFrame:
+    """Distinct descriptions of an entity in order, joined and cut at ``limit``: the summary where no model is at hand.
+
+    ``n_descriptions`` counts all of them. The summary takes each that starts at ``limit`` or before; with the space
+    between them they have at least two characters each, so those are never beyond the first ``limit`` / 2 + 1.
+    """
     each = df.select(company_key("company").alias("company"), name_key("entity_name").alias("name"), F.trim("entity_description").alias("d")).where("name <> '' and d <> ''").distinct()
-    first = each.withColumn("r", F.row_number().over(Window.partitionBy("company", "name").orderBy("d"))).where(F.col("r") <= most)
-    return first.groupBy("company", "name").agg(F.count("*").alias("n_descriptions"), F.left(F.array_join(F.array_sort(F.collect_list("d")), " "), F.lit(limit)).alias("summary"))
+    counts = each.groupBy("company", "name").agg(F.count("*").alias("n_descriptions"))
+    order = Window.partitionBy("company", "name").orderBy("r")
+    first = each.withColumn("r", F.row_number().over(Window.partitionBy("company", "name").orderBy("d"))).where(F.col("r") <= limit // 2 + 1)
+    start = F.coalesce(F.sum(F.length("d") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    used = first.withColumn("start", start).where(F.col("start") <= limit).groupBy(F.col("company").alias("c"), F.col("name").alias("m"))
+    lists = used.agg(F.left(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", F.left("d", F.lit(limit)).alias("d")))), lambda x: x["d"]), " "), F.lit(limit)).alias("summary"))
+    return counts.join(lists, F.col("company").eqNullSafe(F.col("c")) & (F.col("name") == F.col("m"))).select("company", "name", "n_descriptions", "summary")

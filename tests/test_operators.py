@@ -9,7 +9,7 @@ from lodestrata.functions.metrics import token_f1, token_judge
 from lodestrata.functions.refs import source_ref
 from lodestrata.functions.text import normalized_contains, strip_ansi, truncate_text
 from lodestrata.functions.vectors import dot, hashed_embedding
-from lodestrata.operators import chunking, evaluation, graph, pages, records, retrieval
+from lodestrata.operators import chunking, evaluation, graph, graph_build, pages, records, retrieval
 from lodestrata.operators.ranking import nearest_rank, positions
 
 
@@ -148,3 +148,10 @@ def test_summary_rates(spark):
     r = evaluation.summarise(rows, []).first()
     assert (r.n, r.n_ok, r.correct_rate, r.average_score, r.hallucination_rate) == (2, 1, 0.5, 1.0, 1.0)
     assert {(x.level, x.key) for x in evaluation.summarise_sets(rows).collect()} == {("all", ""), ("type", "t"), ("company", "c")}
+
+
+def test_all_descriptions_of_a_hot_entity(spark):
+    rows = [("Acme", "Hot", f"d{i:03d}") for i in range(300)] + [("Acme", "Hot", "d000")] + [("Acme", "Long", "x" * 600), ("Acme", "Long", "y"), (None, "Null", " z "), ("Acme", "None", None)]
+    df = spark.createDataFrame(rows, "company string, entity_name string, entity_description string")
+    got = {(r.company, r.name): (r.n_descriptions, r.summary) for r in graph_build.summarise_descriptions(df).collect()}
+    assert got == {("acme", "HOT"): (300, " ".join(f"d{i:03d}" for i in range(300))[:500]), ("acme", "LONG"): (2, "x" * 500), (None, "NULL"): (1, "z")}
