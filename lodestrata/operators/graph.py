@@ -52,23 +52,31 @@ def communities(edges: DataFrame, src: str = "src", dst: str = "dst", weight: st
     return labels
 
 
-def bounded_communities(edges: DataFrame, most: int = 10, levels: int = 4) -> DataFrame:
-    """(id, level, community): communities, and within those beyond ``most`` nodes again communities.
+def bounded_communities(edges: DataFrame, most: int = 10) -> DataFrame:
+    """(id, level, community, unsplittable): communities, and within those beyond ``most`` nodes again communities.
 
-    Each level propagates labels on the edges inside the communities that are still
-    too large; the id of a community is that of its parent and its own label.
+    Each step propagates labels on the edges inside the communities that are still
+    too large; a node without such an edge is then on its own. The id of a community
+    is that of its parent and its own label. A community that comes out whole after two
+    rounds is ``unsplittable``: where all labels are one, more rounds change none. It ends
+    when no other is too large.
     """
     kept = cut(edges.select("src", "dst").distinct())
-    current = communities(kept).withColumn("community", F.col("community").cast("string"))
-    out = current.withColumn("level", F.lit(0))
-    for level in range(1, levels):
+    current = communities(kept).select("id", F.col("community").cast("string").alias("community"), F.lit(0).alias("level"))
+    out = current = cut(current.withColumn("parent", F.lit(None).cast("string")))
+    while True:
         large = current.groupBy("community").agg(F.count("*").alias("n")).where(F.col("n") > most).select("community")
-        inside = current.join(large, "community", "left_semi")
-        a, b = inside.select(F.col("id").alias("src"), F.col("community").alias("ca")), inside.select(F.col("id").alias("dst"), F.col("community").alias("cb"))
-        within = cut(kept.join(a, "src").join(b, "dst").where("ca = cb").select("src", "dst", "ca"))
-        if within.isEmpty():
+        inside = cut(current.join(large, "community", "left_semi").select("id", "community", "level"))
+        if inside.isEmpty():
             break
-        near = communities(within.select("src", "dst"), rounds=1 + level)
-        current = cut(near.withColumn("community", F.col("community").cast("string")).join(inside.withColumnRenamed("community", "parent"), "id").select("id", F.concat_ws("/", "parent", "community").alias("community")))
-        out = out.unionByName(current.withColumn("level", F.lit(level)))
-    return out
+        a, b = inside.select(F.col("id").alias("src"), F.col("community").alias("ca")), inside.select(F.col("id").alias("dst"), F.col("community").alias("cb"))
+        within = kept.join(a, "src").join(b, "dst").where("ca = cb").select("src", "dst")
+        near = communities(within, rounds=2).select("id", F.col("community").alias("label"))
+        parts = cut(inside.join(near, "id", "left").select("id", F.col("community").alias("parent"), F.concat_ws("/", "community", F.coalesce("label", "id")).alias("community"), "level"))
+        halved = parts.groupBy("parent").agg(F.count_distinct("community").alias("n")).where("n > 1").select("parent")
+        current = cut(parts.join(halved, "parent", "left_semi").select("id", "community", (F.col("level") + 1).alias("level"), "parent"))
+        out = out.unionByName(current)
+    sizes = out.groupBy("community").agg(F.count("*").alias("n"))
+    parents = out.where("parent is not null").select(F.col("parent").alias("community")).distinct().withColumn("has_parts", F.lit(True))
+    marked = sizes.join(parents, "community", "left").select("community", ((F.col("n") > most) & F.col("has_parts").isNull()).alias("unsplittable"))
+    return out.join(marked, "community").select("id", "level", "community", "unsplittable")

@@ -155,3 +155,19 @@ def test_all_descriptions_of_a_hot_entity(spark):
     df = spark.createDataFrame(rows, "company string, entity_name string, entity_description string")
     got = {(r.company, r.name): (r.n_descriptions, r.summary) for r in graph_build.summarise_descriptions(df).collect()}
     assert got == {("acme", "HOT"): (300, " ".join(f"d{i:03d}" for i in range(300))[:500]), ("acme", "LONG"): (2, "x" * 500), (None, "NULL"): (1, "z")}
+
+
+def test_bounded_communities_go_on_to_the_bound(spark):
+    star = [("hub", f"leaf{i:02d}") for i in range(30)]
+    clique = [(f"k{i:02d}", f"k{j:02d}") for i in range(12) for j in range(i)]
+    rows = graph.bounded_communities(spark.createDataFrame(star + clique, "src string, dst string")).collect()
+    last = {}
+    for r in rows:
+        if r.id not in last or r.level > last[r.id].level:
+            last[r.id] = r
+    assert set(last) == {x for e in star + clique for x in e}
+    sizes = {}
+    for r in last.values():
+        sizes.setdefault((r.community, r.unsplittable), set()).add(r.id)
+    assert all(len(ids) <= 10 for (_, stuck), ids in sizes.items() if not stuck)
+    assert [ids for (_, stuck), ids in sizes.items() if stuck] == [{x for e in clique for x in e}]
