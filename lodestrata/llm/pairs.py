@@ -2,12 +2,12 @@
 
 Every pair gets at most one defect. Copies are found by aligning the tokens of
 both sides (shingle containment and longest common subsequence), refusals by
-aligning the first sentence with refusal templates, empty answers by what is
-left without markup and labels. The language of a text comes from a naive Bayes
-model over character trigrams and words that is fitted on labelled passages.
-An answer closed with an ellipsis breaks off; whether one without a final mark
-does is read from the corpus: how often its last words end a sentence there,
-against how often they go on.
+aligning every sentence with refusal templates, whose places are filled by any
+word of a class, empty answers by what is left without markup and labels. The
+language of a text comes from a naive Bayes model over character trigrams and
+words that is fitted on labelled passages. An answer closed with an ellipsis
+breaks off; whether one without a final mark does is read from the corpus: how
+often its last words end a sentence there, against how often they go on.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,113 +28,178 @@ DEFECTS = ("empty", "copy", "refusal", "other_language", "truncated")
 # Words that stand for no content, and labels before an answer.
 PLACEHOLDERS = frozenset("n a na none null nil nan undefined tbd tba todo empty blank k keine angabe s o ninguno ninguna aucun aucune vide".split())
 LABELS = frozenset("answer response reply output result antwort ergebnis réponse reponse sortie respuesta resultado a".split())
-# How refusals are put, by language.
-REFUSALS = (
-    "i'm sorry but i can't help with that question",
-    "i am sorry but i cannot help with that request",
-    "i can't assist with that",
-    "sorry this request falls outside what i am allowed to discuss",
-    "unfortunately i don't have enough evidence to respond to that",
-    "i don't have enough information to answer this question",
-    "i am unable to answer this from the pages supplied",
-    "i am not able to answer that",
-    "i cannot answer this question based on the provided context",
-    "as an ai language model i cannot answer that",
-    "i do not know the answer",
-    "no answer is possible the context says nothing on the matter",
-    "the excerpts given to me do not hold this information so i can't answer",
-    "the context does not contain the information needed to answer",
-    "i could not locate any passage on this hence i have nothing to report",
-    "i must decline to answer this",
-    "as a reporting assistant i may not comment on this topic",
-    "not something i can answer with these documents",
-    "i'd rather not speculate please consult the company directly",
-    "i would prefer not to answer that",
-    "es tut mir leid dabei darf ich nicht helfen",
-    "es tut mir leid ich kann diese frage nicht beantworten",
-    "dazu kann ich leider keine auskunft geben",
-    "die vorliegenden auszüge enthalten dazu nichts ich kann die frage nicht beantworten",
-    "dazu liegen mir keine informationen vor",
-    "il ne m'est pas possible de traiter cette demande",
-    "désolé je ne peux pas répondre à cette question",
-    "les extraits fournis ne contiennent rien à ce sujet je ne peux donc pas répondre",
-    "je ne dispose pas d'informations suffisantes pour répondre",
-    "lo siento no puedo responder a esa pregunta",
-    "los extractos no contienen esa información por lo que no puedo contestar",
-    "no me está permitido ayudar con esto",
-    "no dispongo de información suficiente para responder",
+# Classes of words that refusals are put with, by language.
+_CLASSES = {
+    "I": "i",
+    "WE": "we",
+    "NOT": "not never don't doesn't didn't isn't aren't",
+    "CANNOT": "cannot can't couldn't unable won't wouldn't",
+    "CAN": "can could able allowed permitted authorised authorized may possible position free supposed",
+    "DECLINE": "decline refuse refrain",
+    "RATHER": "rather prefer",
+    "TELL": "answer respond reply help assist comment discuss say tell provide give share disclose address speculate determine advise elaborate offer supply process fulfil fulfill complete",
+    "ANSWER": "answer respond reply help assist comment",
+    "HAVE": "have possess hold",
+    "FIND": "find locate identify see",
+    "INFO": "information evidence data detail details context knowledge answer passage mention reference anything nothing material basis",
+    "SOURCE": "context document documents excerpt excerpts passage passages page pages source sources text texts material materials snippets report",
+    "STATE": "contain contains include includes mention mentions hold holds provide provides cover covers say says state states specify specifies address addresses give gives offer offers answer",
+    "NO": "no insufficient",
+    "THERE": "possible available found given known provided",
+    "REQUEST": "request question topic subject matter this that",
+    "OUTSIDE": "outside beyond",
+    "REMIT": "scope allowed permitted able remit capabilities competence guidelines purview",
+    "ICH": "ich wir",
+    "MIR": "mir uns",
+    "KANN": "kann darf können dürfen könnte möchte werde will",
+    "NICHT": "nicht kein keine keinen keinerlei nichts",
+    "SAGEN": "beantworten antworten helfen weiterhelfen sagen auskunft äußern nennen behandeln bearbeiten mitteilen geben machen unterstützen",
+    "WISSEN": "informationen information angaben auskunft antwort hinweise belege daten nichts möglich erlaubt gestattet bekannt",
+    "QUELLE": "auszüge auszügen auszug kontext dokument dokumente dokumenten unterlagen quelle quellen seiten text texte textstellen bericht",
+    "STEHT": "enthalten enthält nennen nennt sagen sagt steht stehen liefern liefert geben gibt",
+    "JE": "je nous",
+    "NE": "ne n",
+    "PAS": "pas rien aucun aucune",
+    "PEUX": "peux puis pouvons saurais suis sommes m est",
+    "DIRE": "répondre aider traiter fournir donner dire commenter discuter satisfaire renseigner aborder",
+    "AI": "dispose disposons ai avons trouve trouvé possède",
+    "SAVOIR": "information informations réponse élément éléments donnée données preuve preuves passage",
+    "EXTRAIT": "extrait extraits contexte document documents page pages source sources texte textes passages rapport",
+    "CONTIENT": "contient contiennent mentionne mentionnent fournit fournissent permet permettent dit disent indique indiquent",
+    "NADA": "no",
+    "PUEDO": "puedo podemos podría permitido posible autorizado capaz",
+    "DECIR": "responder contestar ayudar comentar tratar dar proporcionar informar hablar decir atender ofrecer",
+    "TENGO": "dispongo disponemos tengo tenemos encuentro encontré hallo hallé",
+    "SABER": "información informaciones respuesta datos evidencia nada detalles pasaje",
+    "EXTRACTO": "extracto extractos contexto documento documentos página páginas fuente fuentes texto textos pasajes informe",
+    "CONTIENE": "contiene contienen menciona mencionan incluye incluyen ofrece ofrecen dice dicen aporta aportan",
+}
+# The order in which a refusal has words of these classes.
+_FRAMES = (
+    "I CANNOT TELL|I NOT CAN TELL|WE CANNOT ANSWER|WE NOT CAN ANSWER|I CAN NOT TELL|NOT I CAN TELL|I DECLINE TELL|I RATHER NOT TELL|I NOT HAVE INFO|I HAVE NO INFO|I HAVE INFO NOT|"
+    "I CANNOT FIND INFO|I NOT FIND INFO|I CAN NOT FIND INFO|I FIND NO INFO|SOURCE NOT STATE INFO|SOURCE STATE NO INFO|SOURCE STATE INFO NOT|SOURCE NO INFO TELL|NO INFO THERE|REQUEST OUTSIDE REMIT|"
+    "ICH KANN NICHT SAGEN|KANN ICH NICHT SAGEN|MIR NICHT WISSEN|NICHT MIR WISSEN|ICH NICHT WISSEN SAGEN|QUELLE STEHT NICHT WISSEN|QUELLE STEHT NICHT SAGEN|QUELLE NICHT WISSEN|"
+    "JE NE PEUX PAS DIRE|NE PEUX PAS DIRE|JE NE AI PAS SAVOIR|EXTRAIT NE CONTIENT PAS DIRE|EXTRAIT NE CONTIENT PAS SAVOIR|PAS SAVOIR NE PEUX|"
+    "NADA PUEDO DECIR|NADA TENGO SABER|EXTRACTO NADA CONTIENE SABER|EXTRACTO NADA CONTIENE DECIR"
 )
+# Words of five letters or more that ask or join and are no topic.
+_ASKING = frozenset("about after which their there these those where while would could should between welche welcher welches durch gegen unter sobre entre cuáles cuándo dónde quelle quelles quels quand".split())
+#: Words that may stand between two places of a template.
+_GAP = 5
+# Words that contrast what follows with what was said.
+_CONTRAST = "but however yet aber jedoch doch mais cependant toutefois pero"
 # Names of languages in the four languages of the questions.
 _LANGUAGES = {"en": "english|englisch|anglais|inglés|ingles", "de": "german|deutsch|allemand|alemán|aleman", "fr": "french|französisch|français|francais|francés|frances", "es": "spanish|spanisch|espagnol|español|espanol"}
 _ASKED = {code: re.compile(rf"(?:answer|respond|reply|write|antwort\w*|schreib\w*|répon\w*|respond\w*|contest\w*|escrib\w*)\b.{{0,40}}\b(?:{names})\b", re.I | re.S) for code, names in _LANGUAGES.items()}
 
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
-_CITE = re.compile(r"\s*(?:\[[^\[\]\n]*\]|\([^()\n]*\d\s*\))\s*$")
+_CITE = re.compile(r"\s*(?:\[[^\[\]\n]*\]|\([^()\n]*[\d#]\s*\))\s*$")
 _MARKUP = re.compile(r"</?\w[^<>]*>|```\w*|[​‌‍﻿­]")
 _NUMBER = re.compile(r"\d[\d.,]*\d|\d")
 _SENTENCE = re.compile(r"(?<=[.!?])[\s]+|\n+")
+_CLAUSE = re.compile(rf"(?<=[.!?])\s+|\n+|[,;]\s+(?=(?:{_CONTRAST.replace(' ', '|')})\b)", re.I)
+_ELISION = re.compile(r"\b([^\W\d_]{1,2})['’](?=\w)")
+_HIDDEN = re.compile(r"[<&`\u200b-\u200d\ufeff\xad]")
 #: An answer or sentence that is left open, be it before a last citation.
 _ELLIPSIS = re.compile(r"(?:\.{3,}|…|\.(?: \.){2,})[*_]*$")
 
 
 def words(text: str) -> list[str]:
-    return [w.replace("’", "'") for w in _WORD.findall(text.casefold())]
+    return _WORD.findall(text.casefold().replace("’", "'"))
 
 
-def is_empty(answer: str | None) -> bool:
-    """No letters or digits but those of labels and placeholders."""
+def is_empty(answer: str | None, found: list[str] | None = None) -> bool:
+    """No letters or digits but those of labels and placeholders. ``found`` are the words of the answer, if known."""
     if answer is None:
         return True
-    left = [w for w in words(_MARKUP.sub(" ", html.unescape(answer)))]
-    return all(w in PLACEHOLDERS or w in LABELS for w in left) and len(left) <= 3
+    if found is None or _HIDDEN.search(answer):
+        found = words(_MARKUP.sub(" ", html.unescape(answer)))
+    return all(w in PLACEHOLDERS or w in LABELS for w in found)
 
 
 def lcs(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, by one row."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], (diagonal + 1 if x == y else max(row[j], row[j - 1]))
-    return row[-1]
-
-
-def is_copy(question: str | None, answer: str, spare: int = 3, size: int = 3) -> bool:
-    """The answer only gives back the question, once or repeatedly."""
-    q, a = words(question or ""), words(answer)
+    """Length of the longest common subsequence, a row of bits at a time: exact for texts of any length."""
+    masks: dict[str, int] = {}
+    for k, w in enumerate(b):
+        masks[w] = masks.get(w, 0) | 1 << k
+    full = (1 << len(b)) - 1
+    row = full
+    for w in a:
+        met = row & masks.get(w, 0)
+        row = (row + met | row - met) & full
+    return len(b) - row.bit_count()
+
+
+def is_copy(q: list[str], a: list[str], spare: int = 3, size: int = 3) -> bool:
+    """The words of the answer only give back those of the question, once or repeatedly.
+
+    Words that the question lacks bound the subsequence from above, so most pairs need no alignment.
+    """
     if not q or not a:
         return False
-    if len(a) > 4 * len(q) + spare:
-        held = set(q)
-        if sum(w not in held for w in a) > spare:
-            return False
+    if len(set(a).difference(q)) > spare:
+        return False
+    times = max(1, round(len(a) / len(q)))
+    held = Counter(q)
+    if sum(max(0, n - times * held[w]) for w, n in Counter(a).items()) > spare:
+        return False
     shingles = lambda t: {tuple(t[i : i + size]) for i in range(max(1, len(t) - size + 1))}
     sa, sq = shingles(a), shingles(q)
     if len(sa & sq) < 0.5 * len(sa):
         return False
-    times = max(1, round(len(a) / len(q)))
-    common = lcs(a, q * times) if len(a) <= 400 else sum(w in set(q) for w in a)
+    common = lcs(a, q * times)
     return len(a) - common <= spare and common >= 0.6 * len(q)
 
 
-_TEMPLATES = [(t, set(t)) for t in (words(r) for r in REFUSALS)]
+_MEMBERS: dict[str, frozenset[str]] = {}
+for _name, _list in _CLASSES.items():
+    for _w in _list.split():
+        _MEMBERS[_w] = _MEMBERS.get(_w, frozenset()) | {_name}
+_NONE: frozenset[str] = frozenset()
+TEMPLATES = tuple(tuple(f.split(" ")) for f in _FRAMES.split("|"))
+#: Every template has one of these; an answer without any is no refusal.
+_CUES = frozenset(w for c in ("NOT", "CANNOT", "DECLINE", "NO", "OUTSIDE", "NICHT", "PAS", "NADA") for w in _CLASSES[c].split())
 
 
-def is_refusal(question: str | None, answer: str) -> bool:
-    """A sentence at the start aligns with a refusal and what follows says nothing on the question."""
-    plain = re.sub(r"^[\s>*#_`-]+", "", answer)
-    parts = [p for p in _SENTENCE.split(plain) if words(p)]
-    for k, part in enumerate(parts[:3]):
-        p = words(part)
-        for t, held in _TEMPLATES:
-            if len(set(p) & held) >= 0.7 * len(held) and len(p) <= 1.6 * len(t) + 3:
-                common = lcs(p, t)
-                if common >= 0.75 * len(t) and common >= 0.55 * len(p):
-                    rest = parts[:k] + parts[k + 1 :]
-                    topic = {w for w in words(question or "") if len(w) >= 5}
-                    told = [w for r in rest for w in words(r)]
-                    return len(rest) <= 2 and len(told) <= 30 and len(topic & {w for w in told if len(w) >= 5}) <= 3
-    return False
+def aligns(places: list[frozenset[str]], template: tuple[str, ...], gap: int = _GAP) -> bool:
+    """Whether the classes of a template occur in order, at most ``gap`` other words between two of them."""
+    ends = [k for k, p in enumerate(places) if template[0] in p]
+    for name in template[1:]:
+        ends = [k for k, p in enumerate(places) if name in p and any(0 < k - e <= gap + 1 for e in ends)]
+        if not ends:
+            return False
+    return bool(ends)
+
+
+def refuses(sentence: str) -> bool:
+    found = words(_ELISION.sub(r"\1 ", sentence))
+    places = [_MEMBERS.get(w, _NONE) for w in found]
+    present = _NONE.union(*places)
+    return any(present.issuperset(t) and aligns(places, t) for t in TEMPLATES)
+
+
+def is_refusal(question: str | None, answer: str, found: list[str] | None = None) -> bool:
+    """Some clause refuses, those that do are a quarter of the words, and no other takes up the question.
+
+    Every clause is aligned with the templates. A clause takes the question up if it
+    has three of its words of five letters or more.
+    """
+    found = words(answer) if found is None else found
+    if _CUES.isdisjoint(found) and not any("'" in w and w.rsplit("'", 1)[1] in _CUES for w in found):
+        return False
+    topic: set[str] | None = None
+    refused = told = 0
+    for part in _CLAUSE.split(answer):
+        w = words(part)
+        if w and refuses(part):
+            refused += len(w)
+        elif w:
+            told += len(w)
+            if topic is None:
+                topic = {t for t in words(question or "") if len(t) >= 5} - _ASKING
+            if len(topic.intersection(w)) >= 3:
+                return False
+    return refused > 0 and 3 * refused >= told
 
 
 class LanguageModel:
@@ -148,7 +214,9 @@ class LanguageModel:
         totals = {k: sum(c.values()) + len(vocabulary) for k, c in counts.items()}
         self.languages = sorted(counts)
         self.weights = {f: tuple(math.log((counts[k][f] + 1) / totals[k]) for k in self.languages) for f in vocabulary}
-        self.known: dict[str, tuple[float, ...]] = {}
+        #: Word -> its row of scores; row 0 is zero.
+        self.known: dict[str, int] = {}
+        self.rows, self.used = np.zeros((1024, len(self.languages))), 0
 
     @staticmethod
     def _parts(word: str) -> Iterator[str]:
@@ -161,36 +229,47 @@ class LanguageModel:
     def _features(cls, text: str) -> Iterator[str]:
         return (f for w in words(_NUMBER.sub(" ", text)) for f in cls._parts(w))
 
-    def _word(self, word: str) -> tuple[float, ...]:
-        """Scores of a word by language; remembered, as words recur."""
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            rows = [self.weights[f] for f in self._parts(word) if f in self.weights]
-            got = self.known[word] = tuple(map(sum, zip(*rows))) if rows else (0.0,) * len(self.languages)
-        return got
-
-    def scores(self, text: str) -> dict[str, float]:
-        rows = [self._word(w) for w in words(_NUMBER.sub(" ", text))]
-        return dict(zip(self.languages, map(sum, zip(*rows)))) if rows else dict.fromkeys(self.languages, 0.0)
-
-    def guess(self, text: str, margin: float = 6.0) -> str | None:
-        s = sorted(((v, k) for k, v in self.scores(text).items()), reverse=True)
-        return s[0][1] if s and (len(s) == 1 or s[0][0] - s[1][0] >= margin) else None
+    def _row(self, word: str) -> int:
+        """Index of a word's scores by language; remembered, as words recur. Words with digits and unknown ones score 0."""
+        parts = [] if any(c.isdigit() for c in word) else [self.weights[f] for f in self._parts(word) if f in self.weights]
+        k = 0
+        if parts:
+            k = self.used = self.used + 1
+            if k >= len(self.rows):
+                self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
+            self.rows[k] = np.sum(parts, axis=0)
+        self.known[word] = k
+        return k
+
+    def scores(self, found: list[str]) -> np.ndarray:
+        """Summed scores of words by language."""
+        if not found:
+            return np.zeros(len(self.languages))
+        known = self.known
+        if len(known) + len(found) > 400_000:
+            known.clear()
+            self.used = 0
+        at = [k if (k := known.get(w)) is not None else self._row(w) for w in found]
+        return self.rows[at].sum(axis=0)
+
+    def guess(self, found: list[str], margin: float = 6.0) -> int | None:
+        s = self.scores(found)
+        order = np.argsort(-s)
+        return int(order[0]) if len(s) and (len(s) == 1 or s[order[0]] - s[order[1]] >= margin) else None
 
 
 def requested_languages(question: str) -> set[str]:
     return {code for code, rx in _ASKED.items() if rx.search(question)}
 
 
-def is_other_language(question: str | None, answer: str, model: LanguageModel) -> bool:
+def is_other_language(question: str | None, answer: str, model: LanguageModel, q: list[str] | None = None, a: list[str] | None = None) -> bool:
     asked = question or ""
-    own = model.guess(asked, 1.0)
-    got = model.guess("\n".join(s for s in answer.split("\n") if not s.lstrip().startswith("|")))
-    if own is None or got is None or got == own or got in requested_languages(asked):
+    q, a = words(asked) if q is None else q, words(answer) if a is None else a
+    own = model.guess(q, 1.0)
+    got = model.guess(words("\n".join(s for s in answer.split("\n") if not s.lstrip().startswith("|"))) if "|" in answer else a)
+    if own is None or got is None or got == own or model.languages[got] in requested_languages(asked):
         return False
-    s = model.scores(answer)
+    s = model.scores(a)
     return s[got] - s[own] >= 6.0
 
 
@@ -199,9 +278,12 @@ def ending(text: str) -> tuple[str, ...]:
     return tuple(_NUMBER.sub("#", w).strip(",;:.!?*_“”\"'").casefold() for w in text.split()[-3:])
 
 
+_BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + "\u200b"
+
+
 def breaks_off(answer: str) -> bool | None:
     """True or False where the form tells; None where the last words must."""
-    t = re.sub(r"[\s​]+$", "", answer)
+    t = answer.rstrip(_BLANKS)
     t = re.sub(r"(?<=\w)(?:\*\*|__)$", "", t)
     if t.count("```") % 2 or _ELLIPSIS.search(_CITE.sub("", t)):
         return True
@@ -221,19 +303,23 @@ def breaks_off(answer: str) -> bool | None:
     return None
 
 
+_OUTER = ",;:.!?*_“”\"'"
+
+
 def _sentence_ends(batch_answers: Iterable[str | None]) -> Counter:
     """Counts of (last words, ended) for every place of every sentence with a final mark."""
     out: Counter = Counter()
     for answer in batch_answers:
-        for s in _SENTENCE.split(answer or ""):
+        for s in _SENTENCE.split(_NUMBER.sub("#", answer or "").casefold()):
             s = s.strip()
             if not s or s[-1] not in ".!?" or _ELLIPSIS.search(_CITE.sub("", s)):
                 continue
-            marks = _CITE.sub("", s[:-1]).split()
-            tokens = [_NUMBER.sub("#", w).strip(",;:.!?*_“”\"'").casefold() for w in marks]
-            for j in range(len(tokens)):
-                key = " ".join(tokens[max(0, j - 2) : j + 1])
-                out[key, j == len(tokens) - 1] += 1
+            t = [w.strip(_OUTER) for w in _CITE.sub("", s[:-1]).split()]
+            if not t:
+                continue
+            keys = [t[0], *([f"{t[0]} {t[1]}"] if len(t) > 1 else []), *map("{} {} {}".format, t, t[1:], t[2:])]
+            out[keys.pop(), True] += 1
+            out.update([(k, False) for k in keys])
     return out
 
 
@@ -268,13 +354,14 @@ def defective_pairs(df: DataFrame, samples: DataFrame, id_col: str = "qa_id", qu
             keep, defects, ends = [], [], []
             for k, (q, a) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 defect = end = None
-                if is_empty(a):
+                wq, wa = words(q or ""), words(a or "")
+                if is_empty(a, wa):
                     defect = "empty"
-                elif is_copy(q, a):
+                elif is_copy(wq, wa):
                     defect = "copy"
-                elif is_refusal(q, a):
+                elif is_refusal(q, a, wa):
                     defect = "refusal"
-                elif is_other_language(q, a, model):
+                elif is_other_language(q, a, model, wq, wa):
                     defect = "other_language"
                 else:
                     off = breaks_off(a)

@@ -1,4 +1,12 @@
-from lodestrata.llm.pairs import _sentence_ends, breaks_off, defective_pairs, is_copy, is_empty, is_refusal, lcs, requested_languages
+import random
+
+from lodestrata.llm import pairs
+from lodestrata.llm.pairs import _sentence_ends, breaks_off, defective_pairs, is_empty, is_refusal, lcs, requested_languages, words
+
+
+def is_copy(q, a):
+    return pairs.is_copy(words(q or ""), words(a))
+
 
 
 def test_parts():
@@ -15,6 +23,71 @@ def test_parts():
     assert requested_languages("Describe it. Please answer in German.") == {"de"} and requested_languages("Bitte auf Englisch antworten") == set()
 
 
+#: Wordings that neither the templates nor the tables have.
+HELD_OUT = """I'm afraid I cannot respond to that.
+I am not permitted to comment on matters of litigation.
+I can't really say, based on these pages.
+We regret that we are unable to answer this.
+I do not have sufficient data to give you a figure.
+I couldn't find any mention of this in the report.
+The documents provided do not contain any information about it.
+The context gives no answer to that.
+No relevant information was found.
+This question lies outside the scope of my capabilities.
+I must respectfully decline to answer.
+I would prefer not to discuss this.
+That is not something I can help with.
+I never discuss such matters, and I can not tell you more.
+Leider kann ich Ihnen hierbei nicht weiterhelfen.
+Ich darf mich zu diesem Thema nicht äußern.
+Mir liegen hierzu leider keine Angaben vor.
+Der Kontext enthält hierzu keine Hinweise.
+Je regrette, mais je ne suis pas en mesure de répondre.
+Nous ne pouvons pas vous aider sur ce point.
+Je n'ai trouvé aucune information là-dessus.
+Les documents ne mentionnent aucun élément à ce propos.
+Lamentablemente no puedo dar una respuesta.
+No tengo datos sobre eso.
+El informe no ofrece ninguna respuesta al respecto.
+No estoy autorizado a comentar este asunto.""".split("\n")
+ANSWERS = """The plant could not be visited in winter, and output fell by 4 %.
+We did not report scope 3 emissions in 2019.
+Ich habe 2019 nicht weniger als vier Brunnen gezählt.
+No supplier was found to use forced labour.
+La empresa no contiene sus emisiones desde 2012.
+Aucun site n'a dépassé le seuil en 2020.
+The committee declined to answer shareholders in May, then published all figures.
+Outside the scope of the audit, three sites were visited.""".split("\n")
+
+
+def test_refusals_in_wordings_held_out():
+    missed = [a for a in HELD_OUT if not is_refusal("What did the town do about its wells?", a)]
+    assert len(missed) <= 1, missed
+    assert not [a for a in ANSWERS if is_refusal("What did the town do about its wells?", a)]
+
+
+def test_every_sentence_counts_at_any_length():
+    q = "What did Acme report about water in 2023?"
+    assert is_refusal(q, "Thank you. " * 3 + "I cannot answer that.") and is_refusal(q, "Thank you. " * 5 + "I cannot answer that.")
+    assert not is_refusal(q, "I cannot answer that. " + "The wells of the town were closed in spring by the council. " * 4)
+    for n in (200, 400, 420, 600, 5000):
+        asked = [f"w{k}" for k in range(n)]
+        back = [w for k in range(n - 20, -1, -20) for w in asked[k : k + 20]]
+        assert not pairs.is_copy(asked, back) and pairs.is_copy(asked, asked[:-2]) and pairs.is_copy(asked, asked * 2)
+
+
+def test_lcs_against_the_table():
+    rng = random.Random(1)
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(90))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            diagonal = 0
+            for j, y in enumerate(b, 1):
+                diagonal, row[j] = row[j], (diagonal + 1 if x == y else max(row[j], row[j - 1]))
+        assert lcs(a, b) == row[-1]
+
+
 def test_breaking_off():
     for a in ("It rose,", "It rose (acme, p.", "- a rose.\n-", "| a | b |\n|---|---|\n| 1", "```\nx"):
         assert breaks_off(a) is True, a
