@@ -5,16 +5,22 @@ updates: one component per subject, anchored by labelled samples, and one for
 what belongs to no subject. In turn, the mixture of each document is solved for
 the present components (multiplicative updates), and the components are solved
 for the mixtures of all documents; terms that no subject owns clearly fall to
-the background. The anchored components then give each sentence its subject,
-and the sentences each document its mixture.
+the background. The anchored components then yield the mixture of each sentence
+in the same way, and the sentences that a subject has its share of make up the
+mixture of the document.
+
+Texts are read once, into hashes of their words; all else runs on arrays of
+numbers. Components hold the ``HELD`` most frequent terms on every worker. The
+others get their part of each subject from the mixtures by an aggregation, and
+come to the sentences by a join, so that no term is left out.
 """
 
 from __future__ import annotations
 
-import math
+import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,103 +29,167 @@ from pyspark.sql import functions as F
 
 from lodestrata.session import cut
 
-#: Terms counted in at least one in this many are used, so there are at most that many.
-TERMS_ONE_IN = 300_000
+#: Terms that the components hold in memory; the rest is joined.
+HELD = 300_000
+#: Documents' worth of a term, each damped, below which it says nothing.
+SUPPORT = 3.0
 #: Alternating updates of all documents and, in each, of a document's mixture.
 ROUNDS, STEPS = 3, 6
 #: How far from an even share to all of a term's mass its subject must hold, and weight of the labelled samples in each update.
 OWNED, ANCHOR = 0.45, 0.3
-#: Terms of evidence that a sentence needs for a subject, and its share of all evidence.
-EVIDENCE, CLEAR = 0.6, 0.5
+#: Terms of a sentence that the part of its subject must come to (a word with the pairs it is in counts up to three), and its part of what all subjects have of it.
+EVIDENCE, CLEAR = 1.5, 0.5
+#: Cells of the matrix that are solved at once.
+CELLS = 200_000
 
 _SENTENCE = re.compile(r"[.!?。！？][\"'”»)\]]*(?=\s)|[\r\n]+")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_FOLD = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "’": "'"})
+_FOLD = (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss"), ("’", "'"))
+_MANY, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_DOC_BITS = np.uint64(44)
 
 
-def parsed(text: str) -> Iterator[tuple[str, list[str]]]:
-    """Sentences and list items with their words; headings, addresses, table rules and pieces without two words are none."""
-    at = 0
-    for m in [*_SENTENCE.finditer(text), None]:
-        end = m.end() if m else len(text)
-        s = text[at:end].strip(" \t\r\n*•>|-")
-        at = end
-        if s and s[0] != "#" and not s.startswith(("http://", "https://")):
-            low = s.lower()
-            words = _TOKEN.findall(low if low.isascii() else low.translate(_FOLD))
-            if len(words) >= 2:
-                yield s, [w for w in words if len(w) > 1]
-
-
-def sentences(text: str) -> list[str]:
-    return [s for s, _ in parsed(text)]
-
-
-def _pairs(words: list[str]) -> list[str]:
-    return words + list(map(" ".join, zip(words, words[1:])))
-
-
-def terms(sentence: str) -> list[str]:
-    """Words and pairs of neighbouring words, without numbers."""
-    return _pairs([t for t in _TOKEN.findall(sentence.lower().translate(_FOLD)) if len(t) > 1])
+def sentences(text: str, name: str | None = None) -> Iterator[list[str]]:
+    """Words of each sentence and list item; headings, addresses, table rules and pieces without two words are none.
 
+    ``name`` is the text's publisher, whose name may spell a subject: its words don't count.
+    """
+    low = text.lower()
+    if name and len(name.strip()) >= 3:
+        low = low.replace(name.strip().lower(), "¤")
+    if not low.isascii():
+        for a, b in _FOLD:
+            low = low.replace(a, b)
+    find = _TOKEN.findall
+    for s in _SENTENCE.split(low):
+        s = s.strip(" \t\r\n*•>|-")
+        if s and s[0] != "#" and not s.startswith(("http://", "https://")):
+            found = find(s)
+            if len(found) >= 2:
+                yield found
+
+
+class Hasher(dict):
+    """Word -> number of 64 bits; 0 for single letters. Forgets all once it holds half a million."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        got = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little") or 1 if len(word) > 1 else 0
+        return got
+
+
+def hashed(texts: Iterable[tuple[str, str | None]], known: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, words per sentence, sentences per text) of texts, one after the other."""
+    ids: list[int] = []
+    sizes: list[int] = []
+    per_text: list[int] = []
+    for text, name in texts:
+        before = len(sizes)
+        for found in sentences(text, name):
+            sizes.append(len(found))
+            ids += [known[w] for w in found]
+        per_text.append(len(sizes) - before)
+    words, each = np.array(ids, dtype=np.uint64), np.array(sizes, dtype=np.int64)
+    kept = np.r_[0, np.cumsum(words != 0)]
+    ends = np.cumsum(each)
+    return words[words != 0], kept[ends] - kept[ends - each], np.array(per_text, dtype=np.int64)
+
+
+def terms_of(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words and pairs of neighbouring words as (term, sentence)."""
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    inside = np.flatnonzero(of[1:] == of[:-1])
+    a, b = words[inside], words[inside + 1]
+    pairs = a * _MANY + (b ^ (b >> np.uint64(29))) * _OTHER
+    return np.concatenate([words, pairs]), np.concatenate([of, of[inside]])
+
+
+def term_numbers(words: list[str]) -> np.ndarray:
+    """Terms of one sentence given by its words."""
+    known = Hasher()
+    got = np.array([k for w in words if (k := known[w])], dtype=np.uint64)
+    return terms_of(got, np.array([len(got)]))[0]
+
+
+def document_cells(terms: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, weight) of each term of each document, by document; the weight damps repeats, so that one very long document can't outweigh the others."""
+    low = (np.uint64(1) << _DOC_BITS) - np.uint64(1)
+    key = (doc.astype(np.uint64) << _DOC_BITS) | (terms & low)
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.r_[len(key) > 0, key[1:] != key[:-1]])
+    n = np.diff(np.r_[first, len(key)])
+    return doc[order[first]], terms[order[first]], np.log2(1.0 + n).astype(np.float32)
+
+
+def _read(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, words, sizes, sentences per row) of parsed texts, whose columns ``words`` and ``sizes`` stand at ``first``."""
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = batch.column(first + 1)
+        per_row = np.diff(sizes.offsets.to_numpy())
+        each = sizes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.r_[0, np.cumsum(each)][np.cumsum(per_row)]
+        lengths = np.diff(np.r_[0, ends]) * 8
+        parts = [np.frombuffer(codec.decompress(blob, int(n)), dtype=np.uint64) for blob, n in zip(batch.column(first).to_pylist(), lengths) if n]
+        yield batch, np.concatenate(parts) if parts else np.zeros(0, np.uint64), each, per_row
 
-def term_counts(text: str, name: str | None) -> Counter:
-    c: Counter = Counter()
-    for _, w in parsed(_plain(text, name)):
-        c.update(_pairs(w))
-    return c
 
+def parse(src: DataFrame) -> DataFrame:
+    """(id, words, sizes) of ``src`` (id, text, name): hashes of words, compressed, and the words of each sentence."""
 
-def damped(n: int) -> float:
-    """Weight of a term that a document has ``n`` times: one very long document can't outweigh the others."""
-    return math.log2(1 + n)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, codec = Hasher(), pa.Codec("zstd", compression_level=1)
+        for batch in batches:
+            words, sizes, per_text = hashed(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()), known)
+            at, word_at = np.r_[0, np.cumsum(per_text)], np.r_[0, np.cumsum(sizes)]
+            blobs = [codec.compress(words[word_at[a] : word_at[b]].tobytes(), asbytes=True) for a, b in zip(at[:-1], at[1:])]
+            listed = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(sizes, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary()), listed], names=["id", "words", "sizes"])
 
+    return src.mapInArrow(run, f"id {dict(src.dtypes)['id']}, words binary, sizes array<int>")
 
-def _plain(text: str, name: str | None) -> str:
-    """The text without the name of its own publisher, which may spell a subject."""
-    if not name or len(name.strip()) < 3:
-        return text
-    return re.sub(re.escape(name.strip()), "¤", text, flags=re.I)
 
+def _row_cells(words: np.ndarray, sizes: np.ndarray, per_row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    terms, sentence = terms_of(words, sizes)
+    return document_cells(terms, np.repeat(np.arange(len(per_row)), per_row)[sentence])
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    c: Counter = Counter()
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.string()), pa.array(list(map(float, c.values())), pa.float64())], names=["term", "n"])
+def term_weights(parsed: DataFrame) -> DataFrame:
+    """(term, n): summed weight of each term over all documents."""
 
-    for batch in batches:
-        for text, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = term_counts(text, name)
-            c.update(own.keys())
-            for t, n in own.items():
-                if n > 1:
-                    c[t] += damped(n) - 1
-            if len(c) > 300_000:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            terms, back = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True)
+            n = np.bincount(back, np.concatenate([x for _, x in held]))
+            return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n, pa.float64())], names=["term", "n"])
+
+        for _, words, sizes, per_row in _read(batches, 0):
+            _, terms, x = _row_cells(words, sizes, per_row)
+            held.append((terms, x))
+            size += len(terms)
+            if size > 2_000_000:
                 yield out()
-                c.clear()
-    yield out()
+                held, size = [], 0
+        if held:
+            yield out()
 
+    return parsed.select("words", "sizes").mapInArrow(run, "term long, n double").groupBy("term").agg(F.sum("n").alias("n"))
 
-def _vectors(index: dict[str, int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, counts = [], []
-            for text, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held = [(k, n) for t, n in term_counts(text, name).items() if (k := index.get(t)) is not None]
-                ids.append([k for k, _ in held])
-                counts.append([damped(n) for _, n in held])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))], names=["terms", "counts"])
-
-    return run
 
+def mixtures(starts: np.ndarray, sizes: np.ndarray, at: np.ndarray, x: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """Non-negative mixtures (rows, components) of the rows of a sparse matrix, none of them empty, by multiplicative updates.
 
-def mixtures(starts: np.ndarray, sizes: np.ndarray, cols: np.ndarray, x: np.ndarray, h: np.ndarray, steps: int = STEPS) -> np.ndarray:
-    """Non-negative mixtures (rows, components) of the rows of a sparse matrix, none of them empty, by multiplicative updates."""
-    w = np.full((len(starts), h.shape[0]), 1.0 / h.shape[0], dtype=np.float32)
+    ``at`` has each cell's probability in every component.
+    """
+    w = np.full((len(starts), at.shape[1]), 1.0 / at.shape[1], dtype=np.float32)
     mass = np.add.reduceat(x, starts)[:, None]
-    at = np.ascontiguousarray(h.T[cols], dtype=np.float32)
     for _ in range(steps):
         part = at * np.repeat(w, sizes, axis=0)
         part *= (x / np.maximum(part.sum(1), 1e-12))[:, None]
@@ -127,32 +197,65 @@ def mixtures(starts: np.ndarray, sizes: np.ndarray, cols: np.ndarray, x: np.ndar
     return w
 
 
-def _subject_sums(h: np.ndarray, n_subjects: int):
-    """Mass of each term by subject: the transposed mixtures times the matrix, over a partition."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((n_subjects, h.shape[1]))
-        for batch in batches:
-            sizes = np.diff(batch.column(0).offsets.to_numpy())
-            full = np.flatnonzero(sizes)
-            if not len(full):
-                continue
-            cols = batch.column(0).flatten().to_numpy(zero_copy_only=False)
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32)
-            ends = np.cumsum(sizes[full])
-            cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(100_000, ends[-1], 100_000)), len(full)])
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                own = sizes[full[lo:hi]]
-                a, b = ends[lo] - own[0], ends[hi - 1]
-                w = mixtures(ends[lo:hi] - own - a, own, cols[a:b], x[a:b], h)[:, :n_subjects]
-                mass = w.sum(1, keepdims=True)
-                share = np.repeat(w / np.maximum(mass, 1e-9) * np.minimum(1.0, 10 * mass), own, axis=0) * x[a:b, None]
-                for k in range(n_subjects):
-                    total[k] += np.bincount(cols[a:b], share[:, k], h.shape[1])
-        k, t = np.nonzero(total > 1e-3)
-        yield pa.RecordBatch.from_arrays([pa.array(k * h.shape[1] + t, pa.int64()), pa.array(total[k, t], pa.float64())], names=["cell", "mass"])
-
-    return run
+def _pieces(sizes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(first row, end row, first cell, end cell) of runs of whole rows with some ``CELLS`` cells."""
+    ends = np.cumsum(sizes)
+    if not len(ends) or not ends[-1]:
+        return
+    cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(CELLS, ends[-1], CELLS)) + 1, len(ends)].clip(0, len(ends)))
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        yield lo, hi, ends[lo] - sizes[lo], ends[hi - 1]
+
+
+@dataclass
+class Components:
+    """``rows``: probabilities of ``terms`` (sorted) in each subject and, last, in the background."""
+
+    subjects: list[str]
+    terms: np.ndarray
+    rows: np.ndarray
+    #: Terms that a subject owns.
+    owned: np.ndarray
+
+    def find(self, terms: np.ndarray) -> np.ndarray:
+        """Index of each term, -1 for one that isn't held."""
+        if not len(self.terms):
+            return np.full(len(terms), -1)
+        k = np.searchsorted(self.terms, terms).clip(0, len(self.terms) - 1)
+        return np.where(self.terms[k] == terms, k, -1)
+
+    def judge(self, row: np.ndarray, at: np.ndarray, owned: np.ndarray, n_rows: int) -> np.ndarray:
+        """The subject of each of ``n_rows`` sentences, -1 for none, by its mixture.
+
+        Cells are given by row, their probabilities in each component and whether a
+        subject owns them; a sentence without an owned term has no subject.
+        """
+        out = np.full(n_rows, -1)
+        asked = np.zeros(n_rows, dtype=bool)
+        asked[row[owned]] = True
+        keep = np.flatnonzero(asked[row])
+        keep = keep[np.argsort(row[keep], kind="stable")]
+        row, at = row[keep], at[keep]
+        if not len(row):
+            return out
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        sizes = np.diff(np.r_[first, len(row)])
+        k = len(self.subjects)
+        for lo, hi, a, b in _pieces(sizes):
+            w = mixtures(first[lo:hi] - a, sizes[lo:hi], at[a:b], np.ones(b - a, dtype=np.float32))[:, :k]
+            best = w.argmax(1)
+            top = w[np.arange(len(w)), best]
+            good = (top * sizes[lo:hi] >= EVIDENCE) & (top >= CLEAR * w.sum(1))
+            out[row[first[lo:hi]]] = np.where(good, best, -1)
+        return out
+
+    def subject(self, text: str) -> str | None:
+        """The subject of one sentence by the held terms."""
+        terms = np.concatenate([term_numbers(w) for w in sentences(text)] or [np.zeros(0, np.uint64)])
+        k = self.find(terms)
+        k = k[k >= 0]
+        got = self.judge(np.zeros(len(k), dtype=np.int64), self.rows.T[k], self.owned[k], 1)[0]
+        return self.subjects[got] if got >= 0 else None
 
 
 def _owned(mass: np.ndarray, prior: np.ndarray) -> np.ndarray:
@@ -171,101 +274,216 @@ def _components(subject: np.ndarray, counts: np.ndarray) -> np.ndarray:
     everything = counts / counts.sum()
     rows = subject / np.maximum(subject.sum(1, keepdims=True), 1e-12)
     background = counts * (1 - np.minimum(0.98, subject.sum(0) / np.maximum(counts, 1e-9)))
-    return np.vstack([0.98 * rows + 0.02 * everything, background / max(background.sum(), 1e-12)])
+    return np.vstack([0.98 * rows + 0.02 * everything, background / max(background.sum(), 1e-12)]).astype(np.float32)
 
 
-class SubjectModel:
-    """Evidence that each term gives for each subject."""
+def _subject_parts(model: Components, of: np.ndarray, k: np.ndarray, x: np.ndarray, n_rows: int) -> np.ndarray:
+    """Part of each subject in each row's held terms; rows with little of any subject have little."""
+    out = np.zeros((n_rows, len(model.subjects)), dtype=np.float32)
+    held = np.flatnonzero(k >= 0)
+    of, k, x = of[held], k[held], x[held]
+    if not len(of):
+        return out
+    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    sizes = np.diff(np.r_[first, len(of)])
+    by_term = np.ascontiguousarray(model.rows.T)
+    for lo, hi, a, b in _pieces(sizes):
+        w = mixtures(first[lo:hi] - a, sizes[lo:hi], by_term[k[a:b]], x[a:b])[:, :-1]
+        mass = w.sum(1, keepdims=True)
+        out[of[first[lo:hi]]] = w / np.maximum(mass, 1e-9) * np.minimum(1.0, 10 * mass)
+    return out
 
-    def __init__(self, subjects: list[str], index: dict[str, int], evidence: np.ndarray):
-        self.subjects = subjects
-        self.index = {t: k for t, k in index.items() if evidence[k].any()}
-        self.evidence = {t: [(s, float(v)) for s, v in enumerate(evidence[k]) if v > 0] for t, k in self.index.items()}
 
-    def subject(self, sentence: str) -> int | None:
-        return self.of_terms(terms(sentence))
+def _subject_sums(shared):
+    """Mass of each held term by subject: the transposed mixtures times the matrix, over a partition."""
 
-    def of_terms(self, found: list[str]) -> int | None:
-        score: dict[int, float] = {}
-        for t in found:
-            for s, v in self.evidence.get(t, ()):
-                score[s] = score.get(s, 0.0) + v
-        if not score:
-            return None
-        best = max(score, key=lambda s: (score[s], -s))
-        return best if score[best] >= EVIDENCE and score[best] >= CLEAR * sum(score.values()) else None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Components = shared.value
+        total = np.zeros((len(model.subjects), len(model.terms)))
+        for _, words, sizes, per_row in _read(batches, 0):
+            of, terms, x = _row_cells(words, sizes, per_row)
+            k = model.find(terms)
+            held = np.flatnonzero(k >= 0)
+            of, k, x = of[held], k[held], x[held]
+            w = _subject_parts(model, of, k, x, len(per_row))[of]
+            for s in range(len(model.subjects)):
+                total[s] += np.bincount(k, w[:, s] * x, len(model.terms))
+        s, t = np.nonzero(total > 1e-3)
+        yield pa.RecordBatch.from_arrays([pa.array(s * len(model.terms) + t, pa.int64()), pa.array(total[s, t], pa.float64())], names=["cell", "mass"])
+
+    return run
 
 
-def fit(df: DataFrame, text_col: str, name_col: str | None, labelled: Iterable[tuple[str, str]]) -> SubjectModel:
-    """A model for ``df``: labelled (subject, text) anchor it, all rows of ``df`` shape it."""
+def _rare_sums(shared):
+    """(term, subject, mass) of terms that aren't held; subject -1 has all of a term's weight."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Components = shared.value
+        for _, words, sizes, per_row in _read(batches, 0):
+            of, terms, x = _row_cells(words, sizes, per_row)
+            k = model.find(terms)
+            w = _subject_parts(model, of, k, x, len(per_row))
+            rare = np.flatnonzero(k < 0)
+            mass = w[of[rare]] * x[rare, None]
+            r, s = np.nonzero(mass > 0.05)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.r_[terms[rare], terms[rare][r]].view(np.int64)), pa.array(np.r_[np.full(len(rare), -1), s], pa.int32()), pa.array(np.r_[x[rare], mass[r, s]].astype(np.float64))],
+                names=["term", "subject", "mass"],
+            )
+
+    return run
+
+
+@dataclass
+class Fitted:
+    model: Components
+    #: Subjects' sizes and all weight of the components, which scale a rare term's probabilities.
+    size: np.ndarray
+    subject_total: np.ndarray
+    background_total: float
+    total: float
+    #: Whether there are terms of enough support beyond those held.
+    more: bool
+
+    def rare_rows(self, mass: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(probabilities, owned) of rare terms with these masses (terms, subjects) and weights."""
+        own = _owned(mass.T, self.size / self.size.sum()).T
+        own = np.minimum(own, n[:, None])
+        rows = 0.98 * own / np.maximum(self.subject_total, 1e-12) + 0.02 * n[:, None] / self.total
+        rest = n * (1 - np.minimum(0.98, own.sum(1) / np.maximum(n, 1e-9))) / max(self.background_total, 1e-12)
+        return np.column_stack([rows, rest]).astype(np.float32), own.sum(1) > 0
+
+
+def fit(parsed: DataFrame, labelled: Iterable[tuple[str, str]], held: int = HELD) -> Fitted | None:
+    """Components for parsed texts: labelled (subject, text) anchor them, all rows of ``parsed`` shape them."""
     labelled = [(s, t) for s, t in labelled if s and t]
     subjects = sorted({s for s, _ in labelled})
-    src = df.select(F.col(text_col).alias("text"), (F.col(name_col).cast("string") if name_col else F.lit(None).cast("string")).alias("name")).where("text is not null")
-    counted = cut(src.mapInArrow(_counted, "term string, n double").groupBy("term").agg(F.sum("n").alias("n")))
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    floor = max(3.0, total / TERMS_ONE_IN)
-    kept = {r.term: r.n for r in counted.where(F.col("n") >= floor).collect()}
-    seeds = Counter((s, t) for s, text in labelled for sentence in sentences(text) for t in set(terms(sentence)))
-    names = sorted({*kept, *(t for _, t in seeds)})
-    index = {t: k for k, t in enumerate(names)}
-    counts = np.array([kept.get(t, 1) for t in names], dtype=np.float64)
-    seed = np.zeros((len(subjects), len(names)))
+    counted = cut(term_weights(parsed).where(F.col("n") >= SUPPORT))
+    sizes = {r.b: r.n for r in counted.groupBy(F.floor(4 * F.log2("n")).alias("b")).agg(F.count("*").alias("n")).collect()}
+    floor, room = None, held
+    for b in sorted(sizes, reverse=True):
+        room -= sizes[b]
+        if room < 0:
+            break
+        floor = b
+    rows = (counted.where(F.floor(4 * F.log2("n")) >= floor) if floor is not None else counted.limit(0)).toArrow()
+    kept = dict(zip(rows.column("term").to_numpy().view(np.uint64).tolist(), rows.column("n").to_numpy().tolist()))
+    seeds: dict[tuple[str, int], int] = {}
+    for s, text in labelled:
+        for w in sentences(text):
+            for t in set(term_numbers(w).tolist()):
+                seeds[s, t] = seeds.get((s, t), 0) + 1
+    terms = np.array(sorted({*kept, *(t for _, t in seeds)}), dtype=np.uint64)
+    if not len(terms):
+        return None
+    index = {t: k for k, t in enumerate(terms.tolist())}
+    counts = np.array([kept.get(t, 1.0) for t in terms.tolist()])
+    seed = np.zeros((len(subjects), len(terms)))
     for (s, t), n in seeds.items():
         seed[subjects.index(s), index[t]] = n
     prior = np.maximum(seed.sum(1), 1e-9)
     anchor = _owned(seed, prior / prior.sum())
     anchor *= np.where(seed.sum(0) >= 2, 1.0, 0.3)
-    anchor = np.where(counts > 0, anchor, 0)
     anchor_rows = anchor / np.maximum(anchor.sum(1, keepdims=True), 1e-12)
     subject = anchor_rows * (counts[None, :] * anchor_rows).sum(1, keepdims=True)
     subject = np.where(anchor > 0, np.minimum(counts, np.maximum(subject, 1.0)), 0.0)
-    vectors = cut(src.mapInArrow(_vectors(index), "terms array<int>, counts array<float>"))
+    sc = parsed.sparkSession.sparkContext
+    size = prior
     for _ in range(ROUNDS):
-        h = _components(subject, counts)
-        cells = vectors.mapInArrow(_subject_sums(h, len(subjects)), "cell long, mass double").groupBy("cell").agg(F.sum("mass").alias("mass")).collect()
+        shared = sc.broadcast(Components(subjects, terms, _components(subject, counts), subject.sum(0) > 0))
+        cells = parsed.select("words", "sizes").mapInArrow(_subject_sums(shared), "cell long, mass double").groupBy("cell").agg(F.sum("mass").alias("mass")).toArrow()
+        shared.destroy()
         mass = np.zeros(seed.size)
-        for r in cells:
-            mass[r.cell] = r.mass
+        mass[cells.column("cell").to_numpy()] = cells.column("mass").to_numpy()
         mass = mass.reshape(seed.shape)
         size = np.maximum(mass.sum(1), 1.0)
         shaped = _owned(mass, size / size.sum())
         shaped /= np.maximum(shaped.sum(1, keepdims=True), 1e-12)
-        subject = ((1 - ANCHOR) * shaped + ANCHOR * anchor_rows) * size[:, None]
-        subject = np.minimum(subject, counts[None, :])
-    lifted = mass / (size / size.sum())[:, None]
-    share = lifted / np.maximum(lifted.sum(0), 1e-12)
-    evidence = np.where((share >= _least_share(len(subjects))) & ((mass >= 3) | (anchor > 0)), share, 0.0)
-    evidence = np.where((mass.sum(0) < 3)[None, :] & (anchor > 0), 0.8, evidence)
-    return SubjectModel(subjects, index, evidence.T)
+        subject = np.minimum(((1 - ANCHOR) * shaped + ANCHOR * anchor_rows) * size[:, None], counts[None, :])
+    held_rows = _components(subject, counts)
+    background = (counts * (1 - np.minimum(0.98, subject.sum(0) / np.maximum(counts, 1e-9)))).sum()
+    return Fitted(Components(subjects, terms, held_rows, subject.sum(0) > 0), size, subject.sum(1), float(background), float(counts.sum()), sum(sizes.values()) > len(kept))
+
+
+def _rare_terms(parsed: DataFrame, fitted: Fitted, shared) -> DataFrame:
+    """(key, rare): for each text with terms that aren't held but owned by a subject, [(term, probabilities)]."""
+    k = len(fitted.model.subjects)
+    sums = parsed.select("words", "sizes").mapInArrow(_rare_sums(shared), "term long, subject int, mass double").groupBy("term", "subject").agg(F.sum("mass").alias("mass"))
+    by_term = sums.groupBy("term").agg(F.max(F.when(F.col("subject") < 0, F.col("mass"))).alias("n"), F.map_from_entries(F.collect_list(F.when(F.col("subject") >= 0, F.struct("subject", "mass")))).alias("parts")).where(F.col("n") >= SUPPORT)
+    wide = by_term.select("term", "n", F.array(*[F.coalesce(F.col("parts")[s], F.lit(0.0)) for s in range(k)]).alias("mass"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mass = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+            p, owned = fitted.rare_rows(mass, batch.column(1).to_numpy(zero_copy_only=False))
+            keep = np.flatnonzero(owned)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array(list(p[keep]), pa.list_(pa.float32()))], names=["term", "p"])
+
+    owned = wide.mapInArrow(rows, "term long, p array<float>")
+
+    def uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Components = shared.value
+        for batch, words, sizes, per_row in _read(batches, 1):
+            of, terms, _ = _row_cells(words, sizes, per_row)
+            rare = np.flatnonzero(model.find(terms) < 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[rare])), pa.array(terms[rare].view(np.int64))], names=["key", "term"])
 
+    used = parsed.select("key", "words", "sizes").dropDuplicates(["key"]).mapInArrow(uses, "key long, term long")
+    return used.join(owned, "term").groupBy("key").agg(F.collect_list(F.struct("term", "p")).alias("rare"))
 
-def document_subjects(df: DataFrame, samples: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_col: str | None = "company", subject_col: str = "subject", sample_col: str = "sample_text", fit_rows: int = 5000) -> DataFrame:
-    """(id, subject, n_sentences, share) of each subject that a document's sentences are about.
+
+def document_subjects(df: DataFrame, samples: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_col: str | None = "company", subject_col: str = "subject", sample_col: str = "sample_text", fit_rows: int = 5000, held: int = HELD) -> DataFrame:
+    """(id, subject, n_sentences, share) of each subject in a document's mixture: the part of its sentences that it has.
 
     * Null, empty and blank texts, and those without a sentence on a subject, give no row.
     * Every row of ``df`` is judged on its own, repeats and null ids included; whole texts are read.
     * ``fit_rows`` bounds the labelled samples (by text order); all texts of ``df`` take
       part in the factorisation. Without samples or texts there are no rows.
+    * ``held`` bounds the terms in memory. Others count as well; only in the mixtures of
+      whole documents, while the components are shaped, they take no part.
     * ``name_col`` may hold the publisher's name, which is not read as a topic; other columns are not read.
     """
     labelled = samples.select(subject_col, sample_col).where(F.col(subject_col).isNotNull() & F.col(sample_col).isNotNull()).orderBy(sample_col, subject_col).limit(fit_rows).collect()
     out = f"id {dict(df.dtypes)[id_col]}, subject string, n_sentences int, share double"
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.col(name_col).cast("string") if name_col else F.lit(None).cast("string")).alias("name")).where("text is not null")
+    none = df.sparkSession.createDataFrame([], out).withColumnRenamed("id", id_col)
     if not labelled:
-        return df.sparkSession.createDataFrame([], out).withColumnRenamed("id", id_col)
-    model = fit(df, text_col, name_col, [(r[0], r[1]) for r in labelled])
+        return none
+    parsed = cut(parse(src))
+    fitted = fit(parsed, [(r[0], r[1]) for r in labelled], held)
+    if fitted is None:
+        return none
+    shared = df.sparkSession.sparkContext.broadcast(fitted.model)
+    rows = parsed.withColumn("rare", F.lit(None).cast("array<struct<term: bigint, p: array<float>>>"))
+    if fitted.more:
+        keyed = parsed.withColumn("key", F.xxhash64("words", "sizes"))
+        rows = keyed.join(_rare_terms(keyed, fitted, shared), "key", "left").select("id", "words", "sizes", "rare")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, names, ns, shares = [], [], [], []
-            for k, (text, name) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                parts = [w for _, w in parsed(_plain(text, name))]
-                c = Counter(s for w in parts if (s := model.of_terms(_pairs(w))) is not None)
-                for s, n in sorted(c.items()):
-                    at.append(k)
-                    names.append(model.subjects[s])
-                    ns.append(n)
-                    shares.append(n / len(parts))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(names, pa.string()), pa.array(ns, pa.int32()), pa.array(shares, pa.float64())], names=["id", "subject", "n_sentences", "share"])
-
-    return src.mapInArrow(run, out).withColumnRenamed("id", id_col)
+        model: Components = shared.value
+        by_term = np.ascontiguousarray(model.rows.T)
+        for batch, words, sizes, per_row in _read(batches, 1):
+            terms, sentence = terms_of(words, sizes)
+            k = model.find(terms)
+            held = np.flatnonzero(k >= 0)
+            row, at, owned = sentence[held], by_term[k[held]], model.owned[k[held]]
+            extra = {t["term"]: t["p"] for r in batch.column(3).to_pylist() if r for t in r}
+            if extra:
+                names = np.array(sorted(extra), dtype=np.int64)
+                p = np.array([extra[t] for t in names.tolist()], dtype=np.float32)
+                order = np.argsort(names.view(np.uint64))
+                names, p = names.view(np.uint64)[order], p[order]
+                rest = np.flatnonzero(k < 0)
+                j = np.searchsorted(names, terms[rest]).clip(0, len(names) - 1)
+                met = names[j] == terms[rest]
+                row, at, owned = np.r_[row, sentence[rest[met]]], np.vstack([at, p[j[met]]]), np.r_[owned, np.ones(int(met.sum()), dtype=bool)]
+            subject = model.judge(row, at, owned, len(sizes))
+            doc = np.repeat(np.arange(len(per_row)), per_row)
+            some = subject >= 0
+            cell, n = np.unique(doc[some] * len(model.subjects) + subject[some], return_counts=True)
+            doc, s = np.divmod(cell, len(model.subjects))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(doc)), pa.array([model.subjects[i] for i in s], pa.string()), pa.array(n, pa.int32()), pa.array(n / per_row[doc])], names=["id", "subject", "n_sentences", "share"]
+            )
+
+    return rows.mapInArrow(run, out).withColumnRenamed("id", id_col)
