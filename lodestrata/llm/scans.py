@@ -2,16 +2,22 @@
 
 Word counts of the whole corpus make the vocabulary. Words outside it are looked
 up by a Levenshtein automaton whose edits are recognition errors (one or two
-characters read as others), intersected with a trie of the vocabulary; so all
-words that an error can have come from are found without trying each. Those
-that occur on the same page rank first, then the more frequent. A line break
-with a mark inside a word is told from one at a compound's own hyphen by the
-counts of both spellings. Page furniture is what fills the first or last block
-of a page and recurs on other pages of its file, and printed page numbers.
+characters read as others, and a digit or sign inside a word read for any
+letter), intersected with a trie of the vocabulary; so all words that an error
+can have come from are found without trying each. Those that occur on the same
+page rank first, then the more frequent. A line break with a mark inside a word
+is told from one at a compound's own hyphen by the counts of both spellings.
+Page furniture is what fills the outer blocks of a page and recurs on other
+pages of its file, and printed page numbers.
+
+Workers hold the ``HELD`` most frequent words. Counts of rarer ones, and rarer
+words that a token may be a misreading of, come to the pages by joins: a token
+and its source are alike once characters that errors exchange are made one.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,20 +36,23 @@ CONFUSIONS = (
     "cl d|d cl|rn m|m rn|ri n|n ri|ii u|u ii|ii ü|vv w|w vv|h li|li h|ſ f|ſ s|€ e|n u|u n|íi ú|é e|á a|ó o|nn m"
 )
 RULES = tuple(tuple(r.split(" ")) for r in re.sub(r"\|\|", "\n¦", CONFUSIONS).replace("|", "\n").replace("¦", "|").split("\n") if r)
-#: Words counted in at least one in this many tokens are held on every worker, so there are at most that many.
-VOCABULARY_ONE_IN = 500_000
+#: Words that every worker holds; the rest is joined.
+HELD = 200_000
+#: Occurrences of a word from which its count says something.
+SUPPORT = 4
 #: A word is a misread one only if the word it is read from occurs so many times as often.
 RATIO, RATIO_SHORT = 8, 30
 #: Pages of a file that a line must run on to be a header or footer.
 HEADER_PAGES = 3
 
 _BREAK = re.compile(r"(?<=[\w'’@|])([-­‐‑¬])[ \t]*\r?\n[ \t]*([^\W\d_][\w'’@|]*)")
-_LEFT = re.compile(r"[^\W_][\w'’@|-]*\Z")
 _TOKEN = re.compile(r"[^\W_](?:[\w@|!$€]*[\w@|$€])?|[@$€][^\W_][\w@|]*")
 _COMPOUND = re.compile(r"[^\W\d_][\w]*(?:[-‐‑][\w]+)+")
 _MARKS = "-­‐‑¬"
 _MARKED = re.compile(r"[-­‐‑¬][ \t]*\r?\n")
 _NUMBER = re.compile(r"(?=.*\d)[\dol|i]{2,}")
+_NUMBERS = re.compile(r"\d\|\d+\|\d")
+_SIGNS = frozenset("0123456789@|$€!")
 _BLANK = re.compile(r"\r?\n[ \t]*(?:\r?\n[ \t]*)+")
 _LABEL = r"(?:\d{1,4}|[ivxlc]{1,7}|[a-z]-\d{1,3})"
 _ALONE = re.compile(rf"(?:page|seite|página|pagina|pág\.|p\.|s\.)?\s*[-–—\[(|]*\s*({_LABEL})\s*(?:(?:/|of|von|de|sur)\s*[\dol]{{1,5}})?\s*[-–—\])|]*", re.I)
@@ -54,8 +63,8 @@ _ITEM = re.compile(r"\s*(?:[-*•]\s|\d+[.)]\s|\||#|>)")
 
 
 def _words(chunk: str) -> Iterator[re.Match]:
-    """Tokens of a stretch without whitespace; encoded data and lists of numbers have none."""
-    if len(chunk) > 60 or (len(chunk) > 20 and re.search(r"[+/=]|\d\|\d", chunk)):
+    """Tokens of a stretch without whitespace; a list of numbers between bars has none."""
+    if "|" in chunk and _NUMBERS.search(chunk):
         return iter(())
     return _TOKEN.finditer(chunk)
 
@@ -89,11 +98,46 @@ def count_words(chunks: Counter) -> Counter:
     return out
 
 
+def allowed(token: str) -> int:
+    """Errors that a token may have: two, or one in four characters."""
+    return max(2, len(token) // 4)
+
+
+def errors(token: str, word: str) -> int | None:
+    """Fewest recognition errors that turn ``word`` into ``token``, None if none do; one sign inside may stand for any letter."""
+    best = {(0, 0, False): 0}
+    for i in range(len(token)):
+        for j in range(len(word)):
+            for opened in (False, True):
+                used = best.get((i, j, opened))
+                if used is None:
+                    continue
+                steps = [(i + len(r), j + len(w), opened, 1) for r, w in RULES_BY_FIRST.get(token[i], ()) if token.startswith(r, i) and word.startswith(w, j)]
+                if token[i] == word[j]:
+                    steps.append((i + 1, j + 1, opened, 0))
+                elif not opened and 0 < i < len(token) - 1 and token[i] in _SIGNS and word[j].isalpha():
+                    steps.append((i + 1, j + 1, True, 1))
+                for x, y, o, cost in steps:
+                    if best.get((x, y, o), 1 << 30) > used + cost:
+                        best[x, y, o] = used + cost
+    ends = [best[e] for o in (False, True) if (e := (len(token), len(word), o)) in best]
+    return min(ends, default=None)
+
+
+RULES_BY_FIRST: dict[str, list[tuple[str, str]]] = {}
+for _r, _w in RULES:
+    RULES_BY_FIRST.setdefault(_r[0], []).append((_r, _w))
+
+
 class Lexicon:
-    """Vocabulary with counts, its trie, and the lookup of misread words."""
+    """The most frequent words with their counts and trie, and the lookup of misread words.
 
-    def __init__(self, counts: dict[str, int], floor: int, edits: int = 2):
-        self.counts, self.floor, self.edits = counts, floor, edits
+    ``rare`` has what the held words can't tell of a page's tokens: a token's count and
+    its sources among the other words as (errors, -count, word).
+    """
+
+    def __init__(self, counts: dict[str, int]):
+        self.counts = counts
         self.trie: dict = {}
         for word, n in counts.items():
             if n >= RATIO and "-" not in word:
@@ -101,87 +145,128 @@ class Lexicon:
                 for c in word:
                     node = node.setdefault(c, {})
                 node[""] = n
-        self.rules: dict[str, list[tuple[str, str]]] = {}
-        for read, printed in RULES:
-            self.rules.setdefault(read[0], []).append((read, printed))
-        self.known: dict[str, tuple[str, ...]] = {}
+        self.known: dict[str, tuple[tuple[int, int, str], ...]] = {}
         self.sound: dict[str, bool] = {}
+        self.rare: dict[str, tuple[int, tuple[tuple[int, int, str], ...]]] = {}
+
+    def count(self, word: str) -> int:
+        n = self.counts.get(word)
+        return n if n is not None else self.rare[word][0] if word in self.rare else 0
 
     def is_sound(self, chunk: str) -> bool:
-        """Whether a stretch without whitespace has no misread word; remembered."""
+        """Whether a stretch without whitespace has no misread word; remembered.
+
+        Where slashes or signs join its parts and one is no word at all, it is encoded data.
+        """
         got = self.sound.get(chunk)
         if got is None:
-            if len(self.sound) > 300_000:
-                self.sound.clear()
-            got = self.sound[chunk] = not any(self.misread(m.group()) for m in _words(chunk))
+            parts = [m.group() for m in _words(chunk)]
+            got = not any(self.misread(t) for t in parts)
+            if not got and re.search("[+/=]", chunk):
+                got = any(not t.isdigit() and not self.count(t.lower()) and not self.misread(t) for t in parts)
+            if not (self.rare and any(t.lower() in self.rare for t in parts)):
+                if len(self.sound) > 300_000:
+                    self.sound.clear()
+                self.sound[chunk] = got
         return got
 
-    def sources(self, token: str) -> tuple[str, ...]:
-        """Vocabulary words that ``token`` may be a misreading of, fewest edits first, then most frequent."""
+    def candidates(self, token: str) -> tuple[tuple[int, int, str], ...]:
+        """(errors, -count, word) of the held words that ``token`` may be a misreading of."""
         got = self.known.get(token)
         if got is None:
             if len(self.known) > 200_000:
                 self.known.clear()
-            got = self.known[token] = self._sources(token)
+            got = self.known[token] = self._candidates(token)
         return got
 
-    def _sources(self, token: str) -> tuple[str, ...]:
-        own = self.counts.get(token, 0)
-        least = max((RATIO if len(token) > 3 else RATIO_SHORT) * max(own, 1), 2 * self.floor)
+    def _candidates(self, token: str) -> tuple[tuple[int, int, str], ...]:
         found: dict[str, tuple[int, int]] = {}
-        stack = [(0, self.trie, "", 0)]
-        n = len(token)
+        n, most = len(token), allowed(token)
+        any_letter = any(c.isalpha() for c in token)
+        stack = [(0, self.trie, "", 0, False)]
         while stack:
-            i, node, word, used = stack.pop()
+            i, node, word, used, opened = stack.pop()
             if i == n:
-                count = node.get("", 0)
-                if used and count >= least and word not in found or used and word in found and found[word][0] > used:
-                    found[word] = (used, -count)
+                if used and "" in node and (word not in found or found[word][0] > used):
+                    found[word] = (used, -node[""])
                 continue
-            step = node.get(token[i])
+            c = token[i]
+            step = node.get(c)
             if step is not None:
-                stack.append((i + 1, step, word + token[i], used))
-            if used < self.edits:
-                for read, printed in self.rules.get(token[i], ()):
+                stack.append((i + 1, step, word + c, used, opened))
+            if used < most:
+                if any_letter and not opened and c in _SIGNS and 0 < i < n - 1:
+                    for letter, at in node.items():
+                        if letter and letter.isalpha():
+                            stack.append((i + 1, at, word + letter, used + 1, True))
+                for read, printed in RULES_BY_FIRST.get(c, ()):
                     if token.startswith(read, i):
                         at = node
-                        for c in printed:
-                            at = at.get(c)
+                        for x in printed:
+                            at = at.get(x)
                             if at is None:
                                 break
                         else:
-                            stack.append((i + len(read), at, word + printed, used + 1))
-        best = min((u for u, _ in found.values()), default=0)
+                            stack.append((i + len(read), at, word + printed, used + 1, opened))
+        return tuple(sorted((u, m, w) for w, (u, m) in found.items()))
+
+    def sources(self, token: str) -> tuple[str, ...]:
+        """Words that ``token`` may be a misreading of, fewest errors first, then most frequent."""
+        least = (RATIO if len(token) > 3 else RATIO_SHORT) * max(self.count(token), 1)
         digits = any(c.isdigit() for c in token)
-        return tuple(w for w, (u, _) in sorted(found.items(), key=lambda x: (x[1], x[0])) if u == best and (digits or not w.isdigit()))
+        found = self.candidates(token)
+        if token in self.rare:
+            found = sorted({*found, *self.rare[token][1]})
+        fits = [(u, w) for u, m, w in found if -m >= least]
+        return tuple(w for u, w in fits if u == fits[0][0] and (digits or not w.isdigit()))
 
     def misread(self, token: str) -> tuple[str, ...] | None:
         """Candidates for a wrongly recognised token, best first; None if it is read well or unknown."""
         low = token.lower()
         if low.isdigit() or len(low) < 2:
             return None
-        if self.counts.get(low, 0) >= 1000 * self.floor:
-            return None
         found = self.sources(low)
         if found:
             return found
-        if _NUMBER.fullmatch(low) and low not in self.counts:
+        if _NUMBER.fullmatch(low) and not self.count(low):
             return (low.translate(str.maketrans("ol|i", "0111")),)
         return None
 
-    def hyphenated(self, first: str, mark: str, second: str) -> bool:
-        """Whether a break between the two parts is inside a word written in one piece."""
+    def spellings(self, first: str, second: str) -> tuple[str, ...]:
+        """Words whose counts tell how a word broken into two parts is written."""
         a, b = first.lower(), second.lower()
         tail = re.split(r"[-‐‑]", a)[-1]
-        joined, compound = self.counts.get(tail + b, 0), max(self.counts.get(f"{a}-{b}", 0), self.counts.get(f"{tail}-{b}", 0))
+        return tail + b, f"{a}-{b}", f"{tail}-{b}", f"{a}-", tail, b
+
+    def hyphenated(self, first: str, mark: str, second: str) -> bool:
+        """Whether a break between the two parts is inside a word written in one piece."""
+        whole, *compounds, suspended, tail, b = self.spellings(first, second)
+        joined, compound = self.count(whole), max(map(self.count, compounds))
         if joined or compound:
             return joined >= compound
-        if self.counts.get(f"{a}-", 0):
+        if self.count(suspended):
             return False
         if mark != "-":
             return True
-        parts = min(self.counts.get(tail, 0), self.counts.get(b, 0))
-        return second[0].islower() and (bool(self.sources(tail + b)) or parts < 2 * self.floor)
+        return second[0].islower() and (bool(self.sources(whole)) or min(self.count(tail), self.count(b)) < 2 * SUPPORT)
+
+    def lacks(self, text: str) -> set[str]:
+        """Tokens and spellings of a page that the held words don't have."""
+        need = {t for chunk in set(text.split()) for m in _words(chunk) if len(t := m.group().lower()) > 1 and not t.isdigit() and t not in self.counts}
+        for m in _BREAK.finditer(text):
+            if first := left_part(text, m.start()):
+                need.update(x for x in self.spellings(first, m.group(2)) if x not in self.counts)
+        return need
+
+
+def left_part(text: str, end: int) -> str:
+    """The word that ends at ``end``, with its hyphens, however long."""
+    at = end
+    while at and (text[at - 1].isalnum() or text[at - 1] in "_'’@|-"):
+        at -= 1
+    while at < end and (not text[at].isalnum()):
+        at += 1
+    return text[at:end]
 
 
 #: Each character as the smallest strokes that recognition takes apart or joins.
@@ -200,31 +285,36 @@ def _same_label(found: str, labels: list[str]) -> bool:
     return any(plain(found) == plain(x) for x in labels)
 
 
+def line_key(skel: str) -> int:
+    return int.from_bytes(hashlib.blake2b(skel.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
 class Furniture:
-    """Lines of the first and last block of a page that aren't running text."""
+    """Lines of the first two and last two blocks of a page that aren't running text."""
 
     def __init__(self, text: str, labels: list[str | None]):
         self.labels = [x.strip() for x in labels if x and x.strip() and x.strip() != "None"]
         self.lines = re.split(r"\r?\n", text)
         self.numbers: list[int] = []
-        #: Line number -> (skeleton, whether tagged as header or footer).
-        self.headers: dict[int, tuple[str, bool]] = {}
-        full = [k for k, line in enumerate(self.lines) if line.strip()]
+        #: Line number -> (key of its skeleton, whether tagged as header or footer).
+        self.headers: dict[int, tuple[int, bool]] = {}
         blocks: list[list[int]] = []
-        for k in full:
-            if blocks and k == blocks[-1][-1] + 1:
-                blocks[-1].append(k)
-            else:
-                blocks.append([k])
+        for k, line in enumerate(self.lines):
+            if line and not line.isspace():
+                if blocks and k == blocks[-1][-1] + 1:
+                    blocks[-1].append(k)
+                else:
+                    blocks.append([k])
         ends = blocks[:2] + [b for b in blocks[-2:] if b not in blocks[:2]] if len(blocks) > 1 else blocks
         for block in ends:
-            if len(block) <= 4:
-                self._block(block, block is blocks[0] or block is blocks[-1])
+            self._block(block, block is blocks[0] or block is blocks[-1])
 
     def _block(self, block: list[int], outer: bool) -> None:
-        tagged = any(_TAG.search(self.lines[k]) for k in block)
+        tagged = any("<" in self.lines[k] and _TAG.search(self.lines[k]) for k in block)
         if not (outer or tagged):
             return
+        if not tagged and any(self.lines[k].rstrip()[-1] in ".,;:" and not self._is_number(self.lines[k].strip()) for k in block):
+            return
         numbers, headers = [], {}
         for k in block:
             line = self.lines[k].strip()
@@ -234,7 +324,7 @@ class Furniture:
             if "page_number" in line.lower() or self._is_number(bare):
                 numbers.append(k)
                 continue
-            if line.startswith(("#", "- ", "* ")) or len(bare) > 120 or bare[-1] in ".,;:" and not tagged:
+            if line.startswith(("#", "- ", "* ")):
                 return
             tail, head = _TAIL.match(bare), _HEAD.match(bare)
             if tail and self._fits(tail.group(2)):
@@ -243,7 +333,9 @@ class Furniture:
             elif head and self._fits(head.group(1)):
                 numbers.append(k)
                 bare = head.group(2)
-            headers[k] = (skeleton(bare), tagged)
+            headers[k] = (line_key(skeleton(bare)), tagged)
+        if not tagged:
+            numbers = [k for k in numbers if k in (block[0], block[-1])]
         self.numbers += numbers
         self.headers |= headers
 
@@ -271,23 +363,103 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def lexicon(df: DataFrame, text_col: str) -> Lexicon:
-    """The words of all rows; the driver holds at most ``VOCABULARY_ONE_IN`` of them."""
-    counts = cut(df.select(F.col(text_col).alias("text")).where("text is not null").mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    floor = max(4, total // VOCABULARY_ONE_IN)
-    return Lexicon({r.word: r.n for r in counts.where(F.col("n") >= floor).collect()}, floor)
+def word_counts(df: DataFrame, text_col: str) -> DataFrame:
+    """(word, n) of the words of all rows that occur at least ``SUPPORT`` times."""
+    counted = df.select(F.col(text_col).alias("text")).where("text is not null").mapInArrow(_counted, "word string, n long")
+    return cut(counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= SUPPORT))
+
+
+def lexicon(counts: DataFrame, held: int = HELD) -> tuple[Lexicon, bool]:
+    """The ``held`` most frequent words, and whether there are others."""
+    sizes = {r.b: r.n for r in counts.groupBy(F.floor(4 * F.log2("n")).alias("b")).agg(F.count("*").alias("n")).collect()}
+    floor, room = 1 << 40, held
+    for b in sorted(sizes, reverse=True):
+        room -= sizes[b]
+        if room < 0:
+            break
+        floor = b
+    rows = counts.where(F.floor(4 * F.log2("n")) >= floor).toArrow()
+    return Lexicon(dict(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist()))), room < 0
+
+
+#: One character for all that errors exchange with each other; their runs are one, as an error may join two of them.
+_ALIKE = str.maketrans({c: to for to, cs in {"l": "1i|!lrnmuühb68ecdgq9íúéèè€", "s": "5$ſsft", "a": "@aá", "o": "0oó", "v": "vw", "z": "z2"}.items() for c in cs})
+
+
+def alike(token: str) -> str:
+    """A key that a word and its misreadings by ``RULES`` share."""
+    return re.sub(r"(.)\1+", r"\1", token.translate(_ALIKE))
+
+
+def keys_of(token: str, word: bool) -> set[str]:
+    """Keys under which a token meets every word that it may be a misreading of: the common one and, with the place of each sign left open, those of its two sides."""
+    inside = (i for i in range(1, len(token) - 1) if word or token[i] in _SIGNS)
+    return {alike(token), *(f"{alike(token[:i])}*{alike(token[i + 1 :])}" for i in inside)}
+
+
+def rare_words(src: DataFrame, counts: DataFrame, shared) -> DataFrame:
+    """(key, rare) for each text that has tokens which the held words don't tell of: [(token, n, sources)].
+
+    Tokens meet the words beyond those held by ``keys_of``; what meets is verified by ``errors``.
+    """
+
+    def lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Lexicon = shared.value
+        for batch in batches:
+            keys, tokens = [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                need = words.lacks(text)
+                keys += [key] * len(need)
+                tokens += need
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(tokens, pa.string())], names=["key", "token"])
+
+    def keyed(word: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                each = [keys_of(t, word) for t in batch.column(0).to_pylist()]
+                rows = batch.take(pa.array([k for k, keys in enumerate(each) for _ in keys], pa.int64()))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([x for keys in each for x in keys], pa.string())], names=[*rows.schema.names, "alike"])
+
+        return run
+
+    def explained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            used = []
+            for t, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                e = errors(t, w)
+                used.append(e if e and e <= allowed(t) else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(used, pa.int32())], names=[*batch.schema.names, "used"])
+
+    need = src.select("key", "text").dropDuplicates(["key"]).mapInArrow(lacking, "key long, token string")
+    each = need.select("token").distinct().join(counts.select(F.col("word").alias("token"), F.col("n").alias("own")), "token", "left").select("token", F.coalesce("own", F.lit(0)).alias("own"))
+    others = counts.where(F.col("n") >= RATIO).where(~F.col("word").contains("-")).mapInArrow(_unheld(shared), "word string, n long")
+    tokens = each.mapInArrow(keyed(False), "token string, own long, alike string")
+    words = others.mapInArrow(keyed(True), "word string, n long, alike string")
+    met = tokens.join(words, "alike").where((F.col("n") >= RATIO * F.greatest("own", F.lit(1))) & (F.col("token") != F.col("word"))).select("token", "word", "n").distinct()
+    found = met.mapInArrow(explained, "token string, word string, n long, used int").where("used is not null")
+    sources = found.groupBy("token").agg(F.collect_list(F.struct("used", (-F.col("n")).alias("m"), "word")).alias("sources"))
+    told = each.join(sources, "token", "left").where("own > 0 or sources is not null")
+    return need.join(told, "token").groupBy("key").agg(F.collect_list(F.struct("token", "own", "sources")).alias("rare"))
+
+
+def _unheld(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value.counts
+        for batch in batches:
+            yield batch.filter(pa.array([w not in held for w in batch.column(0).to_pylist()], pa.bool_()))
+
+    return run
 
 
 def _header_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, files, lines = [], [], []
         for i, f, text, label, page in zip(*(c.to_pylist() for c in batch.columns)):
-            for skel, _ in Furniture(text, [label, page]).headers.values():
+            for key in {key for key, _ in Furniture(text, [label, page]).headers.values()}:
                 ids.append(i)
                 files.append(f)
-                lines.append(skel)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(files, pa.string()), pa.array(lines, pa.string())], names=["id", "file", "line"])
+                lines.append(key)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(files, pa.string()), pa.array(lines, pa.int64())], names=["id", "file", "line"])
 
 
 def join_breaks(text: str, words: Lexicon) -> tuple[str, bool]:
@@ -297,30 +469,29 @@ def join_breaks(text: str, words: Lexicon) -> tuple[str, bool]:
         out += text[at : m.start()]
         at = m.end()
         mark, second = m.groups()
-        left = _LEFT.search(out, max(0, len(out) - 80))
-        if left is None:
+        first = left_part(out, len(out))
+        if not first:
             out += m.group()
             continue
-        first = left.group()
         if words.hyphenated(first, mark, second):
             broken = True
             out += second
         else:
             low = first.lower()
-            spaced = words.counts.get(f"{low}-", 0) and not words.counts.get(f"{low}-{second.lower()}", 0)
+            spaced = words.count(f"{low}-") and not words.count(f"{low}-{second.lower()}")
             out += ("- " if spaced else "-") + second
     return out + text[at:], broken
 
 
-def repair_page(text: str, labels: list[str | None], headers: set[str], words: Lexicon) -> tuple[str, set[str]]:
+def repair_page(text: str, labels: list[str | None], headers: set[int], words: Lexicon) -> tuple[str, set[str]]:
     """The text as continuous paragraphs, and the kinds of noise that were in it."""
     kinds: set[str] = set()
     page = Furniture(text, labels)
     drop = set(page.numbers)
     if page.numbers:
         kinds.add("page_number")
-    for k, (skel, tagged) in page.headers.items():
-        if skel in headers:
+    for k, (key, _) in page.headers.items():
+        if key in headers:
             kinds.add("header")
             drop.add(k)
     on_page: set[str] = set()
@@ -367,7 +538,7 @@ def repair_page(text: str, labels: list[str | None], headers: set[str], words: L
     return "\n\n".join(out), kinds
 
 
-def repair_pages(df: DataFrame, id_col: str = "id", file_col: str = "source_file", text_col: str = "text", label_col: str = "page_number_raw", page_col: str = "page_number") -> DataFrame:
+def repair_pages(df: DataFrame, id_col: str = "id", file_col: str = "source_file", text_col: str = "text", label_col: str = "page_number_raw", page_col: str = "page_number", held: int = HELD) -> DataFrame:
     """(id, text, noise): every row with a text, repaired, and its kinds of noise, sorted.
 
     * Null texts give no row; empty and blank ones an empty text without noise. Null
@@ -375,20 +546,29 @@ def repair_pages(df: DataFrame, id_col: str = "id", file_col: str = "source_file
     * ``label_col`` may be null, empty or wrong, ``page_col`` null: a printed number
       must equal one of them only where one is known.
     * A null file is a file of its own. A line must run on ``HEADER_PAGES`` ids of its file.
+    * ``held`` bounds the words in memory; the result is the same with any.
     * Columns other than the five are not read; an empty table gives no rows.
     """
     src = df.select(F.col(id_col).cast("string").alias("id"), F.col(file_col).alias("file"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"), F.col(page_col).cast("string").alias("page")).where("text is not null")
-    words = lexicon(src, "text")
-    lines = cut(src.mapInArrow(_header_lines, "id string, file string, line string").distinct())
+    counts = word_counts(src, "text")
+    words, more = lexicon(counts, held)
+    shared = df.sparkSession.sparkContext.broadcast(words)
+    lines = cut(src.mapInArrow(_header_lines, "id string, file string, line long").distinct())
     running = lines.groupBy("file", "line").agg(F.count_distinct(F.coalesce("id", F.lit(""))).alias("n")).where(F.col("n") >= HEADER_PAGES)
     a, b = lines.alias("a"), running.alias("b")
     headed = a.join(b, F.col("a.file").eqNullSafe(F.col("b.file")) & (F.col("a.line") == F.col("b.line"))).groupBy("a.id").agg(F.collect_set("a.line").alias("headers"))
-    rows = src.alias("s").join(headed.alias("h"), F.col("s.id").eqNullSafe(F.col("h.id")), "left").select("s.id", "text", "label", "page", "headers")
+    rows = src.withColumn("rare", F.lit(None).cast("array<struct<token: string, own: bigint, sources: array<struct<used: int, m: bigint, word: string>>>>"))
+    if more:
+        keyed = src.withColumn("key", F.xxhash64("text"))
+        rows = keyed.join(rare_words(keyed, counts, shared), "key", "left").drop("key")
+    rows = rows.alias("s").join(headed.alias("h"), F.col("s.id").eqNullSafe(F.col("h.id")), "left").select("s.id", "text", "label", "page", "headers", "rare")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Lexicon = shared.value
         for batch in batches:
             texts, noise = [], []
-            for _, text, label, page, headers in zip(*(c.to_pylist() for c in batch.columns)):
+            for _, text, label, page, headers, rare in zip(*(c.to_pylist() for c in batch.columns)):
+                words.rare = {r["token"]: (r["own"], tuple((s["used"], s["m"], s["word"]) for s in r["sources"] or ())) for r in rare or ()}
                 repaired, kinds = repair_page(text, [label, page], set(headers or ()), words)
                 texts.append(repaired)
                 noise.append(sorted(kinds))
