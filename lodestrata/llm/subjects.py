@@ -46,7 +46,9 @@ _SENTENCE = re.compile(r"[.!?。！？][\"'”»)\]]*(?=\s)|[\r\n]+")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _FOLD = (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss"), ("’", "'"))
 _MANY, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-_DOC_BITS = np.uint64(44)
+_DOC_BITS = np.uint64(20)
+#: Words of the texts that are worked on at once, but for a longer text.
+WORDS = 400_000
 
 
 def sentences(text: str, name: str | None = None) -> Iterator[list[str]]:
@@ -75,25 +77,26 @@ class Hasher(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= 500_000:
             self.clear()
-        got = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little") or 1 if len(word) > 1 else 0
+        got = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) or 1 if len(word) > 1 else 0
         return got
 
 
 def hashed(texts: Iterable[tuple[str, str | None]], known: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, words per sentence, sentences per text) of texts, one after the other."""
-    ids: list[int] = []
+    found: list[str] = []
     sizes: list[int] = []
     per_text: list[int] = []
     for text, name in texts:
         before = len(sizes)
-        for found in sentences(text, name):
-            sizes.append(len(found))
-            ids += [known[w] for w in found]
+        for s in sentences(text, name):
+            sizes.append(len(s))
+            found += s
         per_text.append(len(sizes) - before)
-    words, each = np.array(ids, dtype=np.uint64), np.array(sizes, dtype=np.int64)
-    kept = np.r_[0, np.cumsum(words != 0)]
+    words, each = np.fromiter(map(known.__getitem__, found), dtype=np.int64, count=len(found)).view(np.uint64), np.array(sizes, dtype=np.int64)
+    some = words != 0
+    kept = np.r_[0, np.cumsum(some)]
     ends = np.cumsum(each)
-    return words[words != 0], kept[ends] - kept[ends - each], np.array(per_text, dtype=np.int64)
+    return words[some], kept[ends] - kept[ends - each], np.array(per_text, dtype=np.int64)
 
 
 def terms_of(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,34 +111,60 @@ def terms_of(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def term_numbers(words: list[str]) -> np.ndarray:
     """Terms of one sentence given by its words."""
     known = Hasher()
-    got = np.array([k for w in words if (k := known[w])], dtype=np.uint64)
+    got = np.array([k for w in words if (k := known[w])], dtype=np.int64).view(np.uint64)
     return terms_of(got, np.array([len(got)]))[0]
 
 
-def document_cells(terms: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, term, weight) of each term of each document, by document; the weight damps repeats, so that one very long document can't outweigh the others."""
-    low = (np.uint64(1) << _DOC_BITS) - np.uint64(1)
-    key = (doc.astype(np.uint64) << _DOC_BITS) | (terms & low)
+@dataclass
+class Cells:
+    """Terms of documents with weights that damp repeats, so that one very long document can't outweigh the others; ordered by term."""
+
+    #: Distinct terms, and the first cell of each.
+    terms: np.ndarray
+    first: np.ndarray
+    #: Of each cell its term's place in ``terms``, its document and its weight.
+    term: np.ndarray
+    doc: np.ndarray
+    x: np.ndarray
+
+
+def document_cells(terms: np.ndarray, doc: np.ndarray) -> Cells:
+    """Cells of up to a million documents; terms whose last 44 bits are equal are told apart no further within them."""
+    key = (terms << _DOC_BITS) | doc.astype(np.uint64)
     order = np.argsort(key)
     key = key[order]
-    first = np.flatnonzero(np.r_[len(key) > 0, key[1:] != key[:-1]])
-    n = np.diff(np.r_[first, len(key)])
-    return doc[order[first]], terms[order[first]], np.log2(1.0 + n).astype(np.float32)
+    at = np.flatnonzero(np.r_[len(key) > 0, key[1:] != key[:-1]])
+    x = np.log2(1.0 + np.diff(np.r_[at, len(key)])).astype(np.float32)
+    same = key[at] >> _DOC_BITS
+    first = np.flatnonzero(np.r_[len(same) > 0, same[1:] != same[:-1]])
+    own = order[at]
+    return Cells(terms[own[first]], first, np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(same)])), doc[own], x)
 
 
-def _read(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, words, sizes, sentences per row) of parsed texts, whose columns ``words`` and ``sizes`` stand at ``first``."""
+def _read(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, words, sizes, sentences per row) of parsed texts, whose columns ``words`` and ``sizes`` stand at ``column``; some ``WORDS`` words at a time."""
     codec = pa.Codec("zstd")
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = batch.column(first + 1)
+        sizes = batch.column(column + 1)
         per_row = np.diff(sizes.offsets.to_numpy())
         each = sizes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        ends = np.r_[0, np.cumsum(each)][np.cumsum(per_row)]
-        lengths = np.diff(np.r_[0, ends]) * 8
-        parts = [np.frombuffer(codec.decompress(blob, int(n)), dtype=np.uint64) for blob, n in zip(batch.column(first).to_pylist(), lengths) if n]
-        yield batch, np.concatenate(parts) if parts else np.zeros(0, np.uint64), each, per_row
+        sentence_at = np.r_[0, np.cumsum(per_row)]
+        word_at = np.r_[0, np.cumsum(each)][sentence_at]
+        blobs = batch.column(column)
+        for lo, hi in _runs(np.diff(word_at), WORDS):
+            lengths = np.diff(word_at[lo : hi + 1]) * 8
+            parts = [np.frombuffer(codec.decompress(blob.as_buffer(), int(n)), dtype=np.uint64) for blob, n in zip(blobs[lo:hi], lengths) if n]
+            yield batch.slice(lo, hi - lo), np.concatenate(parts) if parts else np.zeros(0, np.uint64), each[sentence_at[lo] : sentence_at[hi]], per_row[lo:hi]
+
+
+def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of items with ``most`` in all or, where one item has more, little above."""
+    ends = np.cumsum(sizes)
+    if len(ends):
+        cuts = np.unique(np.r_[0, (np.searchsorted(ends, np.arange(most, ends[-1], most)) + 1).clip(0, len(ends)), len(ends)])
+        yield from zip(cuts[:-1].tolist(), cuts[1:].tolist())
 
 
 def parse(src: DataFrame) -> DataFrame:
@@ -153,7 +182,7 @@ def parse(src: DataFrame) -> DataFrame:
     return src.mapInArrow(run, f"id {dict(src.dtypes)['id']}, words binary, sizes array<int>")
 
 
-def _row_cells(words: np.ndarray, sizes: np.ndarray, per_row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _row_cells(words: np.ndarray, sizes: np.ndarray, per_row: np.ndarray) -> Cells:
     terms, sentence = terms_of(words, sizes)
     return document_cells(terms, np.repeat(np.arange(len(per_row)), per_row)[sentence])
 
@@ -171,10 +200,11 @@ def term_weights(parsed: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n, pa.float64())], names=["term", "n"])
 
         for _, words, sizes, per_row in _read(batches, 0):
-            _, terms, x = _row_cells(words, sizes, per_row)
-            held.append((terms, x))
-            size += len(terms)
-            if size > 2_000_000:
+            c = _row_cells(words, sizes, per_row)
+            if len(c.terms):
+                held.append((c.terms, np.add.reduceat(c.x.astype(np.float64), c.first)))
+                size += len(c.terms)
+            if size > 1_000_000:
                 yield out()
                 held, size = [], 0
         if held:
@@ -197,25 +227,17 @@ def mixtures(starts: np.ndarray, sizes: np.ndarray, at: np.ndarray, x: np.ndarra
     return w
 
 
-def _pieces(sizes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(first row, end row, first cell, end cell) of runs of whole rows with some ``CELLS`` cells."""
-    ends = np.cumsum(sizes)
-    if not len(ends) or not ends[-1]:
-        return
-    cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(CELLS, ends[-1], CELLS)) + 1, len(ends)].clip(0, len(ends)))
-    for lo, hi in zip(cuts[:-1], cuts[1:]):
-        yield lo, hi, ends[lo] - sizes[lo], ends[hi - 1]
-
-
 @dataclass
 class Components:
-    """``rows``: probabilities of ``terms`` (sorted) in each subject and, last, in the background."""
+    """``rows``: probabilities of each of ``terms`` (sorted) in every subject and, last, in the background."""
 
     subjects: list[str]
     terms: np.ndarray
     rows: np.ndarray
     #: Terms that a subject owns.
     owned: np.ndarray
+    #: Proportions of a term that none owns.
+    plain: np.ndarray
 
     def find(self, terms: np.ndarray) -> np.ndarray:
         """Index of each term, -1 for one that isn't held."""
@@ -224,37 +246,43 @@ class Components:
         k = np.searchsorted(self.terms, terms).clip(0, len(self.terms) - 1)
         return np.where(self.terms[k] == terms, k, -1)
 
-    def judge(self, row: np.ndarray, at: np.ndarray, owned: np.ndarray, n_rows: int) -> np.ndarray:
-        """The subject of each of ``n_rows`` sentences, -1 for none, by its mixture.
+    def solve(self, row: np.ndarray, at: np.ndarray, x: np.ndarray, plain: np.ndarray, n_rows: int) -> np.ndarray:
+        """Mixtures of ``n_rows`` rows over the subjects; 0 for a row without cells.
 
-        Cells are given by row, their probabilities in each component and whether a
-        subject owns them; a sentence without an owned term has no subject.
+        Cells that a subject owns are given by row, probabilities and weight. Terms that
+        none owns have the same proportions in all components, so that ``plain``, their
+        summed weight by row, is one cell more.
         """
-        out = np.full(n_rows, -1)
-        asked = np.zeros(n_rows, dtype=bool)
-        asked[row[owned]] = True
-        keep = np.flatnonzero(asked[row])
-        keep = keep[np.argsort(row[keep], kind="stable")]
-        row, at = row[keep], at[keep]
-        if not len(row):
-            return out
-        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        out = np.zeros((n_rows, len(self.subjects)), dtype=np.float32)
+        some = np.unique(row)
+        more = some[plain[some] > 0]
+        row, x = np.r_[row, more], np.r_[x, plain[more]].astype(np.float32)
+        at = np.vstack([at, np.broadcast_to(self.plain, (len(more), at.shape[1]))])
+        order = np.argsort(row, kind="stable")
+        row, at, x = row[order], at[order], x[order]
+        first = np.flatnonzero(np.r_[len(row) > 0, row[1:] != row[:-1]])
         sizes = np.diff(np.r_[first, len(row)])
-        k = len(self.subjects)
-        for lo, hi, a, b in _pieces(sizes):
-            w = mixtures(first[lo:hi] - a, sizes[lo:hi], at[a:b], np.ones(b - a, dtype=np.float32))[:, :k]
-            best = w.argmax(1)
-            top = w[np.arange(len(w)), best]
-            good = (top * sizes[lo:hi] >= EVIDENCE) & (top >= CLEAR * w.sum(1))
-            out[row[first[lo:hi]]] = np.where(good, best, -1)
+        ends = np.cumsum(sizes)
+        for lo, hi in _runs(sizes, CELLS):
+            a, b = first[lo], ends[hi - 1]
+            out[some[lo:hi]] = mixtures(first[lo:hi] - a, sizes[lo:hi], at[a:b], x[a:b])[:, :-1]
         return out
 
+    def judge(self, row: np.ndarray, at: np.ndarray, plain: np.ndarray) -> np.ndarray:
+        """The subject of each sentence, -1 for none, by its mixture; a sentence without an owned term has none."""
+        w = self.solve(row, at, np.ones(len(row), dtype=np.float32), plain, len(plain))
+        n = np.bincount(row, minlength=len(plain)) + plain
+        best = w.argmax(1)
+        top = w[np.arange(len(w)), best]
+        return np.where((top * n >= EVIDENCE) & (top >= CLEAR * w.sum(1)), best, -1)
+
     def subject(self, text: str) -> str | None:
         """The subject of one sentence by the held terms."""
         terms = np.concatenate([term_numbers(w) for w in sentences(text)] or [np.zeros(0, np.uint64)])
         k = self.find(terms)
         k = k[k >= 0]
-        got = self.judge(np.zeros(len(k), dtype=np.int64), self.rows.T[k], self.owned[k], 1)[0]
+        mine = k[self.owned[k]]
+        got = self.judge(np.zeros(len(mine), dtype=np.int64), self.rows[mine], np.array([len(k) - len(mine)]))[0]
         return self.subjects[got] if got >= 0 else None
 
 
@@ -269,29 +297,26 @@ def _least_share(subjects: int) -> float:
     return 1 / max(1, subjects) + OWNED * (1 - 1 / max(1, subjects))
 
 
-def _components(subject: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Rows of probabilities: the subjects with a trace of everything, then the background."""
-    everything = counts / counts.sum()
+def _components(subjects: list[str], terms: np.ndarray, subject: np.ndarray, counts: np.ndarray) -> Components:
+    """The subjects with a trace of everything, then the background."""
+    total = counts.sum()
     rows = subject / np.maximum(subject.sum(1, keepdims=True), 1e-12)
     background = counts * (1 - np.minimum(0.98, subject.sum(0) / np.maximum(counts, 1e-9)))
-    return np.vstack([0.98 * rows + 0.02 * everything, background / max(background.sum(), 1e-12)]).astype(np.float32)
+    rest = max(background.sum(), 1e-12)
+    plain = np.r_[np.full(len(subjects), 0.02 / total), 1 / rest]
+    h = np.vstack([0.98 * rows + 0.02 * counts / total, background / rest])
+    return Components(subjects, terms, np.ascontiguousarray(h.T, dtype=np.float32), subject.sum(0) > 0, plain.astype(np.float32))
 
 
-def _subject_parts(model: Components, of: np.ndarray, k: np.ndarray, x: np.ndarray, n_rows: int) -> np.ndarray:
-    """Part of each subject in each row's held terms; rows with little of any subject have little."""
-    out = np.zeros((n_rows, len(model.subjects)), dtype=np.float32)
-    held = np.flatnonzero(k >= 0)
-    of, k, x = of[held], k[held], x[held]
-    if not len(of):
-        return out
-    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-    sizes = np.diff(np.r_[first, len(of)])
-    by_term = np.ascontiguousarray(model.rows.T)
-    for lo, hi, a, b in _pieces(sizes):
-        w = mixtures(first[lo:hi] - a, sizes[lo:hi], by_term[k[a:b]], x[a:b])[:, :-1]
-        mass = w.sum(1, keepdims=True)
-        out[of[first[lo:hi]]] = w / np.maximum(mass, 1e-9) * np.minimum(1.0, 10 * mass)
-    return out
+def _subject_parts(model: Components, c: Cells, k: np.ndarray, n_rows: int) -> np.ndarray:
+    """Part of each subject in each document's held terms, ``k`` being their places; documents with little of any subject have little."""
+    place = k[c.term]
+    mine = np.flatnonzero((place >= 0) & model.owned[place])
+    others = (place >= 0) & ~model.owned[place]
+    plain = np.bincount(c.doc[others], c.x[others], n_rows)
+    w = model.solve(c.doc[mine], model.rows[place[mine]], c.x[mine], plain, n_rows)
+    mass = w.sum(1, keepdims=True)
+    return w / np.maximum(mass, 1e-9) * np.minimum(1.0, 10 * mass)
 
 
 def _subject_sums(shared):
@@ -299,17 +324,17 @@ def _subject_sums(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Components = shared.value
-        total = np.zeros((len(model.subjects), len(model.terms)))
+        total = np.zeros((len(model.terms), len(model.subjects)))
         for _, words, sizes, per_row in _read(batches, 0):
-            of, terms, x = _row_cells(words, sizes, per_row)
-            k = model.find(terms)
-            held = np.flatnonzero(k >= 0)
-            of, k, x = of[held], k[held], x[held]
-            w = _subject_parts(model, of, k, x, len(per_row))[of]
-            for s in range(len(model.subjects)):
-                total[s] += np.bincount(k, w[:, s] * x, len(model.terms))
-        s, t = np.nonzero(total > 1e-3)
-        yield pa.RecordBatch.from_arrays([pa.array(s * len(model.terms) + t, pa.int64()), pa.array(total[s, t], pa.float64())], names=["cell", "mass"])
+            c = _row_cells(words, sizes, per_row)
+            if len(c.terms):
+                k = model.find(c.terms)
+                w = _subject_parts(model, c, k, len(per_row))
+                sums = np.add.reduceat(w[c.doc] * c.x[:, None], c.first)
+                held = k >= 0
+                total[k[held]] += sums[held]
+        t, s = np.nonzero(total > 1e-3)
+        yield pa.RecordBatch.from_arrays([pa.array(t * len(model.subjects) + s, pa.int64()), pa.array(total[t, s], pa.float64())], names=["cell", "mass"])
 
     return run
 
@@ -320,14 +345,17 @@ def _rare_sums(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Components = shared.value
         for _, words, sizes, per_row in _read(batches, 0):
-            of, terms, x = _row_cells(words, sizes, per_row)
-            k = model.find(terms)
-            w = _subject_parts(model, of, k, x, len(per_row))
+            c = _row_cells(words, sizes, per_row)
+            if not len(c.terms):
+                continue
+            k = model.find(c.terms)
+            w = _subject_parts(model, c, k, len(per_row))
             rare = np.flatnonzero(k < 0)
-            mass = w[of[rare]] * x[rare, None]
+            mass = np.add.reduceat(w[c.doc] * c.x[:, None], c.first)[rare]
+            n = np.add.reduceat(c.x, c.first)[rare]
             r, s = np.nonzero(mass > 0.05)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.r_[terms[rare], terms[rare][r]].view(np.int64)), pa.array(np.r_[np.full(len(rare), -1), s], pa.int32()), pa.array(np.r_[x[rare], mass[r, s]].astype(np.float64))],
+                [pa.array(np.r_[c.terms[rare], c.terms[rare][r]].view(np.int64)), pa.array(np.r_[np.full(len(rare), -1), s], pa.int32()), pa.array(np.r_[n, mass[r, s]].astype(np.float64))],
                 names=["term", "subject", "mass"],
             )
 
@@ -390,19 +418,18 @@ def fit(parsed: DataFrame, labelled: Iterable[tuple[str, str]], held: int = HELD
     sc = parsed.sparkSession.sparkContext
     size = prior
     for _ in range(ROUNDS):
-        shared = sc.broadcast(Components(subjects, terms, _components(subject, counts), subject.sum(0) > 0))
+        shared = sc.broadcast(_components(subjects, terms, subject, counts))
         cells = parsed.select("words", "sizes").mapInArrow(_subject_sums(shared), "cell long, mass double").groupBy("cell").agg(F.sum("mass").alias("mass")).toArrow()
         shared.destroy()
         mass = np.zeros(seed.size)
         mass[cells.column("cell").to_numpy()] = cells.column("mass").to_numpy()
-        mass = mass.reshape(seed.shape)
+        mass = mass.reshape(seed.shape[::-1]).T
         size = np.maximum(mass.sum(1), 1.0)
         shaped = _owned(mass, size / size.sum())
         shaped /= np.maximum(shaped.sum(1, keepdims=True), 1e-12)
         subject = np.minimum(((1 - ANCHOR) * shaped + ANCHOR * anchor_rows) * size[:, None], counts[None, :])
-    held_rows = _components(subject, counts)
     background = (counts * (1 - np.minimum(0.98, subject.sum(0) / np.maximum(counts, 1e-9)))).sum()
-    return Fitted(Components(subjects, terms, held_rows, subject.sum(0) > 0), size, subject.sum(1), float(background), float(counts.sum()), sum(sizes.values()) > len(kept))
+    return Fitted(_components(subjects, terms, subject, counts), size, subject.sum(1), float(background), float(counts.sum()), sum(sizes.values()) > len(kept))
 
 
 def _rare_terms(parsed: DataFrame, fitted: Fitted, shared) -> DataFrame:
@@ -424,9 +451,9 @@ def _rare_terms(parsed: DataFrame, fitted: Fitted, shared) -> DataFrame:
     def uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Components = shared.value
         for batch, words, sizes, per_row in _read(batches, 1):
-            of, terms, _ = _row_cells(words, sizes, per_row)
-            rare = np.flatnonzero(model.find(terms) < 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[rare])), pa.array(terms[rare].view(np.int64))], names=["key", "term"])
+            c = _row_cells(words, sizes, per_row)
+            rare = np.flatnonzero((model.find(c.terms) < 0)[c.term]) if len(c.terms) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(c.doc[rare], pa.int64())), pa.array(c.terms[c.term[rare]].view(np.int64))], names=["key", "term"])
 
     used = parsed.select("key", "words", "sizes").dropDuplicates(["key"]).mapInArrow(uses, "key long, term long")
     return used.join(owned, "term").groupBy("key").agg(F.collect_list(F.struct("term", "p")).alias("rare"))
@@ -461,12 +488,13 @@ def document_subjects(df: DataFrame, samples: DataFrame, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Components = shared.value
-        by_term = np.ascontiguousarray(model.rows.T)
         for batch, words, sizes, per_row in _read(batches, 1):
             terms, sentence = terms_of(words, sizes)
-            k = model.find(terms)
-            held = np.flatnonzero(k >= 0)
-            row, at, owned = sentence[held], by_term[k[held]], model.owned[k[held]]
+            named, back = np.unique(terms, return_inverse=True)
+            k = model.find(named)[back]
+            mine = np.flatnonzero((k >= 0) & model.owned[k])
+            plain = np.bincount(sentence[(k >= 0) & ~model.owned[k]], minlength=len(sizes))
+            row, at = sentence[mine], model.rows[k[mine]]
             extra = {t["term"]: t["p"] for r in batch.column(3).to_pylist() if r for t in r}
             if extra:
                 names = np.array(sorted(extra), dtype=np.int64)
@@ -476,8 +504,8 @@ def document_subjects(df: DataFrame, samples: DataFrame, id_col: str = "doc_id",
                 rest = np.flatnonzero(k < 0)
                 j = np.searchsorted(names, terms[rest]).clip(0, len(names) - 1)
                 met = names[j] == terms[rest]
-                row, at, owned = np.r_[row, sentence[rest[met]]], np.vstack([at, p[j[met]]]), np.r_[owned, np.ones(int(met.sum()), dtype=bool)]
-            subject = model.judge(row, at, owned, len(sizes))
+                row, at = np.r_[row, sentence[rest[met]]], np.vstack([at, p[j[met]]])
+            subject = model.judge(row, at, plain)
             doc = np.repeat(np.arange(len(per_row)), per_row)
             some = subject >= 0
             cell, n = np.unique(doc[some] * len(model.subjects) + subject[some], return_counts=True)

@@ -15,8 +15,8 @@ def test_sentences_and_terms():
     terms, sentence = terms_of(words, sizes)
     assert sentence.tolist() == [0, 0, 1, 1, 1, 2, 2, 0, 1, 1, 2] and terms[0] == words[4]
     assert set(term_numbers(["one", "two"]).tolist()) == set(terms[sentence == 2].tolist())
-    doc, _, x = document_cells(np.array([5, 5, 9, 5], dtype=np.uint64), np.array([0, 0, 0, 1]))
-    assert sorted(zip(doc.tolist(), np.round(2.0**x - 1).tolist())) == [(0, 1.0), (0, 2.0), (1, 1.0)]
+    c = document_cells(np.array([5, 5, 9, 5], dtype=np.uint64), np.array([0, 0, 0, 1]))
+    assert sorted(zip(c.terms[c.term].tolist(), c.doc.tolist(), np.round(2.0**c.x - 1).tolist())) == [(5, 0, 2.0), (5, 1, 1.0), (9, 0, 1.0)]
 
 
 def test_held_out_samples(spark):
