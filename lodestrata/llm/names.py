@@ -1,24 +1,27 @@
 """Variant spellings of names typed by people (problem 2).
 
-Names are folded and split into tokens. Tokens that many names of several
-companies share (given names, lines of business) are common; the rare token of
-a name carries its identity. Rare tokens that may be spellings of one another
-are found by a prefix-filtered set-similarity join on q-grams; names under such
-tokens are verified by a soft token similarity with weights by rarity, in which
-the other tokens must align as equal words, typos, nicknames, abbreviations,
-initials or acronyms. Verified links are closed into groups.
+Names are folded and split into tokens. Tokens that names of several companies
+share (given names, lines of business) are common; the others are rare and carry
+a name's identity. Names meet by a prefix-filtered set-similarity join on the
+q-grams of every rare token: in an order that puts rare letters first, a few
+grams suffice. Of those that meet, names whose other tokens can align at all
+are verified by a soft token similarity with weights by rarity: equal words,
+typos, nicknames, abbreviations, initials or acronyms. Verified links are
+closed into groups.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
+import itertools
 import math
 import re
 import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import company_key, name_key
@@ -34,39 +37,185 @@ JOINING = "y"
 SITES = frozenset("building campus center centre depot facility factory farm hub mill mine office plant port site station warehouse".split())
 # Given names and their short forms.
 NICKNAMES = {
-    "alexander": "alex sasha xander",
-    "amara": "mara",
-    "anthony": "tony ant",
-    "benjamin": "ben benny",
-    "charles": "charlie chuck",
-    "christopher": "chris kit topher",
-    "dolores": "lola",
-    "elizabeth": "beth betty eliza lisa liz lizzie",
-    "francisco": "paco pancho curro",
-    "friedrich": "fritz fred",
-    "guadalupe": "lupe lupita",
-    "henrik": "rik",
-    "ignacio": "nacho",
-    "ingrid": "inga",
-    "james": "jim jimmy jamie",
-    "johannes": "hannes hans jo",
-    "katherine": "kate kathy katie kitty",
-    "magdalena": "lena magda",
-    "margaret": "maggie meg peggy greta",
-    "michael": "mick mike mickey",
-    "nikolaus": "klaus niko nick",
-    "richard": "dick rick richie",
-    "robert": "bob bobby rob robbie",
-    "samuel": "sam sammy",
-    "theodore": "ted teddy theo",
-    "ulrich": "uli ulli",
-    "victoria": "tori vicky",
-    "william": "bill billy liam will willy",
-    "zofia": "zosia",
+    line.split(":")[0]: line.split(":")[1].split()
+    for line in """abraham:abe bram
+agnes:aggie
+albert:al bert bertie
+alejandro:ale jandro
+alexander:alex sandy sasha xander
+alexandra:alexa lexi sandra
+alfred:alf fred alfie
+amanda:mandy
+andrew:andy drew
+angela:angie
+anna:annie nan
+annabella:bella
+anthony:tony ant
+antonio:toni nio
+arthur:art artie
+barbara:barb babs barbie
+beatrice:bea trixie
+benjamin:ben benny benji
+bernard:bernie
+bernhard:bernd
+brigitte:gitte
+calvin:cal
+caroline:carrie caro lina
+catherine:cathy cat kate
+charles:charlie chuck chas
+charlotte:lottie charly
+christina:tina chrissie
+christoph:chris stoffel
+christopher:chris kit topher
+concepcion:concha conchita
+constance:connie
+cynthia:cindy
+daniel:dan danny
+david:dave davey
+deborah:deb debbie
+dolores:lola
+dominic:dom nick
+donald:don donny
+dorothea:dora thea
+dorothy:dot dottie
+douglas:doug
+eduard:edi ede
+eduardo:lalo edu
+edward:ed eddie ned ted
+eleanor:ellie nell nora
+elisabeth:elsa lisbeth liesel
+elizabeth:beth betty eliza lisa liz lizzie libby
+enrique:quique kike
+ernst:erni
+eugene:gene
+eva:evi
+ferdinand:ferdi
+florence:flo
+frances:fran fanny
+francis:frank
+francisco:paco pancho curro
+franziska:franzi
+frederick:fred freddie rick
+friedrich:fritz fred friedel
+gabriel:gabe
+gabriela:gabi
+georg:schorsch
+gerald:gerry
+gertrude:trudy gert
+gregory:greg
+guadalupe:lupe lupita
+guillermo:memo guille
+gustav:gustl
+hannelore:hanne lore
+harold:harry hal
+heinrich:heinz heiner
+helena:lena
+henrietta:etta hettie
+henrik:rik
+henry:harry hank
+herbert:herb
+ignacio:nacho
+isabella:bella izzy
+jacob:jake
+jacqueline:jackie
+jakob:jockel
+james:jim jimmy jamie
+janet:jan
+jeffrey:jeff
+jennifer:jen jenny
+jessica:jess jessie
+jesus:chucho chuy
+joachim:jochen achim
+johannes:hannes hans
+john:jack johnny
+jonathan:jon
+jose:pepe chepe
+josef:sepp
+josefa:pepa fefa
+joseph:joe joey
+joshua:josh
+judith:judy
+katharina:kathi kati
+katherine:kate kathy katie kitty
+kenneth:ken kenny
+konstantin:kosta
+lawrence:larry
+leonard:leo len lenny
+leopold:poldi
+lillian:lily lil
+louis:lou
+ludwig:wiggerl
+luis:lucho
+magdalena:lena magda leni
+manuel:manolo manny
+marcus:marc
+margaret:maggie meg peggy greta madge
+margarete:grete gretel
+maria:mia mitzi
+martha:marty patty
+martin:marty
+mathilde:tilda
+matthew:matt
+maximilian:max
+mercedes:merche
+michael:mick mike mickey
+mohammed:mo
+nathaniel:nat nate
+nicholas:nick nicky
+nicole:nicky
+nikolaus:klaus niko nick
+oliver:ollie
+pamela:pam
+patricia:pat patty tricia
+patrick:pat paddy
+peter:pete
+philip:phil pip
+rafael:rafa
+raymond:ray
+rebecca:becky becca
+reginald:reg reggie
+richard:dick rick richie rich
+robert:bob bobby rob robbie bert
+roberto:beto
+rodrigo:rodri
+rosalind:roz
+rosario:charo
+rosemary:rose romy
+salvador:chava
+samuel:sam sammy
+sebastian:basti seb
+sergio:checo
+siegfried:sigi
+sophia:sophie
+stanley:stan
+stephen:steve
+susanna:susi sanna
+susannah:sue susie
+teresa:tere
+theodore:ted teddy theo
+theresa:tess terry resi
+thomas:tom tommy
+timothy:tim
+ulrich:uli ulli
+ursula:uschi ursel
+valentina:tina val
+veronica:ronnie
+victor:vic
+victoria:tori vicky
+vincent:vince
+virginia:ginny
+walter:walt wally
+wilhelm:willi helmi
+wilhelmina:minna mina
+william:bill billy liam will willy
+yolanda:yoli
+zofia:zosia""".split("\n")
 }
 
-#: A token is common if names of this many companies have it, and at least one in ``COMMON_ONE_IN`` names.
-COMMON_COMPANIES, COMMON_ONE_IN = 3, 4000
+#: A token is common if names of this many companies have it.
+COMMON_COMPANIES = 3
+#: Common tokens that every worker holds; the rest is joined.
+HELD = 100_000
 #: A common token names a line of business if at least this share of its names has a legal form.
 ORG_SHARE = 0.15
 #: Smallest soft similarity of two names.
@@ -99,7 +248,11 @@ def _folded(name: str) -> list[tuple[str, bool]]:
     return out
 
 
-_SHORT = {s: full for full, shorts in NICKNAMES.items() for s in shorts.split()}
+#: Short form -> the given names that it may stand for.
+_SHORT: dict[str, list[str]] = {}
+for _full, _shorts in NICKNAMES.items():
+    for _s in _shorts:
+        _SHORT.setdefault(_s, []).append(_full)
 
 
 def near(a: str, b: str) -> bool:
@@ -128,8 +281,12 @@ def shortens(a: str, b: str) -> bool:
 class Vocabulary:
     """Common tokens with their counts; maps typed tokens to them."""
 
-    def __init__(self, counts: dict[str, int], org_share: dict[str, float], total: int):
+    def __init__(self, counts: dict[str, int], org_share: dict[str, float], total: int, nicknames: bool = True):
         self.counts, self.org_share, self.total = counts, org_share, max(2, total)
+        self.short = _SHORT if nicknames else {}
+        #: Common tokens of the name at hand that aren't held: token -> (count, share of legal forms).
+        self.more: dict[str, tuple[int, float]] = {}
+        self.known: dict[str, str | None] = {}
         self.by_delete: dict[str, list[str]] = {}
         for word in counts:
             for d in self._deletes(word):
@@ -142,13 +299,31 @@ class Vocabulary:
     def _deletes(word: str) -> set[str]:
         return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
 
+    def is_common(self, token: str) -> bool:
+        return token in self.counts or token in self.more
+
+    def is_line(self, token: str | None) -> bool:
+        """Whether a token names a line of business."""
+        share = self.org_share.get(token, 0.0) if token in self.counts else self.more.get(token, (0, 0.0))[1]
+        return share >= ORG_SHARE
+
     def canonical(self, token: str) -> str | None:
         """The common word that ``token`` stands for, or None."""
+        if token in self.more:
+            return token
+        if token not in self.known:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            self.known[token] = self._canonical(token)
+        return self.known[token]
+
+    def _canonical(self, token: str) -> str | None:
         own = self.counts.get(token, 0)
-        if token in _SHORT:
-            return _SHORT[token]
+        fulls = self.short.get(token)
+        if fulls:
+            return max(fulls, key=lambda w: (self.counts.get(w, 0), w))
         if len(token) >= 4 and not token.isdigit():
-            close = {w for d in self._deletes(token) for w in self.by_delete.get(d, ()) if w != token and len(w) >= 4 and self.counts[w] >= 10 * max(1, own) and near(token, w)}
+            close = {w for d in self._deletes(token) for w in self.by_delete.get(d, ()) if w != token and len(w) >= 4 and self.counts[w] >= (10 * own or 5) and near(token, w)}
             if close:
                 return max(close, key=lambda w: (self.counts[w], w))
         if len(token) >= 3 and token.isalpha():
@@ -159,43 +334,59 @@ class Vocabulary:
         return token if own else None
 
     def weight(self, token: str) -> float:
-        return math.log(1 + self.total / self.counts.get(token, 1))
+        n = self.counts.get(token) or self.more.get(token, (1, 0.0))[0]
+        return math.log(1 + self.total / n)
 
 
-def parse(name: str, vocabulary: Vocabulary) -> tuple[str, list[str], str] | None:
-    """(rare token, other tokens sorted, kind) of a name; None for a name without letters.
+def is_site(tokens: list[str], canonical: list[str | None], vocabulary: Vocabulary) -> bool:
+    """A name that ends in a word for a place, but for its number, or begins with one and names no line of business."""
+    named = [k for k, t in enumerate(tokens) if not t.isdigit()]
+    if not named or not any(t in SITES for t in tokens):
+        return False
+    return tokens[named[-1]] in SITES or (tokens[named[0]] in SITES and not any(vocabulary.is_line(c) for c, t in zip(canonical, tokens) if t not in SITES))
+
 
-    kind is ``org``, ``person`` or ``site``.
+def parse(name: str, vocabulary: Vocabulary) -> list[tuple[str, list[str], str]]:
+    """(rare token, other tokens sorted, kind) of a name, for each of its rare tokens; none for a name without letters or digits.
+
+    A name without a rare token has its least common one instead. kind is ``org``, ``person`` or ``site``.
     """
     folded = _folded(name)
     legal = any(t in LEGAL for t, _ in folded)
     kept = [x for x in folded if x[0] not in LEGAL and x[0] not in TITLES and x[0] not in IDLE] or [x for x in folded if x[0] not in IDLE]
     if not kept:
-        return None
+        return []
     words = [(t, vocabulary.canonical(t)) for t, _ in kept]
-    if legal or any(vocabulary.org_share.get(c, 0) >= ORG_SHARE for _, c in words):
+    if legal or any(vocabulary.is_line(c) for _, c in words):
         words = [w for k, w in enumerate(words) if not (kept[k][1] and 0 < k < len(words) - 1 and len(words[k - 1][0]) > 1 and len(words[k + 1][0]) > 1)]
-    rare = [t for t, c in words if c is None and len(t) > 1]
-    key = max(rare, key=lambda t: (len(t), t)) if rare else max((t for t, _ in words), key=lambda t: (len(t) > 1, vocabulary.weight(t), t))
-    rest, dropped = [], False
-    for t, c in words:
-        if t == key and not dropped:
-            dropped = True
-        else:
-            rest.append(c or t)
-    rest.sort()
-    if any(t in SITES or t.isdigit() for t in rest):
+    rare = {t for t, c in words if c is None and len(t) > 1 and not t.isdigit()}
+    keys = sorted(rare, key=lambda t: (-len(t), t)) or [max(words, key=lambda w: (len(w[0]) > 1, vocabulary.weight(w[1] or w[0]), w[0]))[0]]
+    if is_site([t for t, _ in words], [c for _, c in words], vocabulary):
         kind = "site"
-    elif legal or any(vocabulary.org_share.get(t, 0) >= ORG_SHARE for t in rest):
+    elif legal or any(vocabulary.is_line(c or t) for t, c in words if t not in rare):
         kind = "org"
     else:
         kind = "person"
-    return key, rest, kind
+    out = []
+    for key in keys:
+        rest, dropped = [], False
+        for t, c in words:
+            if t == key and not dropped:
+                dropped = True
+            else:
+                rest.append(c or t)
+        out.append((key, sorted(rest), kind))
+    return out
+
+
+def near_keys(a: str, b: str) -> bool:
+    """Rare tokens that may be one: in words under five letters a typo that exchanges one letter for another makes another word."""
+    return near(a, b) and (min(len(a), len(b)) >= 5 or a == b or len(a) != len(b) or sorted(a) == sorted(b))
 
 
 def compare(key_a: str, a: list[str], kind_a: str, key_b: str, b: list[str], kind_b: str, vocabulary: Vocabulary) -> tuple[float, str]:
     """(similarity, weak): 0 if the names can't be one entity; ``weak`` is a given name matched by an initial alone."""
-    if "site" in (kind_a, kind_b) or not near(key_a, key_b):
+    if "site" in (kind_a, kind_b) or not near_keys(key_a, key_b):
         return 0.0, ""
     if len(a) > len(b):
         a, b = b, a
@@ -206,11 +397,13 @@ def compare(key_a: str, a: list[str], kind_a: str, key_b: str, b: list[str], kin
         for u in left:
             if t == u:
                 s = 1.0 if len(t) > 1 else 0.8
+            elif t.isdigit() or u.isdigit():
+                s = 0.0
             elif len(t) == 1 or len(u) == 1:
                 s = 0.7 if t[0] == u[0] else 0.0
-            elif len(t) >= 4 and len(u) >= 4 and near(t, u) and not (t in vocabulary.counts and u in vocabulary.counts):
+            elif len(t) >= 4 and len(u) >= 4 and near(t, u) and not (vocabulary.is_common(t) and vocabulary.is_common(u)):
                 s = 0.9
-            elif (t not in vocabulary.counts and shortens(t, u)) or (u not in vocabulary.counts and shortens(u, t)):
+            elif (not vocabulary.is_common(t) and shortens(t, u)) or (not vocabulary.is_common(u) and shortens(u, t)):
                 s = 0.8
             else:
                 s = 0.0
@@ -218,7 +411,7 @@ def compare(key_a: str, a: list[str], kind_a: str, key_b: str, b: list[str], kin
                 best, how = u, s
         if best is None:
             rest = [u[0] for u in left]
-            if len(t) >= 2 and sorted(t) == sorted(rest) and len(rest) >= 2 and t not in vocabulary.counts:
+            if len(t) >= 2 and sorted(t) == sorted(rest) and len(rest) >= 2 and not vocabulary.is_common(t):
                 matched += 0.8 * sum(vocabulary.weight(u) for u in left)
                 left, firm = [], True
                 continue
@@ -241,62 +434,101 @@ def compare(key_a: str, a: list[str], kind_a: str, key_b: str, b: list[str], kin
     return (same * rare + matched) / (rare + max(weights, matched)), "" if firm else weak
 
 
+def forms_of(rest: list[str], vocabulary: Vocabulary) -> list[tuple[str, bool]]:
+    """(form, own) under which the other tokens of a name can meet those of another that ``compare`` may accept.
+
+    A form is the tokens in order, with initials as ``w~``. Own forms are the tokens
+    themselves, with some of the initials or none, those with a letter of one token
+    that isn't common left out, which meet those of its typos, and acronyms. Any
+    token but an own initial may also be met by its initial: two names meet if one
+    has the form as its own.
+    """
+    full, initials = [t for t in rest if len(t) > 1], [f"{t}~" for t in rest if len(t) == 1]
+    tails = {tuple(sorted(c)) for n in range(len(initials) + 1) for c in itertools.combinations(initials, n)} if len(initials) <= 4 else {(), tuple(sorted(initials))}
+    if not full and initials:
+        tails.discard(())
+    forms: dict[str, bool] = {}
+    for tail in tails:
+        forms[" ".join(sorted([*full, *tail]))] = True
+        for k, t in enumerate(full):
+            others = [*full[:k], *full[k + 1 :], *tail]
+            if not vocabulary.is_common(t):
+                for i in range(len(t)):
+                    forms.setdefault(" ".join(sorted([*others, t[:i] + t[i + 1 :] + "-"])), True)
+                forms.setdefault(" ".join(sorted([*others, f"{t}-"])), True)
+                forms.setdefault(" ".join(sorted([*others, f"{t[0]}~"])), True)
+            else:
+                forms.setdefault(" ".join(sorted([*others, f"{t[0]}~"])), False)
+    if len(rest) >= 2:
+        forms.setdefault("".join(sorted(t[0] for t in rest)) + "=", True)
+        forms[" ".join(sorted(f"{t[0]}~" for t in rest))] = forms.get(" ".join(sorted(f"{t[0]}~" for t in rest)), not full)
+    elif len(full) == 1 and not vocabulary.is_common(full[0]):
+        forms.setdefault("".join(sorted(full[0])) + "=", True)
+    return list(forms.items())
+
+
+# Letters and digits, those that names seldom have first, and what they are ordered as.
+_BY_RARITY = ("qxzjwyvkfgpbdchmutlsornieaQ0123456789", "abcdefghijklmnopqrstuvwxyz{0123456789")
+
+
 def _grams(c):
+    """3-grams of a padded token, those of seldom letters first; a short token also has what is left of it without each of its letters."""
     padded = F.concat(F.lit("#"), c, F.lit("$"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substring(padded, i, F.lit(3))))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substring(padded, i, F.lit(3))))
+    first = F.slice(F.transform(F.array_sort(F.transform(grams, lambda g: F.struct(F.translate(g, *_BY_RARITY).alias("o"), g.alias("g")))), lambda x: x["g"]), 1, 5)
+    without = F.transform(F.sequence(F.lit(0), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), F.greatest(i - 1, F.lit(0))), F.when(i > 0, F.substring(c, i + 1, F.length(c))).otherwise(c), F.lit("-")))
+    return F.when(F.length(c) < 7, F.array_distinct(without)).otherwise(F.array_distinct(F.concat(first, F.when(F.length(c) == 7, without).otherwise(F.array().cast("array<string>")))))
 
 
 def similar_keys(keys: DataFrame) -> DataFrame:
-    """(company, key_a, key_b) of rare tokens at most one edit or swap apart, both orders and equal ones.
+    """(company, key_a, key_b), the smaller first, of rare tokens at most one edit or swap apart.
 
-    One such edit touches at most four of a token's 3-grams, so of the five rarest
-    grams of either token at least one is shared: only those are joined.
+    One such edit touches at most four of a token's 3-grams, so of the first five
+    grams of either token, in one order of all grams, at least one is shared: only
+    those are joined. Tokens of six letters or less meet by what one deletion leaves,
+    those of seven by both.
     """
-    grams = keys.select("company", "key", F.explode(_grams(F.col("key"))).alias("gram"))
-    counted = grams.groupBy("company", "gram").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("company", "key").orderBy("n", "gram")
-    prefix = grams.join(counted, ["company", "gram"]).withColumn("r", F.row_number().over(order)).where("r <= 5").select("company", "gram", "key")
+    prefix = keys.select("company", "key", F.explode(_grams(F.col("key"))).alias("gram"))
     a, b = prefix.withColumnRenamed("key", "key_a"), prefix.withColumnRenamed("key", "key_b")
     letters = lambda c: F.array_sort(F.split(c, ""))
     distance = F.levenshtein("key_a", "key_b", 2)
-    pairs = (
-        a.join(b, ["company", "gram"])
-        .where((F.col("key_a") < F.col("key_b")) & (F.abs(F.length("key_a") - F.length("key_b")) <= 1) & (F.least(F.length("key_a"), F.length("key_b")) >= 5))
-        .select("company", "key_a", "key_b")
-        .distinct()
-        .where(distance.isin(0, 1) | ((distance == 2) & (letters("key_a") == letters("key_b"))))
-    )
-    return pairs.unionByName(pairs.select("company", F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b"))).unionByName(keys.select("company", F.col("key").alias("key_a"), F.col("key").alias("key_b")))
+    met = a.join(b, (a["company"] == b["company"]) & (a["gram"] == b["gram"]) & (F.col("key_a") < F.col("key_b")) & (F.abs(F.length("key_a") - F.length("key_b")) <= 1)).select(a["company"], "key_a", "key_b")
+    return met.where(distance.isin(0, 1) | ((distance == 2) & (letters("key_a") == letters("key_b")))).distinct()
 
 
-def _token_stats(forms: DataFrame) -> DataFrame:
+def _form_tokens(forms: DataFrame) -> DataFrame:
+    """(company, name, token, legal): the distinct tokens of each name, and whether it has a legal form."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            company, token, legal = [], [], []
-            for c, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            at, token, legal = [], [], []
+            for k, name in enumerate(batch.column(1).to_pylist()):
                 tokens = set(fold_tokens(name))
-                has = bool(tokens & LEGAL)
-                for t in tokens:
-                    company.append(c)
-                    token.append(t)
-                    legal.append(has)
-            yield pa.RecordBatch.from_arrays([pa.array(company, pa.string()), pa.array(token, pa.string()), pa.array(legal, pa.bool_())], names=["company", "token", "legal"])
-
-    tokens = forms.select("company", "name").mapInArrow(run, "company string, token string, legal boolean")
-    per_company = tokens.groupBy("token", "company").agg(F.count("*").alias("n"), F.count_if("legal").alias("n_legal"))
+                at += [k] * len(tokens)
+                token += tokens
+                legal += [bool(tokens & LEGAL)] * len(tokens)
+            rows = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(token, pa.string()), pa.array(legal, pa.bool_())], names=["company", "name", "token", "legal"])
+
+    return forms.select("company", "name").mapInArrow(run, "company string, name string, token string, legal boolean")
+
+
+def _token_stats(forms: DataFrame) -> DataFrame:
+    per_company = _form_tokens(forms).groupBy("token", "company").agg(F.count("*").alias("n"), F.count_if("legal").alias("n_legal"))
     return per_company.groupBy("token").agg(F.sum("n").alias("n"), F.sum("n_legal").alias("n_legal"), F.count("*").alias("companies"))
 
 
-def entity_groups(df: DataFrame, id_col: str = "entity_id", company_col: str = "company", name_col: str = "entity_name") -> DataFrame:
+def entity_groups(df: DataFrame, id_col: str = "entity_id", company_col: str = "company", name_col: str = "entity_name", nicknames: bool = True, held: int = HELD) -> DataFrame:
     """(entity_id, company, group_id) of entities whose names are those of persons or organisations.
 
     * Rows with a null id, or a null name or one without letters or digits, are in no group.
     * Companies compare trimmed and lower-cased, null being one of its own; the
       type column is not read, nor is any other.
-    * Names of sites, and all with numbers, are in no group. A group may have one id.
-    * Common tokens are those of at least ``COMMON_COMPANIES`` companies and one in
-      ``COMMON_ONE_IN`` names, so their number is bounded by tokens per name times
-      ``COMMON_ONE_IN``, which bounds what the driver gathers.
+    * Names of sites are in no group. A group may have one id.
+    * Common tokens are those of at least ``COMMON_COMPANIES`` companies, whatever the
+      size of the table. ``held`` bounds those that workers hold, the most frequent: only
+      they are read out of typos and abbreviations; others are known by a join.
+    * ``nicknames`` turns the list of given names and their short forms on.
     """
     rows = df.select(
         F.col(id_col).cast("string").alias("id"), F.coalesce(company_key(company_col), F.lit("")).alias("company"), name_key(name_col).alias("name")
@@ -304,38 +536,58 @@ def entity_groups(df: DataFrame, id_col: str = "entity_id", company_col: str = "
     members = cut(rows.distinct())
     forms = members.select("company", "name").distinct()
     total = forms.count()
-    floor = max(3, total // COMMON_ONE_IN)
-    stats = _token_stats(forms).where((F.col("companies") >= COMMON_COMPANIES) & (F.col("n") >= floor) & (F.length("token") > 1)).collect()
-    stats = [r for r in stats if r.token not in LEGAL | TITLES | IDLE]
-    vocabulary = Vocabulary({r.token: r.n for r in stats}, {r.token: r.n_legal / r.n for r in stats}, total)
+    stats = cut(_token_stats(forms).where((F.col("companies") >= COMMON_COMPANIES) & (F.length("token") > 1) & ~F.col("token").isin(*(LEGAL | TITLES | IDLE))))
+    sizes = {r.b: r.n for r in stats.groupBy(F.floor(4 * F.log2("n")).alias("b")).agg(F.count("*").alias("n")).collect()}
+    floor, room = 1 << 40, held
+    for b in sorted(sizes, reverse=True):
+        room -= sizes[b]
+        if room < 0:
+            break
+        floor = b
+    kept = stats.where(F.floor(4 * F.log2("n")) >= floor).collect()
+    vocabulary = Vocabulary({r.token: r.n for r in kept}, {r.token: r.n_legal / r.n for r in kept}, total, nicknames)
+    known = forms.withColumn("more", F.lit(None).cast("array<struct<token: string, n: bigint, share: double>>"))
+    if room < 0:
+        others = stats.where(F.floor(4 * F.log2("n")) < floor).select("token", "n", (F.col("n_legal") / F.col("n")).alias("share"))
+        each = _form_tokens(forms).join(others, "token").groupBy("company", "name").agg(F.collect_list(F.struct("token", "n", "share")).alias("more"))
+        known = forms.join(each, ["company", "name"], "left")
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [(c, n, p) for c, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (p := parse(n, vocabulary))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2][0] for g in got], pa.string()), pa.array([g[2][1] for g in got], pa.list_(pa.string())), pa.array([g[2][2] for g in got], pa.string())],
-                names=["company", "name", "key", "rest", "kind"],
-            )
-
-    named = forms.mapInArrow(parsed, "company string, name string, key string, rest array<string>, kind string").where("kind <> 'site'")
-    signed = cut(named.withColumn("sig", F.sha2(F.concat_ws("\u0001", "company", "key", F.array_join("rest", " "), "kind"), 256)))
-    sigs = signed.select("sig", "company", "key", "rest", "kind").distinct()
+            got = []
+            for c, n, more in zip(*(x.to_pylist() for x in batch.columns)):
+                vocabulary.more = {m["token"]: (m["n"], m["share"]) for m in more or ()}
+                for key, rest, kind in parse(n, vocabulary):
+                    if kind != "site":
+                        met = forms_of(rest, vocabulary)
+                        sig = hashlib.blake2b("\x01".join([c, kind, *sorted([key, *rest])]).encode("utf-8", "replace"), digest_size=16).hexdigest()
+                        got.append((c, n, sig, key, rest, kind, [f for f, own in met if own], [f for f, own in met if not own], more))
+            cols = list(zip(*got)) or [()] * 9
+            lists = pa.list_(pa.string())
+            kinds = [pa.string()] * 4 + [lists, pa.string(), lists, lists, batch.schema.field(2).type]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds)], names=["company", "name", "sig", "key", "rest", "kind", "own", "other", "more"])
+
+    signed = cut(known.mapInArrow(parsed, "company string, name string, sig string, key string, rest array<string>, kind string, own array<string>, other array<string>, more array<struct<token: string, n: bigint, share: double>>"))
+    sigs = signed.drop("name").dropDuplicates(["sig", "key"])
     keys = sigs.select("company", "key").distinct()
-    blocks = sigs.select("sig", "company", "key", "rest", "kind", F.explode(F.when(F.size("rest") > 0, F.array_distinct(F.transform("rest", lambda t: F.left(t, F.lit(1))))).otherwise(F.array(F.lit("")))).alias("initial"))
-    side = lambda s: blocks.select("company", "initial", *[F.col(c).alias(f"{c}_{s}") for c in ("sig", "key", "rest", "kind")])
+    alike = similar_keys(keys)
+    met = keys.select("company", "key", F.col("key").alias("head")).unionByName(alike.select("company", F.col("key_b").alias("key"), F.col("key_a").alias("head")))
+    headed = sigs.join(met, ["company", "key"])
+    cells = headed.select("company", "head", "sig", "key", "rest", "kind", "more", F.explode(F.concat(F.transform("own", lambda f: F.struct(f.alias("form"), F.lit(True).alias("mine"))), F.transform("other", lambda f: F.struct(f.alias("form"), F.lit(False).alias("mine"))))).alias("f"))
+    side = lambda s: cells.select("company", "head", F.col("f.form").alias("form"), F.col("f.mine").alias(f"mine_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("sig", "key", "rest", "kind", "more")])
     candidates = (
-        similar_keys(keys)
-        .join(side("a"), ["company", "key_a"])
-        .join(side("b"), ["company", "key_b", "initial"])
-        .where("sig_a < sig_b")
-        .select("sig_a", "key_a", "rest_a", "kind_a", "sig_b", "key_b", "rest_b", "kind_b")
-        .distinct()
+        side("a").where("mine_a")
+        .join(side("b"), ["company", "head", "form"])
+        .where("sig_a <> sig_b and (not mine_b or sig_a < sig_b) and (key_a = head or key_b = head)")
+        .select("sig_a", "key_a", "rest_a", "kind_a", "more_a", "sig_b", "key_b", "rest_b", "kind_b", "more_b")
+        .dropDuplicates(["sig_a", "key_a", "sig_b", "key_b"])
     )
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, weak, at = [], [], [], []
-            for sa, ka, ra, da, sb, kb, rb, db in zip(*(c.to_pylist() for c in batch.columns)):
+            for sa, ka, ra, da, ma, sb, kb, rb, db, mb in zip(*(c.to_pylist() for c in batch.columns)):
+                vocabulary.more = {m["token"]: (m["n"], m["share"]) for m in (*(ma or ()), *(mb or ()))}
                 score, w = compare(ka, ra, da, kb, rb, db, vocabulary)
                 if score >= LEAST:
                     initials = sa if not any(len(t) > 1 for t in ra) else sb
@@ -349,7 +601,8 @@ def entity_groups(df: DataFrame, id_col: str = "entity_id", company_col: str = "
     unclear = edges.where("initials is not null").groupBy("initials").agg(F.count_distinct("given").alias("n")).where("n > 1").select("initials")
     links = edges.join(unclear, "initials", "left_anti").select("src", "dst")
     components = connected_components(links)
-    grouped = signed.select("company", "name", "sig").join(components.withColumnRenamed("id", "sig"), "sig", "left").select("company", "name", F.coalesce("component", "sig").alias("group_id"))
+    named = signed.select("company", "name", "sig").distinct()
+    grouped = named.join(components.withColumnRenamed("id", "sig"), "sig", "left").select("company", "name", F.coalesce("component", "sig").alias("group_id"))
     return members.join(grouped, ["company", "name"]).select(F.col("id").alias("entity_id"), "company", "group_id").distinct()
 
 

@@ -1,4 +1,6 @@
-from lodestrata.llm.names import Vocabulary, compare, entity_groups, entity_pairs, fold_tokens, near, parse
+import random
+
+from lodestrata.llm.names import NICKNAMES, Vocabulary, compare, entity_groups, entity_pairs, fold_tokens, forms_of, near, near_keys, parse, similar_keys
 
 COMMON = {t: 60 for t in "william richard guadalupe katherine energy holdings logistics university partnership engineering solar laboratories capital plant campus".split()}
 ORG = dict.fromkeys("energy holdings logistics university partnership engineering solar laboratories capital".split(), 0.7)
@@ -6,7 +8,16 @@ V = Vocabulary(COMMON, {t: ORG.get(t, 0.0) for t in COMMON}, 3000)
 
 
 def same(a, b):
-    return compare(*parse(a, V), *parse(b, V), V)[0] >= 0.6
+    """Some of the names' rare tokens meet, under forms that meet, and the rest aligns."""
+    for key_a, rest_a, kind_a in parse(a, V):
+        for key_b, rest_b, kind_b in parse(b, V):
+            forms_a, forms_b = dict(forms_of(rest_a, V)), dict(forms_of(rest_b, V))
+            met = any(forms_a[f] or forms_b[f] for f in forms_a.keys() & forms_b.keys())
+            close = compare(key_a, rest_a, kind_a, key_b, rest_b, kind_b, V)[0] >= 0.6
+            assert met or not close, (a, b)
+            if met and close:
+                return True
+    return False
 
 
 def test_folding():
@@ -53,3 +64,43 @@ def test_groups(spark):
     got = {tuple(r) for r in entity_pairs(entity_groups(df)).collect()}
     assert got == {("a", "b"), ("a", "c"), ("b", "c"), ("g", "h")}
     assert entity_pairs(entity_groups(df.where("false"))).count() == 0
+
+
+def test_numbers_and_places_inside_names_are_no_sites():
+    assert same("3 Rivers Kesanisek Holdings", "3 RIVERS KESANISEK HOLDINGS LTD") and not same("3 Rivers Kesanisek Holdings", "4 Rivers Kesanisek Holdings")
+    assert same("North Mill Kesanisek Partnership", "Kesanisek North Mill Ptnrship")
+    assert {k for _, _, k in parse("Kesanisek Plant 2", V)} == {k for _, _, k in parse("Plant Kesanisek", V)} == {"site"} and not same("Kesanisek Energy Plant", "Kesanisek Energy")
+    assert {k for _, _, k in parse("Mill Road Holdings", V)} == {"org"}
+
+
+def test_short_and_several_rare_tokens():
+    assert near_keys("kane", "kaen") and near_keys("kane", "kanne") and not near_keys("kane", "kame") and near_keys("zetragon", "zetrogon")
+    assert same("Zetragon Quistolem", "Qiustolem Zetragon") and len(parse("Zetragon Quistolem", V)) == 2
+    assert len(NICKNAMES) < 200
+
+
+def test_keys_that_meet_against_brute_force(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdeqz") for _ in range(rng.randrange(2, 11))) for _ in range(150)]
+    for w in words[:100]:
+        k = rng.randrange(len(w))
+        words += [w[:k] + w[k + 1 :], w[:k] + rng.choice("abcz") + w[k:], w[:k] + rng.choice("abcz") + w[k + 1 :], w[:k] + w[k + 1 : k + 2] + w[k] + w[k + 2 :]]
+    words = sorted({w for w in words if w})
+    got = {(r.key_a, r.key_b) for r in similar_keys(spark.createDataFrame([("c", w) for w in words], "company string, key string")).collect()}
+    want = {(a, b) for a in words for b in words if a < b and near(a, b)}
+    assert want <= got
+
+
+def test_ten_times_the_companies_group_alike(spark):
+    given = ["William", "Richard", "Guadalupe", "Katherine"]
+
+    def found(times):
+        rows = [(f"{t}-{c}-{i}-{g}", f"co{t}-{c}", f"{g} Sur{'abcdefgh'[i] * 2}stol{chr(97 + t)}n{c}") for t in range(times) for c in range(4) for i in range(5) for g in given]
+        rows += [(f"{t}-x{k}", f"co{t}-1", n) for t in range(times) for k, n in enumerate(["Willaim Zetragon", "Zetragon, W.", "Bill Zetragon", "Richard Zetragon"])]
+        df = spark.createDataFrame(rows, "entity_id string, company string, entity_name string")
+        return {tuple(r) for r in entity_pairs(entity_groups(df)).collect()}, {tuple(r) for r in entity_pairs(entity_groups(df, held=2)).collect()}
+
+    one, few = found(1)
+    assert one == {("0-x0", "0-x1"), ("0-x0", "0-x2"), ("0-x1", "0-x2")} and few <= one
+    ten, _ = found(10)
+    assert {p for p in ten if p[0].startswith("0-")} == one and len(ten) == 30
