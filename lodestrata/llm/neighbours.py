@@ -4,8 +4,10 @@ A forest of random-projection trees is fitted on a bounded sample; every vector
 is then indexed. One priority queue per vector runs over all trees: it first
 yields the vector's own leaf in each tree, then the leaves beyond the splits it
 passed most narrowly. Vectors meet in leaves, where cosines are computed
-exactly by blocks, and the best ``k`` over all leaves remain. Exact copies
-(equal after normalising) are one indexed vector and are expanded afterwards.
+exactly, and the best ``k`` over all leaves remain. Leaves are large, so that
+few copies of a vector are moved; a leaf that the sample can't split down to
+size is split again by a tree of its own within its task. Exact copies (equal
+after normalising) are one indexed vector and are expanded afterwards.
 """
 
 from __future__ import annotations
@@ -22,9 +24,10 @@ from lodestrata.session import cut
 
 #: Vectors that the forest is fitted on at most; all vectors are indexed.
 FIT_SAMPLE = 40_000
-TREES, LEAF, BLOCK = 3, 512, 4096
-#: Leaves beyond a vector's own: for close neighbours (cosine from ``CLOSE``) only, and for any.
-PROBES_CLOSE, PROBES_ANY, CLOSE = 2, 40, 0.8
+#: Trees, members of a leaf, and leaves that a vector visits beyond its own.
+TREES, LEAF, PROBES = 2, 8192, 3
+#: Members and visitors of a leaf that one task compares at most, as far as the sample tells.
+BLOCK, VISITORS = 32_768, 131_072
 
 
 class Forest:
@@ -65,8 +68,15 @@ class Forest:
         self.planes = np.array(planes, dtype=np.float32).reshape(-1, dim)
         self.cuts = np.array(cuts, dtype=np.float32)
         self.kids = np.array(kids, dtype=np.int32).reshape(-1, 2)
-        #: Blocks that a leaf is compared in, by its expected size.
+        #: Blocks of members and parts of visitors that a leaf is compared in, by what is expected of it.
         self.blocks = np.maximum(1, np.ceil(np.array(leaves) / block)).astype(np.int32)
+        self.parts = np.ones(len(leaves), dtype=np.int32)
+
+    def expect(self, sample: np.ndarray, total: int, probes: int, visitors: int = VISITORS) -> None:
+        """Sets the parts of visitors from those that the sample's vectors would be."""
+        leaves = self.search(sample, probes)
+        visits = np.bincount(leaves[leaves >= 0], minlength=len(self.parts)) * (total / max(1, len(sample)))
+        self.parts = np.maximum(1, np.ceil(visits / visitors)).astype(np.int32)
 
     def search(self, x: np.ndarray, probes: int) -> np.ndarray:
         """Leaves by priority, (rows, trees + probes); the first of each tree is the own leaf; -1 for none left."""
@@ -120,8 +130,11 @@ def _unit(dim: int):
     return run
 
 
-def _emit(forest: Forest, dim: int, probes: int):
+def _emit(shared, dim: int, probes: int):
+    """Each vector as a visitor of its leaves, in one part of every block; as a member of its own leaves, in its block of every part."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest: Forest = shared.value
         trees = len(forest.roots)
         for whole in batches:
             for lo in range(0, whole.num_rows, 4096):
@@ -131,62 +144,96 @@ def _emit(forest: Forest, dim: int, probes: int):
                 leaves = forest.search(x, probes)
                 row, col = np.nonzero(leaves >= 0)
                 leaf, own = leaves[row, col], col < trees
-                home = (keys[row] % forest.blocks[leaf]).astype(np.int32)
-                for b in range(int(forest.blocks[leaf].max(initial=1))):
-                    on = np.flatnonzero(forest.blocks[leaf] > b)
-                    if len(on):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(leaf[on]), pa.array(np.full(len(on), b, dtype=np.int32)), pa.array(own[on] & (home[on] == b)), batch.column(0).take(pa.array(row[on])), batch.column(1).take(pa.array(row[on]))],
-                            names=["leaf", "block", "own", "key", "vec"],
-                        )
+                blocks, parts = forest.blocks[leaf], forest.parts[leaf]
+                home, seat = (keys[row] % blocks).astype(np.int32), ((keys[row] >> 20) % parts).astype(np.int32)
+                for b in range(int(blocks.max(initial=1))):
+                    for p in range(int(parts.max(initial=1))):
+                        visits = seat == p
+                        member = own & (home == b)
+                        on = np.flatnonzero((blocks > b) & (parts > p) & (visits | member))
+                        if len(on):
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(leaf[on]), pa.array(np.full(len(on), b * (1 << 15) + p, dtype=np.int32)), pa.array(member[on]), pa.array(visits[on]), batch.column(0).take(pa.array(row[on])), batch.column(1).take(pa.array(row[on]))],
+                                names=["leaf", "block", "own", "visits", "key", "vec"],
+                            )
 
     return run
 
 
-def _compare(dim: int, k: int, least: float):
-    """The best ``k`` own members of a leaf block for each of its rows."""
+def best_of(x: np.ndarray, keys: np.ndarray, m: np.ndarray, m_keys: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of ``x``, members, cosines): the best ``k`` members other than itself for each row, from ``least``.
+
+    The best ``k`` of all columns are in the ``k`` groups of columns with the greatest maxima.
+    """
+    wide = -(-len(m) // 64) * 64
+    groups = wide // 64
+    out = []
+    for lo in range(0, len(x) if len(m) else 0, 512):
+        s = np.full((min(512, len(x) - lo), wide), -2, dtype=np.float32)
+        s[:, : len(m)] = x[lo : lo + 512] @ m.T
+        at = np.searchsorted(m_keys, keys[lo : lo + 512]).clip(0, len(m_keys) - 1)
+        same = np.flatnonzero(m_keys[at] == keys[lo : lo + 512])
+        s[same, at[same]] = -2
+        by_group = s.reshape(len(s), groups, 64)
+        top = by_group.max(axis=2)
+        rows = np.flatnonzero(top.max(axis=1) > max(least - 1e-4, -1.5))
+        if not len(rows):
+            continue
+        few = min(k, groups)
+        g = np.argpartition(-top[rows], few - 1, axis=1)[:, :few] if groups > few else np.broadcast_to(np.arange(groups), (len(rows), groups))
+        near = by_group[rows[:, None], g].reshape(len(rows), -1)
+        j = np.argpartition(-near, k - 1, axis=1)[:, :k] if near.shape[1] > k else np.broadcast_to(np.arange(near.shape[1]), near.shape)
+        value = np.take_along_axis(near, j, 1)
+        r, c = np.nonzero(value > max(least - 1e-4, -1.5))
+        q = rows[r] + lo
+        col = g[r, j[r, c] // 64] * 64 + j[r, c] % 64
+        exact = np.einsum("ij,ij->i", x[q].astype(np.float64), m[col].astype(np.float64))
+        fine = exact >= least
+        out.append((q[fine], col[fine], exact[fine]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(p) for p in zip(*out))
+
+
+def _compare(dim: int, k: int, least: float, probes: int, leaf: int):
+    """The best ``k`` own members of a leaf block for each of its visitors; many members are split again by a tree of their own."""
 
     def run(table: pa.Table) -> pa.Table:
         keys = table.column("key").to_numpy()
-        x = np.frombuffer(b"".join(table.column("vec").to_pylist()), dtype=np.float32).reshape(-1, dim)
-        own = np.flatnonzero(table.column("own").to_numpy())
-        out_q, out_m, out_c = [], [], []
-        m, m_keys = x[own], keys[own]
-        for lo in range(0, len(x) if len(own) else 0, 1024):
-            s = x[lo : lo + 1024] @ m.T
-            s[keys[lo : lo + 1024, None] == m_keys[None, :]] = -2
-            if s.shape[1] > k:
-                top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-            else:
-                top = np.broadcast_to(np.arange(s.shape[1]), s.shape)
-            best = np.take_along_axis(s, top, 1)
-            r, c = np.nonzero(best > max(least - 1e-4, -1.5))
-            q, j = lo + r, top[r, c]
-            exact = np.einsum("ij,ij->i", x[q].astype(np.float64), m[j].astype(np.float64))
-            fine = exact >= least
-            out_q.append(keys[q[fine]])
-            out_m.append(m_keys[j[fine]])
-            out_c.append(exact[fine])
-        join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
-        return pa.table({"q": join(out_q, pa.int64()), "m": join(out_m, pa.int64()), "cosine": join(out_c, pa.float64())})
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        x = np.frombuffer(b"".join(table.column("vec").to_pylist()), dtype=np.float32).reshape(-1, dim)[order]
+        own, visits = (np.flatnonzero(table.column(c).to_numpy()[order]) for c in ("own", "visits"))
+        parts = []
+        if len(own) > 2 * leaf:
+            forest = Forest(x[own], len(own), 1, leaf)
+            home, asked = forest.search(x[own], 0)[:, 0], forest.search(x[visits], probes)
+            for n in np.unique(home):
+                m, v = own[home == n], visits[(asked == n).any(axis=1)]
+                q, j, cosine = best_of(x[v], keys[v], x[m], keys[m], k, least)
+                parts.append((keys[v[q]], keys[m[j]], cosine))
+        else:
+            q, j, cosine = best_of(x[visits], keys[visits], x[own], keys[own], k, least)
+            parts.append((keys[visits[q]], keys[own[j]], cosine))
+        a, b, c = (np.concatenate(p) for p in zip(*parts))
+        return pa.table({"q": pa.array(a, pa.int64()), "m": pa.array(b, pa.int64()), "cosine": pa.array(c, pa.float64())})
 
     return run
 
 
-def nearest(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, min_cosine: float | None = None, trees: int = TREES, probes: int | None = None) -> DataFrame:
+def nearest(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, min_cosine: float | None = None, trees: int = TREES, probes: int = PROBES, leaf: int = LEAF, block: int = BLOCK, visitors: int = VISITORS) -> DataFrame:
     """(id, neighbour, cosine, rank): the ``k`` most similar other vectors of each vector.
 
     * Vectors that are null, not of ``dim`` values, all zero or not finite take no part;
       null ids don't either. Rows of an id with one vector are one vector; should its
       vectors differ, each counts and the best cosine holds.
-    * ``min_cosine`` leaves out less similar neighbours, which never changes the rest.
-    * ``probes`` is by default few where ``min_cosine`` asks for close neighbours only, which
-      share leaves, and many otherwise; more probes find more of distant neighbours.
+    * ``min_cosine`` leaves out less similar neighbours, which never changes the rest: all
+      else is done alike with and without it.
+    * Up to ``leaf`` vectors the result is exact; beyond, more ``probes`` find more.
     * Equal cosines go by the smaller neighbour id. Exact copies are neighbours at 1.
     * An empty table gives no rows; columns other than the two are not read.
     """
     least = -1.0 if min_cosine is None else min_cosine
-    probes = (PROBES_CLOSE if least >= CLOSE else PROBES_ANY) if probes is None else probes
     usable = df.select(F.col(id_col).cast("string").alias("id"), F.col(vec_col).cast("array<float>").alias("vec")).where(F.col("id").isNotNull() & (F.size("vec") == dim) & ~F.exists("vec", lambda v: v.isNull()))
     unit = usable.mapInArrow(_unit(dim), "id string, vec binary, key long")
     units = cut(unit)
@@ -198,12 +245,14 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, min_
     keep = min(1.0, FIT_SAMPLE / total)
     some = reps if keep == 1 else reps.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(keep * 950_000))
     sample = np.array([np.frombuffer(r.vec, dtype=np.float32) for r in some.orderBy("key").select("vec").collect()])
-    forest = Forest(sample, total, trees)
+    forest = Forest(sample, total, trees if total > leaf else 1, leaf, block)
+    forest.expect(sample, total, probes, visitors)
+    shared = df.sparkSession.sparkContext.broadcast(forest)
     met = (
         reps.select("key", "vec")
-        .mapInArrow(_emit(forest, dim, probes), "leaf int, block int, own boolean, key long, vec binary")
+        .mapInArrow(_emit(shared, dim, probes), "leaf int, block int, own boolean, visits boolean, key long, vec binary")
         .groupBy("leaf", "block")
-        .applyInArrow(_compare(dim, k, least), "q long, m long, cosine double")
+        .applyInArrow(_compare(dim, k, least, probes, leaf), "q long, m long, cosine double")
     )
     both = met.select(F.explode(F.array(F.struct("q", "m", "cosine"), F.struct(F.col("m").alias("q"), F.col("q").alias("m"), F.col("cosine")))).alias("p")).select("p.*")
     by_q = Window.partitionBy("q").orderBy(F.col("cosine").desc(), "m")

@@ -36,6 +36,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return found
 
 
+def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar vectors, however far, of every vector whose number is divisible by 100: chosen from the neighbours of all."""
+    near = neighbours.nearest(table(spark, d, "entity_embeddings"), "entity_id", "embedding", 64, 5)
+    return near.where(F.regexp_extract("id", "([0-9]+)$", 1).cast("bigint") % 100 == 0).select("id", "neighbour", F.round("cosine", 4).alias("cosine"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defective_pairs(table(spark, d, "qa_log"), table(spark, d, "subject_samples"))
 
@@ -77,10 +83,15 @@ WITH v AS (SELECT 'chunks' AS t, id AS k, any_value(embedding) AS e FROM chunks
 p AS (SELECT a.t, a.k AS ka, b.k AS kb, list_cosine_similarity(a.e::DOUBLE[], b.e::DOUBLE[]) AS c FROM v a JOIN v b ON a.t = b.t AND a.k <> b.k),
 r AS (SELECT *, row_number() OVER (PARTITION BY t, ka ORDER BY c DESC, kb) AS r FROM p WHERE c >= 0.9)
 SELECT DISTINCT t AS vec_table, least(ka, kb) AS key_a, greatest(ka, kb) AS key_b FROM r WHERE r <= 5""",
+    "p5_neighbours": """
+WITH v AS (SELECT entity_id AS k, any_value(embedding) AS e FROM entity_embeddings WHERE len(embedding) = 64 AND list_count(embedding) = 64 AND (list_max(embedding) > 0 OR list_min(embedding) < 0) GROUP BY 1),
+p AS (SELECT a.k AS id, b.k AS neighbour, list_cosine_similarity(a.e::DOUBLE[], b.e::DOUBLE[]) AS c FROM v a JOIN v b ON a.k <> b.k WHERE CAST(regexp_extract(a.k, '([0-9]+)$', 1) AS BIGINT) % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC, neighbour) AS r FROM p)
+SELECT id, neighbour, round(c, 4) AS cosine FROM r WHERE r <= 5""",
     "p4_found": r"""
 WITH w AS (SELECT question_id, lower(regexp_replace(company, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')) AS company, id, max(score) AS score
     FROM retrieved_chunks WHERE score IS NOT NULL AND NOT isnan(score) AND id IS NOT NULL GROUP BY 1, 2, 3)
 SELECT question_id, company, id FROM (SELECT *, row_number() OVER (PARTITION BY question_id, company ORDER BY score DESC, id) AS r FROM w) WHERE r <= 5""",
 }
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_pages": p7_pages, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_found": p6_found, "p7_found": p7_found, "p7_pages": p7_pages, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}

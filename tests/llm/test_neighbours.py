@@ -1,6 +1,8 @@
 import numpy as np
 
-from lodestrata.llm.neighbours import nearest
+import pyarrow as pa
+
+from lodestrata.llm.neighbours import _compare, best_of, nearest
 
 
 def frame(spark, ids, x):
@@ -50,3 +52,34 @@ def test_unusable_vectors(spark):
     df = spark.createDataFrame(rows, "key string, vec array<float>")
     assert {(r.id, r.neighbour) for r in nearest(df, "key", "vec", 64, 5, 0.9).collect()} == {("f", "g"), ("g", "f")}
     assert nearest(df.where("false"), "key", "vec", 64).count() == 0
+
+
+def test_leaves_split_again_and_in_parts(spark):
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.normal(size=(500, 64)), 6, axis=0) + 0.1 * rng.normal(size=(3000, 64))
+    ids = [f"v{i:05d}" for i in range(len(x))]
+    want = brute(ids, x, 5)
+    df = frame(spark, ids, x)
+    for kind in ({"leaf": 200}, {"leaf": 200, "visitors": 150}, {"leaf": 200, "block": 90, "visitors": 100}, {"leaf": 5000}):
+        got = {(r.id, r.neighbour) for r in nearest(df, "id", "embedding", 64, 5, **kind).collect()}
+        assert len(want & got) >= (0.9 if kind["leaf"] < 5000 else 1) * len(want), kind
+
+
+def test_best_of_against_sorting_and_second_trees():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    keys = np.arange(700, dtype=np.int64) * 3
+    s = x.astype(np.float64) @ x[:333].T.astype(np.float64)
+    s[np.arange(333), np.arange(333)] = -2
+    for least in (-1.0, 0.5):
+        q, j, c = best_of(x, keys, x[:333], keys[:333], 5, least)
+        want = {(r, int(m)) for r in range(700) for m in np.argsort(-s[r])[:5] if s[r, m] >= least}
+        assert {(int(a), int(b)) for a, b in zip(q, j)} == want and np.allclose(c, s[q, j])
+    table = pa.table({"key": keys, "vec": pa.array([r.tobytes() for r in x], pa.binary()), "own": pa.array([True] * 700), "visits": pa.array([True] * 700)})
+    t = _compare(16, 5, -1.0, 8, 100)(table).to_pandas()
+    found = set(zip((t.q // 3).tolist(), (t.m // 3).tolist()))
+    full = x.astype(np.float64) @ x.T.astype(np.float64)
+    np.fill_diagonal(full, -2)
+    want = {(r, int(m)) for r in range(700) for m in np.argsort(-full[r])[:5]}
+    assert len(want & found) >= 0.9 * len(want)
