@@ -1,14 +1,18 @@
 """References to records that do not exist (problem 3).
 
-``direct_orphans`` is one left anti join with a validity interval: the target
+``orphan_cascade`` is a fixpoint over a graph of foreign keys. Depth 0 are the
+references that dangle: a left anti join with a validity interval, as the target
 must have been loaded at the time of the referencing row and not yet deleted.
-``orphan_cascade`` is the fixpoint over a foreign-key graph: children whose
-parents are all orphaned are orphaned too, found by semi-joins from the rows
-that the last round added, until a round adds none.
+Then rows with a reference to a row orphaned in the last round are orphaned
+too, found by a semi-join with just those rows, until a round adds none. One
+orphaned parent is enough, whatever other rows the reference also resolves to.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,43 +53,54 @@ def _exists_at(r: DataFrame, t: DataFrame) -> Column:
     return (r["key"] == t["key"]) & (t["valid_from"] <= r["at"]) & (t["valid_to"].isNull() | (t["valid_to"] > r["at"]))
 
 
-def direct_orphans(refs: DataFrame, target: DataFrame) -> DataFrame:
-    """References without a row to point to at their time.
+@dataclass(frozen=True)
+class ForeignKey:
+    """References of ``child`` (as ``references`` gives them) to rows of ``parent`` (as ``targets`` gives them)."""
 
-    A row's own time may be null: nothing is known to exist then, and its
-    references dangle. Hot keys are split by AQE, which may divide the left
-    side of an anti join.
-    """
-    return refs.join(target, _exists_at(refs, target), "left_anti")
+    child: str
+    parent: str
+    refs: DataFrame
+    target: DataFrame
+
+    def dangling(self) -> DataFrame:
+        """References without a row to point to at their time.
+
+        A row's own time may be null: nothing is known to exist then, and its
+        references dangle. Hot keys are split by AQE, which may divide the left
+        side of an anti join.
+        """
+        spans = self.target.select("key", "valid_from", "valid_to").distinct()
+        return self.refs.join(spans, _exists_at(self.refs, spans), "left_anti").select(*REFERENCE)
+
+    def inherited(self, orphans: DataFrame) -> DataFrame:
+        """References that resolve to one of ``orphans`` (ref_table, row_id); each comes once, however many rows it resolves to."""
+        lost = orphans.where(F.col("ref_table") == self.parent).select(F.col("row_id").alias("target_id"))
+        spans = self.target.join(lost, "target_id", "left_semi").select("key", "valid_from", "valid_to").distinct()
+        return self.refs.join(spans, _exists_at(self.refs, spans), "left_semi").select(*REFERENCE)
+
+
+REFERENCE = ("ref_table", "row_id", "ref_field", "ref_value")
 
 
-def orphan_cascade(direct: DataFrame, links: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """All orphaned rows as (ref_table, row_id, depth): 0 direct, more inherited.
+def orphan_cascade(keys: list[ForeignKey], max_rounds: int = 50) -> DataFrame:
+    """(ref_table, row_id, ref_field, ref_value, depth): the references through which rows are orphaned, 0 directly, more inherited.
 
-    ``direct`` has the ref_table and row_id of rows with a dangling reference;
-    ``links`` has child_table, child_id, parent_table, parent_id of references
-    that do resolve. A child is orphaned with any of its parents. Each round
-    joins only the rows that the last one added; cycles end as known rows are
-    taken out. A chain deeper than ``max_rounds`` raises an error.
+    A row has the depth at which it is first orphaned. Each round joins only the rows
+    that the last one added; it ends at tables that nothing refers to, and cycles end
+    as known rows are taken out. A chain deeper than ``max_rounds`` raises an error.
     """
-    found = cut(direct.select("ref_table", "row_id").distinct().withColumn("depth", F.lit(0)))
-    frontier, depth = found, 0
-    while True:
-        depth += 1
-        up = frontier.select(F.col("ref_table").alias("parent_table"), F.col("row_id").alias("parent_id"))
-        below = (
-            links.join(up, ["parent_table", "parent_id"], "left_semi")
-            .select(F.col("child_table").alias("ref_table"), F.col("child_id").alias("row_id"))
-            .distinct()
-            .join(found.select("ref_table", "row_id"), ["ref_table", "row_id"], "left_anti")
-            .withColumn("depth", F.lit(depth))
-        )
-        frontier = cut(below)
-        if frontier.isEmpty():
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    found = frontier = cut(union([k.dangling() for k in keys]).distinct().withColumn("depth", F.lit(0)))
+    tables = {k.child for k in keys}
+    for depth in range(1, max_rounds + 2):
+        above = [k for k in keys if k.parent in tables]
+        if not above or frontier.isEmpty():
             return found
-        if depth > max_rounds:
-            raise RuntimeError(f"the foreign-key graph is deeper than {max_rounds}")
+        new = union([k.inherited(frontier.select("ref_table", "row_id").distinct()) for k in above]).distinct()
+        frontier = cut(new.join(found.select("ref_table", "row_id").distinct(), ["ref_table", "row_id"], "left_anti").select(*REFERENCE, F.lit(depth).alias("depth")))
         found = found.unionByName(frontier)
+        tables = {k.child for k in above}
+    raise RuntimeError(f"the foreign-key graph is deeper than {max_rounds}")
 
 
 def orphan_report(orphans: DataFrame, rows: DataFrame) -> DataFrame:
@@ -97,7 +112,7 @@ def orphan_report(orphans: DataFrame, rows: DataFrame) -> DataFrame:
     return (
         rows.select("ref_table", "row_id", F.date_trunc("month", "at").cast("date").alias("month"))
         .distinct()
-        .join(orphans.select("ref_table", "row_id", (F.col("depth") == 0).alias("is_direct")), ["ref_table", "row_id"], "left")
+        .join(orphans.select("ref_table", "row_id", (F.col("depth") == 0).alias("is_direct")).distinct(), ["ref_table", "row_id"], "left")
         .groupBy("ref_table", "month")
         .agg(
             F.count("*").alias("n_rows"),
@@ -140,36 +155,22 @@ def entity_key(company: str, name: str) -> Column:
     return F.concat(F.coalesce(company_key(company), F.lit("")), F.lit(_SEP), name_key(name))
 
 
-def evidence_targets(chunks: DataFrame, entities: DataFrame) -> DataFrame:
+def evidence_keys(chunks: DataFrame, entities: DataFrame, relationships: DataFrame) -> list[ForeignKey]:
+    """Entities refer to pages, relationships to entities."""
     page = F.concat_ws(_SEP, F.regexp_replace("source_file", r"^[ \t\r\n]+|[ \t\r\n]+$", ""), F.col("page_number").cast("string"))
-    pages = targets(chunks.where(F.col("page_number").isNotNull() & F.col("source_file").isNotNull()), page, None, "loaded_at", "deleted_at").withColumn("parent", F.lit("chunks"))
-    names = targets(entities.where(F.col("entity_name").isNotNull()), entity_key("company", "entity_name"), None, "loaded_at", "deleted_at").withColumn("parent", F.lit("entities"))
-    return pages.unionByName(names)
-
-
-def dangling_references(chunks: DataFrame, entities: DataFrame, relationships: DataFrame) -> DataFrame:
-    """The dangling references of both tables with the times of their rows."""
-    refs, target = page_references(entities).unionByName(name_references(relationships)), evidence_targets(chunks, entities)
-    on = (refs["parent"] == target["parent"]) & _exists_at(refs, target)
-    return refs.join(target, on, "left_anti")
+    pages = targets(chunks.where(F.col("page_number").isNotNull() & F.col("source_file").isNotNull()), page, None, "loaded_at", "deleted_at")
+    names = targets(entities.where(F.col("entity_name").isNotNull()), entity_key("company", "entity_name"), "entity_id", "loaded_at", "deleted_at")
+    return [ForeignKey("entities", "chunks", page_references(entities), pages), ForeignKey("relationships", "entities", name_references(relationships), names)]
 
 
-def evidence_links(entities: DataFrame, relationships: DataFrame) -> DataFrame:
-    """Resolved references of relationships to entity rows."""
-    refs = name_references(relationships)
-    target = targets(entities, entity_key("company", "entity_name"), "entity_id", "loaded_at", "deleted_at")
-    return (
-        refs.join(target, _exists_at(refs, target))
-        .select(F.col("ref_table").alias("child_table"), F.col("row_id").alias("child_id"), F.lit("entities").alias("parent_table"), F.col("target_id").alias("parent_id"))
-        .distinct()
-    )
+def orphaned_references(chunks: DataFrame, entities: DataFrame, relationships: DataFrame) -> DataFrame:
+    """The orphaned references of both tables: dangling ones have depth 0."""
+    return orphan_cascade(evidence_keys(chunks, entities, relationships))
 
 
 def monthly_report(chunks: DataFrame, entities: DataFrame, relationships: DataFrame) -> DataFrame:
     """Direct and inherited orphans of both tables per calendar month of loaded_at."""
-    direct = dangling_references(chunks, entities, relationships)
-    cascade = orphan_cascade(direct, evidence_links(entities, relationships))
     rows = entities.select(F.lit("entities").alias("ref_table"), F.col("entity_id").cast("string").alias("row_id"), F.col("loaded_at").alias("at")).unionByName(
         relationships.select(F.lit("relationships").alias("ref_table"), F.col("rel_id").cast("string").alias("row_id"), F.col("loaded_at").alias("at"))
     )
-    return orphan_report(cascade, rows)
+    return orphan_report(orphaned_references(chunks, entities, relationships), rows)

@@ -1,6 +1,6 @@
 from datetime import datetime
 
-from pyspark.sql import functions as F
+import pytest
 
 from lodestrata.operators import orphans
 
@@ -33,7 +33,7 @@ def frames(spark):
 
 
 def test_direct(spark):
-    got = {tuple(r) for r in orphans.dangling_references(*frames(spark)).select("ref_table", "row_id", "ref_field", "ref_value").collect()}
+    got = {tuple(r) for r in orphans.orphaned_references(*frames(spark)).where("depth = 0").select("ref_table", "row_id", "ref_field", "ref_value").collect()}
     assert got == {
         ("entities", "e1", "source_refs", "a:b.md:9:u"),
         ("entities", "e3", "source_refs", "a:b.md:8:u"),
@@ -47,15 +47,28 @@ def test_report_separates_inherited(spark):
     assert got == {("entities", "2024-01-01"): (4, 2, 0), ("relationships", "2024-01-01"): (4, 1, 2), ("relationships", "2024-02-01"): (1, 1, 0)}
 
 
+def keys(spark, edges, present):
+    """One table ``t`` whose rows refer to each other; ``present`` are the rows that exist."""
+    refs = spark.createDataFrame([("t", c, "f", p, "t", p, t(1)) for c, p in edges], "ref_table string, row_id string, ref_field string, ref_value string, parent string, key string, at timestamp_ntz")
+    target = spark.createDataFrame([(p, t(1), None, p) for p in present], "key string, valid_from timestamp_ntz, valid_to timestamp_ntz, target_id string")
+    return [orphans.ForeignKey("t", "t", refs, target)]
+
+
 def test_cascade_goes_deep_and_ends_on_cycles(spark):
-    direct = spark.createDataFrame([("t", "0")], "ref_table string, row_id string")
-    links = spark.range(6).select(F.lit("t").alias("child_table"), (F.col("id") + 1).cast("string").alias("child_id"), F.lit("t").alias("parent_table"), F.col("id").cast("string").alias("parent_id"))
-    links = links.unionByName(spark.createDataFrame([("t", "0", "t", "6"), ("t", "9", "t", "8")], links.schema))
-    got = {r.row_id: r.depth for r in orphans.orphan_cascade(direct, links).collect()}
+    edges = [("0", "gone")] + [(str(i + 1), str(i)) for i in range(6)] + [("0", "6"), ("9", "8"), ("8", "9")]
+    got = {r.row_id: r.depth for r in orphans.orphan_cascade(keys(spark, edges, [str(i) for i in range(10)])).collect()}
     assert got == {str(i): i for i in range(7)}
+    with pytest.raises(RuntimeError):
+        orphans.orphan_cascade(keys(spark, edges, [str(i) for i in range(10)]), max_rounds=3)
+
+
+def test_one_orphaned_parent_is_enough_and_hot_parents_come_once(spark):
+    edges = [("p", "gone"), *[(f"c{k}", "p") for k in range(50)], *[(f"c{k}", "q") for k in range(50)]]
+    got = [(r.row_id, r.depth) for r in orphans.orphan_cascade(keys(spark, edges, ["p", "p", "q"])).collect()]
+    assert sorted(got) == sorted([("p", 0), *[(f"c{k}", 1) for k in range(50)]])
 
 
 def test_empty(spark):
     chunks, entities, rels = (f.where("false") for f in frames(spark))
-    assert orphans.dangling_references(chunks, entities, rels).count() == 0
+    assert orphans.orphaned_references(chunks, entities, rels).count() == 0
     assert orphans.monthly_report(chunks, entities, rels).count() == 0
