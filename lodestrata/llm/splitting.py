@@ -1,11 +1,13 @@
 """Splitting oversized texts at natural boundaries (problem 1).
 
-Recursive bisection: a text is cut at the strongest boundary near its middle
-(blank line, sentence end, whitespace, else any code point), the halves are cut
-again while they exceed the limit less the overlap, and every piece but the
-first then gets up to the overlap of the text before it. The boundaries of a
-text are found once; each bisection looks them up by binary search, so a text
-of n characters costs O(n) plus O(log n) for a piece.
+Recursive bisection: a text is cut at the boundary of the strongest kind that it
+has (blank line, sentence end, whitespace, else any code point), of these the
+one nearest to its middle. The halves are cut again while they exceed the limit
+less the overlap, or, where that would break a paragraph that fits, the limit.
+Every piece but the first then gets up to the overlap of the text before it, as
+far as the limit allows. The boundaries of a text are found once; each bisection
+looks them up by binary search, so a text of n characters costs O(n) plus
+O(log n) for a piece. The level of a text is the weakest kind that it was cut at.
 """
 
 from __future__ import annotations
@@ -31,38 +33,34 @@ def boundaries(text: str) -> list[list[int]]:
     return [[m.end() for m in rx.finditer(text) if 0 < m.end() < len(text)] for rx in (_BLANK, _SENTENCE, _SPACE)]
 
 
-def cut_level(text: str, limit: int) -> str:
-    """The coarsest level at which every unit of ``text`` has at most ``limit`` code points."""
-    paragraphs = [p.strip(WS) for p in _BLANK.split(text)]
-    if all(len(p) <= limit for p in paragraphs):
-        return LEVELS[0]
-    long = [p for p in paragraphs if len(p) > limit]
-    sentences = [s.strip(WS) for p in long for s in _SENTENCE.split(p)]
-    if all(len(s) <= limit for s in sentences):
-        return LEVELS[1]
-    words = (w for s in sentences if len(s) > limit for w in _SPACE.split(s))
-    return LEVELS[2] if all(len(w) <= limit for w in words) else LEVELS[3]
+def split_spans(text: str, limit: int, overlap: int) -> tuple[str, list[tuple[int, int, int]]]:
+    """The level of the weakest cut, and (start with overlap, start, end) of each piece.
 
-
-def split_spans(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
-    """(start with overlap, start, end) of each piece; the spans start..end tile the text.
-
-    Texts within the limit are one piece. With ``overlap`` 0 the pieces are a partition.
+    The spans start..end tile the text, but for whitespace at the ends of a span that
+    exceeds the limit by it alone. Texts within the limit are one piece; of a longer
+    one without anything but whitespace, as much as the limit holds is.
     """
     n = len(text)
     if n <= limit:
-        return [(0, 0, n)]
-    cuts, room, cores = boundaries(text), limit - overlap, []
+        return LEVELS[0], [(0, 0, n)]
+    cuts, room, cores, weakest = boundaries(text), limit - overlap, [], 0
     stack = [(0, n)]
     while stack:
         lo, hi = stack.pop()
-        if hi - lo <= (limit if lo == 0 else room):
+        at, level = _strongest(cuts, lo, hi)
+        if hi - lo <= (limit if lo == 0 or level else room):
             cores.append((lo, hi))
             continue
-        at = _near_middle(cuts, lo, hi)
+        if level:
+            a, b = _trimmed(text, lo, hi)
+            if b - a <= limit:
+                if a < b:
+                    cores.append((a, b))
+                continue
+        weakest = max(weakest, level)
         stack += [(at, hi), (lo, at)]
     spans = []
-    for lo, hi in cores:
+    for lo, hi in cores or [(0, limit)]:
         start = lo
         if lo and overlap:
             reach = max(0, lo - min(overlap, limit - (hi - lo)))
@@ -70,19 +68,26 @@ def split_spans(text: str, limit: int, overlap: int) -> list[tuple[int, int, int
             k = bisect_left(words, reach)
             start = words[k] if k < len(words) and words[k] < lo else reach
         spans.append((start, lo, hi))
-    return spans
+    return LEVELS[weakest], spans
+
+
+def _trimmed(text: str, lo: int, hi: int) -> tuple[int, int]:
+    while lo < hi and text[lo] in WS:
+        lo += 1
+    while lo < hi and text[hi - 1] in WS:
+        hi -= 1
+    return lo, hi
 
 
-def _near_middle(cuts: list[list[int]], lo: int, hi: int) -> int:
-    """The strongest boundary in the middle half of lo..hi, the one closest to its middle; else the middle."""
-    mid, quarter = (lo + hi) // 2, max(1, (hi - lo) // 4)
-    for level in cuts:
-        a, b = bisect_left(level, lo + quarter), bisect_right(level, hi - quarter)
+def _strongest(cuts: list[list[int]], lo: int, hi: int) -> tuple[int, int]:
+    """(offset, level) of the boundary of the strongest kind within lo..hi that is nearest to its middle; else the middle."""
+    mid = (lo + hi) // 2
+    for level, offsets in enumerate(cuts):
+        a, b = bisect_right(offsets, lo), bisect_left(offsets, hi)
         if a < b:
-            k = bisect_left(level, mid, a, b)
-            near = [level[j] for j in (k - 1, k) if a <= j < b]
-            return min(near, key=lambda x: abs(x - mid))
-    return mid
+            k = bisect_left(offsets, mid, a, b)
+            return min((offsets[j] for j in (k - 1, k) if a <= j < b), key=lambda x: abs(x - mid)), level
+    return mid, len(cuts)
 
 
 PIECES = T.StructType(
@@ -107,7 +112,7 @@ def _pieces(limit: int, overlap: int):
             rows: list[tuple] = []
             size = 0
             for *place, text in zip(*(c.to_pylist() for c in batch.columns)):
-                level, spans = cut_level(text, limit), split_spans(text, limit, overlap)
+                level, spans = split_spans(text, limit, overlap)
                 for k, (start, core, end) in enumerate(spans):
                     rows.append((*place, level, k + 1, len(spans), start, core - start, text[start:end]))
                     size += end - start

@@ -1,24 +1,48 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestrata.llm.splitting import PIECES, cut_level, split_oversized, split_spans
+from lodestrata.llm.splitting import _BLANK, _SENTENCE, _SPACE, LEVELS, PIECES, WS, split_oversized, split_spans
 
 text = st.text(alphabet="ab .!?\n\r\té字", max_size=400)
 
 
-@settings(max_examples=200, deadline=None)
+def cut_level(text, limit):
+    """The coarsest level at which every unit of ``text`` has at most ``limit`` code points, by its definition."""
+    units = [text]
+    for level, rx in zip(LEVELS, (_BLANK, _SENTENCE, _SPACE)):
+        units = [u for t in units for u in rx.split(t)]
+        if all(len(u.strip(WS)) <= limit for u in units):
+            return level
+    return LEVELS[3]
+
+
+@settings(max_examples=600, deadline=None)
 @given(text, st.integers(5, 60), st.integers(0, 4))
 def test_pieces_tile_the_text_within_the_limit(t, limit, overlap):
-    spans = split_spans(t, limit, overlap)
-    assert "".join(t[a:b] for _, a, b in spans) == t
+    level, spans = split_spans(t, limit, overlap)
     assert all(b - s <= limit and 0 <= a - s <= overlap for s, a, b in spans)
     if len(t) > limit:
+        assert level == cut_level(t, limit)
         assert all(b > a for _, a, b in spans)
+        edges = [0, *(x for _, a, b in spans for x in (a, b)), len(t)]
+        assert edges == sorted(edges)
+        if t.strip(WS):
+            assert not "".join(t[a:b] for a, b in zip(edges[::2], edges[1::2])).strip(WS)
+    else:
+        assert spans == [(0, 0, len(t))]
+
+
+def test_a_blank_line_far_from_the_middle():
+    t = "a " * 210 + "\n\n" + "b " * 854
+    level, spans = split_spans(t, 2000, 200)
+    assert level == "paragraph" and [a for _, a, _ in spans] == [0, 422]
+    assert split_spans("x " * 700 + "\n\n" + "y" * 1950, 2000, 200) == ("paragraph", [(0, 0, 1402), (1352, 1402, 3352)])
+    assert split_spans(" " * 5000, 2000, 200) == ("paragraph", [(0, 0, 2000)])
 
 
 def test_cut_prefers_the_strongest_boundary():
     t = "a" * 30 + ". " + "b" * 28 + "\n\n" + "c" * 40
-    spans = split_spans(t, 70, 0)
+    _, spans = split_spans(t, 70, 0)
     assert [t[a:b] for _, a, b in spans] == [t[:62], t[62:]]
 
 
