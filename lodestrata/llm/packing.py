@@ -233,5 +233,5 @@ def pack(items: DataFrame, id_col: str, length_col: str, capacity: int) -> DataF
 
 
 def pack_texts(df: DataFrame, id_col: str, text_col: str, capacity: int = 2048, vocabulary: str | None = None) -> DataFrame:
-    """``pack`` of texts by their tokens of a public tokenizer; starts and lengths are in tokens."""
-    return pack(token_counts(df, id_col, text_col, vocabulary), id_col, "n_tokens", capacity)
+    """``pack`` of texts by their tokens of a public tokenizer; starts and lengths are in tokens. Texts are encoded once."""
+    return pack(cut(token_counts(df, id_col, text_col, vocabulary)), id_col, "n_tokens", capacity)
