@@ -488,11 +488,11 @@ def similar_keys(keys: DataFrame) -> DataFrame:
     those are joined. Tokens of six letters or less meet by what one deletion leaves,
     those of seven by both.
     """
-    prefix = keys.select("company", "key", F.explode(_grams(F.col("key"))).alias("gram"))
+    prefix = keys.select("company", "key", F.explode(_grams(F.col("key"))).alias("gram")).select("company", "key", F.xxhash64("company", "gram").alias("gram"))
     a, b = prefix.withColumnRenamed("key", "key_a"), prefix.withColumnRenamed("key", "key_b")
     letters = lambda c: F.array_sort(F.split(c, ""))
     distance = F.levenshtein("key_a", "key_b", 2)
-    met = a.join(b, (a["company"] == b["company"]) & (a["gram"] == b["gram"]) & (F.col("key_a") < F.col("key_b")) & (F.abs(F.length("key_a") - F.length("key_b")) <= 1)).select(a["company"], "key_a", "key_b")
+    met = a.join(b, (a["gram"] == b["gram"]) & (F.col("key_a") < F.col("key_b")) & (F.abs(F.length("key_a") - F.length("key_b")) <= 1) & (a["company"] == b["company"])).select(a["company"], "key_a", "key_b")
     return met.where(distance.isin(0, 1) | ((distance == 2) & (letters("key_a") == letters("key_b")))).distinct()
 
 
@@ -568,19 +568,18 @@ def entity_groups(df: DataFrame, id_col: str = "entity_id", company_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds)], names=["company", "name", "sig", "key", "rest", "kind", "own", "other", "more"])
 
     signed = cut(known.mapInArrow(parsed, "company string, name string, sig string, key string, rest array<string>, kind string, own array<string>, other array<string>, more array<struct<token: string, n: bigint, share: double>>"))
-    sigs = signed.drop("name").dropDuplicates(["sig", "key"])
+    sigs = signed.drop("name").distinct()
     keys = sigs.select("company", "key").distinct()
-    alike = similar_keys(keys)
+    alike = cut(similar_keys(keys))
     met = keys.select("company", "key", F.col("key").alias("head")).unionByName(alike.select("company", F.col("key_b").alias("key"), F.col("key_a").alias("head")))
-    headed = sigs.join(met, ["company", "key"])
-    cells = headed.select("company", "head", "sig", "key", "rest", "kind", "more", F.explode(F.concat(F.transform("own", lambda f: F.struct(f.alias("form"), F.lit(True).alias("mine"))), F.transform("other", lambda f: F.struct(f.alias("form"), F.lit(False).alias("mine"))))).alias("f"))
-    side = lambda s: cells.select("company", "head", F.col("f.form").alias("form"), F.col("f.mine").alias(f"mine_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("sig", "key", "rest", "kind", "more")])
+    headed = cut(sigs.join(met, ["company", "key"]))
+    cells = headed.select(F.xxhash64("company", "head").alias("at"), "head", "sig", "key", "rest", "kind", "more", F.explode(F.concat(F.transform("own", lambda f: F.struct(f.alias("form"), F.lit(True).alias("mine"))), F.transform("other", lambda f: F.struct(f.alias("form"), F.lit(False).alias("mine"))))).alias("f"))
+    side = lambda s: cells.select("at", "head", F.xxhash64("at", "f.form").alias("form"), F.col("f.mine").alias(f"mine_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("sig", "key", "rest", "kind", "more")])
     candidates = (
         side("a").where("mine_a")
-        .join(side("b"), ["company", "head", "form"])
+        .join(side("b").drop("head"), ["at", "form"])
         .where("sig_a <> sig_b and (not mine_b or sig_a < sig_b) and (key_a = head or key_b = head)")
         .select("sig_a", "key_a", "rest_a", "kind_a", "more_a", "sig_b", "key_b", "rest_b", "kind_b", "more_b")
-        .dropDuplicates(["sig_a", "key_a", "sig_b", "key_b"])
     )
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -597,7 +596,7 @@ def entity_groups(df: DataFrame, id_col: str = "entity_id", company_col: str = "
                     at.append(initials if w else None)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (a, b, weak, at)], names=["src", "dst", "given", "initials"])
 
-    edges = cut(candidates.mapInArrow(verified, "src string, dst string, given string, initials string"))
+    edges = cut(candidates.mapInArrow(verified, "src string, dst string, given string, initials string").distinct())
     unclear = edges.where("initials is not null").groupBy("initials").agg(F.count_distinct("given").alias("n")).where("n > 1").select("initials")
     links = edges.join(unclear, "initials", "left_anti").select("src", "dst")
     components = connected_components(links)
