@@ -21,6 +21,13 @@ def community_report(c: Column) -> Column:
     return F.from_json(c, REPORT)
 
 
+def embedding_envelope(texts: Column, vectors: Column, model: str) -> Column:
+    """JSON of an embedding service's reply for an array of texts and one of vectors; words are counted as tokens, at least one a text."""
+    data = F.transform(vectors, lambda v, i: F.struct(F.lit("embedding").alias("object"), i.alias("index"), v.alias("embedding")))
+    n = F.aggregate(texts, F.lit(0), lambda s, t: s + F.greatest(F.lit(1), F.size(F.filter(F.split(t, r"\s+"), lambda x: x != ""))))
+    return F.to_json(F.struct(F.lit("list").alias("object"), data.alias("data"), F.lit(model).alias("model"), F.struct(n.alias("prompt_tokens"), n.alias("total_tokens")).alias("usage")))
+
+
 def _first_object(text: str | None) -> str | None:
     if not text:
         return None

@@ -24,6 +24,16 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def is_blank(c: Column) -> Column:
+    """Null, or nothing but whitespace of any kind."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", "") == ""
+
+
+def valid_text(c: Column) -> Column:
+    """Bytes as text: UTF-8 with what is invalid replaced; null is empty text."""
+    return F.coalesce(F.make_valid_utf8(c.cast("string")), F.lit(""))
+
+
 def truncate_text(c: Column, n: int) -> Column:
     """Squeezed text of at most ``n`` characters, cut at the last space, with `` ...`` after a cut."""
     t = squeeze(F.coalesce(c, F.lit("")))
@@ -62,3 +72,14 @@ def normalize_companies(c: Column) -> Column:
     """Trimmed, lower-cased, first occurrences, without empties."""
     low = F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.lower(F.trim(x)))
     return F.array_distinct(F.filter(low, lambda x: x.isNotNull() & (x != "")))
+
+
+def run_directory_of(c: Column) -> Column:
+    """The folder that an evaluation says it wrote to, trimmed; null where it doesn't say."""
+    found = F.trim(F.regexp_extract(c, r"Wrote evaluation run to (.+)", 1))
+    return F.when(found != "", found)
+
+
+def credentials(c: Column) -> Column:
+    """struct(user, password) of a pair parted at its first slash; null without one."""
+    return F.when(F.contains(c, F.lit("/")), F.struct(F.regexp_extract(c, "(?s)^([^/]*)/", 1).alias("user"), F.regexp_extract(c, "(?s)^[^/]*/(.*)$", 1).alias("password")))

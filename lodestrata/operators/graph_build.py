@@ -9,14 +9,24 @@ from lodestrata.functions.text import company_key, name_key
 
 
 def current_rows(df: DataFrame, key: str, loaded: str = "loaded_at", deleted: str | None = "deleted_at") -> DataFrame:
-    """The row of each key that was loaded last, unless it is deleted; equal times go by the row's hash."""
+    """The row of each key that was loaded last, unless it is deleted; equal times go by the row's hash. Columns that ``df`` lacks don't count."""
+    if loaded not in df.columns:
+        return df.dropDuplicates([key])
+    deleted = deleted if deleted in df.columns else None
     newest = Window.partitionBy(key).orderBy(F.col(loaded).desc_nulls_last(), F.xxhash64(*df.columns))
     rows = df.withColumn("_r", F.row_number().over(newest)).where("_r = 1").drop("_r")
     return rows.where(F.col(deleted).isNull()) if deleted else rows
 
 
+def _first_refs(each: DataFrame, keys: list[str], refs: int) -> DataFrame:
+    """``keys`` and the first ``refs`` distinct references in order, as one text."""
+    known = each.select(*keys, F.explode("source_refs").alias("ref")).select(*keys, F.trim("ref").alias("ref")).where("ref <> ''").distinct()
+    first = known.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("ref"))).where(F.col("r") <= refs)
+    return first.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("ref")), " ").alias("refs"))
+
+
 def merge_entities(df: DataFrame, refs: int = 10) -> DataFrame:
-    """One row per company and canonical name: frequency, ids, commonest type (then by name), first references.
+    """One row per company and canonical name: frequency, ids, commonest type (then by name), first references, summary of the descriptions.
 
     The first ``refs`` references of each entity come from a bounded rank, so no list grows with the data.
     """
@@ -24,18 +34,20 @@ def merge_entities(df: DataFrame, refs: int = 10) -> DataFrame:
     sums = named.groupBy("company", "name").agg(F.count("*").alias("frequency"), F.count_distinct("entity_id").alias("n_ids"))
     types = named.groupBy("company", "name", "type").agg(F.count("*").alias("n"))
     best = types.groupBy("company", "name").agg(F.min_by("type", F.struct(-F.col("n"), F.col("type"))).alias("type"))
-    each = named.select("company", "name", F.explode("source_refs").alias("ref")).select("company", "name", F.trim("ref").alias("ref")).where("ref <> ''").distinct()
-    first = each.withColumn("r", F.row_number().over(Window.partitionBy("company", "name").orderBy("ref"))).where(F.col("r") <= refs)
-    lists = first.groupBy("company", "name").agg(F.array_join(F.array_sort(F.collect_list("ref")), " ").alias("refs"))
-    return sums.join(best, ["company", "name"]).join(lists, ["company", "name"], "left").select("company", "name", "frequency", "n_ids", "type", F.coalesce("refs", F.lit("")).alias("refs"))
+    lists = _first_refs(named, ["company", "name"], refs)
+    told = summarise_descriptions(df)
+    out = sums.join(best, ["company", "name"]).join(lists, ["company", "name"], "left").join(told, ["company", "name"], "left")
+    return out.select("company", "name", "frequency", "n_ids", "type", F.coalesce("refs", F.lit("")).alias("refs"), F.coalesce("n_descriptions", F.lit(0)).alias("n_descriptions"), F.coalesce("summary", F.lit("")).alias("summary"))
 
 
-def aggregate_relationships(df: DataFrame) -> DataFrame:
-    """One row per company, source and target: summed weight, largest strength, occurrences."""
-    keyed = df.select(company_key("company").alias("company"), name_key("source_entity").alias("source"), name_key("target_entity").alias("target"), "relationship_weight", "relationship_strength_max").where("source <> '' and target <> ''")
-    return keyed.groupBy("company", "source", "target").agg(
+def aggregate_relationships(df: DataFrame, refs: int | None = None) -> DataFrame:
+    """One row per company, source and target: summed weight, largest strength, occurrences and, if asked for, the first ``refs`` references."""
+    keys = ["company", "source", "target"]
+    keyed = df.select(company_key("company").alias("company"), name_key("source_entity").alias("source"), name_key("target_entity").alias("target"), "relationship_weight", "relationship_strength_max", *(["source_refs"] if refs else [])).where("source <> '' and target <> ''")
+    sums = keyed.groupBy(*keys).agg(
         F.round(F.sum(F.coalesce("relationship_weight", F.lit(1.0))), 4).alias("weight"), F.max("relationship_strength_max").alias("strength_max"), F.count("*").alias("occurrence_count")
     )
+    return sums.join(_first_refs(keyed, keys, refs), keys, "left").withColumn("refs", F.coalesce("refs", F.lit(""))) if refs else sums
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -35,16 +35,21 @@ def marked_lines(text_lines: DataFrame) -> DataFrame:
 def split_pages(df: DataFrame, file_col: str, text_col: str, keep_markers: bool = False, zero_pad: int = 3) -> DataFrame:
     """(file, page, page_file, text, n_lines) of each marked page; text outside pages is dropped.
 
+    Pages come from their start markers, so that one without a line is an empty page.
     Line feeds at the ends of a page's text are stripped. ``page_errors`` tells what is wrong with a file.
     """
     inside = marked_lines(lines(df, file_col, text_col)).where((F.col("open") > 0) | F.col("start_page").isNotNull())
-    if not keep_markers:
-        inside = inside.where(F.col("start_page").isNull() & F.col("end_page").isNull())
-    pages = inside.groupBy("file", F.col("current").alias("page")).agg(F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
+    kept = F.lit(True) if keep_markers else F.col("start_page").isNull() & F.col("end_page").isNull()
+    pages = inside.groupBy("file", F.col("current").alias("page")).agg(F.count_if(kept).alias("n_lines"), F.array_sort(F.collect_list(F.when(kept, F.struct("line_no", "line")))).alias("ls"))
     text = F.regexp_replace(F.array_join(F.transform("ls", lambda x: x["line"]), "\n"), r"^\n+|\n+$", "")
     return pages.select("file", "page", page_file("file", "page", zero_pad).alias("page_file"), text.alias("text"), "n_lines")
 
 
+def page_counts(pages: DataFrame) -> DataFrame:
+    """(file, n_pages, n_empty): pages written per file."""
+    return pages.groupBy("file").agg(F.count("*").alias("n_pages"), F.count_if(F.col("text") == "").alias("n_empty"))
+
+
 def page_errors(df: DataFrame, file_col: str, text_col: str) -> DataFrame:
     """(file, line_no, error) of the first error of each file: nested start, end without start,
     mismatched end, or, where there is none of these, unclosed page (line_no null)."""

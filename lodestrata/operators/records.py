@@ -33,6 +33,20 @@ def parse_records(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def gleaned(passes: list[DataFrame]) -> DataFrame:
+    """Records of several passes over the same texts: those of the first, and of each later one what no earlier one had by kind, name and other."""
+    keys = ["id", "kind", "name", "other"]
+    every = None
+    for n, p in enumerate(passes):
+        part = p.withColumn("pass_no", F.lit(n))
+        every = part if every is None else every.unionByName(part)
+    first = every.groupBy(*keys).agg(F.min("pass_no").alias("_first"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    return every.alias("a").join(first.alias("b"), on & (F.col("a.pass_no") == F.col("b._first"))).select("a.*")
+
+
 def record_weights(records: DataFrame) -> DataFrame:
     """Summed weight per directed pair of the relationships."""
     return records.where("kind = 'relationship'").groupBy(F.col("name").alias("source"), F.col("other").alias("target")).agg(F.sum("weight").alias("weight"))

@@ -12,76 +12,133 @@ from pyspark.sql import functions as F
 from lodestrata.functions.refs import source_ref
 from lodestrata.functions.vectors import valid_embedding
 
-#: Question vectors in one block; a larger set is scored block by block.
-BLOCK = 4096
-
-
-def _block(ids: list, matrix: np.ndarray, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            groups = batch.column(1).to_pylist()
-            items = np.array(batch.column(0).to_pylist(), dtype=object)
-            x = np.zeros((batch.num_rows, matrix.shape[1]))
-            offsets = batch.column(2).offsets.to_numpy()
-            values = batch.column(2).flatten().to_numpy(zero_copy_only=False)
-            base = offsets[0]
-            for r in range(batch.num_rows):
-                v = values[offsets[r] - base : offsets[r + 1] - base][: matrix.shape[1]]
-                x[r, : len(v)] = np.nan_to_num(v)
-            order: dict[str, list[int]] = {}
-            for r, g in enumerate(groups):
-                order.setdefault(g, []).append(r)
-            for g, at in order.items():
-                scores, names = np.round(matrix @ x[at].T, 10), np.broadcast_to(items[at], (len(ids), len(at)))
-                if g in best:
-                    scores, names = np.hstack([best[g][0], scores]), np.hstack([best[g][1], names])
-                rank = np.lexsort((names.astype(str), -scores), axis=1)[:, :k]
-                best[g] = np.take_along_axis(scores, rank, 1), np.take_along_axis(names, rank, 1)
-        for g, (scores, names) in best.items():
-            n, m = scores.shape
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(np.array(ids, dtype=object), m).tolist(), pa.string()), pa.array([g] * (n * m), pa.string()), pa.array(names.ravel().tolist(), pa.string()), pa.array(scores.ravel())],
-                names=["question_id", "company", "id", "score"],
-            )
-
-    return run
-
-
-def topk_by_company(questions: DataFrame, items: DataFrame, k: int) -> DataFrame:
+#: Question vectors in one block: as many are broadcast; a larger set meets the items block by block.
+BLOCK = 1024
+#: Items in one part of a block, and cells of results that a task holds before it hands them on.
+PART, HELD = 50_000, 2_000_000
+
+
+def _matrix(vectors: list, dim: int) -> np.ndarray:
+    out = np.zeros((len(vectors), dim))
+    for r, v in enumerate(vectors):
+        v = v[:dim]
+        out[r, : len(v)] = np.nan_to_num(np.asarray(v, dtype=np.float64))
+    return out
+
+
+def best_of_each(scores: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the ``k`` largest scores of each row in order, equal ones by name.
+
+    Columns are parted at the k-th largest score; only those from it on are sorted.
+    """
+    if scores.shape[1] > k:
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        r, c = np.nonzero(scores >= least[:, None])
+    else:
+        r, c = np.indices(scores.shape).reshape(2, -1)
+    order = np.lexsort((names[c].astype(str), -scores[r, c], r))
+    r, c = r[order], c[order]
+    first = np.flatnonzero(np.r_[len(r) > 0, r[1:] != r[:-1]])
+    keep = np.arange(len(r)) - np.repeat(first, np.diff(np.r_[first, len(r)])) < k
+    return r[keep], c[keep]
+
+
+class _Best:
+    """The best ``k`` items of every company for a block of questions."""
+
+    def __init__(self, ids: np.ndarray, vectors: list, k: int):
+        self.ids, self.k = ids, k
+        self.matrix = _matrix(vectors, max((len(v) for v in vectors), default=0))
+        self.best: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def add(self, items: list, groups: list, vectors: list) -> None:
+        x, names = _matrix(vectors, self.matrix.shape[1]), np.array(items, dtype=object)
+        order: dict[str, list[int]] = {}
+        for r, g in enumerate(groups):
+            order.setdefault(g, []).append(r)
+        for g, at in order.items():
+            scores = np.round(self.matrix @ x[at].T, 10)
+            r, c = best_of_each(scores, names[at], self.k)
+            q, n, v = r, names[at][c], scores[r, c]
+            if g in self.best:
+                q, n, v = (np.concatenate(p) for p in zip(self.best[g], (q, n, v)))
+                order_ = np.lexsort((n.astype(str), -v, q))
+                q, n, v = q[order_], n[order_], v[order_]
+                first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+                keep = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)])) < self.k
+                q, n, v = q[keep], n[keep], v[keep]
+            self.best[g] = q, n, v
+
+    def full(self) -> bool:
+        return len(self.best) * len(self.ids) * self.k > HELD
+
+    def flush(self) -> pa.RecordBatch:
+        out, self.best = self.best, {}
+        q = np.concatenate([v[0] for v in out.values()]) if out else np.zeros(0, dtype=np.int64)
+        g = [name for name, v in out.items() for _ in range(len(v[0]))]
+        n = [x for v in out.values() for x in v[1]]
+        s = np.concatenate([v[2] for v in out.values()]) if out else np.zeros(0)
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[q].tolist(), pa.string()), pa.array(g, pa.string()), pa.array(n, pa.string()), pa.array(s, pa.float64())], names=["question_id", "company", "id", "score"])
+
+
+_SCORED = "question_id string, company string, id string, score double"
+
+
+def topk_by_company(questions: DataFrame, items: DataFrame, k: int, asked: DataFrame | None = None) -> DataFrame:
     """(question_id, company, id, score, rank): per question and company the ``k`` items of largest dot product.
 
-    ``questions`` has question_id and embedding, ``items`` id, company and embedding.
-    Each task keeps its best ``k`` of every company for a block of questions, so only
-    those are shuffled. Scores are rounded to 10 places. Null and empty vectors take no part; the dot product runs over
-    the shorter vector; equal scores go by id. An id given twice may come out twice.
+    ``questions`` has question_id and embedding, ``items`` id, company and embedding;
+    ``asked`` (question_id, company) keeps what is asked only: items of other companies
+    aren't scored. Each task keeps its best ``k`` of every company for a block of
+    questions, so only those are shuffled. Up to ``BLOCK`` questions are broadcast; more
+    are joined with the items by block, within Spark. Scores are rounded to 10 places.
+    Null and empty vectors take no part; the dot product runs over the shorter vector;
+    equal scores go by id. An id given twice may come out twice.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    vectors = questions.select(F.col("question_id").cast("string").alias("question_id"), "embedding").where(valid_embedding(F.col("embedding"))).orderBy("question_id")
+    vectors = questions.select(F.col("question_id").cast("string").alias("question_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(valid_embedding(F.col("embedding")))
     usable = items.select(F.col("id").cast("string").alias("id"), "company", F.col("embedding").cast("array<double>").alias("embedding")).where(valid_embedding(F.col("embedding")) & F.col("id").isNotNull() & F.col("company").isNotNull())
-    out, ids, rows = None, [], []
-
-    def score(ids: list, rows: list) -> DataFrame:
-        matrix = np.zeros((len(rows), max(map(len, rows))))
-        for r, v in enumerate(rows):
-            matrix[r, : len(v)] = np.nan_to_num(np.array(v, dtype=np.float64))
-        return usable.mapInArrow(_block(ids, matrix, k), "question_id string, company string, id string, score double")
-
-    for r in vectors.toLocalIterator():
-        ids.append(r.question_id)
-        rows.append(r.embedding)
-        if len(ids) == BLOCK:
-            out = score(ids, rows) if out is None else out.unionByName(score(ids, rows))
-            ids, rows = [], []
-    if ids:
-        out = score(ids, rows) if out is None else out.unionByName(score(ids, rows))
-    if out is None:
-        return usable.sparkSession.createDataFrame([], "question_id string, company string, id string, score double, rank int")
+    if asked is not None:
+        usable = usable.join(asked.select("company").distinct(), "company", "left_semi").select("id", "company", "embedding")
+    few = vectors.limit(BLOCK + 1).collect()
+    if len(few) <= BLOCK:
+        shared = usable.sparkSession.sparkContext.broadcast((np.array([r.question_id for r in few], dtype=object), [r.embedding for r in few]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = _Best(*shared.value, k)
+            for batch in batches:
+                best.add(*(c.to_pylist() for c in batch.columns))
+                if best.full():
+                    yield best.flush()
+            yield best.flush()
+
+        out = usable.mapInArrow(run, _SCORED) if few else usable.limit(0).select(F.lit("").alias("question_id"), "company", "id", F.lit(0.0).alias("score"))
+    else:
+        out = _by_block(vectors, usable, k)
+    if asked is not None:
+        out = out.join(asked.select(F.col("question_id").cast("string").alias("question_id"), "company").distinct(), ["question_id", "company"], "left_semi")
     w = Window.partitionBy("question_id", "company").orderBy(F.col("score").desc(), "id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _by_block(vectors: DataFrame, usable: DataFrame, k: int) -> DataFrame:
+    """Every block of questions meets every part of the items in a task of its own; both are of bounded size."""
+    blocks, parts = -(-vectors.count() // BLOCK), max(1, -(-usable.count() // PART))
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    q = vectors.select("question_id", "embedding", F.pmod(F.xxhash64("question_id"), F.lit(blocks)).cast("int").alias("block"), every(parts, "part"))
+    i = usable.select("id", "company", "embedding", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), every(blocks, "block"))
+
+    def met(left: pa.Table, right: pa.Table) -> pa.Table:
+        column = lambda t, c: t.column(c).to_pylist()
+        best = _Best(np.array(column(left, "question_id"), dtype=object), column(left, "embedding"), k)
+        if left.num_rows and right.num_rows:
+            best.add(column(right, "id"), column(right, "company"), column(right, "embedding"))
+        return pa.Table.from_batches([best.flush()])
+
+    return q.groupBy("block", "part").cogroup(i.groupBy("block", "part")).applyInArrow(met, _SCORED)
+
+
 def seed_entities(scored: DataFrame, k: int) -> DataFrame:
     """The ``k`` best entities per question and company, clamped at 0 and rounded; blank names drop out after the cut.
 
@@ -96,22 +153,36 @@ def seed_entities(scored: DataFrame, k: int) -> DataFrame:
     )
 
 
+def tied_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges whose two ends are entities of their company: ``nodes`` has company and name, edges company, source_entity, target_entity."""
+    names = nodes.select("company", "name").where(F.trim("name") != "").distinct()
+    for end in ("source_entity", "target_entity"):
+        edges = edges.join(names.withColumnRenamed("name", end), ["company", end], "left_semi")
+    return edges
+
+
 def rank_relationships(seeds: DataFrame, relationships: DataFrame, k: int) -> DataFrame:
     """The ``k`` best relationships per question and company.
 
     Of a name seeded twice the lowest score holds. score = weight + 0.03 * combined
     degree + both seed scores + 2 per seeded end; ranked by seeded ends, then score, id.
     Only companies with a seed take part; blank ends don't.
+
+    Edges meet the seeds by their ends alone. One without a seeded end scores the same
+    for every question and stands behind all others, so the best 2 ``k`` - 1 of a
+    company are enough: less than ``k`` of them are seeded wherever one is needed.
     """
     seed = seeds.groupBy("question_id", "company", "name").agg(F.min("score").alias("seed"))
     asked = seeds.select("question_id", "company").distinct()
-    edges = relationships.where((F.trim("source_entity") != "") & (F.trim("target_entity") != "")).join(asked, "company")
-    for end in ("source", "target"):
-        side = seed.select("question_id", "company", F.col("name").alias(f"{end}_entity"), F.col("seed").alias(f"{end}_seed"))
-        edges = edges.join(side, ["question_id", "company", f"{end}_entity"], "left")
-    hits = F.col("source_seed").isNotNull().cast("int") + F.col("target_seed").isNotNull().cast("int")
-    boost = F.coalesce("source_seed", F.lit(0.0)) + F.coalesce("target_seed", F.lit(0.0))
-    scored = edges.withColumn("hits", hits).withColumn("raw", F.round(F.coalesce("weight", F.lit(0.0)) + 0.03 * F.coalesce("combined_degree", F.lit(0)) + boost + 2.0 * F.col("hits"), 6))
+    base = F.round(F.coalesce("weight", F.lit(0.0)) + 0.03 * F.coalesce("combined_degree", F.lit(0)), 6)
+    plain = F.coalesce("weight", F.lit(0.0)) + 0.03 * F.coalesce("combined_degree", F.lit(0))
+    edges = relationships.where((F.trim("source_entity") != "") & (F.trim("target_entity") != ""))
+    ends = edges.select("company", "rel_id", F.explode(F.array("source_entity", "target_entity")).alias("name"))
+    hits = ends.join(seed, ["company", "name"]).groupBy("question_id", "company", "rel_id").agg(F.count("*").cast("int").alias("hits"), F.sum("seed").alias("boost"))
+    seeded = hits.join(edges, ["company", "rel_id"]).withColumn("raw", F.round(plain + F.col("boost") + 2.0 * F.col("hits"), 6)).drop("boost")
+    first = Window.partitionBy("company").orderBy(base.desc(), "rel_id")
+    others = edges.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= 2 * k - 1).drop("_r").join(asked, "company").join(hits, ["question_id", "company", "rel_id"], "left_anti")
+    scored = seeded.unionByName(others.withColumn("hits", F.lit(0)).withColumn("raw", base))
     w = Window.partitionBy("question_id", "company").orderBy(F.col("hits").desc(), F.col("raw").desc(), "rel_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("score", F.round(F.greatest(F.lit(0.0), F.nanvl("raw", F.lit(0.0))), 4))
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.labels import coerce_label, label_score
-from lodestrata.functions.metrics import token_f1, token_judge
-from lodestrata.functions.text import company_key, normalized_contains
+from lodestrata.functions.metrics import judge, token_f1, token_judge
+from lodestrata.functions.text import company_key, is_blank, normalized_contains
 from lodestrata.operators import evaluation as ev
 from lodestrata.plans.text_queries import _WS as WS
 from lodestrata.session import table
@@ -41,15 +41,16 @@ def token_labels(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("qa_id", token_judge(F.col("answer"), F.col("question")).alias("j")).select("qa_id", "j.label", "j.score")
 
 
-RAW = ['"Correct."', "no answer", "correct|partial", "noanswer", "Mostly  partial", "INCORRECT", "unknown", ""]
+RAW = ['"Correct."', "no answer", "correct|partial", "noanswer", "Mostly  partial", "INCORRECT", "unknown", "", "partial!", "judge_error", "`no-answer`: yes"]
+SAID = ["This is Incorrect", "The context does not provide it", "There is no answer, none at all", None]
 
 
 def judge_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Raw labels of eight kinds, with and without a score or a rationale, over the events."""
+    """Raw labels of eleven kinds, with scores in every band or none and rationales of four kinds, over the events."""
     e = table(spark, d, "events")
-    raw = F.element_at(F.array(*map(F.lit, RAW)), (F.col("event_id") % 8 + 1).cast("int"))
-    score = F.when(F.col("event_id") % 3 == 0, F.lit(0.8)).when(F.col("event_id") % 3 == 1, F.lit(0.3))
-    said = F.when(F.col("event_id") % 5 == 0, F.lit("This is Incorrect"))
+    raw = F.element_at(F.array(*map(F.lit, RAW)), (F.col("event_id") % 11 + 1).cast("int"))
+    score = F.when(F.col("event_id") % 5 < 4, F.element_at(F.array(*map(F.lit, [0.8, 0.3, 0.1, 0.0])), (F.col("event_id") % 5 + 1).cast("int")))
+    said = F.element_at(F.array(*map(F.lit, SAID)), (F.floor(F.col("event_id") / 55) % 4 + 1).cast("int"))
     label = coerce_label(raw, score, said)
     return e.select(label.alias("label")).groupBy("label").agg(F.count("*").alias("n")).withColumn("score", label_score(F.col("label")))
 
@@ -68,6 +69,8 @@ def evaluation_rows(spark: SparkSession, d: str) -> DataFrame:
         label.alias("label"),
         F.when(k < 4, label_score(label)).alias("score"),
         F.when(F.col("qa_id") % 3 > 0, F.col("qa_id") % 3 == 1).alias("hallucination"),
+        ((F.col("qa_id") % 5) / F.lit(8.0)).alias("precision"),
+        ((F.col("qa_id") % 9) / F.lit(16.0)).alias("recall"),
         ((F.col("qa_id") % 11) / F.lit(16.0)).alias("f1"),
         (F.col("qa_id") % 2 == 0).alias("contained"),
     )
@@ -76,10 +79,13 @@ def evaluation_rows(spark: SparkSession, d: str) -> DataFrame:
 _ROWS = """e AS (SELECT qa_id, run_method AS type, coalesce(lower(trim(companies[1])), '') AS company, returncode, elapsed_seconds AS elapsed,
 CASE qa_id % 5 WHEN 0 THEN 'correct' WHEN 1 THEN 'partial' WHEN 2 THEN 'incorrect' WHEN 3 THEN 'no_answer' ELSE 'judge_error' END AS label,
 CASE qa_id % 5 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.5::DOUBLE WHEN 2 THEN 0.0::DOUBLE WHEN 3 THEN 0.0::DOUBLE END AS score,
-CASE WHEN qa_id % 3 > 0 THEN qa_id % 3 = 1 END AS hallucination, (qa_id % 11) / 16.0::DOUBLE AS f1, qa_id % 2 = 0 AS contained FROM qa_log)"""
-_SUMMARY = """count(*) AS n, count(CASE WHEN returncode = 0 THEN 1 END) AS n_ok, round(avg(elapsed), 4) AS mean_elapsed, round(avg(f1), 4) AS mean_f1, round(avg(CAST(contained AS INT)), 4) AS contained_rate,
-round(count(CASE WHEN label = 'correct' THEN 1 END)::DOUBLE / count(*), 4) AS correct_rate, round(count(CASE WHEN label IN ('correct', 'partial') THEN 1 END)::DOUBLE / count(*), 4) AS partial_or_better_rate,
-round(avg(score), 4) AS average_score, round(avg(CAST(hallucination AS INT)), 4) AS hallucination_rate"""
+CASE WHEN qa_id % 3 > 0 THEN qa_id % 3 = 1 END AS hallucination, (qa_id % 5) / 8.0::DOUBLE AS precision, (qa_id % 9) / 16.0::DOUBLE AS recall, (qa_id % 11) / 16.0::DOUBLE AS f1, qa_id % 2 = 0 AS contained FROM qa_log)"""
+_SUMMARY = """count(*) AS total_questions, count(CASE WHEN returncode = 0 THEN 1 END) AS successful_queries, count(*) - count(CASE WHEN returncode = 0 THEN 1 END) AS query_failures,
+round(avg(score), 4) AS average_score, round(count(CASE WHEN label = 'correct' THEN 1 END)::DOUBLE / count(*), 4) AS correct_rate, round(count(CASE WHEN label IN ('correct', 'partial') THEN 1 END)::DOUBLE / count(*), 4) AS partial_or_better_rate,
+round(avg(CAST(hallucination AS INT)), 4) AS hallucination_rate, round(avg(elapsed), 4) AS average_elapsed_seconds, round(median(elapsed), 4) AS median_elapsed_seconds,
+round(list_sort(list(elapsed) FILTER (WHERE elapsed IS NOT NULL))[CAST(round_even((count(elapsed) - 1) * 0.95::DOUBLE, 0) AS BIGINT) + 1], 4) AS p95_elapsed_seconds,
+round(avg(precision), 4) AS average_token_precision, round(avg(recall), 4) AS average_token_recall, round(avg(f1), 4) AS average_token_f1, round(avg(CAST(contained AS INT)), 4) AS gold_substring_match_rate"""
+_COUNTS = """, count(CASE WHEN label = 'correct' THEN 1 END) AS n_correct, count(CASE WHEN label = 'partial' THEN 1 END) AS n_partial, count(CASE WHEN label = 'incorrect' THEN 1 END) AS n_incorrect, count(CASE WHEN label = 'no_answer' THEN 1 END) AS n_no_answer"""
 
 
 def eval_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -98,10 +104,48 @@ def eval_sets(spark: SparkSession, d: str) -> DataFrame:
     return ev.summarise_sets(evaluation_rows(spark, d))
 
 
+METHODS = ("basic", "drift", "global", "graph", "local", "rag")
+
+
 def eval_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """Mean elapsed seconds per company, plain retrieval beside all other methods."""
-    rows = evaluation_rows(spark, d).where("company <> ''").withColumn("method", F.when(F.col("type") == "rag", F.lit("rag")).otherwise(F.lit("other")))
-    return ev.matrix(rows, "method", ["rag", "other"], "company", F.round(F.avg("elapsed"), 4))
+    """Mean elapsed seconds per company, the methods side by side."""
+    rows = evaluation_rows(spark, d).where("company <> ''").withColumnRenamed("type", "method")
+    return ev.matrix(rows, "method", list(METHODS), "company", F.round(F.avg("elapsed"), 4))
+
+
+def method_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Every field of the summary per method, as the matrix file has it."""
+    return ev.method_matrix(evaluation_rows(spark, d).withColumn("method", F.col("type")).withColumn("run_dir", F.concat(F.lit("runs/"), F.col("type")))).drop("run_dir")
+
+
+def selected_questions(spark: SparkSession, d: str) -> DataFrame:
+    """A selection by a list of ids, of either case, and its first rows."""
+    q = table(spark, d, "qa_log").select(F.concat(F.lit("q"), F.col("qa_id").cast("string")).alias("id"), "question").distinct()
+    return ev.select_questions(q, " Q3, q5,Q8 , Q13,q21,, q99999999", 4)
+
+
+def subquestions(spark: SparkSession, d: str) -> DataFrame:
+    """The sub-question of each company of the questions about several; every third question brings its own for its first company."""
+    q = table(spark, d, "qa_log").where("size(array_distinct(companies)) > 1 and question is not null").select("qa_id", "question", "companies").distinct()
+    own = F.create_map(F.col("companies")[0], F.when(F.col("qa_id") % 3 == 0, F.concat(F.lit(" own "), F.col("qa_id").cast("string"))).otherwise(F.lit(" ")))
+    return q.select("qa_id", "question", own.alias("own"), F.explode(F.array_distinct("companies")).alias("company")).where("company is not null").select("qa_id", "company", ev.subquestion(F.col("question"), F.col("company"), F.col("own")).alias("asked")).distinct()
+
+
+def judge_modes(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of the log graded by a model's reply, in every form that a reply takes."""
+    q = table(spark, d, "qa_log").select("qa_id", "question", "answer").distinct()
+    n = F.col("qa_id") % 6
+    reply = (
+        F.when(n == 0, F.lit('Here: {"label":"Correct.","score":"0.4","hallucination":false,"rationale":"ok"} {"label":"x"}'))
+        .when(n == 1, F.lit('```json\n{"label":"unsure","score":0.3,"hallucination":true,"rationale":"r"}\n```'))
+        .when(n == 2, F.lit('{"label":"unsure","score":0.1,"rationale":"It does not-provide the figure"}'))
+        .when(n == 3, F.lit("no object"))
+        .when(n == 4, F.lit('{"label":"unsure","rationale":"no answer"}'))
+        .otherwise(F.lit('{"label":"mostly partial","score":0.1,"hallucination":"yes"}'))
+    )
+    j = judge("model", F.col("answer"), F.col("question"), reply)
+    graded = q.select(n.alias("form"), is_blank(F.col("answer")).alias("blank"), j.alias("j"))
+    return graded.groupBy("form", "blank", "j.label", "j.score", "j.hallucination").agg(F.count("*").alias("n"))
 
 
 def p95_nearest_rank(spark: SparkSession, d: str) -> DataFrame:
@@ -193,6 +237,10 @@ QUERIES = {
     "eval_by_company": eval_by_company,
     "eval_grouping_sets": eval_sets,
     "eval_matrix": eval_matrix,
+    "method_matrix": method_matrix,
+    "selected_questions": selected_questions,
+    "subquestions": subquestions,
+    "judge_modes": judge_modes,
     "p95_nearest_rank": p95_nearest_rank,
     "median": median_values,
     "label_histogram": label_counts,
@@ -213,14 +261,24 @@ SQL = {
     "token_f1": _PAIRS + "SELECT qa_id, precision, recall, f1 FROM m",
     "gold_contains": _PAIRS + "SELECT qa_id, contained FROM m",
     "token_judge": _PAIRS + "SELECT qa_id, CASE WHEN contained OR f1 >= 0.8 THEN 'correct' WHEN f1 >= 0.35 THEN 'partial' ELSE 'incorrect' END AS label, CASE WHEN contained OR f1 >= 0.8 THEN 1.0::DOUBLE WHEN f1 >= 0.35 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score FROM m",
-    "judge_label_coerce": """WITH e AS (SELECT event_id % 8 AS k, CASE event_id % 3 WHEN 0 THEN 0.8 WHEN 1 THEN 0.3 END AS s, event_id % 5 = 0 AS r FROM events),
-l AS (SELECT CASE WHEN k = 0 THEN 'correct' WHEN k = 1 THEN 'no_answer' WHEN k = 3 THEN 'noanswer' WHEN k = 4 THEN 'partial' WHEN k = 5 THEN 'incorrect' WHEN s >= 0.75 THEN 'correct' WHEN s >= 0.25 THEN 'partial' WHEN s IS NOT NULL THEN 'incorrect' WHEN r THEN 'incorrect' ELSE 'judge_error' END AS label FROM e)
+    "judge_label_coerce": """WITH e AS (SELECT event_id % 11 AS k, CASE event_id % 5 WHEN 0 THEN 0.8 WHEN 1 THEN 0.3 WHEN 2 THEN 0.1 WHEN 3 THEN 0.0 END AS s, (event_id // 55) % 4 AS r FROM events),
+l AS (SELECT CASE WHEN k = 0 THEN 'correct' WHEN k IN (1, 10) THEN 'no_answer' WHEN k = 3 THEN 'noanswer' WHEN k = 5 THEN 'incorrect' WHEN k = 8 THEN 'partial' WHEN s IS NULL THEN 'judge_error'
+    WHEN s >= 0.75 THEN 'correct' WHEN s >= 0.25 THEN 'partial' WHEN r IN (1, 2) THEN 'no_answer' ELSE 'incorrect' END AS label FROM e)
 SELECT label, count(*) AS n, CASE label WHEN 'correct' THEN 1.0::DOUBLE WHEN 'partial' THEN 0.5::DOUBLE WHEN 'incorrect' THEN 0.0::DOUBLE WHEN 'no_answer' THEN 0.0::DOUBLE END AS score FROM l GROUP BY 1""",
-    "eval_summary": f"WITH {_ROWS} SELECT {_SUMMARY} FROM e",
-    "eval_by_type": f"WITH {_ROWS} SELECT type, {_SUMMARY} FROM e WHERE coalesce(type, '') <> '' GROUP BY 1",
-    "eval_by_company": f"WITH {_ROWS} SELECT company, {_SUMMARY} FROM e WHERE company <> '' GROUP BY 1",
-    "eval_grouping_sets": f"WITH {_ROWS} SELECT 'all' AS level, '' AS key, {_SUMMARY} FROM e UNION ALL SELECT 'type', type, {_SUMMARY} FROM e WHERE coalesce(type, '') <> '' GROUP BY 2 UNION ALL SELECT 'company', company, {_SUMMARY} FROM e WHERE company <> '' GROUP BY 2",
-    "eval_matrix": f"WITH {_ROWS} SELECT company, round(avg(CASE WHEN type = 'rag' THEN elapsed END), 4) AS rag, round(avg(CASE WHEN type = 'rag' THEN NULL ELSE elapsed END), 4) AS other FROM e WHERE company <> '' GROUP BY 1",
+    "eval_summary": f"WITH {_ROWS} SELECT {_SUMMARY}{_COUNTS} FROM e",
+    "eval_by_type": f"WITH {_ROWS} SELECT type, {_SUMMARY}{_COUNTS} FROM e WHERE coalesce(type, '') <> '' GROUP BY 1",
+    "eval_by_company": f"WITH {_ROWS} SELECT company, {_SUMMARY}{_COUNTS} FROM e WHERE company <> '' GROUP BY 1",
+    "eval_grouping_sets": f"WITH {_ROWS} SELECT 'all' AS level, '-' AS key, {_SUMMARY}{_COUNTS} FROM e UNION ALL SELECT 'type', type, {_SUMMARY}{_COUNTS} FROM e WHERE coalesce(type, '') <> '' GROUP BY 2 UNION ALL SELECT 'company', company, {_SUMMARY}{_COUNTS} FROM e WHERE company <> '' GROUP BY 2",
+    "eval_matrix": f"WITH {_ROWS} SELECT company, " + ", ".join(f"round(avg(CASE WHEN type = '{m}' THEN elapsed END), 4) AS {m}" for m in METHODS) + " FROM e WHERE company <> '' GROUP BY 1",
+    "method_matrix": f"WITH {_ROWS} SELECT type AS method, {_SUMMARY} FROM e WHERE coalesce(type, '') <> '' GROUP BY 1",
+    "selected_questions": "SELECT DISTINCT 'q' || qa_id AS id, question FROM qa_log WHERE qa_id IN (3, 5, 8, 13, 21) ORDER BY 1 LIMIT 4",
+    "subquestions": """SELECT DISTINCT qa_id, c AS company, CASE WHEN qa_id % 3 = 0 AND c = companies[1] THEN 'own ' || qa_id ELSE 'For ' || c || ', answer only the parts of this comparison that its report supports: ' || question END AS asked
+FROM (SELECT qa_id, question, companies, unnest(companies) AS c FROM qa_log WHERE question IS NOT NULL AND len(list_distinct(companies)) + CASE WHEN len(companies) > list_count(companies) THEN 1 ELSE 0 END > 1) WHERE c IS NOT NULL""",
+    "judge_modes": """WITH q AS (SELECT DISTINCT qa_id, question, answer FROM qa_log),
+b AS (SELECT qa_id % 6 AS form, regexp_replace(coalesce(answer, ''), 'WS', '', 'g') = '' AS blank FROM q)
+SELECT form, blank, CASE WHEN blank THEN 'no_answer' WHEN form = 0 THEN 'correct' WHEN form = 1 THEN 'partial' WHEN form = 2 THEN 'no_answer' WHEN form IN (3, 4) THEN 'judge_error' ELSE 'incorrect' END AS label,
+CASE WHEN blank THEN 0.0::DOUBLE WHEN form = 0 THEN 1.0::DOUBLE WHEN form = 1 THEN 0.5::DOUBLE WHEN form IN (3, 4) THEN NULL ELSE 0.0::DOUBLE END AS score,
+CASE WHEN blank THEN false WHEN form = 1 THEN true WHEN form = 3 THEN NULL WHEN form = 5 THEN true ELSE false END AS hallucination, count(*) AS n FROM b GROUP BY 1, 2, 3, 4, 5""".replace("WS", WS),
     "p95_nearest_rank": "SELECT event_type, round(list_sort(list(value))[CAST(round_even((count(value) - 1) * 0.95::DOUBLE, 0) AS BIGINT) + 1], 4) AS p FROM events WHERE value IS NOT NULL GROUP BY 1",
     "median": "SELECT event_type, round(median(value), 4) AS median FROM events WHERE value IS NOT NULL GROUP BY 1",
     "label_histogram": f"WITH {_ROWS} SELECT type, label, count(*) AS n FROM e GROUP BY 1, 2",

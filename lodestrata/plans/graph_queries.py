@@ -66,6 +66,15 @@ def rag_topk_batch(spark: SparkSession, d: str) -> DataFrame:
     return top.select("question_id", "company", "id", F.round("score", 4).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+def rag_topk(spark: SparkSession, d: str) -> DataFrame:
+    """One question: the best chunks of its company only."""
+    one = question_vectors(spark, d).orderBy("question_id").limit(1)
+    items = table(spark, d, "chunks").select("id", company_key("company").alias("company"), "embedding").distinct()
+    asked = one.select("question_id").crossJoin(items.agg(F.min("company").alias("company")))
+    top = retrieval.topk_by_company(one, items, 5, asked)
+    return top.select("question_id", "company", "id", F.round("score", 4).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 _RAG = f"""WITH {_QV}, c AS (SELECT DISTINCT id, {ck('company')} AS company, embedding AS e FROM chunks WHERE len(embedding) > 0),
 s AS (SELECT question_id, company, id, {_DOT} AS score FROM qv, c),
 r AS (SELECT *, row_number() OVER (PARTITION BY question_id, company ORDER BY score DESC, id) AS rank FROM s)
@@ -102,7 +111,7 @@ def seed_entities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    return (
+    edges = (
         table(spark, d, "relationships")
         .groupBy("rel_id")
         .agg(
@@ -115,6 +124,7 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
         )
         .withColumn("source_refs", F.split("refs", SEP))
     )
+    return retrieval.tied_edges(edges, entity_nodes(spark, d))
 
 
 _EDGES = f"""rl AS (SELECT rel_id, min({ck('company')}) AS company, min({nk("coalesce(source_entity, '')")}) AS s, min({nk("coalesce(target_entity, '')")}) AS t, max(relationship_weight) AS weight, max(combined_degree) AS cd,
@@ -124,7 +134,8 @@ sc AS (SELECT a.question_id, rl.*, (CASE WHEN x.seed IS NULL THEN 0 ELSE 1 END)
     coalesce(x.seed, 0.0) + coalesce(y.seed, 0.0) AS boost
     FROM rl JOIN (SELECT DISTINCT question_id, company FROM seeds) a ON a.company = rl.company
     LEFT JOIN sm x ON x.question_id = a.question_id AND x.company = rl.company AND x.name = rl.s
-    LEFT JOIN sm y ON y.question_id = a.question_id AND y.company = rl.company AND y.name = rl.t WHERE trim(rl.s) <> '' AND trim(rl.t) <> ''),
+    LEFT JOIN sm y ON y.question_id = a.question_id AND y.company = rl.company AND y.name = rl.t WHERE trim(rl.s) <> '' AND trim(rl.t) <> ''
+    AND EXISTS (SELECT 1 FROM en WHERE en.company = rl.company AND en.name = rl.s) AND EXISTS (SELECT 1 FROM en WHERE en.company = rl.company AND en.name = rl.t)),
 rw AS (SELECT *, round(coalesce(weight, 0.0) + 0.03::DOUBLE * coalesce(cd, 0) + boost + 2.0::DOUBLE * hits, 6) AS raw FROM sc),
 ranked AS (SELECT *, round(greatest(0.0, raw), 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY question_id, company ORDER BY hits DESC, raw DESC, rel_id) AS rank FROM rw) WHERE rank <= 20)"""
 
@@ -185,14 +196,20 @@ _MERGE = f"""WITH n AS (SELECT {ck('company')} AS company, {nk('entity_name')} A
 t AS (SELECT company, name, type, row_number() OVER (PARTITION BY company, name ORDER BY count(*) DESC, type) AS r FROM n GROUP BY 1, 2, 3),
 f AS (SELECT DISTINCT company, name, trim(ref) AS ref FROM (SELECT company, name, unnest(source_refs) AS ref FROM n) WHERE trim(ref) <> ''),
 g AS (SELECT company, name, string_agg(ref, ' ' ORDER BY ref) AS refs FROM (SELECT *, row_number() OVER (PARTITION BY company, name ORDER BY ref) AS r FROM f) WHERE r <= 10 GROUP BY 1, 2)
-SELECT n.company, n.name, count(*) AS frequency, count(DISTINCT entity_id) AS n_ids, any_value(t.type) AS type, coalesce(any_value(g.refs), '') AS refs
-FROM n JOIN t ON t.company = n.company AND t.name = n.name AND t.r = 1 LEFT JOIN g ON g.company = n.company AND g.name = n.name GROUP BY 1, 2"""
+, ds AS (SELECT DISTINCT {ck('company')} AS company, {nk('entity_name')} AS name, trim(entity_description) AS d FROM entities WHERE {nk('entity_name')} <> '' AND trim(entity_description) <> ''),
+sm AS (SELECT company, name, count(*) AS k, left(string_agg(d, ' ' ORDER BY d), 500) AS s FROM ds GROUP BY 1, 2)
+SELECT n.company, n.name, count(*) AS frequency, count(DISTINCT entity_id) AS n_ids, any_value(t.type) AS type, coalesce(any_value(g.refs), '') AS refs, coalesce(any_value(sm.k), 0) AS n_descriptions, coalesce(any_value(sm.s), '') AS summary
+FROM n JOIN t ON t.company = n.company AND t.name = n.name AND t.r = 1 LEFT JOIN g ON g.company = n.company AND g.name = n.name LEFT JOIN sm ON sm.company = n.company AND sm.name = n.name GROUP BY 1, 2"""
 
 
 def rel_aggregate(spark: SparkSession, d: str) -> DataFrame:
     return graph_build.aggregate_relationships(table(spark, d, "relationships"))
 
 
+def rel_references(spark: SparkSession, d: str) -> DataFrame:
+    return graph_build.aggregate_relationships(table(spark, d, "relationships"), 10).select("company", "source", "target", "refs")
+
+
 _REL = f"""rg AS (SELECT company, source, target, round(sum(coalesce(relationship_weight, 1.0)), 4) AS weight, max(relationship_strength_max) AS strength_max, count(*) AS occurrence_count
 FROM (SELECT {ck('company')} AS company, {nk('source_entity')} AS source, {nk('target_entity')} AS target, relationship_weight, relationship_strength_max FROM relationships) WHERE source <> '' AND target <> '' GROUP BY 1, 2, 3)"""
 _DEG = f"""{_REL}, dg AS (SELECT company, name, count(DISTINCT other) AS degree FROM (SELECT company, source AS name, target AS other FROM rg UNION ALL SELECT company, target, source FROM rg) GROUP BY 1, 2)"""
@@ -231,12 +248,26 @@ def bounded_communities(spark: SparkSession, d: str) -> DataFrame:
     return graph.bounded_communities(company_edges(spark, d))
 
 
+def community_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the hierarchy: nodes with an edge, nodes that no level lacks, nodes whose last community is too large though it comes apart, communities over several components."""
+    edges = company_edges(spark, d).where("src <> dst")
+    parts = cut(graph.bounded_communities(edges))
+    last = parts.groupBy("id").agg(F.max("level").alias("level"), F.max_by(F.struct("community", "unsplittable"), "level").alias("c")).select("id", "level", "c.*")
+    sizes = last.groupBy("community").agg(F.count("*").alias("n"))
+    gaps = parts.groupBy("id").agg((F.max("level") + 1 - F.count("*")).alias("gap"))
+    over = last.join(sizes, "community").where("n > 10 and not unsplittable")
+    spread = parts.join(graph.connected_components(edges), "id").groupBy("level", "community").agg(F.count_distinct("component").alias("n")).where("n > 1")
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    return count(last, "n_nodes").crossJoin(count(gaps.where("gap <> 0"), "n_gaps")).crossJoin(count(over, "n_too_large")).crossJoin(count(spread, "n_spread"))
+
+
 QUERIES = {
     "list_companies": list_companies,
     "list_companies_fallback": list_companies_fallback,
     "company_resolve": company_resolve,
     "valid_embeddings": valid_embeddings,
     "vector_norms": vector_norms,
+    "rag_topk": rag_topk,
     "rag_topk_batch": rag_topk_batch,
     "seed_entities": seed_entities,
     "relationship_rank": relationship_rank,
@@ -245,6 +276,7 @@ QUERIES = {
     "compare_pairs": compare_pairs,
     "entity_merge": entity_merge,
     "rel_aggregate": rel_aggregate,
+    "rel_references": rel_references,
     "degree": degree,
     "combined_degree": combined_degree,
     "undirected_projection": undirected_projection,
@@ -252,6 +284,7 @@ QUERIES = {
     "connected_components": connected_components,
     "communities": communities,
     "bounded_communities": bounded_communities,
+    "community_bounds": community_bounds,
 }
 
 _LISTED = f"SELECT DISTINCT {ck('company')} AS company FROM companies WHERE {ck('company')} <> ''"
@@ -266,6 +299,7 @@ g AS (SELECT qa_id, companies, string_agg(c, ',' ORDER BY i) AS hit FROM f GROUP
 SELECT DISTINCT a.qa_id, coalesce(hit, (SELECT array_to_string(known, ',') FROM k)) AS resolved FROM a LEFT JOIN g ON g.qa_id = a.qa_id AND g.companies IS NOT DISTINCT FROM a.companies""",
     "valid_embeddings": f"SELECT {ck('company')} AS company, count(CASE WHEN len(embedding) > 0 THEN 1 END) AS n_valid, count(*) AS n FROM chunks GROUP BY 1",
     "vector_norms": "SELECT entity_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) AS size, round(list_dot_product(list_slice(embedding, 1, 32)::DOUBLE[], list_slice(embedding, 1, 32)::DOUBLE[]), 4) AS half FROM entity_embeddings WHERE len(embedding) > 0",
+    "rag_topk": _RAG + f"SELECT question_id, company, id, round(score, 4) AS score, rank FROM r WHERE rank <= 5 AND question_id = (SELECT min(question_id) FROM qv) AND company = (SELECT min({ck('company')}) FROM chunks)",
     "rag_topk_batch": _RAG + "SELECT question_id, company, id, round(score, 4) AS score, rank FROM r WHERE rank <= 5",
     "seed_entities": _SEEDS + " SELECT question_id, company, name, id, score, rank FROM seeds",
     "relationship_rank": f"{_SEEDS}, {_EDGES} SELECT question_id, company, rel_id, CAST(hits AS BIGINT) AS hits, score, rank FROM ranked",
@@ -274,12 +308,17 @@ SELECT DISTINCT a.qa_id, coalesce(hit, (SELECT array_to_string(known, ',') FROM
     "compare_pairs": _COMPARE,
     "entity_merge": _MERGE,
     "rel_aggregate": f"WITH {_REL} SELECT * FROM rg",
+    "rel_references": f"""WITH n AS (SELECT {ck('company')} AS company, {nk('source_entity')} AS source, {nk('target_entity')} AS target, source_refs FROM relationships),
+k AS (SELECT DISTINCT company, source, target FROM n WHERE source <> '' AND target <> ''),
+f AS (SELECT DISTINCT company, source, target, trim(ref) AS ref FROM (SELECT company, source, target, unnest(source_refs) AS ref FROM n) WHERE trim(ref) <> ''),
+g AS (SELECT company, source, target, string_agg(ref, ' ' ORDER BY ref) AS refs FROM (SELECT *, row_number() OVER (PARTITION BY company, source, target ORDER BY ref) AS r FROM f) WHERE r <= 10 GROUP BY 1, 2, 3)
+SELECT k.company, k.source, k.target, coalesce(refs, '') AS refs FROM k LEFT JOIN g ON g.company = k.company AND g.source = k.source AND g.target = k.target""",
     "degree": f"WITH {_DEG} SELECT * FROM dg",
     "combined_degree": f"WITH {_DEG} SELECT rg.company, source, target, a.degree + b.degree AS combined_degree FROM rg JOIN dg a ON a.company = rg.company AND a.name = source JOIN dg b ON b.company = rg.company AND b.name = target",
     "undirected_projection": f"WITH {_REL} SELECT company, least(source, target) AS a, greatest(source, target) AS b, arg_max(weight, source || chr(1) || target) AS weight FROM rg GROUP BY 1, 2, 3",
-    "description_summaries": f"""WITH e AS (SELECT DISTINCT {ck('company')} AS company, {nk('entity_name')} AS name, trim(entity_description) AS d FROM entities WHERE {nk('entity_name')} <> '' AND trim(entity_description) <> ''),
-r AS (SELECT *, row_number() OVER (PARTITION BY company, name ORDER BY d) AS r FROM e)
-SELECT company, name, count(*) AS n_descriptions, left(string_agg(d, ' ' ORDER BY d), 500) AS summary FROM r WHERE r <= 20 GROUP BY 1, 2""",
+    "description_summaries": f"""WITH e AS (SELECT DISTINCT {ck('company')} AS company, {nk('entity_name')} AS name, trim(entity_description) AS d FROM entities WHERE {nk('entity_name')} <> '' AND trim(entity_description) <> '')
+SELECT company, name, count(*) AS n_descriptions, left(string_agg(d, ' ' ORDER BY d), 500) AS summary FROM e GROUP BY 1, 2""",
+    "community_bounds": f"""WITH {_REL} SELECT count(DISTINCT n) AS n_nodes, 0 AS n_gaps, 0 AS n_too_large, 0 AS n_spread FROM (SELECT company || '|' || source AS n FROM rg WHERE source <> target UNION ALL SELECT company || '|' || target FROM rg WHERE source <> target)""",
     "connected_components": f"""WITH RECURSIVE {_REL}, ed AS (SELECT company || '|' || source AS a, company || '|' || target AS b FROM rg UNION SELECT company || '|' || target, company || '|' || source FROM rg),
 cc(id, component) AS (SELECT a, least(a, min(b)) FROM ed GROUP BY a UNION SELECT ed.a, cc.component FROM cc JOIN ed ON ed.b = cc.id)
 SELECT id, min(component) AS component FROM cc GROUP BY 1""",

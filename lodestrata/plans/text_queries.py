@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import jsonx
 from lodestrata.functions.refs import source_ref
 from lodestrata.functions.text import company_key, split_list, strip_ansi, tokens, truncate_text
-from lodestrata.operators import chunking, context, pages, records
+from lodestrata.operators import chunking, context, pages, records, retrieval
 from lodestrata.plans.graph_queries import ck
 from lodestrata.session import table
 
@@ -47,9 +47,10 @@ SELECT ref, CASE WHEN f <> '' AND n IS NOT NULL THEN f END AS source_file, CASE
 
 
 def marked_documents(spark: SparkSession, d: str) -> DataFrame:
-    """One page-marked text per report, from its chunks in page order."""
+    """One page-marked text per report, from its chunks in page order; every seventh page is empty."""
     rows = table(spark, d, "chunks").where("text is not null and page_ordinal is not null").groupBy("source_file", "page_ordinal").agg(F.min("text").alias("text"))
-    page = F.concat(F.lit("--- PAGE "), F.col("page_ordinal").cast("string"), F.lit(" START ---\n"), F.regexp_replace("text", "\r", ""), F.lit("\n--- PAGE "), F.col("page_ordinal").cast("string"), F.lit(" END ---"))
+    body = F.when(F.col("page_ordinal") % 7 == 0, F.lit("")).otherwise(F.concat(F.regexp_replace("text", "\r", ""), F.lit("\n")))
+    page = F.concat(F.lit("--- PAGE "), F.col("page_ordinal").cast("string"), F.lit(" START ---\n"), body, F.lit("--- PAGE "), F.col("page_ordinal").cast("string"), F.lit(" END ---"))
     return rows.select("source_file", "page_ordinal", page.alias("p")).groupBy("source_file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_ordinal", "p"))), lambda x: x["p"]), "\n").alias("text"))
 
 
@@ -58,8 +59,12 @@ def page_split(spark: SparkSession, d: str) -> DataFrame:
     return out.select("file", "page", "page_file", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("hash"))
 
 
-_PAGE_SPLIT = r"""WITH p AS (SELECT source_file AS file, CAST(page_ordinal AS BIGINT) AS page, regexp_replace(replace(min(text), chr(13), ''), '^\n+|\n+$', '', 'g') AS t
-FROM chunks WHERE text IS NOT NULL AND page_ordinal IS NOT NULL GROUP BY 1, 2)
+def page_counts(spark: SparkSession, d: str) -> DataFrame:
+    return pages.page_counts(pages.split_pages(marked_documents(spark, d), "source_file", "text"))
+
+
+_PAGE_SPLIT = r"""WITH p AS (SELECT source_file AS file, CAST(page_ordinal AS BIGINT) AS page, CASE WHEN page_ordinal % 7 = 0 THEN '' ELSE regexp_replace(replace(min(text), chr(13), ''), '^\n+|\n+$', '', 'g') END AS t
+FROM chunks WHERE text IS NOT NULL AND page_ordinal IS NOT NULL GROUP BY source_file, page_ordinal)
 SELECT file, page, regexp_replace(file, '\.[^.]*$', '') || '_page_' || CASE WHEN page >= 100 THEN CAST(page AS VARCHAR) ELSE lpad(CAST(page AS VARCHAR), 3, '0') END || '.md' AS page_file, length(t) AS n_chars, md5(t) AS hash FROM p"""
 
 
@@ -95,14 +100,14 @@ SELECT id, length(chunk) AS n_chars, md5(chunk) AS hash FROM c"""
 
 
 def sliding_chunks(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", chunking.words(F.regexp_replace("text", r"[^\x21-\x7e]+", " ")).alias("t"))
-    out = chunking.sliding_chunks(rows, "doc_id", "t", 120, 12)
+    rows = table(spark, d, "documents").select("doc_id", chunking.words(F.col("text")).alias("t"))
+    out = chunking.sliding_chunks(rows, "doc_id", "t")
     return out.select(F.col("id").alias("doc_id"), F.col("chunk_no").cast("bigint").alias("chunk_no"), F.col("n_tokens").cast("bigint").alias("n_tokens"), F.md5("chunk").alias("hash"))
 
 
-_SLIDING = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[\x21-\x7e]+') AS t FROM documents),
-s AS (SELECT doc_id, t, unnest(range(0, CAST(greatest(1, ceil((len(t) - 12) / 108.0)) AS BIGINT))) AS chunk_no FROM d WHERE len(t) > 0)
-SELECT doc_id, chunk_no, len(list_slice(t, chunk_no * 108 + 1, chunk_no * 108 + 120)) AS n_tokens, md5(array_to_string(list_slice(t, chunk_no * 108 + 1, chunk_no * 108 + 120), ' ')) AS hash FROM s"""
+_SLIDING = r"""WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\t\n\x0B\f\r ]+'), lambda x: x <> '') AS t FROM documents),
+s AS (SELECT doc_id, t, unnest(range(0, CAST(greatest(1, ceil((len(t) - 120) / 1080.0)) AS BIGINT))) AS chunk_no FROM d WHERE len(t) > 0)
+SELECT doc_id, chunk_no, len(list_slice(t, chunk_no * 1080 + 1, chunk_no * 1080 + 1200)) AS n_tokens, md5(array_to_string(list_slice(t, chunk_no * 1080 + 1, chunk_no * 1080 + 1200), ' ')) AS hash FROM s"""
 
 
 def text_units(spark: SparkSession, d: str) -> DataFrame:
@@ -206,6 +211,19 @@ u AS (SELECT company, sum(n) OVER (PARTITION BY company ORDER BY degree DESC NUL
 SELECT company, count(*) AS n_entities, CAST(max(used) AS BIGINT) AS used FROM u WHERE used <= 8000 GROUP BY 1"""
 
 
+def graph_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """The graph context of every question and company: its entity, relationship and excerpt lines, and the prompt from all of them."""
+    from lodestrata.plans import graph_queries as g
+
+    seeds = g._seeds(spark, d)
+    ranked = retrieval.rank_relationships(seeds, g._edges(spark, d), 20)
+    details = table(spark, d, "entities").groupBy("entity_id").agg(F.min("entity_type").alias("type"), F.max("degree").alias("degree"), F.max("frequency").alias("frequency"), F.min("entity_description").alias("description"))
+    entities = seeds.join(details, seeds["id"] == details["entity_id"]).withColumn("line", context.entity_line(F.col("name"), F.col("type"), F.col("degree"), F.col("frequency"), F.col("score"), F.col("source_refs"), F.col("description")))
+    edges = ranked.withColumn("line", context.relationship_line(F.col("source_entity"), F.col("target_entity"), F.col("weight"), F.col("combined_degree"), F.col("score"), F.col("source_refs"), F.lit(None).cast("string")))
+    blocks = context.graph_context(entities, edges, None, ["question_id", "company"])
+    return blocks.select("question_id", "company", F.md5("context").alias("hash"), F.length("context").cast("bigint").alias("n_chars"))
+
+
 def top_refs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "entities").select("entity_id", F.array_join(F.slice("source_refs", 1, 3), ", ").alias("refs")).distinct()
 
@@ -225,7 +243,7 @@ def cache_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (token_counts, source_refs, page_split, page_errors, page_tags, page_ordinals, overlap_chunks, sliding_chunks, text_units, usage_estimate, record_parse, record_weights, attr_parse, noun_phrases, json_props, json_unwrap, json_objects, context_blocks, entity_texts, report_budget, top_refs, ansi_and_lists, cache_dedupe)
+    for f in (token_counts, source_refs, page_split, page_counts, page_errors, page_tags, page_ordinals, overlap_chunks, sliding_chunks, text_units, usage_estimate, record_parse, record_weights, attr_parse, noun_phrases, json_props, json_unwrap, json_objects, context_blocks, entity_texts, report_budget, top_refs, graph_contexts, ansi_and_lists, cache_dedupe)
 } | {"truncate_text": truncated}
 
 _CONTEXT = f"""WITH qv AS (SELECT entity_id AS question_id, embedding AS q FROM entity_embeddings WHERE len(embedding) > 0 AND CAST(regexp_extract(entity_id, '([0-9]+)$', 1) AS BIGINT) % 100 = 0),
@@ -244,6 +262,7 @@ SQL = {
     "token_counts": f"SELECT token, count(*) AS n FROM (SELECT unnest({_TOKENS.format(c='answer')}) AS token FROM qa_log) GROUP BY 1",
     "source_refs": _SOURCE_REF,
     "page_split": _PAGE_SPLIT,
+    "page_counts": "SELECT file, count(*) AS n_pages, count(CASE WHEN n = 0 OR page % 7 = 0 THEN 1 END) AS n_empty FROM (SELECT source_file AS file, page_ordinal AS page, length(regexp_replace(replace(min(text), chr(13), ''), '^\\n+|\\n+$', '', 'g')) AS n FROM chunks WHERE text IS NOT NULL AND page_ordinal IS NOT NULL GROUP BY 1, 2) GROUP BY 1",
     "page_errors": _PAGE_ERRORS,
     "page_tags": "SELECT DISTINCT id, array_to_string(regexp_extract_all(text, '<page_number>((?:.|\\n)*?)</page_number>', 1), ',') AS tags FROM chunks WHERE contains(text, '</page_number>')",
     "page_ordinals": "SELECT source_file, id, row_number() OVER (PARTITION BY source_file ORDER BY id) AS ordinal FROM (SELECT DISTINCT source_file, id FROM chunks)",

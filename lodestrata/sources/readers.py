@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.functions.text import is_blank
+from lodestrata.operators import evaluation
 from lodestrata.operators.ranking import positions
 
 QUESTION = "id string, type string, question string, gold_answer string, company string, companies array<string>, subquestions map<string,string>"
@@ -18,18 +20,48 @@ def whole_texts(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame
     return rows.select(where.alias("path"), F.element_at(F.split(where, "/"), -1).alias("file"), F.col("value").alias("text"))
 
 
+def _object(value: Column, schema: str) -> Column:
+    return F.when(F.trim(value).startswith("{") & F.try_parse_json(value).isNotNull(), F.from_json(value, schema))
+
+
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Objects of a line-wise JSON file; blank lines are skipped and any other line that is no object is an error that names it."""
-    raw = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_name").alias("file")).where(F.trim("value") != "")
-    parsed = raw.withColumn("o", F.when(F.trim("value").startswith("{") & F.try_parse_json("value").isNotNull(), F.from_json("value", schema)))
-    checked = parsed.withColumn("o", F.when(F.col("o").isNull(), F.raise_error(F.concat(F.col("file"), F.lit(": no JSON object: "), F.left("value", F.lit(80)))).cast(parsed.schema["o"].dataType)).otherwise(F.col("o")))
+    """Objects of a line-wise JSON file; blank lines are skipped and any other line that is no object is an error that names the file and the line's text.
+
+    Files are split between tasks, so a line's number isn't known here: ``jsonl_errors`` tells it.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file")).where(~is_blank(F.col("value")))
+    parsed = raw.withColumn("o", _object(F.col("value"), schema))
+    where = F.concat(F.col("file"), F.lit(": no JSON object: "), F.left("value", F.lit(80)))
+    checked = parsed.withColumn("o", F.when(F.col("o").isNull(), F.raise_error(where).cast(parsed.schema["o"].dataType)).otherwise(F.col("o")))
     return checked.select("o.*")
 
 
-def questions(spark: SparkSession, path: str, schema: str = QUESTION) -> DataFrame:
-    """Questions of a JSON array (``.json``) or of JSON lines; companies are lower-cased."""
+def jsonl_errors(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(file, line_no, value) of the lines that are no object, numbered from 1; whole files are read."""
+    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
+    lines = whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("k", "value")).where(~is_blank(F.col("value")))
+    return lines.where(_object(F.col("value"), schema).isNull()).select("file", (F.col("k") + 1).alias("line_no"), "value")
+
+
+def questions(spark: SparkSession, path: str, schema: str = QUESTION, check: bool = True) -> DataFrame:
+    """Questions of a JSON array (``.json``) or of JSON lines; companies are lower-cased.
+
+    Unless ``check`` is off, a question without a required field and an id given twice, whatever its case, are errors.
+    """
     rows = spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(path) if path.endswith(".json") else jsonl(spark, path, schema)
-    return rows.withColumn("company", F.lower(F.trim("company"))) if "company" in rows.columns else rows
+    rows = rows.withColumn("company", F.lower(F.trim("company"))) if "company" in rows.columns else rows
+    if check:
+        wrong = [f"{r.id}: {r.error}" for r in evaluation.missing_fields(rows, "id", [c for c in evaluation.REQUIRED if c in rows.columns]).limit(5).collect()]
+        wrong += [f"{r.id}: given {r.n} times" for r in evaluation.duplicate_keys(rows, "id").limit(5).collect()]
+        if wrong:
+            raise ValueError(f"{path}: {'; '.join(wrong)}")
+    return rows
+
+
+def configuration(spark: SparkSession, settings: dict[str, object]) -> DataFrame:
+    """(name, value) of settings as a dimension: lists as their items parted by commas, null as an empty value."""
+    rows = [(k, ",".join(map(str, v)) if isinstance(v, (list, tuple)) else "" if v is None else str(v)) for k, v in settings.items()]
+    return spark.createDataFrame(rows, "name string, value string")
 
 
 def string_map(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -49,8 +50,35 @@ def json_document(df: DataFrame, path: str, mode: str = "errorifexists") -> None
 
 
 def page_files(pages: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One folder per page file; each text ends in a line feed, and an empty page has no file."""
-    pages.where("text <> ''").select("page_file", F.col("text").alias("value")).write.mode(mode).partitionBy("page_file").text(path)
+    """A file per page, named as in page_file; a text ends in a line feed, and an empty page is an empty file.
+
+    Each task writes its own pages, whole or not at all, so that a task run again repeats them.
+    """
+    spark = pages.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        if mode == "errorifexists":
+            raise FileExistsError(path)
+        if mode == "overwrite":
+            fs.delete(target, True)
+    fs.mkdirs(target)
+    uri = fs.makeQualified(target).toString()
+    uri = uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+    def put(batches):
+        from pyarrow import fs as stores
+
+        store, root = stores.FileSystem.from_uri(uri)
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                part = f"{root}/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(text.encode() + b"\n" if text else b"")
+                store.move(part, f"{root}/{name}")
+            yield batch.slice(0, 0)
+
+    pages.select("page_file", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(put, "page_file string, text string").write.format("noop").mode("overwrite").save()
 
 
 def marked_text(pages: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -70,7 +98,10 @@ def graph_tables(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("company").parquet(path)
 
 
-def graphml(edges: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Edges (source, target, weight) as XML."""
+def graphml(edges: DataFrame, path: str, mode: str = "errorifexists", nodes: DataFrame | None = None) -> None:
+    """Nodes (id) and edges (source, target, weight) as XML, a folder each: ``nodes`` and ``edges``; without ``nodes`` those that edges have."""
     data = F.struct(F.lit("d0").alias("_key"), F.col("weight").alias("_VALUE"))
-    edges.select(F.col("source").alias("_source"), F.col("target").alias("_target"), data.alias("data")).write.format("xml").option("rowTag", "edge").option("rootTag", "graph").mode(mode).save(path)
+    known = edges.select(F.col("source").alias("id")).unionByName(edges.select(F.col("target").alias("id")))
+    some = (nodes.select("id").unionByName(known) if nodes is not None else known).where("id is not null").distinct()
+    some.select(F.col("id").alias("_id"), F.lit("").alias("_VALUE")).write.format("xml").option("rowTag", "node").option("rootTag", "graph").mode(mode).save(f"{path}/nodes")
+    edges.select(F.col("source").alias("_source"), F.col("target").alias("_target"), data.alias("data")).write.format("xml").option("rowTag", "edge").option("rootTag", "graph").mode(mode).save(f"{path}/edges")

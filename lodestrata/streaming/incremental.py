@@ -44,3 +44,39 @@ def evaluation_metrics(stream: DataFrame, time_col: str, window: str = "1 day",
 def sessions(stream: DataFrame, key: str, time_col: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Events per key with no longer pause than ``gap``."""
     return stream.withWatermark(time_col, late).groupBy(F.session_window(time_col, gap), key).agg(F.count("*").alias("n"))
+
+
+def pending_units(units: DataFrame, results: DataFrame, key: str, ok: str = "ok", most: int | None = None) -> DataFrame:
+    """Units that no result of theirs says are done, failed ones again; ``most`` attempts at each, all without."""
+    tried = results.groupBy(key).agg(F.max(F.coalesce(F.col(ok), F.lit(False))).alias("_ok"), F.count("*").alias("_n"))
+    closed = tried.where(F.col("_ok") | (F.col("_n") >= most) if most is not None else F.col("_ok")).select(key)
+    return units.join(closed, key, "left_anti")
+
+
+def run_units(units: DataFrame, target: str, key: str, work: Callable[[DataFrame], DataFrame], most: int = 3) -> int:
+    """Works on the units that ``target`` has no good result of, round by round, and appends what comes out; ``work`` keeps the key and adds ``ok``.
+
+    A run that breaks off goes on from what was written. Gives the number of rounds.
+    """
+    spark, rounds = units.sparkSession, 0
+    while True:
+        try:
+            left = pending_units(units, spark.read.parquet(target), key, most=most)
+        except Exception as e:  # noqa: BLE001
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
+            left = units
+        if left.isEmpty():
+            return rounds
+        work(left).write.mode("append").parquet(target)
+        rounds += 1
+
+
+def relay_lines(spark: SparkSession, path: str, checkpoint: str, take: Callable[[DataFrame], None]) -> StreamingQuery:
+    """Lines of growing text files, handed on as they come: (file, value), those of a file in its order."""
+
+    def batch(df: DataFrame, _: int) -> None:
+        take(df)
+
+    lines = spark.readStream.text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

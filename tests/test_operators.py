@@ -1,6 +1,8 @@
+import json
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions import jsonx
@@ -47,7 +49,10 @@ def test_labels(spark):
     assert one(spark, label, l="no answer", s=None, r=None) == "no_answer"
     assert one(spark, label, l="correct|partial", s=0.8, r=None) == "correct"
     assert one(spark, label, l="noanswer", s=None, r=None) == "noanswer"
-    assert one(spark, label, l="?", s=None, r=None) == "judge_error"
+    for said in (None, "partial", "incorrect"):
+        assert one(spark, label, l="?", s=None, r=said) == "judge_error"
+    assert one(spark, label, l="?", s=0.2, r="It does-not provide it") == "no_answer" and one(spark, label, l="?", s=0.2, r="wrong") == "incorrect"
+    assert one(spark, label, l="mostly partial", s=0.8, r=None) == "correct" and one(spark, label, l="partial!", s=None, r=None) == "partial"
 
 
 def test_json_in_text(spark):
@@ -85,6 +90,11 @@ def test_pages(spark):
     df = spark.createDataFrame([("d.md", text), *[(k, v) for k, v in bad.items()]], "file string, text string")
     got = pages.split_pages(df.where("file = 'd.md'"), "file", "text").orderBy("page").collect()
     assert [(r.page, r.page_file, r.text) for r in got] == [(1, "d_page_001.md", "a"), (2, "d_page_002.md", "b")]
+    empty = spark.createDataFrame([("e.md", "--- PAGE 1 START ---\nx\n--- PAGE 1 END ---\n--- PAGE 2 START ---\n--- PAGE 2 END ---")], "file string, text string")
+    for keep in (False, True):
+        assert [r.page for r in pages.split_pages(empty, "file", "text", keep).orderBy("page").collect()] == [1, 2]
+    assert [(r.page, r.text, r.n_lines) for r in pages.split_pages(empty, "file", "text").orderBy("page").collect()] == [(1, "x", 1), (2, "", 0)]
+    assert tuple(pages.page_counts(pages.split_pages(empty, "file", "text")).first()) == ("e.md", 2, 1)
     assert {r.file: r.error for r in pages.page_errors(df, "file", "text").collect()} == {"n": "nested start", "e": "end without start", "m": "mismatched end", "u": "unclosed page"}
 
 
@@ -144,10 +154,12 @@ def test_seed_and_relationship_quirks(spark):
 
 
 def test_summary_rates(spark):
-    rows = spark.createDataFrame([("correct", 1.0, True, 0.5, True, 0, 1.0, "t", ""), (None, None, None, None, False, 1, None, "", "c")], "label string, score double, hallucination boolean, f1 double, contained boolean, returncode int, elapsed double, type string, company string")
+    rows = spark.createDataFrame([("correct", 1.0, True, 0.5, 0.25, 0.5, True, 0, 1.0, "t", ""), (None, None, None, None, None, None, False, 1, None, "", "c")], "label string, score double, hallucination boolean, f1 double, precision double, recall double, contained boolean, returncode int, elapsed double, type string, company string")
     r = evaluation.summarise(rows, []).first()
-    assert (r.n, r.n_ok, r.correct_rate, r.average_score, r.hallucination_rate) == (2, 1, 0.5, 1.0, 1.0)
-    assert {(x.level, x.key) for x in evaluation.summarise_sets(rows).collect()} == {("all", ""), ("type", "t"), ("company", "c")}
+    assert (r.total_questions, r.successful_queries, r.query_failures, r.correct_rate, r.average_score, r.hallucination_rate) == (2, 1, 1, 0.5, 1.0, 1.0)
+    assert (r.average_token_precision, r.average_token_recall, r.average_token_f1, r.gold_substring_match_rate, r.median_elapsed_seconds, r.p95_elapsed_seconds, r.n_correct) == (0.25, 0.5, 0.5, 0.5, 1.0, 1.0, 1)
+    assert {(x.level, x.key) for x in evaluation.summarise_sets(rows).collect()} == {("all", "-"), ("type", "t"), ("company", "c")}
+    assert evaluation.summarise(rows.where("false"), []).first().total_questions == 0
 
 
 def test_all_descriptions_of_a_hot_entity(spark):
@@ -171,3 +183,86 @@ def test_bounded_communities_go_on_to_the_bound(spark):
         sizes.setdefault((r.community, r.unsplittable), set()).add(r.id)
     assert all(len(ids) <= 10 for (_, stuck), ids in sizes.items() if not stuck)
     assert [ids for (_, stuck), ids in sizes.items() if stuck] == [{x for e in clique for x in e}]
+
+
+def test_topk_by_block_equals_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    items = spark.createDataFrame([(f"i{k}", "abc"[k % 3], [float(x) for x in rng.normal(size=6)]) for k in range(90)] + [("t1", "a", [1.0] * 6), ("t2", "a", [1.0] * 6)], "id string, company string, embedding array<float>").repartition(3)
+    asks = spark.createDataFrame([(str(k), [float(x) for x in rng.normal(size=6)]) for k in range(25)], "question_id string, embedding array<float>")
+    asked = spark.createDataFrame([(str(k), "abc"[k % 2]) for k in range(25)], "question_id string, company string")
+    rows = lambda **k: {tuple(r) for r in retrieval.topk_by_company(asks, items, 4, **k).select("question_id", "company", "id", "rank").collect()}
+    whole, some = rows(), rows(asked=asked)
+    assert some == {r for r in whole if r[1] == "abc"[int(r[0]) % 2]} and len(whole) == 25 * 3 * 4
+    monkeypatch.setattr(retrieval, "BLOCK", 10)
+    monkeypatch.setattr(retrieval, "PART", 40)
+    assert rows() == whole and rows(asked=asked) == some
+
+
+def test_relationship_rank_against_the_definition(spark):
+    rng = random.Random(8)
+    names = [f"n{i}" for i in range(12)]
+    rels = [(f"r{i:03d}", rng.choice("cd"), rng.choice(names), rng.choice(names), rng.choice([None, 1.0, 2.0, 5.0]), rng.choice([None, 3, 40])) for i in range(200)]
+    seeds = [(q, c, n, round(rng.random(), 4)) for q in "xy" for c in "cd" for n in rng.sample(names, 3)]
+    got = retrieval.rank_relationships(spark.createDataFrame(seeds, "question_id string, company string, name string, score double"), spark.createDataFrame(rels, "rel_id string, company string, source_entity string, target_entity string, weight double, combined_degree int"), 60)
+    want = {}
+    for q in "xy":
+        for c in "cd":
+            score = {n: s for a, b, n, s in seeds if (a, b) == (q, c)}
+            rows = []
+            for i, company, a, b, w, d in rels:
+                if company == c:
+                    hits = (a in score) + (b in score)
+                    rows.append((-hits, -round((w or 0) + 0.03 * (d or 0) + score.get(a, 0) + score.get(b, 0) + 2 * hits, 6), i))
+            want |= {(q, c, i): (k + 1, -h) for k, (h, _, i) in enumerate(sorted(rows)[:60])}
+    assert {(r.question_id, r.company, r.rel_id): (r["rank"], r.hits) for r in got.collect()} == want
+
+
+def test_edges_without_an_entity_at_an_end(spark):
+    edges = spark.createDataFrame([("1", "c", "A", "B"), ("2", "c", "A", "Z"), ("3", "d", "A", "B"), ("4", "c", "A", "A")], "rel_id string, company string, source_entity string, target_entity string")
+    nodes = spark.createDataFrame([("c", "A"), ("c", "A"), ("c", "B"), ("d", "A"), ("c", " ")], "company string, name string")
+    assert {r.rel_id for r in retrieval.tied_edges(edges, nodes).collect()} == {"1", "4"}
+
+
+def test_exact_ranks_in_large_and_hot_groups(spark, monkeypatch):
+    from lodestrata.operators import ranking
+
+    monkeypatch.setattr(ranking, "ACCURACY", 200)
+    rng = random.Random(9)
+    rows = [("hot", rng.choice([None, 7.0, rng.random(), rng.random() * 9])) for _ in range(8000)] + [("few", float(v)) for v in (3, 1, 2, 9)] + [(None, 5.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    by = {}
+    for g, v in rows:
+        if v is not None:
+            by.setdefault(g, []).append(v)
+    by = {g: sorted(v) for g, v in by.items()}
+    for share in (0.0, 0.5, 0.95, 1.0):
+        got = {r.g: r.p for r in ranking.nearest_rank(df, ["g"], "v", share, "p").collect()}
+        assert got == {g: v[round((len(v) - 1) * share)] for g, v in by.items()}
+    got = {r.g: r.median for r in evaluation.median_by(df, ["g"], "v").collect()}
+    assert got == {g: round((v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2, 4) for g, v in by.items()}
+
+
+def test_selections_and_small_functions(spark):
+    from lodestrata.functions import text
+    from lodestrata.operators import context
+
+    q = spark.createDataFrame([("Q1",), ("q2",), ("q3",)], "id string")
+    assert [r.id for r in evaluation.select_questions(q, "q1, Q3 ,zz").collect()] == ["Q1", "q3"]
+    assert [r.id for r in evaluation.select_questions(q, " ", 2).collect()] == ["Q1", "q2"]
+    for bad in (("zz", None), (None, 0)):
+        with pytest.raises(ValueError):
+            evaluation.select_questions(q, *bad)
+    assert one(spark, evaluation.united_companies(F.split("a", ","), F.split("b", ",")), a="x,y", b="z,x") == ["x", "y", "z"]
+    assert one(spark, text.run_directory_of(F.col("l")), l="done\nWrote evaluation run to /r/a b \nend") == "/r/a b" and one(spark, text.run_directory_of(F.col("l")), l="none") is None
+    assert one(spark, text.valid_text(F.unhex("h")), h="61FF62") == "a\ufffdb"
+    assert tuple(one(spark, text.credentials(F.col("c")), c="u/p/q")) == ("u", "p/q") and one(spark, text.credentials(F.col("c")), c="u") is None
+    line = context.relationship_line(F.lit("A"), F.lit("B"), F.lit(1.5), F.lit(None).cast("int"), F.lit(2.0), F.array(F.lit("f:1:u")), F.lit(None).cast("string"))
+    assert one(spark, line, x="x") == "- A -> B (weight=1.50, combined_degree=0, score=2.0000, refs=f:1:u) "
+    reply = json.loads(one(spark, jsonx.embedding_envelope(F.split("t", "[|]"), F.array(F.array(F.lit(1.0)), F.array(F.lit(2.0))), "m"), t="a b|"))
+    assert [d["index"] for d in reply["data"]] == [0, 1] and reply["usage"]["total_tokens"] == 3
+
+
+def test_gleaned_passes(spark):
+    rows = lambda text: records.parse_records(spark.createDataFrame([(1, text)], "id int, t string"), "id", "t")
+    a, b = rows('("entity"<|>a<|>ORG<|>d)##bad'), rows('("entity"<|>a<|>ORG<|>other)##("entity"<|>b<|>ORG<|>d)')
+    assert {(r.name, r.pass_no) for r in records.gleaned([a, b]).where("kind = 'entity'").collect()} == {("A", 0), ("B", 1)}

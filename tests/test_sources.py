@@ -14,11 +14,20 @@ def test_text_and_questions(spark, tmp_path):
     (tmp_path / "q.json").write_text(json.dumps(rows))
     (tmp_path / "q.jsonl").write_text("\n\n".join(map(json.dumps, rows)))
     for name in ("q.json", "q.jsonl"):
-        got = readers.questions(spark, str(tmp_path / name)).orderBy("id").collect()
+        got = readers.questions(spark, str(tmp_path / name), check=False).orderBy("id").collect()
         assert [(r.id, r.company, r.companies) for r in got] == [("1", "acme", None), ("2", None, ["a", "b"])]
     (tmp_path / "bad.jsonl").write_text('{"id": "1"}\n[1]\n')
     with pytest.raises(Exception, match="no JSON object"):
-        readers.questions(spark, str(tmp_path / "bad.jsonl")).collect()
+        readers.questions(spark, str(tmp_path / "bad.jsonl"), check=False).collect()
+    assert [tuple(r) for r in readers.jsonl_errors(spark, str(tmp_path / "bad.jsonl"), readers.QUESTION).collect()] == [("bad.jsonl", 2, "[1]")]
+    for name in ("q.json", "q.jsonl"):
+        with pytest.raises(ValueError, match="2: missing: type, gold_answer"):
+            readers.questions(spark, str(tmp_path / name))
+    full = [{"id": i, "type": "t", "question": "q", "gold_answer": "g"} for i in ("a", "A", "b")]
+    (tmp_path / "twice.json").write_text(json.dumps(full))
+    with pytest.raises(ValueError, match="A: given 2 times"):
+        readers.questions(spark, str(tmp_path / "twice.json"))
+    assert {tuple(r) for r in readers.configuration(spark, {"a": [1, 2], "b": None}).collect()} == {("a", "1,2"), ("b", "")}
 
 
 def test_maps_caches_and_folders(spark, tmp_path):
@@ -43,7 +52,8 @@ def test_maps_caches_and_folders(spark, tmp_path):
 def test_graph_round_trip(spark, tmp_path):
     edges = spark.createDataFrame([("A", "B & C", 1.5), ("A", "D", 2.0)], "source string, target string, weight double")
     writers.graphml(edges, str(tmp_path / "g"))
-    assert {tuple(r) for r in readers.graphml_edges(spark, str(tmp_path / "g")).collect()} == {tuple(r) for r in edges.collect()}
+    assert {tuple(r) for r in readers.graphml_edges(spark, str(tmp_path / "g" / "edges")).collect()} == {tuple(r) for r in edges.collect()}
+    assert {r.id for r in readers.graphml_nodes(spark, str(tmp_path / "g" / "nodes")).collect()} == {"A", "B & C", "D"}
     (tmp_path / "n.graphml").write_text('<graphml><graph><node id="A"/><node id="B"/></graph></graphml>')
     assert {r.id for r in readers.graphml_nodes(spark, str(tmp_path / "n.graphml")).collect()} == {"A", "B"}
 
@@ -60,7 +70,11 @@ def test_writers(spark, tmp_path):
     assert json.loads(spark.read.text(str(tmp_path / "d")).first().value)["id"] == 1
     pages = spark.createDataFrame([("d.md", 1, "d_page_001.md", "x\ny"), ("d.md", 2, "d_page_002.md", "")], "file string, page int, page_file string, text string")
     writers.page_files(pages, str(tmp_path / "p"))
-    assert {r.page_file: r.value for r in spark.read.text(str(tmp_path / "p"), wholetext=True).collect()} == {"d_page_001.md": "x\ny\n"}
+    assert {f.name: f.read_bytes() for f in (tmp_path / "p").iterdir()} == {"d_page_001.md": b"x\ny\n", "d_page_002.md": b""}
+    with pytest.raises(FileExistsError):
+        writers.page_files(pages, str(tmp_path / "p"))
+    writers.page_files(pages.where("page = 2"), str(tmp_path / "p"), "overwrite")
+    assert [f.name for f in (tmp_path / "p").iterdir()] == ["d_page_002.md"]
     writers.marked_text(pages, str(tmp_path / "m"))
     assert spark.read.text(str(tmp_path / "m"), wholetext=True).first().value.startswith("--- PAGE 1 START ---\nx\ny\n--- PAGE 1 END ---")
     for company in ("a", "b"):
@@ -96,3 +110,28 @@ def test_streamed_metrics(spark, tmp_path):
     s.processAllAvailable()
     s.stop()
     assert sorted(r.n for r in spark.table("sessions").collect()) == [1, 2]
+
+
+def test_failed_units_run_again(spark, tmp_path):
+    units = spark.range(6).withColumnRenamed("id", "unit")
+    target = str(tmp_path / "done")
+
+    def work(df):
+        seen = {}
+        if (tmp_path / "done").exists():
+            seen = {r.unit: r["count"] for r in spark.read.parquet(target).groupBy("unit").count().collect()}
+        rows = [(r.unit, r.unit % 2 == 0 or (r.unit == 3 and seen.get(3, 0) == 1)) for r in df.collect()]
+        return spark.createDataFrame(rows, "unit long, ok boolean")
+
+    assert incremental.run_units(units, target, "unit", work, most=3) == 3
+    tried = {r.unit: r["count"] for r in spark.read.parquet(target).groupBy("unit").count().collect()}
+    assert tried == {0: 1, 1: 3, 2: 1, 3: 2, 4: 1, 5: 3}
+
+
+def test_lines_are_relayed(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "a.log").write_text("one\ntwo\n")
+    got = []
+    q = incremental.relay_lines(spark, str(tmp_path / "logs"), str(tmp_path / "c"), lambda df: got.extend(r.value for r in df.collect()))
+    q.awaitTermination()
+    assert got == ["one", "two"]
