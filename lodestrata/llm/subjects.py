@@ -218,13 +218,18 @@ def mixtures(starts: np.ndarray, sizes: np.ndarray, at: np.ndarray, x: np.ndarra
 
     ``at`` has each cell's probability in every component.
     """
-    w = np.full((len(starts), at.shape[1]), 1.0 / at.shape[1], dtype=np.float32)
-    mass = np.add.reduceat(x, starts)[:, None]
+    by_component, of = np.ascontiguousarray(at.T), np.repeat(np.arange(len(sizes)), sizes)
+    w = np.full((len(by_component), len(starts)), 1.0 / len(by_component), dtype=np.float32)
+    mass = np.add.reduceat(x, starts)
     for _ in range(steps):
-        part = at * np.repeat(w, sizes, axis=0)
-        part *= (x / np.maximum(part.sum(1), 1e-12))[:, None]
-        w = np.add.reduceat(part, starts, axis=0) / mass
-    return w
+        fit = np.zeros(len(x), dtype=np.float32)
+        for p, v in zip(by_component, w):
+            fit += p * v.take(of)
+        ratio = x / np.maximum(fit, 1e-12)
+        for p, v in zip(by_component, w):
+            v *= np.add.reduceat(p * ratio, starts)
+        w /= mass
+    return w.T
 
 
 @dataclass
@@ -330,9 +335,9 @@ def _subject_sums(shared):
             if len(c.terms):
                 k = model.find(c.terms)
                 w = _subject_parts(model, c, k, len(per_row))
-                sums = np.add.reduceat(w[c.doc] * c.x[:, None], c.first)
                 held = k >= 0
-                total[k[held]] += sums[held]
+                for n in range(len(model.subjects)):
+                    total[k[held], n] += np.add.reduceat(w[:, n].take(c.doc) * c.x, c.first)[held]
         t, s = np.nonzero(total > 1e-3)
         yield pa.RecordBatch.from_arrays([pa.array(t * len(model.subjects) + s, pa.int64()), pa.array(total[t, s], pa.float64())], names=["cell", "mass"])
 
