@@ -15,6 +15,7 @@ from __future__ import annotations
 import html
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -23,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.session import cut
+
 DEFECTS = ("empty", "copy", "refusal", "other_language", "truncated")
 
 # Words that stand for no content, and labels before an answer.
@@ -84,6 +87,8 @@ _FRAMES = (
 )
 # Words of five letters or more that ask or join and are no topic.
 _ASKING = frozenset("about after which their there these those where while would could should between welche welcher welches durch gegen unter sobre entre cuáles cuándo dónde quelle quelles quels quand".split())
+#: Numbers that the last words of open endings are gathered as.
+BUCKETS = 1 << 16
 #: Words that may stand between two places of a template.
 _GAP = 5
 # Words that contrast what follows with what was said.
@@ -306,29 +311,52 @@ def breaks_off(answer: str) -> bool | None:
 _OUTER = ",;:.!?*_“”\"'"
 
 
-def _sentence_ends(batch_answers: Iterable[str | None]) -> Counter:
-    """Counts of (last words, ended) for every place of every sentence with a final mark."""
+class _Wanted(dict):
+    """Token -> whether some open ending may end with it, by its bucket; remembered."""
+
+    def __init__(self, buckets: frozenset[int] | None):
+        self.buckets = buckets
+
+    def __missing__(self, token: str) -> bool:
+        if len(self) > 200_000:
+            self.clear()
+        got = self[token] = self.buckets is None or bucket(token) in self.buckets
+        return got
+
+
+def bucket(token: str) -> int:
+    return zlib.crc32(token.encode("utf-8", "replace")) % BUCKETS
+
+
+def _sentence_ends(batch_answers: Iterable[str | None], wanted: _Wanted | None = None) -> Counter:
+    """Counts of (last words, ended) for every place, with a wanted last word, of every sentence with a final mark."""
     out: Counter = Counter()
+    wanted = _Wanted(None) if wanted is None else wanted
     for answer in batch_answers:
         for s in _SENTENCE.split(_NUMBER.sub("#", answer or "").casefold()):
             s = s.strip()
             if not s or s[-1] not in ".!?" or _ELLIPSIS.search(_CITE.sub("", s)):
                 continue
             t = [w.strip(_OUTER) for w in _CITE.sub("", s[:-1]).split()]
-            if not t:
-                continue
-            keys = [t[0], *([f"{t[0]} {t[1]}"] if len(t) > 1 else []), *map("{} {} {}".format, t, t[1:], t[2:])]
-            out[keys.pop(), True] += 1
-            out.update([(k, False) for k in keys])
+            last = len(t) - 1
+            for k, w in enumerate(t):
+                if wanted[w]:
+                    out[" ".join(t[max(0, k - 2) : k + 1]), k == last] += 1
     return out
 
 
-def ending_counts(df: DataFrame, answer_col: str) -> DataFrame:
-    """(ending, ended, going_on) over all answers."""
+def ending_counts(df: DataFrame, answer_col: str, open_ends: DataFrame) -> DataFrame:
+    """(ending, ended, going_on) over all answers, of at least the endings in ``open_ends`` (ending).
+
+    Their last words are gathered as at most ``BUCKETS`` numbers; what else falls into those is counted too.
+    """
+    last = F.element_at(F.split("ending", " "), -1)
+    buckets = frozenset(r.b for r in open_ends.where("ending is not null").select(F.pmod(F.crc32(last.cast("binary")), F.lit(BUCKETS)).cast("int").alias("b")).distinct().collect())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = _Wanted(buckets)
         for batch in batches:
-            c = _sentence_ends(batch.column(0).to_pylist())
+            c = _sentence_ends(batch.column(0).to_pylist(), wanted)
             keys = list(c)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([c[k] if k[1] else 0 for k in keys], pa.int64()), pa.array([0 if k[1] else c[k] for k in keys], pa.int64())], names=["ending", "ended", "going_on"])
 
@@ -375,8 +403,8 @@ def defective_pairs(df: DataFrame, samples: DataFrame, id_col: str = "qa_id", qu
                     ends.append(end)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(defects, pa.string()), pa.array(ends, pa.string())], names=["id", "defect", "ending"])
 
-    judged = pairs.mapInArrow(run, f"id {dict(pairs.dtypes)['id']}, defect string, ending string")
-    open_ends = judged.join(ending_counts(df, answer_col), "ending", "left").withColumn(
+    judged = cut(pairs.mapInArrow(run, f"id {dict(pairs.dtypes)['id']}, defect string, ending string"))
+    open_ends = judged.join(ending_counts(df, answer_col, judged.select("ending")), "ending", "left").withColumn(
         "defect", F.when(F.col("defect").isNotNull(), F.col("defect")).when(~((F.coalesce("ended", F.lit(0)) >= 2) & (F.col("ended") >= F.col("going_on"))), F.lit("truncated"))
     )
     return open_ends.where(F.col("defect").isNotNull()).select(F.col("id").alias(id_col), "defect").distinct()

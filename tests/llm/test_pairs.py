@@ -104,6 +104,16 @@ def test_ellipsis_breaks_off():
     assert not any(ended for _, ended in _sentence_ends(["Reviewers looked at encryption at ...", "The picture for the..."]))
 
 
+def test_counts_of_wanted_endings(spark):
+    answers = ["The wells, were closed by 12 men. It rose 3 % [x 1]!", "Closed by men", None, "x.", "Über die Maße."]
+    whole = {(k, e): n for (k, e), n in _sentence_ends(answers).items()}
+    df = spark.createDataFrame([(a,) for a in answers], "answer string")
+    ends = spark.createDataFrame([("by # men",), ("die masse",), (None,)], "ending string")
+    got = {r.ending: (r.ended, r.going_on) for r in pairs.ending_counts(df, "answer", ends).collect()}
+    assert got["by # men"] == (1, 0) and all((whole.get((k, True), 0), whole.get((k, False), 0)) == v for k, v in got.items())
+    assert {k for k, _ in whole if k.split(" ")[-1] in ("men", "masse")} <= set(got)
+
+
 def test_ellipsis_in_frame(spark):
     samples = spark.createDataFrame([("en", "The wells were closed and the water was pumped out of the town by the council")], "lang string, sample_text string")
     rows = [(1, "What did the council do?", "The wells were closed. A new target for ..."), (2, "What did the council do?", "The wells were closed."), (3, "What did the council do?", "..."), (4, "What did the council do?", "What did the council do? ...")]
