@@ -560,14 +560,14 @@ def entity_groups(df: DataFrame, id_col: str = "entity_id", company_col: str = "
                 for key, rest, kind in parse(n, vocabulary):
                     if kind != "site":
                         met = forms_of(rest, vocabulary)
-                        sig = hashlib.blake2b("\x01".join([c, kind, *sorted([key, *rest])]).encode("utf-8", "replace"), digest_size=16).hexdigest()
+                        sig = int.from_bytes(hashlib.blake2b("\x01".join([c, kind, *sorted([key, *rest])]).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
                         got.append((c, n, sig, key, rest, kind, [f for f, own in met if own], [f for f, own in met if not own], more))
             cols = list(zip(*got)) or [()] * 9
             lists = pa.list_(pa.string())
-            kinds = [pa.string()] * 4 + [lists, pa.string(), lists, lists, batch.schema.field(2).type]
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), lists, pa.string(), lists, lists, batch.schema.field(2).type]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds)], names=["company", "name", "sig", "key", "rest", "kind", "own", "other", "more"])
 
-    signed = cut(known.mapInArrow(parsed, "company string, name string, sig string, key string, rest array<string>, kind string, own array<string>, other array<string>, more array<struct<token: string, n: bigint, share: double>>"))
+    signed = cut(known.mapInArrow(parsed, "company string, name string, sig long, key string, rest array<string>, kind string, own array<string>, other array<string>, more array<struct<token: string, n: bigint, share: double>>"))
     sigs = signed.drop("name").distinct()
     keys = sigs.select("company", "key").distinct()
     alike = cut(similar_keys(keys))
@@ -594,9 +594,9 @@ def entity_groups(df: DataFrame, id_col: str = "entity_id", company_col: str = "
                     b.append(sb)
                     weak.append(w or None)
                     at.append(initials if w else None)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (a, b, weak, at)], names=["src", "dst", "given", "initials"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(weak, pa.string()), pa.array(at, pa.int64())], names=["src", "dst", "given", "initials"])
 
-    edges = cut(candidates.mapInArrow(verified, "src string, dst string, given string, initials string").distinct())
+    edges = cut(candidates.mapInArrow(verified, "src long, dst long, given string, initials long").distinct())
     unclear = edges.where("initials is not null").groupBy("initials").agg(F.count_distinct("given").alias("n")).where("n > 1").select("initials")
     links = edges.join(unclear, "initials", "left_anti").select("src", "dst")
     components = connected_components(links)
