@@ -105,23 +105,22 @@ def allowed(token: str) -> int:
 
 def errors(token: str, word: str) -> int | None:
     """Fewest recognition errors that turn ``word`` into ``token``, None if none do; one sign inside may stand for any letter."""
-    best = {(0, 0, False): 0}
-    for i in range(len(token)):
-        for j in range(len(word)):
-            for opened in (False, True):
-                used = best.get((i, j, opened))
-                if used is None:
-                    continue
-                steps = [(i + len(r), j + len(w), opened, 1) for r, w in RULES_BY_FIRST.get(token[i], ()) if token.startswith(r, i) and word.startswith(w, j)]
-                if token[i] == word[j]:
-                    steps.append((i + 1, j + 1, opened, 0))
-                elif not opened and 0 < i < len(token) - 1 and token[i] in _SIGNS and word[j].isalpha():
-                    steps.append((i + 1, j + 1, True, 1))
-                for x, y, o, cost in steps:
-                    if best.get((x, y, o), 1 << 30) > used + cost:
-                        best[x, y, o] = used + cost
-    ends = [best[e] for o in (False, True) if (e := (len(token), len(word), o)) in best]
-    return min(ends, default=None)
+    rows: dict[int, dict[tuple[int, bool], int]] = {0: {(0, False): 0}}
+    n, m = len(token), len(word)
+    for i in range(n):
+        for (j, opened), used in rows.pop(i, {}).items():
+            if j == m:
+                continue
+            steps = [(i + len(r), j + len(w), opened, 1) for r, w in RULES_BY_FIRST.get(token[i], ()) if token.startswith(r, i) and word.startswith(w, j)]
+            if token[i] == word[j]:
+                steps.append((i + 1, j + 1, opened, 0))
+            elif not opened and 0 < i < n - 1 and token[i] in _SIGNS and word[j].isalpha():
+                steps.append((i + 1, j + 1, True, 1))
+            for x, y, o, cost in steps:
+                row = rows.setdefault(x, {})
+                if used + cost < row.get((y, o), 1 << 30):
+                    row[y, o] = used + cost
+    return min((u for (j, _), u in rows.get(n, {}).items() if j == m), default=None)
 
 
 RULES_BY_FIRST: dict[str, list[tuple[str, str]]] = {}
@@ -149,6 +148,10 @@ class Lexicon:
         self.sound: dict[str, bool] = {}
         self.rare: dict[str, tuple[int, tuple[tuple[int, int, str], ...]]] = {}
 
+    def __reduce__(self):
+        """Only the counts are sent to workers; they grow their own trie, however deep."""
+        return Lexicon, (self.counts,)
+
     def count(self, word: str) -> int:
         n = self.counts.get(word)
         return n if n is not None else self.rare[word][0] if word in self.rare else 0

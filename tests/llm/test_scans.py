@@ -1,3 +1,4 @@
+import pickle
 import random
 
 from pyspark.sql import functions as F
@@ -45,6 +46,13 @@ def test_keys_meet_whatever_errors_explain():
             assert keys_of(token, False) & keys_of(word, True), (token, word)
 
 
+def test_very_long_words():
+    long = "abcdefghi" * 5000
+    words = pickle.loads(pickle.dumps(Lexicon({long: 99, "energy": 99})))
+    assert words.counts[long] == 99 and words.misread("en3rgy") == ("energy",)
+    assert errors(long.replace("g", "9", 3), long) == 3 and errors(long, "abc") is None
+
+
 def test_encoded_data_lists_and_long_words():
     assert LEX.is_sound("QmFzZTY0+/ZvbyBiYXIgZm9v9g==") and LEX.is_sound("12|13|14|15") and not LEX.is_sound("energy/vvater")
     assert left_part("x " + "a" * 300, 302) == "a" * 300 and left_part("a -", 3) == ""
