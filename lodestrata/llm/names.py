@@ -18,6 +18,7 @@ import itertools
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -216,6 +217,8 @@ zofia:zosia""".split("\n")
 COMMON_COMPANIES = 3
 #: Common tokens that every worker holds; the rest is joined.
 HELD = 100_000
+#: Rare tokens that a name is met by.
+KEYS = 4
 #: A common token names a line of business if at least this share of its names has a legal form.
 ORG_SHARE = 0.15
 #: Smallest soft similarity of two names.
@@ -284,6 +287,7 @@ class Vocabulary:
     def __init__(self, counts: dict[str, int], org_share: dict[str, float], total: int, nicknames: bool = True):
         self.counts, self.org_share, self.total = counts, org_share, max(2, total)
         self.short = _SHORT if nicknames else {}
+        self.longest = max(map(len, counts), default=0)
         #: Common tokens of the name at hand that aren't held: token -> (count, share of legal forms).
         self.more: dict[str, tuple[int, float]] = {}
         self.known: dict[str, str | None] = {}
@@ -322,7 +326,7 @@ class Vocabulary:
         fulls = self.short.get(token)
         if fulls:
             return max(fulls, key=lambda w: (self.counts.get(w, 0), w))
-        if len(token) >= 4 and not token.isdigit():
+        if 4 <= len(token) <= self.longest + 1 and not token.isdigit():
             close = {w for d in self._deletes(token) for w in self.by_delete.get(d, ()) if w != token and len(w) >= 4 and self.counts[w] >= (10 * own or 5) and near(token, w)}
             if close:
                 return max(close, key=lambda w: (self.counts[w], w))
@@ -347,9 +351,11 @@ def is_site(tokens: list[str], canonical: list[str | None], vocabulary: Vocabula
 
 
 def parse(name: str, vocabulary: Vocabulary) -> list[tuple[str, list[str], str]]:
-    """(rare token, other tokens sorted, kind) of a name, for each of its rare tokens; none for a name without letters or digits.
+    """(rare token, other tokens sorted, kind) of a name, for each of its ``KEYS`` longest rare tokens; none for a name without letters or digits.
 
-    A name without a rare token has its least common one instead. kind is ``org``, ``person`` or ``site``.
+    Names of one entity have all their rare tokens in common, but for how they are spelt,
+    so a few are enough to meet by. A name without a rare token has its least common one
+    instead. kind is ``org``, ``person`` or ``site``.
     """
     folded = _folded(name)
     legal = any(t in LEGAL for t, _ in folded)
@@ -360,7 +366,7 @@ def parse(name: str, vocabulary: Vocabulary) -> list[tuple[str, list[str], str]]
     if legal or any(vocabulary.is_line(c) for _, c in words):
         words = [w for k, w in enumerate(words) if not (kept[k][1] and 0 < k < len(words) - 1 and len(words[k - 1][0]) > 1 and len(words[k + 1][0]) > 1)]
     rare = {t for t, c in words if c is None and len(t) > 1 and not t.isdigit()}
-    keys = sorted(rare, key=lambda t: (-len(t), t)) or [max(words, key=lambda w: (len(w[0]) > 1, vocabulary.weight(w[1] or w[0]), w[0]))[0]]
+    keys = sorted(rare, key=lambda t: (-len(t), t))[:KEYS] or [max(words, key=lambda w: (len(w[0]) > 1, vocabulary.weight(w[1] or w[0]), w[0]))[0]]
     if is_site([t for t, _ in words], [c for _, c in words], vocabulary):
         kind = "site"
     elif legal or any(vocabulary.is_line(c or t) for t, c in words if t not in rare):
@@ -390,14 +396,14 @@ def compare(key_a: str, a: list[str], kind_a: str, key_b: str, b: list[str], kin
         return 0.0, ""
     if len(a) > len(b):
         a, b = b, a
-    left, matched, weak = list(b), 0.0, ""
-    firm = False
-    for t in sorted(a, key=lambda t: -len(t)):
+    left, matched, weak = list((Counter(b) - Counter(a)).elements()), 0.0, ""
+    same = [t for t in (Counter(a) & Counter(b)).elements()]
+    matched = sum((1.0 if len(t) > 1 else 0.8) * vocabulary.weight(t) for t in same)
+    firm = any(len(t) > 1 for t in same)
+    for t in sorted((Counter(a) - Counter(b)).elements(), key=lambda t: -len(t)):
         best, how = None, 0.0
         for u in left:
-            if t == u:
-                s = 1.0 if len(t) > 1 else 0.8
-            elif t.isdigit() or u.isdigit():
+            if t.isdigit() or u.isdigit():
                 s = 0.0
             elif len(t) == 1 or len(u) == 1:
                 s = 0.7 if t[0] == u[0] else 0.0
@@ -430,40 +436,54 @@ def compare(key_a: str, a: list[str], kind_a: str, key_b: str, b: list[str], kin
         firm, weak = True, ""
     weights = sum(vocabulary.weight(t) for t in b if len(t) > 1) or sum(vocabulary.weight(t) for t in a if len(t) > 1)
     rare = math.log(1 + vocabulary.total)
-    same = 1.0 if key_a == key_b else 0.9
-    return (same * rare + matched) / (rare + max(weights, matched)), "" if firm else weak
+    alike = 1.0 if key_a == key_b else 0.9
+    return (alike * rare + matched) / (rare + max(weights, matched)), "" if firm else weak
 
 
-def forms_of(rest: list[str], vocabulary: Vocabulary) -> list[tuple[str, bool]]:
+def _number(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+
+
+def _typos(token: str) -> list[str]:
+    """What a token and any one edit or swap away from it have in common: it without each of its letters or, of a long one, its two ends."""
+    if len(token) > 18:
+        return [f"{token[:8]}<", f">{token[-8:]}"]
+    return [f"{token}-", *(f"{token[:i]}{token[i + 1 :]}-" for i in range(len(token)))]
+
+
+def forms_of(rest: list[str], vocabulary: Vocabulary) -> list[tuple[int, bool]]:
     """(form, own) under which the other tokens of a name can meet those of another that ``compare`` may accept.
 
-    A form is the tokens in order, with initials as ``w~``. Own forms are the tokens
-    themselves, with some of the initials or none, those with a letter of one token
-    that isn't common left out, which meet those of its typos, and acronyms. Any
-    token but an own initial may also be met by its initial: two names meet if one
-    has the form as its own.
+    A form is a bag of tokens, as the sum of their numbers, with initials as ``w~``. Own
+    forms are the tokens themselves, with some of the initials or none; those in which a
+    token that isn't common stands as what its typos leave of it; and acronyms. Any token
+    may also be met by its initial: two names meet if one has the form as its own.
     """
     full, initials = [t for t in rest if len(t) > 1], [f"{t}~" for t in rest if len(t) == 1]
     tails = {tuple(sorted(c)) for n in range(len(initials) + 1) for c in itertools.combinations(initials, n)} if len(initials) <= 4 else {(), tuple(sorted(initials))}
     if not full and initials:
         tails.discard(())
-    forms: dict[str, bool] = {}
+    tokens = {t: _number(t) for t in {*full, *initials}}
+    whole = sum(tokens[t] for t in full)
+    forms: dict[int, bool] = {}
+
+    def add(form: int, own: bool) -> None:
+        form = (form + (1 << 63)) % (1 << 64) - (1 << 63)
+        forms[form] = own or forms.get(form, False)
+
+    others = [(t, [_number(x) for x in ([] if vocabulary.is_common(t) else _typos(t))], _number(f"{t[0]}~"), not vocabulary.is_common(t)) for t in set(full)]
     for tail in tails:
-        forms[" ".join(sorted([*full, *tail]))] = True
-        for k, t in enumerate(full):
-            others = [*full[:k], *full[k + 1 :], *tail]
-            if not vocabulary.is_common(t):
-                for i in range(len(t)):
-                    forms.setdefault(" ".join(sorted([*others, t[:i] + t[i + 1 :] + "-"])), True)
-                forms.setdefault(" ".join(sorted([*others, f"{t}-"])), True)
-                forms.setdefault(" ".join(sorted([*others, f"{t[0]}~"])), True)
-            else:
-                forms.setdefault(" ".join(sorted([*others, f"{t[0]}~"])), False)
+        base = whole + sum(tokens[t] for t in tail)
+        add(base, True)
+        for t, typos, initial, own in others:
+            for x in typos:
+                add(base - tokens[t] + x, True)
+            add(base - tokens[t] + initial, own)
     if len(rest) >= 2:
-        forms.setdefault("".join(sorted(t[0] for t in rest)) + "=", True)
-        forms[" ".join(sorted(f"{t[0]}~" for t in rest))] = forms.get(" ".join(sorted(f"{t[0]}~" for t in rest)), not full)
+        add(_number("".join(sorted(t[0] for t in rest)) + "="), True)
+        add(sum(_number(f"{t[0]}~") for t in rest), not full)
     elif len(full) == 1 and not vocabulary.is_common(full[0]):
-        forms.setdefault("".join(sorted(full[0])) + "=", True)
+        add(_number("".join(sorted(full[0])) + "="), True)
     return list(forms.items())
 
 
@@ -477,7 +497,8 @@ def _grams(c):
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substring(padded, i, F.lit(3))))
     first = F.slice(F.transform(F.array_sort(F.transform(grams, lambda g: F.struct(F.translate(g, *_BY_RARITY).alias("o"), g.alias("g")))), lambda x: x["g"]), 1, 5)
     without = F.transform(F.sequence(F.lit(0), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), F.greatest(i - 1, F.lit(0))), F.when(i > 0, F.substring(c, i + 1, F.length(c))).otherwise(c), F.lit("-")))
-    return F.when(F.length(c) < 7, F.array_distinct(without)).otherwise(F.array_distinct(F.concat(first, F.when(F.length(c) == 7, without).otherwise(F.array().cast("array<string>")))))
+    ends = F.array(F.concat(F.left(c, F.lit(8)), F.lit("<")), F.concat(F.lit(">"), F.right(c, F.lit(8))))
+    return F.when(F.length(c) > 18, ends).when(F.length(c) < 7, F.array_distinct(without)).otherwise(F.array_distinct(F.concat(first, F.when(F.length(c) >= 18, ends).when(F.length(c) == 7, without).otherwise(F.array().cast("array<string>")))))
 
 
 def similar_keys(keys: DataFrame) -> DataFrame:
@@ -486,14 +507,17 @@ def similar_keys(keys: DataFrame) -> DataFrame:
     One such edit touches at most four of a token's 3-grams, so of the first five
     grams of either token, in one order of all grams, at least one is shared: only
     those are joined. Tokens of six letters or less meet by what one deletion leaves,
-    those of seven by both.
+    those of seven by both. Of tokens beyond eighteen letters one of the two ends is
+    the same, those of eighteen meet by both. Tokens beyond 64 letters, for which the
+    built-in distance takes long, are left to ``compare``.
     """
     prefix = keys.select("company", "key", F.explode(_grams(F.col("key"))).alias("gram")).select("company", "key", F.xxhash64("company", "gram").alias("gram"))
     a, b = prefix.withColumnRenamed("key", "key_a"), prefix.withColumnRenamed("key", "key_b")
     letters = lambda c: F.array_sort(F.split(c, ""))
     distance = F.levenshtein("key_a", "key_b", 2)
     met = a.join(b, (a["gram"] == b["gram"]) & (F.col("key_a") < F.col("key_b")) & (F.abs(F.length("key_a") - F.length("key_b")) <= 1) & (a["company"] == b["company"])).select(a["company"], "key_a", "key_b")
-    return met.where(distance.isin(0, 1) | ((distance == 2) & (letters("key_a") == letters("key_b")))).distinct()
+    close = distance.isin(0, 1) | ((distance == 2) & (letters("key_a") == letters("key_b")))
+    return met.where(F.when(F.length("key_a") <= 64, close).otherwise(F.lit(True))).distinct()
 
 
 def _form_tokens(forms: DataFrame) -> DataFrame:
@@ -564,23 +588,27 @@ def entity_groups(df: DataFrame, id_col: str = "entity_id", company_col: str = "
                         got.append((c, n, sig, key, rest, kind, [f for f, own in met if own], [f for f, own in met if not own], more))
             cols = list(zip(*got)) or [()] * 9
             lists = pa.list_(pa.string())
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), lists, pa.string(), lists, lists, batch.schema.field(2).type]
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), lists, pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), batch.schema.field(2).type]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds)], names=["company", "name", "sig", "key", "rest", "kind", "own", "other", "more"])
 
-    signed = cut(known.mapInArrow(parsed, "company string, name string, sig long, key string, rest array<string>, kind string, own array<string>, other array<string>, more array<struct<token: string, n: bigint, share: double>>"))
+    signed = cut(known.mapInArrow(parsed, "company string, name string, sig long, key string, rest array<string>, kind string, own array<bigint>, other array<bigint>, more array<struct<token: string, n: bigint, share: double>>"))
     sigs = signed.drop("name").distinct()
     keys = sigs.select("company", "key").distinct()
     alike = cut(similar_keys(keys))
     met = keys.select("company", "key", F.col("key").alias("head")).unionByName(alike.select("company", F.col("key_b").alias("key"), F.col("key_a").alias("head")))
     headed = cut(sigs.join(met, ["company", "key"]))
-    cells = headed.select(F.xxhash64("company", "head").alias("at"), "head", "sig", "key", "rest", "kind", "more", F.explode(F.concat(F.transform("own", lambda f: F.struct(f.alias("form"), F.lit(True).alias("mine"))), F.transform("other", lambda f: F.struct(f.alias("form"), F.lit(False).alias("mine"))))).alias("f"))
-    side = lambda s: cells.select("at", "head", F.xxhash64("at", "f.form").alias("form"), F.col("f.mine").alias(f"mine_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("sig", "key", "rest", "kind", "more")])
-    candidates = (
+    cells = headed.select(F.xxhash64("company", "head").alias("at"), (F.col("key") == F.col("head")).alias("heads"), "sig", F.xxhash64("key").alias("key"), F.explode(F.concat(F.transform("own", lambda f: F.struct(f.alias("form"), F.lit(True).alias("mine"))), F.transform("other", lambda f: F.struct(f.alias("form"), F.lit(False).alias("mine"))))).alias("f"))
+    side = lambda s: cells.select(F.xxhash64("at", "f.form").alias("form"), F.col("f.mine").alias(f"mine_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("heads", "sig", "key")])
+    meeting = (
         side("a").where("mine_a")
-        .join(side("b").drop("head"), ["at", "form"])
-        .where("sig_a <> sig_b and (not mine_b or sig_a < sig_b) and (key_a = head or key_b = head)")
-        .select("sig_a", "key_a", "rest_a", "kind_a", "more_a", "sig_b", "key_b", "rest_b", "kind_b", "more_b")
+        .join(side("b"), "form")
+        .where("sig_a <> sig_b and (not mine_b or sig_a < sig_b) and (heads_a or heads_b)")
+        .select("sig_a", "key_a", "sig_b", "key_b")
+        .distinct()
     )
+    details = sigs.select("sig", F.xxhash64("key").alias("hash"), "key", "rest", "kind", "more")
+    told = lambda df, s: df.join(details.select(*[F.col(c).alias(f"{c}_{s}" if c != "hash" else f"key_{s}") for c in ("sig", "hash")], *[F.col(c).alias(f"{c if c != 'key' else 'token'}_{s}") for c in ("key", "rest", "kind", "more")]), [f"sig_{s}", f"key_{s}"])
+    candidates = told(told(meeting, "a"), "b").select("sig_a", "token_a", "rest_a", "kind_a", "more_a", "sig_b", "token_b", "rest_b", "kind_b", "more_b")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -104,3 +104,10 @@ def test_ten_times_the_companies_group_alike(spark):
     assert one == {("0-x0", "0-x1"), ("0-x0", "0-x2"), ("0-x1", "0-x2")} and few <= one
     ten, _ = found(10)
     assert {p for p in ten if p[0].startswith("0-")} == one and len(ten) == 30
+
+
+def test_very_long_names(spark):
+    long, many = "Kesa" + "nisek" * 30_000, " ".join(f"Word{k}zet" for k in range(300))
+    rows = [("a", "c", long), ("b", "c", long[:9] + "x" + long[10:]), ("d", "c", many), ("e", "c", many.replace("Word7zet", "Wrod7zet")), ("f", "c", f"Vera {long[:60]}"), ("g", "c", f"V. {long[:60]}")]
+    got = {tuple(r) for r in entity_pairs(entity_groups(spark.createDataFrame(rows, "entity_id string, company string, entity_name string"))).collect()}
+    assert got == {("a", "b"), ("d", "e"), ("f", "g")}
