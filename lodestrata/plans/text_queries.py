@@ -9,7 +9,7 @@ from lodestrata.functions import jsonx
 from lodestrata.functions.refs import source_ref
 from lodestrata.functions.text import company_key, split_list, strip_ansi, tokens, truncate_text
 from lodestrata.operators import chunking, context, pages, records, retrieval
-from lodestrata.plans.graph_queries import ck
+from lodestrata.plans.graph_queries import ck, nk
 from lodestrata.session import table
 
 _WS = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -224,6 +224,68 @@ def graph_contexts(spark: SparkSession, d: str) -> DataFrame:
     return blocks.select("question_id", "company", F.md5("context").alias("hash"), F.length("context").cast("bigint").alias("n_chars"))
 
 
+def judge_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """The prompt that grades each answer of the log against its question."""
+    q = table(spark, d, "qa_log").where("question is not null").select("qa_id", "question", "answer", "companies", "run_method").distinct()
+    return q.select("qa_id", F.md5(context.judge_prompt(F.col("run_method"), F.array_join("companies", ", "), F.col("question"), F.lit("gold"), F.col("answer"))).alias("hash")).distinct()
+
+
+_JUDGE = """SELECT DISTINCT qa_id, md5('Grade the candidate answer against the gold answer. Missing facts, wrong numbers or units and unsupported claims count against it; the form of citations does not. Reply with one JSON object with label (correct, partial, incorrect or no_answer), score (1.0, 0.5 or 0.0), hallucination (true or false) and rationale.'
+|| chr(10) || chr(10) || 'Type: ' || coalesce(run_method, '') || chr(10) || 'Companies: ' || coalesce(array_to_string(companies, ', '), '') || chr(10) || 'Question: ' || question || chr(10) || 'Gold answer: gold' || chr(10) || 'Candidate answer: ' || coalesce(answer, '')) AS hash FROM qa_log WHERE question IS NOT NULL"""
+
+
+def company_answers(spark: SparkSession, d: str) -> DataFrame:
+    """The prompt that makes one answer of those of several companies; here a company's answer is the question's, but every fifth has none."""
+    q = table(spark, d, "qa_log").where("question is not null and size(companies) > 0").groupBy("qa_id").agg(F.min("question").alias("question"), F.min(F.array_join("companies", "|")).alias("c"))
+    parts = q.select("qa_id", "question", F.posexplode(F.split("c", r"\|")).alias("place", "company")).withColumn("answer", F.when((F.col("qa_id") + F.col("place")) % 5 == 0, F.lit(" ")).otherwise(F.col("question")))
+    texts = context.company_answers(parts, ["qa_id"], "place").join(q.select("qa_id", "question"), "qa_id")
+    return texts.select("qa_id", F.md5(context.synthesis_prompt(F.col("question"), F.col("answers"))).alias("hash"))
+
+
+_ANSWERS = """WITH q AS (SELECT qa_id, min(question) AS question, min(array_to_string(companies, '|')) AS c FROM qa_log WHERE question IS NOT NULL AND len(companies) > 0 GROUP BY 1),
+p AS (SELECT qa_id, question, unnest(string_split(c, '|')) AS company, unnest(range(0, len(string_split(c, '|')))) AS place FROM q),
+b AS (SELECT qa_id, question, string_agg('[' || company || ']' || chr(10) || CASE WHEN (qa_id + place) % 5 = 0 OR trim(question) = '' THEN 'No answer returned.' ELSE trim(question) END, chr(10) ORDER BY place) AS answers FROM p GROUP BY 1, 2)
+SELECT qa_id, md5('Compare the companies from their answers alone. Say of a fact that an answer lacks that it is not available. Keep names, numbers and units.' || chr(10) || chr(10) || 'Question: ' || question || chr(10) || chr(10) || 'Answers:' || chr(10) || answers) AS hash FROM b"""
+
+
+def rated_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Reports rated for the stated questions (ids divisible by 100) of their companies and reduced to a context; entities' descriptions stand for reports."""
+    from lodestrata.operators import graph_build, reports
+    from lodestrata.plans.hooks import word_overlap
+
+    q = table(spark, d, "qa_log").where("qa_id % 100 = 0 and question is not null").select(F.col("qa_id").cast("string").alias("question_id"), "question", F.explode("companies").alias("company"))
+    asked = q.select("question_id", "question", company_key("company").alias("company")).distinct()
+    texts = graph_build.summarise_descriptions(table(spark, d, "entities")).select("company", F.col("name").alias("community"), F.col("name").alias("title"), F.col("summary").alias("report"))
+    rated = reports.rate_reports(asked, texts, word_overlap)
+    return reports.reduce_reports(rated, 2200).select("question_id", "n_evidence", F.md5("context").alias("hash"), F.length("context").cast("bigint").alias("n_chars"))
+
+
+_RATED = f"""WITH a AS (SELECT DISTINCT CAST(qa_id AS VARCHAR) AS question_id, question, {ck('c')} AS company FROM (SELECT qa_id, question, unnest(companies) AS c FROM qa_log WHERE qa_id % 100 = 0 AND question IS NOT NULL)),
+ds AS (SELECT DISTINCT {ck('company')} AS company, {nk('entity_name')} AS name, trim(entity_description) AS d FROM entities WHERE {nk('entity_name')} <> '' AND trim(entity_description) <> ''),
+rp AS (SELECT company, name, left(string_agg(d, ' ' ORDER BY d), 500) AS report FROM ds GROUP BY 1, 2),
+m AS (SELECT question_id, a.company, name, report, list_distinct({_TOKENS.format(c='question')}) AS q, list_distinct({_TOKENS.format(c="name || ' ' || report")}) AS t FROM a JOIN rp ON rp.company = a.company),
+r AS (SELECT question_id, company, name, report, round(100 * len(list_intersect(q, t))::DOUBLE / len(q), 2) AS rating FROM m WHERE len(q) > 0),
+o AS (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY rating DESC, company, name) AS r, left('[' || company || '; rating=' || printf('%.2f', rating) || '] ' || report, 2200) AS line FROM r WHERE rating > 0),
+u AS (SELECT *, sum(CASE WHEN r = 1 THEN least(length(line), 2200) ELSE length(line) + 2 END) OVER (PARTITION BY question_id ORDER BY r ROWS UNBOUNDED PRECEDING) AS used FROM o)
+SELECT question_id, count(*) AS n_evidence, md5(string_agg(line, chr(10) || chr(10) ORDER BY r)) AS hash, length(string_agg(line, chr(10) || chr(10) ORDER BY r)) AS n_chars FROM u WHERE used <= 2200 GROUP BY 1"""
+
+
+def _cut_at(c: str, n: int) -> str:
+    return f"CASE WHEN length({c}) <= {n} THEN {c} ELSE rtrim(CASE WHEN instr(reverse(left({c}, {n})), ' ') BETWEEN 1 AND {n - 1} THEN substring({c}, 1, {n} - instr(reverse(left({c}, {n})), ' ')) ELSE left({c}, {n}) END) || ' ...' END"
+
+
+def _graph_sql() -> str:
+    from lodestrata.plans import graph_queries as g
+
+    refs = "coalesce(nullif(array_to_string(list_slice(string_split(refs, chr(2)), 1, 3), ', '), ''), 'none')"
+    return f"""{g._SEEDS}, {g._EDGES}, dt AS (SELECT entity_id, min(entity_type) AS type, max(degree) AS degree, max(frequency) AS frequency, trim(regexp_replace(coalesce(min(entity_description), ''), '{_WS}', ' ', 'g')) AS d FROM entities GROUP BY 1),
+el AS (SELECT question_id, company, string_agg('- ' || name || ' (type=' || coalesce(type, '') || ', degree=' || coalesce(degree, 0) || ', freq=' || coalesce(frequency, 0) || ', score=' || printf('%.4f', score) || ', refs=' || {refs} || ') ' || {_cut_at('d', 280)}, chr(10) ORDER BY rank) AS e FROM seeds JOIN dt ON dt.entity_id = seeds.id GROUP BY 1, 2),
+rn AS (SELECT question_id, company, string_agg('- ' || s || ' -> ' || t || ' (weight=' || printf('%.2f', coalesce(weight, 0)) || ', combined_degree=' || coalesce(cd, 0) || ', score=' || printf('%.4f', score) || ', refs=' || {refs} || ') ', chr(10) ORDER BY rank) AS r FROM ranked GROUP BY 1, 2),
+c AS (SELECT coalesce(el.question_id, rn.question_id) AS question_id, coalesce(el.company, rn.company) AS company, 'Entities:' || chr(10) || coalesce(e, '- none') || chr(10) || chr(10) || 'Relationships:' || chr(10) || coalesce(r, '- none') || chr(10) || chr(10) || 'Supporting Excerpts:' || chr(10) || '- none' AS context
+FROM el FULL JOIN rn ON rn.question_id = el.question_id AND rn.company = el.company)
+SELECT question_id, company, md5(context) AS hash, length(context) AS n_chars FROM c"""
+
+
 def top_refs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "entities").select("entity_id", F.array_join(F.slice("source_refs", 1, 3), ", ").alias("refs")).distinct()
 
@@ -243,7 +305,7 @@ def cache_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (token_counts, source_refs, page_split, page_counts, page_errors, page_tags, page_ordinals, overlap_chunks, sliding_chunks, text_units, usage_estimate, record_parse, record_weights, attr_parse, noun_phrases, json_props, json_unwrap, json_objects, context_blocks, entity_texts, report_budget, top_refs, graph_contexts, ansi_and_lists, cache_dedupe)
+    for f in (token_counts, source_refs, page_split, page_counts, page_errors, page_tags, page_ordinals, overlap_chunks, sliding_chunks, text_units, usage_estimate, record_parse, record_weights, attr_parse, noun_phrases, json_props, json_unwrap, json_objects, context_blocks, entity_texts, report_budget, top_refs, graph_contexts, judge_prompts, company_answers, rated_reports, ansi_and_lists, cache_dedupe)
 } | {"truncate_text": truncated}
 
 _CONTEXT = f"""WITH qv AS (SELECT entity_id AS question_id, embedding AS q FROM entity_embeddings WHERE len(embedding) > 0 AND CAST(regexp_extract(entity_id, '([0-9]+)$', 1) AS BIGINT) % 100 = 0),
@@ -278,6 +340,10 @@ SQL = {
     "json_unwrap": "SELECT DISTINCT qa_id, answer FROM qa_log WHERE answer IS NOT NULL",
     "json_objects": "SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events",
     "context_blocks": _CONTEXT,
+    "graph_contexts": _graph_sql(),
+    "judge_prompts": _JUDGE,
+    "company_answers": _ANSWERS,
+    "rated_reports": _RATED,
     "entity_texts": "SELECT DISTINCT entity_id, 'Entity: ' || coalesce(entity_name, '') || '. Type: ' || coalesce(entity_type, '') || '. Description: ' || coalesce(entity_description, '') || '. Degree: ' || coalesce(CAST(degree AS VARCHAR), '0') || '.' AS text FROM entities",
     "report_budget": _BUDGET,
     "top_refs": "SELECT DISTINCT entity_id, array_to_string(list_slice(source_refs, 1, 3), ', ') AS refs FROM entities",
