@@ -30,24 +30,28 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def communities(edges: DataFrame, src: str = "src", dst: str = "dst", weight: str | None = None, rounds: int = 8) -> DataFrame:
-    """(id, community) by weighted label propagation: in each round every node takes the label with
-    most weight around it, its own counting half an edge; equal weights go by the smaller label.
+def communities(edges: DataFrame, src: str = "src", dst: str = "dst", weight: str | None = None, rounds: int = 10) -> DataFrame:
+    """(id, community) by weighted label propagation: a node takes the label with most weight around
+    it, its own counting half an edge; equal weights go by the smaller label.
 
-    The result is deterministic; ``rounds`` bounds it, as labels may swing between two states.
+    In each round half of the nodes take labels, then the other half, by another bit of a checksum
+    of their ids each time, so that two sides don't swap theirs for ever. The result is deterministic; it ends when a turn of
+    both halves changes nothing, or after ``rounds``.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     ends = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"), F.coalesce(w, F.lit(1.0)).alias("w")).where("a is not null and b is not null and a <> b")
     both = cut(ends.select(F.explode(F.array(F.struct("a", "b", "w"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("w")))).alias("e")).select("e.*").groupBy("a", "b").agg(F.sum("w").alias("w")))
     labels = cut(both.select(F.col("a").alias("id")).distinct().withColumn("community", F.col("id")))
-    for _ in range(rounds):
+    still = 0
+    for turn in range(rounds):
         votes = both.join(labels.select(F.col("id").alias("b"), "community"), "b").select(F.col("a").alias("id"), "community", "w").unionByName(labels.withColumn("w", F.lit(0.5)))
         sums = votes.groupBy("id", "community").agg(F.sum("w").alias("w"))
-        stepped = cut(sums.groupBy("id").agg(F.min_by("community", F.struct(-F.round("w", 6), F.col("community"))).alias("community")))
-        changed = stepped.join(labels.withColumnRenamed("community", "old"), "id").where("community <> old")
-        done = changed.isEmpty()
-        labels = stepped
-        if done:
+        best = sums.groupBy("id").agg(F.min_by("community", F.struct(-F.round("w", 6), F.col("community"))).alias("best"))
+        mine = (F.shiftright(F.crc32(F.col("id").cast("string").cast("binary")), turn // 2) + turn) % 2 == 0
+        stepped = cut(labels.join(best, "id").select("id", F.when(mine, F.col("best")).otherwise(F.col("community")).alias("community"), (mine & (F.col("best") != F.col("community"))).alias("changed")))
+        labels = stepped.select("id", "community")
+        still = still + 1 if stepped.where("changed").isEmpty() else 0
+        if still == 2:
             break
     return labels
 
@@ -56,25 +60,41 @@ def bounded_communities(edges: DataFrame, most: int = 10) -> DataFrame:
     """(id, level, community, unsplittable): communities, and within those beyond ``most`` nodes again communities.
 
     Each step propagates labels on the edges inside the communities that are still
-    too large; a node without such an edge is then on its own. The id of a community
-    is that of its parent and its own label. A community that comes out whole after two
-    rounds is ``unsplittable``: where all labels are one, more rounds change none. It ends
-    when no other is too large.
+    too large; a node without such an edge is then on its own. One that comes out
+    whole is tried again without its most connected node, which is then on its own.
+    The id of a community is that of its parent and its own label. A community that
+    doesn't come apart either way is ``unsplittable``. It ends when no other is too large.
     """
-    kept = cut(edges.select("src", "dst").distinct())
+    kept = cut(edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct())
     current = communities(kept).select("id", F.col("community").cast("string").alias("community"), F.lit(0).alias("level"))
     out = current = cut(current.withColumn("parent", F.lit(None).cast("string")))
+
+    def parted(nodes: DataFrame, inner: DataFrame, hub: str | None = None) -> DataFrame:
+        """Parts of the communities of ``nodes`` by their ``inner`` edges, where there are two or more besides a hub."""
+        near = communities(inner, rounds=4).select("id", F.col("community").alias("label"))
+        label = F.coalesce("label", "id") if hub is None else F.when(F.col(hub), F.col("id")).otherwise(F.coalesce("label", "id"))
+        parts = cut(nodes.join(near, "id", "left").select("id", F.col("community").alias("parent"), F.concat_ws("/", "community", label).alias("community"), "level", *([hub] if hub else [])))
+        counted = parts if hub is None else parts.where(~F.col(hub))
+        several = counted.groupBy("parent").agg(F.count_distinct("community").alias("n")).where("n > 1").select("parent")
+        return parts.join(several, "parent", "left_semi").select("id", "community", (F.col("level") + 1).alias("level"), "parent")
+
     while True:
         large = current.groupBy("community").agg(F.count("*").alias("n")).where(F.col("n") > most).select("community")
         inside = cut(current.join(large, "community", "left_semi").select("id", "community", "level"))
         if inside.isEmpty():
             break
         a, b = inside.select(F.col("id").alias("src"), F.col("community").alias("ca")), inside.select(F.col("id").alias("dst"), F.col("community").alias("cb"))
-        within = kept.join(a, "src").join(b, "dst").where("ca = cb").select("src", "dst")
-        near = communities(within, rounds=2).select("id", F.col("community").alias("label"))
-        parts = cut(inside.join(near, "id", "left").select("id", F.col("community").alias("parent"), F.concat_ws("/", "community", F.coalesce("label", "id")).alias("community"), "level"))
-        halved = parts.groupBy("parent").agg(F.count_distinct("community").alias("n")).where("n > 1").select("parent")
-        current = cut(parts.join(halved, "parent", "left_semi").select("id", "community", (F.col("level") + 1).alias("level"), "parent"))
+        within = cut(kept.join(a, "src").join(b, "dst").where("ca = cb").select("src", "dst"))
+        first = cut(parted(inside, within))
+        whole = inside.join(first.select(F.col("parent").alias("community")).distinct(), "community", "left_anti")
+        degree = within.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+        hubs = whole.join(degree, "id").groupBy("community").agg(F.min_by("id", F.struct(-F.col("n"), F.col("id"))).alias("id")).select("id")
+        marked = cut(whole.join(hubs.withColumn("hub", F.lit(True)), "id", "left").select("id", "community", "level", F.coalesce("hub", F.lit(False)).alias("hub")))
+        current = first
+        if not marked.isEmpty():
+            plain = marked.where("not hub").select("id")
+            rest = within.join(plain.withColumnRenamed("id", "src"), "src", "left_semi").join(plain.withColumnRenamed("id", "dst"), "dst", "left_semi")
+            current = cut(first.unionByName(parted(marked, rest, "hub")))
         out = out.unionByName(current)
     sizes = out.groupBy("community").agg(F.count("*").alias("n"))
     parents = out.where("parent is not null").select(F.col("parent").alias("community")).distinct().withColumn("has_parts", F.lit(True))

@@ -1,5 +1,6 @@
 import json
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -266,3 +267,42 @@ def test_gleaned_passes(spark):
     rows = lambda text: records.parse_records(spark.createDataFrame([(1, text)], "id int, t string"), "id", "t")
     a, b = rows('("entity"<|>a<|>ORG<|>d)##bad'), rows('("entity"<|>a<|>ORG<|>other)##("entity"<|>b<|>ORG<|>d)')
     assert {(r.name, r.pass_no) for r in records.gleaned([a, b]).where("kind = 'entity'").collect()} == {("A", 0), ("B", 1)}
+
+
+def test_label_propagation_against_the_definition(spark):
+    rng = random.Random(12)
+    edges = [(f"n{rng.randrange(14):02d}", f"n{rng.randrange(14):02d}", rng.choice([1.0, 2.0, 0.5])) for _ in range(40)] + [("n00", None, 1.0)]
+    near = {}
+    for a, b, w in edges:
+        if b is not None and a != b:
+            near.setdefault(a, {})[b] = near.setdefault(a, {}).get(b, 0) + w
+            near.setdefault(b, {})[a] = near.setdefault(b, {}).get(a, 0) + w
+    labels = {n: n for n in near}
+    for turn in range(10):
+        stepped = dict(labels)
+        for n, around in near.items():
+            if ((zlib.crc32(n.encode()) >> (turn // 2)) + turn) % 2:
+                continue
+            votes = {labels[n]: 0.5}
+            for m, w in around.items():
+                votes[labels[m]] = votes.get(labels[m], 0) + w
+            stepped[n] = min(votes, key=lambda x: (-round(votes[x], 6), x))
+        labels = stepped
+    got = {r.id: r.community for r in graph.communities(spark.createDataFrame(edges, "src string, dst string, w double"), weight="w").collect()}
+    assert got == labels
+
+
+def test_reports_of_communities(spark):
+    from lodestrata.operators import reports
+
+    nodes = spark.createDataFrame([("c", "A", 3, "water wells"), ("c", "B", 2, " "), ("c", "C", 1, None), ("c", "D", 1, "energy"), ("d", "A", 1, "x" * 9000), ("c", "LONE", 1, "alone")], "company string, name string, degree int, description string")
+    edges = spark.createDataFrame([("c", "A", "B"), ("c", "B", "A"), ("c", "A", "C"), ("c", "D", "D"), ("d", "A", "Z")], "company string, source_entity string, target_entity string")
+    rows = reports.community_reports(nodes, edges)
+    got = {(r.company, r.title): (r.report, r.n_entities) for r in rows.collect()}
+    assert got == {("c", "A, B, C"): ("A: water wells", 3), ("d", "A"): ("A", 1)}
+    asked = spark.createDataFrame([("1", "which water wells", "c"), ("2", "nothing", "c"), ("3", "water", "none")], "question_id string, question string, company string")
+    rated = reports.rate_reports(asked, rows, lambda q, t: F.when(q.contains("water") & t.contains("water"), F.lit(70.0)).otherwise(F.lit(0.0)))
+    assert [(r.question_id, r.rating) for r in rated.collect()] == [("1", 70.0)]
+    assert [tuple(r) for r in reports.reduce_reports(rated, 20).collect()] == [("1", "[c; rating=70.00] A:", 1)]
+    seeds = spark.createDataFrame([("1", "c", "B", 0.5), ("1", "c", "LONE", 0.9)], "question_id string, company string, name string, score double")
+    assert [tuple(r) for r in reports.of_entities(rows, nodes, seeds, 100).collect()] == [("1", "c", "A: water wells")]
