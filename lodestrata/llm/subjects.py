@@ -40,7 +40,7 @@ OWNED, ANCHOR = 0.45, 0.3
 #: Terms of a sentence that the part of its subject must come to (a word with the pairs it is in counts up to three), and its part of what all subjects have of it.
 EVIDENCE, CLEAR = 1.5, 0.5
 #: Cells of the matrix that are solved at once.
-CELLS = 200_000
+CELLS = 50_000
 
 _SENTENCE = re.compile(r"[.!?。！？][\"'”»)\]]*(?=\s)|[\r\n]+")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
@@ -216,17 +216,17 @@ def term_weights(parsed: DataFrame) -> DataFrame:
 def mixtures(starts: np.ndarray, sizes: np.ndarray, at: np.ndarray, x: np.ndarray, steps: int = STEPS) -> np.ndarray:
     """Non-negative mixtures (rows, components) of the rows of a sparse matrix, none of them empty, by multiplicative updates.
 
-    ``at`` has each cell's probability in every component.
+    ``at`` (components, cells) has each cell's probability in every component.
     """
-    by_component, of = np.ascontiguousarray(at.T), np.repeat(np.arange(len(sizes)), sizes)
-    w = np.full((len(by_component), len(starts)), 1.0 / len(by_component), dtype=np.float32)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    w = np.full((len(at), len(starts)), 1.0 / len(at), dtype=np.float32)
     mass = np.add.reduceat(x, starts)
     for _ in range(steps):
         fit = np.zeros(len(x), dtype=np.float32)
-        for p, v in zip(by_component, w):
+        for p, v in zip(at, w):
             fit += p * v.take(of)
         ratio = x / np.maximum(fit, 1e-12)
-        for p, v in zip(by_component, w):
+        for p, v in zip(at, w):
             v *= np.add.reduceat(p * ratio, starts)
         w /= mass
     return w.T
@@ -234,15 +234,14 @@ def mixtures(starts: np.ndarray, sizes: np.ndarray, at: np.ndarray, x: np.ndarra
 
 @dataclass
 class Components:
-    """``rows``: probabilities of each of ``terms`` (sorted) in every subject and, last, in the background."""
+    """Probabilities of each of ``terms`` (sorted) and, in a last column, of a term that no subject owns: in every subject and, last, in the background."""
 
     subjects: list[str]
     terms: np.ndarray
-    rows: np.ndarray
+    #: (components, terms + 1)
+    table: np.ndarray
     #: Terms that a subject owns.
     owned: np.ndarray
-    #: Proportions of a term that none owns.
-    plain: np.ndarray
 
     def find(self, terms: np.ndarray) -> np.ndarray:
         """Index of each term, -1 for one that isn't held."""
@@ -251,31 +250,32 @@ class Components:
         k = np.searchsorted(self.terms, terms).clip(0, len(self.terms) - 1)
         return np.where(self.terms[k] == terms, k, -1)
 
-    def solve(self, row: np.ndarray, at: np.ndarray, x: np.ndarray, plain: np.ndarray, n_rows: int) -> np.ndarray:
+    def solve(self, row: np.ndarray, cell: np.ndarray, x: np.ndarray, plain: np.ndarray, n_rows: int, table: np.ndarray | None = None) -> np.ndarray:
         """Mixtures of ``n_rows`` rows over the subjects; 0 for a row without cells.
 
-        Cells that a subject owns are given by row, probabilities and weight. Terms that
-        none owns have the same proportions in all components, so that ``plain``, their
-        summed weight by row, is one cell more.
+        Cells that a subject owns are given by row, column of the table and weight. Terms
+        that none owns have the same proportions in all components, so that ``plain``,
+        their summed weight by row, is one cell more, in the last column.
         """
+        table = self.table if table is None else table
         out = np.zeros((n_rows, len(self.subjects)), dtype=np.float32)
-        some = np.unique(row)
-        more = some[plain[some] > 0]
-        row, x = np.r_[row, more], np.r_[x, plain[more]].astype(np.float32)
-        at = np.vstack([at, np.broadcast_to(self.plain, (len(more), at.shape[1]))])
-        order = np.argsort(row, kind="stable")
-        row, at, x = row[order], at[order], x[order]
-        first = np.flatnonzero(np.r_[len(row) > 0, row[1:] != row[:-1]])
-        sizes = np.diff(np.r_[first, len(row)])
+        n = np.bincount(row, minlength=n_rows)
+        more = np.flatnonzero((n > 0) & (plain > 0))
+        row, cell, x = np.r_[row, more], np.r_[cell, np.full(len(more), len(self.terms))], np.r_[x, plain[more]].astype(np.float32)
+        order = np.argsort(row.astype(np.uint16) if n_rows <= 1 << 16 else row, kind="stable")
+        cell, x = cell[order], x[order]
+        some = np.flatnonzero(n)
+        n[more] += 1
+        sizes = n[some]
         ends = np.cumsum(sizes)
         for lo, hi in _runs(sizes, CELLS):
-            a, b = first[lo], ends[hi - 1]
-            out[some[lo:hi]] = mixtures(first[lo:hi] - a, sizes[lo:hi], at[a:b], x[a:b])[:, :-1]
+            a, b = ends[lo] - sizes[lo], ends[hi - 1]
+            out[some[lo:hi]] = mixtures(ends[lo:hi] - sizes[lo:hi] - a, sizes[lo:hi], np.take(table, cell[a:b], axis=1), x[a:b])[:, :-1]
         return out
 
-    def judge(self, row: np.ndarray, at: np.ndarray, plain: np.ndarray) -> np.ndarray:
+    def judge(self, row: np.ndarray, cell: np.ndarray, plain: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
         """The subject of each sentence, -1 for none, by its mixture; a sentence without an owned term has none."""
-        w = self.solve(row, at, np.ones(len(row), dtype=np.float32), plain, len(plain))
+        w = self.solve(row, cell, np.ones(len(row), dtype=np.float32), plain, len(plain), table)
         n = np.bincount(row, minlength=len(plain)) + plain
         best = w.argmax(1)
         top = w[np.arange(len(w)), best]
@@ -287,7 +287,7 @@ class Components:
         k = self.find(terms)
         k = k[k >= 0]
         mine = k[self.owned[k]]
-        got = self.judge(np.zeros(len(mine), dtype=np.int64), self.rows[mine], np.array([len(k) - len(mine)]))[0]
+        got = self.judge(np.zeros(len(mine), dtype=np.int64), mine, np.array([len(k) - len(mine)]))[0]
         return self.subjects[got] if got >= 0 else None
 
 
@@ -310,7 +310,7 @@ def _components(subjects: list[str], terms: np.ndarray, subject: np.ndarray, cou
     rest = max(background.sum(), 1e-12)
     plain = np.r_[np.full(len(subjects), 0.02 / total), 1 / rest]
     h = np.vstack([0.98 * rows + 0.02 * counts / total, background / rest])
-    return Components(subjects, terms, np.ascontiguousarray(h.T, dtype=np.float32), subject.sum(0) > 0, plain.astype(np.float32))
+    return Components(subjects, terms, np.column_stack([h, plain]).astype(np.float32), subject.sum(0) > 0)
 
 
 def _subject_parts(model: Components, c: Cells, k: np.ndarray, n_rows: int) -> np.ndarray:
@@ -319,7 +319,7 @@ def _subject_parts(model: Components, c: Cells, k: np.ndarray, n_rows: int) -> n
     mine = np.flatnonzero((place >= 0) & model.owned[place])
     others = (place >= 0) & ~model.owned[place]
     plain = np.bincount(c.doc[others], c.x[others], n_rows)
-    w = model.solve(c.doc[mine], model.rows[place[mine]], c.x[mine], plain, n_rows)
+    w = model.solve(c.doc[mine], place[mine], c.x[mine], plain, n_rows)
     mass = w.sum(1, keepdims=True)
     return w / np.maximum(mass, 1e-9) * np.minimum(1.0, 10 * mass)
 
@@ -499,7 +499,7 @@ def document_subjects(df: DataFrame, samples: DataFrame, id_col: str = "doc_id",
             k = model.find(named)[back]
             mine = np.flatnonzero((k >= 0) & model.owned[k])
             plain = np.bincount(sentence[(k >= 0) & ~model.owned[k]], minlength=len(sizes))
-            row, at = sentence[mine], model.rows[k[mine]]
+            row, cell, columns = sentence[mine], k[mine], None
             extra = {t["term"]: t["p"] for r in batch.column(3).to_pylist() if r for t in r}
             if extra:
                 names = np.array(sorted(extra), dtype=np.int64)
@@ -509,8 +509,8 @@ def document_subjects(df: DataFrame, samples: DataFrame, id_col: str = "doc_id",
                 rest = np.flatnonzero(k < 0)
                 j = np.searchsorted(names, terms[rest]).clip(0, len(names) - 1)
                 met = names[j] == terms[rest]
-                row, at = np.r_[row, sentence[rest[met]]], np.vstack([at, p[j[met]]])
-            subject = model.judge(row, at, plain)
+                row, cell, columns = np.r_[row, sentence[rest[met]]], np.r_[cell, len(model.terms) + 1 + j[met]], np.hstack([model.table, p.T])
+            subject = model.judge(row, cell, plain, columns)
             doc = np.repeat(np.arange(len(per_row)), per_row)
             some = subject >= 0
             cell, n = np.unique(doc[some] * len(model.subjects) + subject[some], return_counts=True)
