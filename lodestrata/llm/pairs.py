@@ -246,21 +246,25 @@ class LanguageModel:
         self.known[word] = k
         return k
 
-    def scores(self, found: list[str]) -> np.ndarray:
+    def scores(self, found: list[str]) -> list[float]:
         """Summed scores of words by language."""
         if not found:
-            return np.zeros(len(self.languages))
+            return [0.0] * len(self.languages)
         known = self.known
         if len(known) + len(found) > 400_000:
             known.clear()
             self.used = 0
         at = [k if (k := known.get(w)) is not None else self._row(w) for w in found]
-        return self.rows[at].sum(axis=0)
+        return self.rows[at].sum(axis=0).tolist()
 
-    def guess(self, found: list[str], margin: float = 6.0) -> int | None:
-        s = self.scores(found)
-        order = np.argsort(-s)
-        return int(order[0]) if len(s) and (len(s) == 1 or s[order[0]] - s[order[1]] >= margin) else None
+    @staticmethod
+    def best(scores: list[float], margin: float = 6.0) -> int | None:
+        """The language whose score is ``margin`` above all others."""
+        if not scores:
+            return None
+        first = max(scores)
+        k = scores.index(first)
+        return k if len(scores) == 1 or first - max(scores[:k] + scores[k + 1 :]) >= margin else None
 
 
 def requested_languages(question: str) -> set[str]:
@@ -270,12 +274,15 @@ def requested_languages(question: str) -> set[str]:
 def is_other_language(question: str | None, answer: str, model: LanguageModel, q: list[str] | None = None, a: list[str] | None = None) -> bool:
     asked = question or ""
     q, a = words(asked) if q is None else q, words(answer) if a is None else a
-    own = model.guess(q, 1.0)
-    got = model.guess(words("\n".join(s for s in answer.split("\n") if not s.lstrip().startswith("|"))) if "|" in answer else a)
-    if own is None or got is None or got == own or model.languages[got] in requested_languages(asked):
+    whole = model.scores(a)
+    told = model.scores(words("\n".join(s for s in answer.split("\n") if not s.lstrip().startswith("|")))) if "|" in answer else whole
+    got = model.best(told)
+    if got is None:
+        return False
+    own = model.best(model.scores(q), 1.0)
+    if own is None or got == own or model.languages[got] in requested_languages(asked):
         return False
-    s = model.scores(a)
-    return s[got] - s[own] >= 6.0
+    return whole[got] - whole[own] >= 6.0
 
 
 def ending(text: str) -> tuple[str, ...]:
@@ -283,6 +290,16 @@ def ending(text: str) -> tuple[str, ...]:
     return tuple(_NUMBER.sub("#", w).strip(",;:.!?*_“”\"'").casefold() for w in text.split()[-3:])
 
 
+def _uncited(text: str) -> str:
+    """The text without a citation at its end."""
+    return _CITE.sub("", text) if text.rstrip().endswith(("]", ")")) else text
+
+
+def _left_open(text: str) -> bool:
+    """Whether an ellipsis ends the text."""
+    return ("..." in text or "…" in text or ". ." in text) and bool(_ELLIPSIS.search(text))
+
+
 _BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + "\u200b"
 
 
@@ -290,7 +307,7 @@ def breaks_off(answer: str) -> bool | None:
     """True or False where the form tells; None where the last words must."""
     t = answer.rstrip(_BLANKS)
     t = re.sub(r"(?<=\w)(?:\*\*|__)$", "", t)
-    if t.count("```") % 2 or _ELLIPSIS.search(_CITE.sub("", t)):
+    if t.count("```") % 2 or _left_open(_uncited(t)):
         return True
     last = t.rsplit("\n", 1)[-1]
     if last.lstrip().startswith("|"):
@@ -301,7 +318,7 @@ def breaks_off(answer: str) -> bool | None:
             return True
     if t[-1] in ",;:–—-&/=+" or re.fullmatch(r"\s*(?:[-*•]|\d+[.)])\s*", last):
         return True
-    if t[-1] in ".!?…\"'”»`" or _CITE.search(t):
+    if t[-1] in ".!?…\"'”»`" or (t[-1] in ")]" and _CITE.search(t)):
         return False
     if len(t.split()) <= 5 and len(_SENTENCE.split(t)) == 1:
         return False
@@ -335,9 +352,9 @@ def _sentence_ends(batch_answers: Iterable[str | None], wanted: _Wanted | None =
     for answer in batch_answers:
         for s in _SENTENCE.split(_NUMBER.sub("#", answer or "").casefold()):
             s = s.strip()
-            if not s or s[-1] not in ".!?" or _ELLIPSIS.search(_CITE.sub("", s)):
+            if not s or s[-1] not in ".!?" or _left_open(s):
                 continue
-            t = [w.strip(_OUTER) for w in _CITE.sub("", s[:-1]).split()]
+            t = [w.strip(_OUTER) for w in _uncited(s[:-1]).split()]
             last = len(t) - 1
             for k, w in enumerate(t):
                 if wanted[w]:
