@@ -124,7 +124,7 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
         )
         .withColumn("source_refs", F.split("refs", SEP))
     )
-    return retrieval.tied_edges(edges, entity_nodes(spark, d))
+    return cut(retrieval.tied_edges(edges, entity_nodes(spark, d)))
 
 
 _EDGES = f"""rl AS (SELECT rel_id, min({ck('company')}) AS company, min({nk("coalesce(source_entity, '')")}) AS s, min({nk("coalesce(target_entity, '')")}) AS t, max(relationship_weight) AS weight, max(combined_degree) AS cd,
