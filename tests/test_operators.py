@@ -186,6 +186,39 @@ def test_bounded_communities_go_on_to_the_bound(spark):
     assert [ids for (_, stuck), ids in sizes.items() if stuck] == [{x for e in clique for x in e}]
 
 
+def test_bounded_communities_take_no_jobs_for_their_depth(spark):
+    hubs = [(f"h{i:02d}", f"h{j:02d}") for i in range(16) for j in range(i)]
+    leaves = [(f"h{i:02d}", f"leaf{i:02d}{x}") for i in range(16) for x in "abc"]
+    spark.sparkContext.setJobGroup("depth", "depth")
+    try:
+        rows = graph.bounded_communities(spark.createDataFrame(hubs + leaves, "src string, dst string")).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert max(r.level for r in rows) >= 8
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("depth")) < 200
+
+
+def test_bounded_communities_in_a_task_equal_those_over_all(spark, monkeypatch):
+    rng = random.Random(3)
+    near = [(f"é{c}/{i:02d}", f"é{c}/{rng.randrange(i):02d}") for c in range(2) for i in range(1, 40) for _ in range(3)]
+    far = [(f"é{rng.randrange(2)}/{rng.randrange(40):02d}", f"Z{i:02d}") for i in range(30)]
+    clique = [(f"k{i:02d}", f"k{j:02d}") for i in range(12) for j in range(i)]
+    rows = near + far + clique + [(None, "x"), ("self", "self"), ("k01", "k00"), ("k00", "k01"), ("é0/00", None)]
+    edges = spark.createDataFrame(rows, "src string, dst string")
+    alone = sorted(graph.bounded_communities(edges).select("id", "level", "community", "unsplittable").collect())
+    monkeypatch.setattr(graph, "HELD", 75)
+    assert sorted(graph.bounded_communities(edges).select("id", "level", "community", "unsplittable").collect()) == alone
+    assert {r.id for r in alone} == {x for e in rows if None not in e and e[0] != e[1] for x in e}
+    assert max(r.level for r in alone) >= 2 and any(r.unsplittable for r in alone)
+
+
+def test_bounded_communities_keep_the_type_of_ids(spark):
+    df = graph.bounded_communities(spark.createDataFrame([(0, i) for i in range(2, 30)] + [(10, 2)], "src int, dst bigint"))
+    assert dict(df.dtypes) == {"id": "bigint", "level": "int", "community": "string", "unsplittable": "boolean"}
+    assert {r.id for r in df.collect()} == {0, *range(2, 30)}
+    assert graph.bounded_communities(spark.createDataFrame([], "src string, dst string")).collect() == []
+
+
 def test_topk_by_block_equals_broadcast(spark, monkeypatch):
     rng = np.random.default_rng(5)
     items = spark.createDataFrame([(f"i{k}", "abc"[k % 3], [float(x) for x in rng.normal(size=6)]) for k in range(90)] + [("t1", "a", [1.0] * 6), ("t2", "a", [1.0] * 6)], "id string, company string, embedding array<float>").repartition(3)
