@@ -250,7 +250,7 @@ def bounded_communities(spark: SparkSession, d: str) -> DataFrame:
 
 def community_bounds(spark: SparkSession, d: str) -> DataFrame:
     """What must hold of the hierarchy: nodes with an edge, nodes that no level lacks, nodes whose last community is too large though it comes apart, communities over several components."""
-    edges = company_edges(spark, d).where("src <> dst")
+    edges = cut(company_edges(spark, d).where("src <> dst"))
     parts = cut(graph.bounded_communities(edges))
     last = parts.groupBy("id").agg(F.max("level").alias("level"), F.max_by(F.struct("community", "unsplittable"), "level").alias("c")).select("id", "level", "c.*")
     sizes = last.groupBy("community").agg(F.count("*").alias("n"))

@@ -14,6 +14,7 @@ from lodestrata.functions.text import normalized_contains, strip_ansi, truncate_
 from lodestrata.functions.vectors import dot, hashed_embedding
 from lodestrata.operators import chunking, evaluation, graph, graph_build, pages, records, retrieval
 from lodestrata.operators.ranking import nearest_rank, positions
+from lodestrata.plans import graph_queries
 
 
 def one(spark, column, **values):
@@ -219,6 +220,19 @@ def test_bounded_communities_keep_the_type_of_ids(spark):
     assert graph.bounded_communities(spark.createDataFrame([], "src string, dst string")).collect() == []
 
 
+def test_community_bounds_of_a_deep_hierarchy(spark, tmp_path):
+    hubs = [(f"H{i:02d}", f"H{j:02d}") for i in range(16) for j in range(i)]
+    rows = [("Acme", a, b) for a, b in hubs + [(f"H{i:02d}", f"LEAF{i:02d}{x}") for i in range(16) for x in "ABC"] + [("SELF", "SELF"), ("H00", " ")]]
+    like = spark.read.parquet("/root/testdata/sf0.001/relationships.parquet").limit(0)
+    like.unionByName(spark.createDataFrame(rows, "company string, source_entity string, target_entity string"), allowMissingColumns=True).write.parquet(f"{tmp_path}/relationships.parquet")
+    spark.sparkContext.setJobGroup("bounds", "bounds")
+    try:
+        assert [tuple(r) for r in graph_queries.community_bounds(spark, str(tmp_path)).collect()] == [(64, 0, 0, 0)]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("bounds")) < 300
+
+
 def test_topk_by_block_equals_broadcast(spark, monkeypatch):
     rng = np.random.default_rng(5)
     items = spark.createDataFrame([(f"i{k}", "abc"[k % 3], [float(x) for x in rng.normal(size=6)]) for k in range(90)] + [("t1", "a", [1.0] * 6), ("t2", "a", [1.0] * 6)], "id string, company string, embedding array<float>").repartition(3)
